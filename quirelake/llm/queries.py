@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import components, format_duplicates, golden
+from quirelake.llm import bpe, components, format_duplicates, golden, spam
 from quirelake.session import table
 
 
@@ -26,7 +26,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(table(spark, d, "entity_aliases"), "alias_entity_id", "entity_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_survivors, p3_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.stuffed_pages(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_survivors, p3_found, p8_ids, p10_found)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
