@@ -44,8 +44,9 @@ _START = {
 }
 STAY = 0.8
 ROUNDS = 3
-#: A page is flagged when more than this share of it lies in links, tags and menus.
-THRESHOLD = 0.5
+#: A page is flagged when more than this share of it lies in links, tags and menus; a little below one half, as single
+#: lines of a stuffed page may look like prose, while on other pages such lines make up less than a third.
+THRESHOLD = 0.4
 
 _URL = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@.])(?:[a-z0-9-]{2,}\.)+[a-z]{2,12}(?:/\S*)?(?![\w.])|!?\[[^\]]*\]\([^)\s]*\)|<a\s[^>]*>.*?</a>", re.I | re.S)
 _TAGS = re.compile(r"<[^<>]{1,300}>")
@@ -140,7 +141,7 @@ def _symbol(line: str, whole: bool) -> str:
     words = _WORD.findall(_HAN.sub(" ", bare) if han else bare)
     size = len(words) + -(-len(han) // 2)
     linked = sum(max(1, _size(x[: x.find("](")] if x.startswith(("[", "!")) else "")) for x in links)
-    if links and (linked >= 0.6 * (size + linked) or (len(links) > 2 and size < 3 * len(links)) or size <= 8 and not _REFERENCE.match(line)):
+    if links and (linked >= 0.6 * (size + linked) or (len(links) > 2 and size < 3 * len(links)) or size <= 8 and len(han) <= 6 and FUNCTION_WORDS.isdisjoint(map(str.lower, words)) and not _REFERENCE.match(line)):
         return "L"
     if size == 0:
         return "N"
