@@ -145,7 +145,7 @@ def linked_names(names: DataFrame) -> DataFrame:
     several = mids.where("left(lo, 1) <> left(hi, 1)").select("kind", "key", F.lit(True).alias("several"))
     ident = F.concat_ws(":", F.col("kind"), F.col("key"), F.when(F.coalesce("several", F.lit(False)), F.left("middle", F.lit(1))).otherwise(F.lit("")))
     classed = whole.join(several, ["kind", "key"], "left").withColumn("class", ident)
-    classes = spool(classed.groupBy("class", "kind", "key").agg(F.sum("n").alias("n"), F.max("middle").alias("middle"), F.collect_set("exact").alias("exact"), F.first("short").alias("short"), F.first("near").alias("near")), "name-classes")
+    classes = spool(classed.groupBy("class", "kind", "key").agg(F.sum("n").alias("n"), F.max("middle").alias("middle"), F.collect_set("exact").alias("exact"), F.max("short").alias("short"), F.max("near").alias("near")), "name-classes")
 
     # how many other words a word stands with
     parts = classes.select(F.split("key", r"\|").alias("w")).where("size(w) = 2")

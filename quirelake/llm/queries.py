@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import bpe, components, format_duplicates, golden, names, spam
+from quirelake.llm import bpe, components, format_duplicates, golden, history, names, spam
 from quirelake.plans.packed_fields import p5_found
 from quirelake.session import table
 
@@ -27,6 +27,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(table(spark, d, "entity_aliases"), "alias_entity_id", "entity_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.History(spark).accept(table(spark, d, "paper_records"), table(spark, d, "data_releases"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_names(p5_found(spark, d).select("author"))
 
@@ -39,7 +43,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_survivors, p3_found, p7_found, p8_ids, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_survivors, p3_found, p6_found, p7_found, p8_ids, p10_found)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
