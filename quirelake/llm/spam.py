@@ -128,6 +128,9 @@ def _size(text: str) -> int:
 
 def symbol(line: str, whole: bool = True) -> tuple[str, int]:
     """The symbol of a line and its size: its characters without blanks and noise, those of Chinese, Japanese and Korean three times."""
+    line = line.strip()
+    if not line:
+        return "N", 0
     if n := _plain_prose(line):
         return "S", len(line) - n
     line = _NOISE.sub(" ", line)
