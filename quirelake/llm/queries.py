@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirelake.llm import bpe, components, format_duplicates, golden, history, names, spam
+from quirelake.llm import bpe, components, format_duplicates, golden, history, mixing, names, spam, topics
 from quirelake.plans.packed_fields import p5_found
 from quirelake.session import table
 
@@ -27,6 +27,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(table(spark, d, "entity_aliases"), "alias_entity_id", "entity_id")
 
 
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    return topics.assign(*(table(spark, d, n) for n in ("paper_records", "entity_memberships", "entity_area_assignments", "area_definitions")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _areas(spark, d).select("record_id", "area_id")
+
+
+def p4_composition(spark: SparkSession, d: str) -> DataFrame:
+    """How many records each area has as first and as second area."""
+    return _areas(spark, d).groupBy("area_id").agg(F.count_if(F.col("place") == 1).alias("n_first"), F.count_if(F.col("place") == 2).alias("n_second"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return history.History(spark).accept(table(spark, d, "paper_records"), table(spark, d, "data_releases"))
 
@@ -39,11 +52,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_survivors, p3_found, p6_found, p7_found, p8_ids, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_survivors, p3_found, p4_found, p4_composition, p6_found, p7_found, p8_ids, p9_mixture, p9_shares, p10_found)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

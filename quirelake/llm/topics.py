@@ -1,0 +1,337 @@
+"""Subject area of each document (problem 4).
+
+Method: latent Dirichlet topic models are fitted on all records by distributed variational expectation
+maximization. Each topic begins at the word counts of the records labelled with one area (besides topics for
+what belongs to none), is mapped to the area whose labelled records use its top terms most, and records
+are assigned to areas by their topic proportions. Sentences that mention other work are found by their
+frame, the words they share with sentences on any area: a frame whose subject rarely agrees with the
+rest of its record says nothing on the record and is left out of the proportions.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from quirelake.llm.history import _GENERIC
+from quirelake.llm.titles import missing, plain, title_parts
+from quirelake.session import spool
+
+#: Topics that begin at no area; they take up words that belong to none.
+BACKGROUND = 1
+ROUNDS = 2
+STEPS = 8
+ALPHA, BETA = 0.05, 0.01
+#: A word is in the vocabulary if it is in at least this share of the records, and at least in so many.
+MIN_SHARE, MIN_RECORDS = 2e-4, 3
+#: Frames seen in at least this share of the sentences are judged; there can be no more than its inverse.
+FRAME_SHARE = 2e-4
+#: A frame is left out if its subject agrees with its record's in less than this part of its sentences.
+AGREEMENT = 0.4
+TITLE_WEIGHT = 3.0
+#: The share of the proportions that a second area needs; shares of single-area records end below it, those of others begin above.
+SECOND = 0.24
+#: A word is general if no area has this many times its share of the word.
+LIFT = 2.5
+
+_WORD = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
+
+
+def sentences(title: str | None, normalized: str | None, abstract: str | None) -> list[str]:
+    """The title, then the sentences of the abstract, as words in lower case between blanks; missing ones are left out."""
+    out = [" ".join(_WORD.findall(plain(title)))] if not missing(title) else [""]
+    if not missing(abstract):
+        out += [" ".join(_WORD.findall(s)) for s in _SENTENCE.split(plain(abstract))]
+    return out
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """The digamma function for positive values (recurrence, then its asymptotic series)."""
+    out = np.zeros_like(x)
+    y = x.copy()
+    for _ in range(6):
+        small = y < 6
+        out -= np.where(small, 1 / y, 0)
+        y = np.where(small, y + 1, y)
+    z = 1 / (y * y)
+    return out + np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252))
+
+
+class Model:
+    """Topic-word weights, the vocabulary, the general words and what is known of frames."""
+
+    def __init__(self, words: list[str], weights: np.ndarray, general: set[str]) -> None:
+        self.words, self.general = words, general
+        self.at = {w: i for i, w in enumerate(words)}
+        self.set_weights(weights)
+        self.frames: dict[str, float] = {}
+        self.areas: list[str] = []
+
+    def set_weights(self, weights: np.ndarray) -> None:
+        """weights: topics x words, the variational parameters of the topics."""
+        self.weights = weights
+        self.phi = np.exp(_digamma(weights) - _digamma(weights.sum(1, keepdims=True))).T
+
+    def frame(self, sentence: str) -> str:
+        return " ".join(w for w in sentence.split() if w in self.general)
+
+    def tokens(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, sentence, word, weight) of each known word; sentences are numbered through all documents."""
+        doc, sent, word, weight = [], [], [], []
+        n = 0
+        at = self.at
+        for d, parts in enumerate(docs):
+            for i, s in enumerate(parts):
+                got = [at[w] for w in s.split() if w in at]
+                if got:
+                    w = TITLE_WEIGHT if i == 0 else self.frames.get(self.frame(s), 1.0) if self.frames else 1.0
+                    if w > 0:
+                        doc += [d] * len(got)
+                        sent += [n] * len(got)
+                        word += got
+                        weight += [w] * len(got)
+                n += 1
+        return np.array(doc, np.int64), np.array(sent, np.int64), np.array(word, np.int64), np.array(weight)
+
+    def infer(self, n: int, doc: np.ndarray, word: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gamma, r): the Dirichlet parameters of each document and each token's responsibilities."""
+        k = self.phi.shape[1]
+        gamma = np.full((n, k), ALPHA)
+        if not len(doc):
+            return gamma, np.zeros((0, k))
+        b = self.phi[word]
+        begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        gamma[doc[begins]] += 1.0
+        r = b
+        for _ in range(STEPS):
+            theta = np.exp(_digamma(gamma))
+            r = theta[doc] * b
+            r /= r.sum(1, keepdims=True) + 1e-300
+            gamma = np.full((n, k), ALPHA)
+            gamma[doc[begins]] += np.add.reduceat(r * weight[:, None], begins)
+        return gamma, r
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each record; front matter has none."""
+    for batch in batches:
+        out = []
+        for t, n, a in zip(*(batch.column(c).to_pylist() for c in ("title", "normalized_title", "abstract")), strict=True):
+            parts = title_parts(t, n)
+            front = bool(parts) and bool(_GENERIC.fullmatch("".join(parts)))
+            out.append("" if front else "\n".join(sentences(t, n, a)))
+        yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array(out, pa.string())], names=["record_id", "text"])
+
+
+def _split(text: str) -> list[str]:
+    return text.split("\n")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records with each word, in all and by label."""
+    counts: Counter[tuple[str, str]] = Counter()
+
+    def drain() -> pa.RecordBatch:
+        rows = list(counts.items())
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "area", "n"])
+
+    for batch in batches:
+        for text, area in zip(batch.column("text").to_pylist(), batch.column("area").to_pylist(), strict=True):
+            words = set(text.split())
+            counts.update((w, "") for w in words)
+            counts["", ""] += 1
+            if area:
+                counts.update((w, area) for w in words)
+                counts["", area] += 1
+        if len(counts) > 200_000:
+            yield drain()
+    yield drain()
+
+
+def prepare(records: DataFrame) -> DataFrame:
+    """record_id and text of each record, once."""
+    src = records.where("record_id IS NOT NULL").select("record_id", "title", "normalized_title", "abstract").distinct()
+    return spool(src.mapInArrow(_texts, "record_id string, text string"), "topic-texts")
+
+
+def labels(memberships: DataFrame, assignments: DataFrame) -> DataFrame:
+    """record_id and area of records of entities labelled as papers of an area; of several labels the smallest."""
+    a = assignments.where("area_id IS NOT NULL AND area_id <> '' AND coalesce(is_non_paper, 0) = 0").groupBy("entity_id").agg(F.min("area_id").alias("area"))
+    return memberships.where("record_id IS NOT NULL").select("record_id", "entity_id").join(a, "entity_id").groupBy("record_id").agg(F.min("area").alias("area"))
+
+
+def start(texts: DataFrame, labelled: DataFrame, areas: list[str]) -> Model:
+    """The model before its first round, from the word counts of all records and of the labelled ones.
+
+    The counts come to the driver for words above MIN_SHARE only, whose number that share bounds.
+    """
+    counts = texts.where("text <> ''").join(labelled, "record_id", "left").select("text", "area").mapInArrow(_count, "word string, area string, n bigint")
+    counts = spool(counts.groupBy("word", "area").agg(F.sum("n").alias("n")), "word-counts")
+    total = counts.where("word = '' AND area = ''").agg(F.sum("n")).first()[0] or 0
+    least = max(MIN_RECORDS, MIN_SHARE * total)
+    kept = counts.where(f"area = '' AND n >= {least}").select("word")
+    rows = counts.join(kept, "word").collect()
+    words = sorted({r["word"] for r in rows if r["word"]})
+    at, col = {w: i for i, w in enumerate(words)}, {a: i for i, a in enumerate(areas)}
+    by, size = np.zeros((len(areas), len(words))), np.ones(len(areas))
+    every = np.zeros(len(words))
+    for r in rows:
+        if r["area"] == "" and r["word"]:
+            every[at[r["word"]]] = r["n"]
+        elif r["area"] in col:
+            if r["word"]:
+                by[col[r["area"]], at[r["word"]]] = r["n"]
+            else:
+                size[col[r["area"]]] = r["n"]
+    rate = (by + 0.1) / (size[:, None] + 1)
+    lift = rate.max(0) / np.maximum(rate.mean(0), 1e-12)
+    seen = by.sum(0)
+    general = {w for i, w in enumerate(words) if lift[i] < LIFT and seen[i] >= 3}
+    topical = [i for i, w in enumerate(words) if w not in general]
+    # an area's topic holds its words beyond what all areas have of them
+    own = np.maximum(rate - np.median(rate, 0), 0)[:, topical]
+    share = own / np.maximum(own.sum(0), 1e-12)
+    weights = share * every[topical] + BETA
+    rest = np.where(seen[topical] < 2, every[topical], 0.02 * every[topical]) + BETA
+    model = Model([words[i] for i in topical], np.vstack([weights, *[rest] * BACKGROUND]), general)
+    model.areas = areas
+    return model
+
+
+def em_round(texts: DataFrame, model: Model) -> np.ndarray:
+    """Expected topic-word counts over all records; a row per topic and word comes to the driver, whatever the size."""
+    k, v = model.weights.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((v, k))
+        for batch in batches:
+            all_docs = [_split(t) for t in batch.column("text").to_pylist()]
+            for i in range(0, len(all_docs), 1000):
+                docs = all_docs[i : i + 1000]
+                doc, _, word, weight = model.tokens(docs)
+                _, r = model.infer(len(docs), doc, word, weight)
+                for t in range(k):
+                    total[:, t] += np.bincount(word, r[:, t] * weight if len(word) else None, v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(v * k)), pa.array(total.ravel())], names=["at", "n"])
+
+    rows = texts.where("text <> ''").mapInArrow(run, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(v * k)
+    for r in rows:
+        out[r["at"]] = r["n"]
+    return out.reshape(v, k).T
+
+
+def judge_frames(texts: DataFrame, model: Model) -> dict[str, float]:
+    """Weight 0 for the frames whose subject seldom agrees with the rest of the record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            all_docs = [_split(t) for t in batch.column("text").to_pylist()]
+            for i in range(0, len(all_docs), 1000):
+                docs = all_docs[i : i + 1000]
+                doc, sent, word, weight = model.tokens(docs)
+                if not len(doc):
+                    continue
+                gamma, r = model.infer(len(docs), doc, word, weight)
+                begins = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]])
+                own = np.add.reduceat(r * weight[:, None], begins)
+                # the record's topic without the sentence
+                rest = gamma[doc[begins]] - own
+                agree = own[:, : len(model.areas)].argmax(1) == rest[:, : len(model.areas)].argmax(1)
+                known = rest[:, : len(model.areas)].max(1) > 1
+                flat = [s for d in docs for s in d]
+                heads = np.cumsum([0] + [len(d) for d in docs])[:-1]
+                is_title = set(heads.tolist())
+                for s, ok, use in zip(sent[begins].tolist(), agree.tolist(), known.tolist(), strict=True):
+                    if use and s not in is_title:
+                        c = counts.setdefault(model.frame(flat[s]), [0, 0])
+                        c[0] += 1
+                        c[1] += ok
+            if len(counts) > 100_000:
+                yield _frames(counts)
+                counts = {}
+        yield _frames(counts)
+
+    seen = spool(texts.where("text <> ''").mapInArrow(run, "frame string, n bigint, agreed bigint").groupBy("frame").agg(F.sum("n").alias("n"), F.sum("agreed").alias("agreed")), "frames")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    least = max(10, FRAME_SHARE * total)
+    return {r["frame"]: 0.0 for r in seen.where(f"n >= {least} AND agreed < {AGREEMENT} * n").select("frame").collect()}
+
+
+def _frames(counts: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["frame", "n", "agreed"])
+
+
+def map_topics(model: Model, first: np.ndarray, top: int = 30) -> list[str | None]:
+    """The area of each topic: the one whose labelled records use its top terms most; None for background topics."""
+    out: list[str | None] = []
+    use = first[: len(model.areas)] / np.maximum(first[: len(model.areas)].sum(1, keepdims=True), 1e-12)
+    for t in range(len(model.weights)):
+        terms = np.argsort(-model.weights[t])[:top]
+        scores = use[:, terms].sum(1)
+        out.append(model.areas[int(scores.argmax())] if t < len(model.areas) and scores.max() > 0 else None)
+    return out
+
+
+def fit(texts: DataFrame, labelled: DataFrame, areas: list[str]) -> Model:
+    """The model after its rounds, with its frames judged and its topics mapped."""
+    model = start(texts, labelled, areas)
+    if not model.words:
+        return model
+    first = model.weights.copy()
+    model.frames = judge_frames(texts, model)
+    for _ in range(ROUNDS):
+        model.set_weights(em_round(texts, model) + BETA + 0.1 * first)
+    model.subjects = map_topics(model, first)
+    return model
+
+
+def proportions(model: Model, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, evidence): the proportions of the areas in each document, without background, and their total weight."""
+    doc, _, word, weight = model.tokens(docs)
+    gamma, _ = model.infer(len(docs), doc, word, weight)
+    on = np.zeros((len(docs), len(model.areas)))
+    for t, s in enumerate(model.subjects):
+        if s is not None:
+            on[:, model.areas.index(s)] += gamma[:, t] - ALPHA
+    total = on.sum(1)
+    return on / np.maximum(total, 1e-12)[:, None], total
+
+
+def assign(records: DataFrame, memberships: DataFrame, assignments: DataFrame, definitions: DataFrame, second: float = SECOND) -> DataFrame:
+    """record_id, area_id, place (1 or 2) and share of the one or two areas of each record.
+
+    Front matter, records without known words and null ids give no row; repeated rows count once;
+    without labels or records there is no result. The area 'other' is for what no other fits and has no topic.
+    """
+    areas = sorted(r["area_id"] for r in definitions.where("area_id IS NOT NULL AND area_id <> 'other'").select("area_id").distinct().collect())
+    texts = prepare(records)
+    model = fit(texts, labels(memberships, assignments), areas)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_docs = [_split(t) for t in batch.column("text").to_pylist()]
+            ids, area, place, share = [], [], [], []
+            for i in range(0, len(all_docs), 1000):
+                p, total = proportions(model, all_docs[i : i + 1000])
+                order = np.argsort(-p, 1)[:, :2]
+                for j in np.flatnonzero(total > 0.1).tolist():
+                    for n, a in enumerate(order[j].tolist()):
+                        if n == 0 or p[j, a] >= second:
+                            ids.append(i + j)
+                            area.append(model.areas[a])
+                            place.append(n + 1)
+                            share.append(float(p[j, a]))
+            yield pa.RecordBatch.from_arrays([batch.column("record_id").take(pa.array(ids, pa.int32())), pa.array(area, pa.string()), pa.array(place, pa.int32()), pa.array(share, pa.float64())], names=["record_id", "area_id", "place", "share"])
+
+    if not model.words:
+        return texts.sparkSession.createDataFrame([], "record_id string, area_id string, place int, share double")
+    return texts.where("text <> ''").mapInArrow(run, "record_id string, area_id string, place int, share double")
