@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.plans import packed_fields
+from quirelake.plans import capabilities, packed_fields
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "cap_count_by_area"
+_PARTS = (capabilities,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(packed_fields.QUERIES)
+    out = dict(packed_fields.QUERIES)
+    for p in _PARTS:
+        out |= p.register.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for p in _PARTS:
+        out |= p.register.sql
+    return out
