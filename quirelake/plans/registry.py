@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.plans import capabilities, packed_fields
+from quirelake.plans import capabilities, dashboards, packed_fields, resolution, searches
 
 FLAGSHIP = "cap_count_by_area"
-_PARTS = (capabilities,)
+_PARTS = (capabilities, dashboards, searches, resolution)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
