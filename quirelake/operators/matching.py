@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from quirelake.functions.columns import any_of
 from quirelake.functions.missing import doi_key, is_missing, present
@@ -110,7 +111,7 @@ def merge_incoming(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.withColumnRenamed("n", "hits_n").select(F.col("n.id").alias("id"), outcome.alias("outcome"), F.when(F.col("hits_n") == 1, F.col("old_id")).alias("old_id"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two titles in lower case."""
     return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b, strict=True)])

@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -143,13 +144,11 @@ class _PageReader(DataSourceReader):
 def looked_up(keys: DataFrame, fetch: Callable[[list[str]], dict[str, str]], batch: int = 100) -> DataFrame:
     """key and value from a service asked in batches; keys without an answer are left out. keys have a column key."""
 
-    def run(parts):
-        import pandas as pd
-
-        for pdf in parts:
-            ks = pdf["key"].tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ks = b.column("key").to_pylist()
             for i in range(0, len(ks), batch):
                 got = fetch(ks[i : i + batch])
-                yield pd.DataFrame({"key": list(got), "value": list(got.values())})
+                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.string())], names=["key", "value"])
 
-    return keys.select("key").where("key IS NOT NULL").distinct().mapInPandas(run, "key string, value string")
+    return keys.select("key").where("key IS NOT NULL").distinct().mapInArrow(run, "key string, value string")

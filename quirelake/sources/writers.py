@@ -34,11 +34,11 @@ def publish(root: str, release_id: str, tables: dict[str, DataFrame], gates: dic
         broken = gate(spark.read.parquet(f"{at}/{name}")).limit(1).count()  # one broken row is enough
         if broken:
             raise ValueError(f"release {release_id}: {name} breaks its gate")
-    new, fs = _fs(spark, f"{root}/_current.new")
+    new, fs = _fs(spark, f"{root}/CURRENT.new")
     out = fs.create(new, True)
     out.write(json.dumps({"release_id": release_id, "tables": sorted(tables)}).encode())
     out.close()
-    old, _ = _fs(spark, f"{root}/_current.json")
+    old, _ = _fs(spark, f"{root}/CURRENT.json")
     if fs.exists(old):
         fs.delete(old, False)
     fs.rename(new, old)
@@ -46,10 +46,10 @@ def publish(root: str, release_id: str, tables: dict[str, DataFrame], gates: dic
 
 
 def current_release(spark: SparkSession, root: str) -> dict | None:
-    p, fs = _fs(spark, f"{root}/_current.json")
+    p, fs = _fs(spark, f"{root}/CURRENT.json")
     if not fs.exists(p):
         return None
-    return json.loads("".join(r["value"] for r in spark.read.text(f"{root}/_current.json").collect()))
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{root}/CURRENT.json").collect()))
 
 
 def write_lists(records: DataFrame, path: str) -> None:
