@@ -79,22 +79,39 @@ def signature(words: set[str]) -> list[int]:
 
 
 def _distance(a: str, b: str, most: int) -> int:
-    """Edit distance with exchanged neighbours, most + 1 if larger than most."""
-    if abs(len(a) - len(b)) > most:
+    """Edit distance with exchanged neighbours, most + 1 if larger than most; only the band around the diagonal is filled."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
         return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        if min(now) > most:
-            return most + 1
+    at = 0
+    while at < n and at < m and a[at] == b[at]:
+        at += 1
+    if at:
+        a, b, n, m = a[at:], b[at:], n - at, m - at
+    far = most + 1
+    before: list[int] = [far] * (m + 2)
+    row = [j if j <= most else far for j in range(m + 1)] + [far]
+    for i in range(1, n + 1):
+        lo, hi = max(1, i - most), min(m, i + most)
+        now = [far] * (m + 2)
+        if i <= most:
+            now[0] = i
+        x, least = a[i - 1], now[0]
+        for j in range(lo, hi + 1):
+            d = row[j - 1] + (x != b[j - 1])
+            if row[j] + 1 < d:
+                d = row[j] + 1
+            if now[j - 1] + 1 < d:
+                d = now[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1] and before[j - 2] + 1 < d:
+                d = before[j - 2] + 1
+            now[j] = d
+            if d < least:
+                least = d
+        if least > most:
+            return far
         before, row = row, now
-    return row[-1]
+    return min(row[m], far)
 
 
 def _content(title: str) -> list[str]:
@@ -122,41 +139,42 @@ def nearly_same(a: str, b: str) -> bool:
         return True
     if min(len(la), len(lb)) < 8:
         return False
-    short, long, cut = (la, lb, a) if len(la) <= len(lb) else (lb, la, b)
-    ws, wl = (wa, wb) if len(la) <= len(lb) else (wb, wa)
-    if len(short) >= 20 and len(short) < 0.95 * len(long):
-        cut_off = cut.rstrip().endswith("...")
-        head = long[: len(short)]
-        left = len(long) - len(short)
-        if left >= (1 if cut_off else 4) and _distance(short, head, 4) <= 4:
-            rest, size = [], 0
-            for w in wl:
-                if size >= len(short) - 2:
-                    rest.append(w)
-                size += len(w)
-            if cut_off or not (rest and all(w in _SEQUEL or any(c.isdigit() for c in w) for w in rest)):
-                return cut_off or not ws[-1:] or ws[-1] not in wl or len(wl) - len(ws) == 1
-    if _marks(wa) != _marks(wb):
-        return False
     rest_a, rest_b = list(wa), list(wb)
     for w in wa:
         if w in rest_b:
             rest_a.remove(w)
             rest_b.remove(w)
-    errors = 0
-    for w in list(rest_a):
-        if len(w) < 3:
-            continue
-        near = [(d, v) for v in rest_b if (d := _distance(w, v, 2 if len(w) > 5 else 1)) <= (2 if len(w) > 5 else 1)]
-        if near:
-            d, v = min(near)
-            errors += d
-            rest_a.remove(w)
-            rest_b.remove(v)
-    if len(rest_a) + len(rest_b) <= 1 and errors <= 4 and len(wa) > 2:
+    if _marks(rest_a) == _marks(rest_b) and min(len(rest_a), len(rest_b)) <= 3 and abs(len(rest_a) - len(rest_b)) <= 1:
+        left_a, left_b, errors = list(rest_a), list(rest_b), 0
+        for w in rest_a:
+            most = 2 if len(w) > 5 else 1
+            near = min(((_distance(w, v, most), v) for v in left_b), default=(3, "")) if len(w) > 2 else (3, "")
+            if near[0] <= most:
+                errors += near[0]
+                left_a.remove(w)
+                left_b.remove(near[1])
+        if len(left_a) + len(left_b) <= 1 and errors <= 4 and len(wa) > 2:
+            return True
+        # words run together or apart
+        if len(la) > 20 and abs(len(la) - len(lb)) <= 3 and _distance(la, lb, 3) <= 3:
+            return True
+    # the end cut off
+    short, long, ws, wl, cut = (la, lb, wa, wb, a) if len(la) <= len(lb) else (lb, la, wb, wa, b)
+    cut_off = cut.rstrip().endswith("...")
+    left = len(long) - len(short)
+    if len(short) < 20 or left < (1 if cut_off else 4) or _distance(short, long[: len(short)], 4) > 4:
+        return False
+    if cut_off:
         return True
-    # words run together or apart
-    return bool(rest_a and rest_b) and len(la) > 20 and _distance(la, lb, 3) <= 3
+    # without a mark of the cut, it lies within a word, or one word is gone that is none of a sequel's
+    size, rest = 0, []
+    for w in wl:
+        if size >= len(short) - 2:
+            rest.append(w)
+        size += len(w)
+    if rest and all(w in _SEQUEL or any(c.isdigit() for c in w) for w in rest):
+        return False
+    return ws[-1] not in wl or len(wl) - len(ws) == 1
 
 
 _PREPARED = "record_id string, o bigint, doi string, block bigint, pid string, tkey string, title string, generic boolean, sig array<bigint>"
@@ -262,6 +280,7 @@ def _compare(rows: list[tuple], out: list[tuple], begin: int) -> None:
     last = np.array([r[5] for r in rows], np.int64)
     sig = np.array([r[7] or [-1 - i] * AUTHOR_HASHES for i, r in enumerate(rows)], np.int64)
     alone = np.array([not r[7] for r in rows])
+    words: list[frozenset[str] | None] = [None] * n
     for lag in range(1, WINDOW + 1):
         if lag >= n:
             break
@@ -271,7 +290,14 @@ def _compare(rows: list[tuple], out: list[tuple], begin: int) -> None:
         hit[: max(0, begin - lag)] = False
         for i in np.flatnonzero(hit).tolist():
             x, y = rows[i + lag], rows[i]
-            if x[2] != y[2] and nearly_same(x[6], y[6]):
+            if x[2] == y[2]:
+                continue
+            for r, at in ((x, i + lag), (y, i)):
+                if words[at] is None:
+                    words[at] = frozenset(_content(r[6]))
+            a_words, b_words = words[i + lag], words[i]
+            # nearly the same titles have most words in common: three may be wrong, or the end cut off
+            if 2 * len(a_words & b_words) + 1 >= min(len(a_words), len(b_words)) and nearly_same(x[6], y[6]):
                 out.append((x[1], x[2], y[3], y[4]))
                 out.append((y[1], y[2], x[3], x[4]))
 
