@@ -85,40 +85,37 @@ def components(edges: DataFrame, left: str, right: str, max_edges: int = MAX_EDG
 def _contract(forest: DataFrame, n: int, max_edges: int) -> DataFrame:
     """Components of a forest that no single partition may hold.
 
-    In each round every node takes the smallest root it is known with (min, aggregated before the
-    shuffle), the other roots of the node become edges between roots, and these, far fewer, go through
-    union-find in bounded partitions. A tree of roots that spans partitions is joined in a later round.
+    In each round union-find runs in bounded partitions; a node points to the smallest of the roots it got (min,
+    aggregated before the shuffle), pointers, which always go to a smaller node, are followed to their ends by
+    doubling, and the node's other roots become links between ends. As the larger end of each link moves, a
+    later round has fewer nodes, until there is no link.
     """
-    label = forest.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    links = forest.alias("f").join(label.alias("l"), F.col("f.a") == F.col("l.node")).where("b <> root").select(F.col("root").alias("a"), F.col("b").alias("b")).distinct()
-    label = spool(label, "labels")
-    links = spool(links, "links")
-    turn = 0
-    while (n := links.count()) > 0:
-        parts = -(-n // max_edges)
+    label, links, turn = None, forest, 0
+    while n > 0:
         turn += 1
-        moved = spool(_local(links, parts, "a" if turn % 2 else "b"), "forest")
-        # one root per node of the forest; the others become new links
+        moved = spool(_local(links, -(-n // max_edges), "a" if turn % 2 else "b"), "forest")
         to = moved.groupBy("a").agg(F.min("b").alias("b"))
-        rest = moved.alias("m").join(to.alias("t"), F.col("m.a") == F.col("t.a")).where(F.col("m.b") != F.col("t.b")).select(F.col("t.b").alias("x"), F.col("m.b").alias("y"))
-        rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        to = spool(to, "moves")
-        rest = spool(rest, "links")
-        label = _follow(label, to)
-        seen = to.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        label = spool(label.unionAll(seen).groupBy("node").agg(F.min("root").alias("root")), "labels")
-        links = rest
-    while True:  # nodes whose root is a node itself
-        at = label.alias("x").join(label.select(F.col("node").alias("n"), F.col("root").alias("r")).alias("y"), F.col("x.root") == F.col("y.n"), "left")
-        label = spool(at.select("node", F.coalesce("r", "root").alias("root"), (F.col("r").isNotNull() & (F.col("r") != F.col("root"))).alias("moved")), "labels")
-        if label.where("moved").limit(1).count() == 0:
-            break
-        label = label.select("node", "root")
-    label = label.select("node", "root")
-    roots = label.select(F.col("root").alias("entity_id"), F.col("root").alias("group_id")).distinct()
-    return label.select(F.col("node").alias("entity_id"), F.col("root").alias("group_id")).unionAll(roots).distinct()
-
-
-def _follow(label: DataFrame, to: DataFrame) -> DataFrame:
-    at = label.join(to, label.root == to.a, "left")
-    return at.select("node", F.least(F.col("root"), F.coalesce("b", "root")).alias("root"))
+        ends = _ends(to)
+        pairs = moved.join(to.withColumnRenamed("b", "least"), "a").where("b <> least").select("least", "b").distinct()
+        x = pairs.join(ends.select(F.col("a").alias("least"), F.col("b").alias("x")), "least", "left").select(F.coalesce("x", "least").alias("x"), "b")
+        y = x.join(ends.select(F.col("a").alias("b"), F.col("b").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y")).where("x <> y")
+        links = spool(y.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        if label is None:
+            label = ends
+        else:
+            now = label.join(ends.select(F.col("a").alias("b"), F.col("b").alias("end")), "b", "left").select("a", F.coalesce("end", "b").alias("b"))
+            label = spool(now.unionAll(ends.join(label.select("a"), "a", "left_anti")), "labels")
+        n = links.count()
+    roots = label.select(F.col("b").alias("entity_id"), F.col("b").alias("group_id")).distinct()
+    return label.select(F.col("a").alias("entity_id"), F.col("b").alias("group_id")).unionAll(roots)
+
+
+def _ends(to: DataFrame) -> DataFrame:
+    """Each node a with the end of its chain of pointers a to b."""
+    to = spool(to, "pointers")
+    while True:
+        next_ = to.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        step = spool(to.join(next_, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("went")), "pointers")
+        if step.where("went").isEmpty():
+            return step.select("a", "b")
+        to = step.select("a", "b")

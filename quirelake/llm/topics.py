@@ -36,8 +36,8 @@ AGREEMENT = 0.4
 TITLE_WEIGHT = 3.0
 #: The share of the proportions that a second area needs; shares of single-area records end below it, those of others begin above.
 SECOND = 0.24
-#: A word is general if no area has this many times its share of the word.
-LIFT = 2.5
+#: A word is general if no area has more than its even share of it by this many times what the others' even shares leave.
+LIFT = 1.5
 
 _WORD = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
@@ -193,7 +193,7 @@ def start(texts: DataFrame, labelled: DataFrame, areas: list[str]) -> Model:
     rate = (by + 0.1) / (size[:, None] + 1)
     lift = rate.max(0) / np.maximum(rate.mean(0), 1e-12)
     seen = by.sum(0)
-    general = {w for i, w in enumerate(words) if lift[i] < LIFT and seen[i] >= 3}
+    general = {w for i, w in enumerate(words) if lift[i] < 1 + LIFT * (1 - 1 / max(1, len(areas))) and seen[i] >= 3}
     topical = [i for i, w in enumerate(words) if w not in general]
     # an area's topic holds its words beyond what all areas have of them
     own = np.maximum(rate - np.median(rate, 0), 0)[:, topical]
@@ -271,12 +271,12 @@ def _frames(counts: dict[str, list[int]]) -> pa.RecordBatch:
 
 
 def map_topics(model: Model, first: np.ndarray, top: int = 30) -> list[str | None]:
-    """The area of each topic: the one whose labelled records use its top terms most; None for background topics."""
+    """The area of each topic: the one whose labelled records use its top terms most, by their weight; None for background topics."""
     out: list[str | None] = []
     use = first[: len(model.areas)] / np.maximum(first[: len(model.areas)].sum(1, keepdims=True), 1e-12)
     for t in range(len(model.weights)):
         terms = np.argsort(-model.weights[t])[:top]
-        scores = use[:, terms].sum(1)
+        scores = use[:, terms] @ model.weights[t, terms]
         out.append(model.areas[int(scores.argmax())] if t < len(model.areas) and scores.max() > 0 else None)
     return out
 
