@@ -177,7 +177,7 @@ def nearly_same(a: str, b: str) -> bool:
     return ws[-1] not in wl or len(wl) - len(ws) == 1
 
 
-_PREPARED = "record_id string, o bigint, doi string, block bigint, pid string, tkey string, title string, generic boolean, sig array<bigint>"
+_PREPARED = "record_id string, o bigint, doi string, block bigint, pid string, tkey bigint, title string, generic boolean, sig array<bigint>"
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +186,13 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tkeys, titles, generic, sigs = [], [], [], []
         for t, n, a in zip(col["title"], col["normalized_title"], col["authors"], strict=True):
             parts = title_parts(t, n)
-            tkeys.append(orders(parts)[0] if parts else "")
+            tkeys.append(_hash(orders(parts)[0]) if parts else None)
             shown = plain(t) if not missing(t) else plain(n) if parts else ""
             titles.append(shown)
             generic.append(bool(parts) and bool(_GENERIC.fullmatch("".join(parts))))
             sigs.append(signature(author_words(a)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("record_id"), batch.column("o"), batch.column("doi"), batch.column("block"), pa.array(map(id_key, col["paper_id"]), pa.string()), pa.array(tkeys, pa.string()), pa.array(titles, pa.string()), pa.array(generic, pa.bool_()), pa.array(sigs, pa.list_(pa.int64()))],
+            [batch.column("record_id"), batch.column("o"), batch.column("doi"), batch.column("block"), pa.array(map(id_key, col["paper_id"]), pa.string()), pa.array(tkeys, pa.int64()), pa.array(titles, pa.string()), pa.array(generic, pa.bool_()), pa.array(sigs, pa.list_(pa.int64()))],
             names=["record_id", "o", "doi", "block", "pid", "tkey", "title", "generic", "sig"],
         )
 
@@ -202,6 +202,7 @@ def prepare(records: DataFrame, releases: DataFrame) -> DataFrame:
     order = releases.where("release_id IS NOT NULL").select("release_id", instant(F.col("created_at")).cast("bigint").alias("o")).groupBy("release_id").agg(F.min("o").alias("o")).where("o > 0")
     return (
         records.where("record_id IS NOT NULL")
+        .select("record_id", "release_id", "doi", "venue", "year", "paper_id", "title", "normalized_title", "authors")
         .join(order, "release_id")
         .select("record_id", "o", doi_key(F.col("doi")).alias("doi"), F.xxhash64("venue", "year").alias("block"), "paper_id", "title", "normalized_title", "authors")
         .mapInArrow(_prepare, _PREPARED)
@@ -216,11 +217,11 @@ def _key(kind: str, *parts: str):
 def _keys(prepared: DataFrame, reading: bool) -> DataFrame:
     """One row per record and key. A record without authors may be any of its title; others read those without authors."""
     alone = F.size("sig") == 0
-    titled = (F.col("tkey") != "") & ~F.col("generic")
+    titled = F.col("tkey").isNotNull() & ~F.col("generic")
     keys = [
         F.when(F.col("pid") != "", _key("id", "pid")),
         F.when(F.col("doi").isNotNull(), _key("doi", "doi")),
-        *[F.when((F.col("tkey") != "") & ~alone, _key("title", "tkey", F.element_at("sig", i + 1))) for i in range(AUTHOR_HASHES)],
+        *[F.when(F.col("tkey").isNotNull() & ~alone, _key("title", "tkey", F.element_at("sig", i + 1))) for i in range(AUTHOR_HASHES)],
         F.when(titled & (alone if reading else F.lit(True)), _key("any", "tkey")),
         F.when(titled & (~alone if reading else alone), _key("alone", "tkey")),
     ]
@@ -236,7 +237,7 @@ def _titles(prepared: DataFrame) -> DataFrame:
     """One row per block and title: when it came, and its authors where it has any."""
     some = F.struct(F.size("sig") > 0, -F.col("o"), "sig")
     return (
-        prepared.where("tkey <> '' AND NOT generic")
+        prepared.where("tkey IS NOT NULL AND NOT generic")
         .groupBy("block", "tkey")
         .agg(F.min("o").alias("o_any"), F.min(F.when(F.col("doi").isNull(), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"), F.min("title").alias("title"), F.max_by("sig", some).alias("sig"))
     )
@@ -264,8 +265,8 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _TITLE_COLS = ("block", "tkey", "o_any", "o_nodoi", "o_max", "title", "sig")
-_TITLE_SCHEMA = "block bigint, tkey string, o_any bigint, o_nodoi bigint, o_max bigint, title string, sig array<bigint>"
-_FOUND = "block bigint, tkey string, near_any bigint, near_nodoi bigint, part int, place int, edge binary"
+_TITLE_SCHEMA = "block bigint, tkey bigint, o_any bigint, o_nodoi bigint, o_max bigint, title string, sig array<bigint>"
+_FOUND = "block bigint, tkey bigint, near_any bigint, near_nodoi bigint, part int, place int, edge binary"
 _NEVER = 1 << 62
 
 
@@ -323,7 +324,7 @@ def _found(out: list[tuple], edges: list[tuple[int, tuple]], part: int) -> pa.Re
     cols = list(zip(*out, strict=True)) if out else [()] * 4
     none = [None] * m
     return pa.RecordBatch.from_arrays(
-        [pa.array([*cols[0], *none], pa.int64()), pa.array([*cols[1], *none], pa.string()), pa.array([*cols[2], *none], pa.int64()), pa.array([*cols[3], *none], pa.int64()), pa.array([part] * (n + m), pa.int32()), pa.array([0] * n + [p for p, _ in edges], pa.int32()), pa.array([None] * n + [pickle.dumps(r) for _, r in edges], pa.binary())],
+        [pa.array([*cols[0], *none], pa.int64()), pa.array([*cols[1], *none], pa.int64()), pa.array([*cols[2], *none], pa.int64()), pa.array([*cols[3], *none], pa.int64()), pa.array([part] * (n + m), pa.int32()), pa.array([0] * n + [p for p, _ in edges], pa.int32()), pa.array([None] * n + [pickle.dumps(r) for _, r in edges], pa.binary())],
         names=["block", "tkey", "near_any", "near_nodoi", "part", "place", "edge"],
     )
 
@@ -392,7 +393,7 @@ class History:
         useful = keys.where("o_any < o_max OR kind = 'alone'")
         prior = F.when(F.col("has_doi") & (F.col("kind") != "doi"), F.col("o_nodoi")).otherwise(F.col("o_any"))
         equal = _keys(batch, True).join(useful.drop("o_max"), ["kind", "h1", "h2"]).where(prior < F.col("o")).select("record_id")
-        near = batch.where("tkey <> ''").select("record_id", "o", "doi", "block", "tkey").join(near_titles(titles), ["block", "tkey"])
+        near = batch.where("tkey IS NOT NULL").select("record_id", "o", "doi", "block", "tkey").join(near_titles(titles), ["block", "tkey"])
         near = near.where(F.when(F.col("doi").isNull(), F.col("near_any")).otherwise(F.col("near_nodoi")) < F.col("o")).select("record_id")
         return equal.unionAll(near).distinct()
 
