@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.plans import analyses, capabilities, dashboards, packed_fields, resolution, searches
+from quirelake.plans import analyses, capabilities, dashboards, labelled, packed_fields, resolution, searches
 
 FLAGSHIP = "cap_count_by_area"
-_PARTS = (capabilities, dashboards, searches, resolution, analyses)
+_PARTS = (capabilities, dashboards, searches, resolution, analyses, labelled)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
