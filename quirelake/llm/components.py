@@ -68,7 +68,7 @@ def components(edges: DataFrame, left: str, right: str, max_edges: int = MAX_EDG
     low = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), r"^\s+|\s+$", "")))
     e = edges.select(low(left).alias("a"), low(right).alias("b")).where("a <> '' AND b <> '' AND a <> b")
     e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    parts = max(FAN_IN, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(FAN_IN, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-e.count() // max_edges))
     forest = spool(_local(e, parts, "a"), "forest")
     n = forest.count()
     while parts > 1:

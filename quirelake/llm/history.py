@@ -32,6 +32,8 @@ AUTHOR_HASHES = 6
 #: Orders of the words by a hash, besides the title forward, backward and by author.
 WORD_ORDERS = 3
 MAX_RUNS = 8
+#: Sorted rows that one key range holds at most, about.
+RANGE_ROWS = 250_000
 
 # Words that two forms of one title may differ in.
 _FUNCTION = frozenset("a an the on of for in with using by via through under from at to and over into towards".split())
@@ -342,7 +344,7 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_titles(titles: DataFrame) -> DataFrame:
     """block, tkey and the first arrival, in all and without a DOI, of nearly the same titles with the same authors."""
-    parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-titles.count() * (WORD_ORDERS + 4) // RANGE_ROWS))
     ordered = titles.mapInArrow(_orders, f"way int, skey string, {_TITLE_SCHEMA}").repartitionByRange(parts, "way", "block", "skey").sortWithinPartitions("way", "block", "skey")
     found = spool(ordered.mapInArrow(_window, _FOUND), "near-titles")
     borders = found.where("edge IS NOT NULL").repartition(1).sortWithinPartitions("part", "place").mapInArrow(_borders, _FOUND)

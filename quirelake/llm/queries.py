@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quirelake.llm import bpe, components, format_duplicates, golden, history, mixing, names, spam, topics
+from quirelake.functions.missing import PLACEHOLDERS
 from quirelake.plans.packed_fields import p5_found
 from quirelake.session import table
 
@@ -71,5 +72,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+_LOW = "lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g'))"
+_CODE = "regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', '', 'g')"
+_MISSING = "({0} IS NULL OR lower(trim({0})) IN (" + ", ".join(f"'{p}'" for p in PLACEHOLDERS) + "))"
+
+
+def _rank(c: str, ranks: tuple[str, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN {_CODE.format(c)} = '{r.replace('_', '')}' THEN {i}" for i, r in enumerate(ranks, 1)) + " ELSE 0 END"
+
+
+_AT = "trim(fetched_at)"
+_INSTANT = f"""CASE WHEN {_MISSING.format('fetched_at')} THEN 0 ELSE coalesce(epoch(try_cast(CASE WHEN regexp_matches({_AT}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN {_AT} || ' 00:00:00+00:00'
+  WHEN regexp_matches({_AT}, '(Z|[+-]\\d{{2}}:?\\d{{2}})$') THEN replace({_AT}, 'Z', '+00:00') ELSE {_AT} || '+00:00' END AS TIMESTAMPTZ)), 0) END"""
+
+# The dominance of problem 2 as pairs within an entity, and the components of problem 3 as a closure: plain, and only for small tables.
+_P2 = f"""WITH r AS (SELECT DISTINCT record_id, {' + '.join(f"CASE WHEN {_MISSING.format(c)} THEN 0 ELSE 1 END" for c in golden.FILLED)} AS a,
+  {_rank('source_tier', golden.TIERS)} AS b, {_rank('abstract_source_tier', golden.TIERS)} AS c, {_rank('verification_status', golden.STATUSES)} AS d, {_INSTANT} AS e FROM paper_records),
+m AS (SELECT DISTINCT m.entity_id, r.* FROM entity_memberships m JOIN r ON r.record_id = m.record_id WHERE m.entity_id IS NOT NULL)
+SELECT x.entity_id, x.record_id FROM m x JOIN m y ON x.entity_id = y.entity_id AND x.record_id <> y.record_id GROUP BY x.entity_id, x.record_id
+HAVING bool_and(x.a >= y.a AND x.b >= y.b AND x.c >= y.c AND x.d >= y.d AND x.e >= y.e AND (x.a > y.a OR x.b > y.b OR x.c > y.c OR x.d > y.d OR x.e > y.e))"""
+
+_P3 = f"""WITH RECURSIVE p AS (SELECT {_LOW.format('alias_entity_id')} AS a, {_LOW.format('entity_id')} AS b FROM entity_aliases), e AS (SELECT a, b FROM p WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM p WHERE a <> '' AND b <> '' AND a <> b),
+c AS (SELECT a AS node, a AS seen FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen) SELECT node AS entity_id, min(seen) AS group_id FROM c GROUP BY node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _P2, "p3_found": _P3}
