@@ -81,9 +81,13 @@ def _pieces(text: str) -> Iterator[tuple[str, bool]]:
             yield line, True
             continue
         words = line.lower().split()
-        ends = len(_STOP.findall(line))
+        n = len(words)
+        few = 2.5 * len(set(words)) <= n
         # a long line of few different words, or of short calls, is not cut into sentences, lest they pass for prose
-        stuffed = len(words) >= 20 and (len(words) <= 5.5 * ends or (4 if len(words) > 7 * ends else 2.5) * len(set(words)) <= len(words))
+        stuffed = False
+        if n >= 20 and (few or 11 * (line.count(".") + line.count("!") + line.count("?")) >= 2 * n):
+            ends = len(_STOP.findall(line))
+            stuffed = n <= 5.5 * ends or few and (n <= 7 * ends or 4 * len(set(words)) <= n)
         for part in [line] if stuffed else _END.split(line):
             if not part or part.isspace():
                 continue
@@ -106,19 +110,20 @@ def _pieces(text: str) -> Iterator[tuple[str, bool]]:
                 yield " ".join(run), False
 
 
-_MARKS = re.compile(r"[<\[|#;•·★☆>→\t@$€£¥]|http|www\.|(.)\1{9}")
+_MARKS = re.compile(r"[<\[|#;•·★☆>→\t@$€£¥]|http|www\.")
 
 
 def _plain_prose(line: str) -> int:
     """The number of words of a line that is plainly running text, else 0; it spares most lines the closer look."""
-    if line[-1] not in ".!?" or _MARKS.search(line):
+    if line[-1] not in ".!?":
         return 0
     words = line.lower().split()
     n = len(words)
-    if n < 6 or line.count(",") * 5 > n or 10 * len(set(words)) < 6 * n or max(map(len, words)) > 59:
+    if n < 6 or line.count(",") * 5 > n or _MARKS.search(line):
         return 0
-    running = sum(map(FUNCTION_WORDS.__contains__, words))
-    return n if running * 7 >= n else 0
+    if 10 * len(set(words)) < 6 * n or max(map(len, words)) > 59:
+        return 0
+    return n if sum(map(FUNCTION_WORDS.__contains__, words)) * 7 >= n else 0
 
 
 def _size(text: str) -> int:
