@@ -102,14 +102,19 @@ def sample_papers(spark: SparkSession, d: str, filters: dict | None, limit: int
     return search_papers(spark, d, filters, page_size=max(1, min(20, limit)))
 
 
-def get_paper(spark: SparkSession, d: str, entity_id: str) -> DataFrame:
-    """An entity with its canonical record, labels and appearances; no row for an unknown id."""
-    e = entities(spark, d, "canonical_record_id", "entity_status").where(F.col("entity_id") == entity_id)
-    seen = members(spark, d).where(F.col("entity_id") == entity_id).join(records(spark, d, "venue", "year"), "record_id").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("year", "venue", "record_id"))).alias("appearances"))
+def papers_in_full(spark: SparkSession, d: str) -> DataFrame:
+    """Every entity with its canonical record, labels and appearances."""
+    e = entities(spark, d, "canonical_record_id", "entity_status")
+    seen = members(spark, d).join(records(spark, d, "venue", "year"), "record_id").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("year", "venue", "record_id"))).alias("appearances"))
     r = records(spark, d, "title", "abstract", "authors", "doi").withColumnRenamed("record_id", "canonical_record_id")
     return e.join(r, "canonical_record_id", "left").join(labels(spark, d), "entity_id", "left").join(seen, "entity_id", "left").select("entity_id", "entity_status", "title", snippet(F.col("abstract"), 600).alias("abstract"), "authors", "doi", "area_id", "direction_id", "appearances")
 
 
+def get_paper(spark: SparkSession, d: str, entity_id: str) -> DataFrame:
+    """One entity of papers_in_full; no row for an unknown id."""
+    return papers_in_full(spark, d).where(F.col("entity_id") == entity_id)
+
+
 def list_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     """Each area with its papers and those without a second level, zero included; 'other' is no area of its own."""
     n = base(spark, d).groupBy("area_id").agg(F.count("*").alias("n"), F.count_if(F.col("direction_id").isNull()).alias("pending"))
@@ -222,5 +227,4 @@ def cap_taxonomy(spark, d):
 @register()
 def cap_get_paper(spark, d):
     """Every entity in full, as one plan instead of one request each."""
-    first = entities(spark, d).agg(F.min("entity_id")).first()[0]
-    return get_paper(spark, d, first).withColumn("appearances", F.to_json("appearances"))
+    return papers_in_full(spark, d).withColumn("appearances", F.to_json("appearances"))

@@ -1,7 +1,10 @@
+import json
+
 import pytest
 
 from quirelake.plans.base import Filters
-from quirelake.plans.capabilities import call, compare, cooccurrence
+from quirelake.plans.capabilities import call, cap_get_paper, compare, cooccurrence, get_paper
+from quirelake.session import table
 
 
 def test_normalized():
@@ -24,3 +27,14 @@ def test_envelope(spark, small):
         compare(spark, small, {"one": {}})
     with pytest.raises(ValueError):
         cooccurrence(spark, small, None, "area", "area")
+
+
+def test_every_paper_in_full(spark, small):
+    got = {r["entity_id"]: r for r in cap_get_paper(spark, small).collect()}
+    wanted = {r[0] for r in table(spark, small, "paper_entities").select("entity_id").distinct().collect()}
+    assert set(got) == wanted and len(wanted) > 1
+    m = table(spark, small, "entity_memberships").select("record_id", "entity_id").distinct()
+    n = m.join(table(spark, small, "paper_records").select("record_id").distinct(), "record_id").groupBy("entity_id").count()
+    assert {k: len(json.loads(r["appearances"])) for k, r in got.items() if r["appearances"]} == {r[0]: r[1] for r in n.collect() if r[0] in wanted}
+    last = max(wanted)
+    assert [r["entity_id"] for r in get_paper(spark, small, last).collect()] == [last] and get_paper(spark, small, "none").count() == 0
