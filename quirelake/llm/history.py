@@ -11,6 +11,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ from quirelake.session import spool, spool_path
 
 #: Distinct titles compared on each side of a new one, in each order of the titles.
 WINDOW = 8
-#: Hashes that stand for the authors; authors agree if one of them does.
-AUTHOR_HASHES = 6
 #: Orders of the words by a hash, besides the title forward, backward and by author.
 WORD_ORDERS = 3
 MAX_RUNS = 8
@@ -76,8 +75,45 @@ def _hash(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text, seed) >> 1
 
 
-def signature(words: set[str]) -> list[int]:
-    return [min(_hash(w, s) for w in words) for s in range(AUTHOR_HASHES)] if words else []
+@lru_cache(1 << 16)
+def _letters_of(word: str) -> int:
+    """A bit for each letter."""
+    out = 0
+    for c in word:
+        out |= 1 << ord(c) % 64
+    return out
+
+
+def same_authors(a: str, b: str) -> bool:
+    """Whether more than half of the words of the shorter list of authors are in the other, written alike or with a typing error.
+
+    a and b are words between blanks, each once. Lists without any word agree with none.
+    """
+    if a == b:
+        return a != ""
+    x, y = set(a.split(" ")), set(b.split(" "))
+    if not a or not b:
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    common = x & y
+    missing_yet = len(x) // 2 + 1 - len(common)
+    if missing_yet <= 0:
+        return True
+    left = sorted(y - common)
+    for w in sorted(x - common):
+        n = len(w)
+        most = 2 if n > 5 else 1 if n > 2 else 0
+        bits = _letters_of(w)
+        for v in left:
+            # an edit adds one letter and takes one away at most
+            if most and abs(len(v) - n) <= most and (bits ^ _letters_of(v)).bit_count() <= 2 * most and _distance(w, v, most) <= most:
+                left.remove(v)
+                missing_yet -= 1
+                if not missing_yet:
+                    return True
+                break
+    return False
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -179,23 +215,23 @@ def nearly_same(a: str, b: str) -> bool:
     return ws[-1] not in wl or len(wl) - len(ws) == 1
 
 
-_PREPARED = "record_id string, o bigint, doi string, block bigint, pid string, tkey bigint, title string, generic boolean, sig array<bigint>"
+_PREPARED = "record_id string, o bigint, doi string, block bigint, pid string, tkey bigint, title string, generic boolean, names string"
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = {n: batch.column(n).to_pylist() for n in ("paper_id", "title", "normalized_title", "authors")}
-        tkeys, titles, generic, sigs = [], [], [], []
+        tkeys, titles, generic, names = [], [], [], []
         for t, n, a in zip(col["title"], col["normalized_title"], col["authors"], strict=True):
             parts = title_parts(t, n)
             tkeys.append(_hash(orders(parts)[0]) if parts else None)
             shown = plain(t) if not missing(t) else plain(n) if parts else ""
             titles.append(shown)
             generic.append(bool(parts) and bool(_GENERIC.fullmatch("".join(parts))))
-            sigs.append(signature(author_words(a)))
+            names.append(" ".join(sorted(author_words(a))))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("record_id"), batch.column("o"), batch.column("doi"), batch.column("block"), pa.array(map(id_key, col["paper_id"]), pa.string()), pa.array(tkeys, pa.int64()), pa.array(titles, pa.string()), pa.array(generic, pa.bool_()), pa.array(sigs, pa.list_(pa.int64()))],
-            names=["record_id", "o", "doi", "block", "pid", "tkey", "title", "generic", "sig"],
+            [batch.column("record_id"), batch.column("o"), batch.column("doi"), batch.column("block"), pa.array(map(id_key, col["paper_id"]), pa.string()), pa.array(tkeys, pa.int64()), pa.array(titles, pa.string()), pa.array(generic, pa.bool_()), pa.array(names, pa.string())],
+            names=["record_id", "o", "doi", "block", "pid", "tkey", "title", "generic", "names"],
         )
 
 
@@ -218,12 +254,11 @@ def _key(kind: str, *parts: str):
 
 def _keys(prepared: DataFrame, reading: bool) -> DataFrame:
     """One row per record and key. A record without authors may be any of its title; others read those without authors."""
-    alone = F.size("sig") == 0
+    alone = F.col("names") == ""
     titled = F.col("tkey").isNotNull() & ~F.col("generic")
     keys = [
         F.when(F.col("pid") != "", _key("id", "pid")),
         F.when(F.col("doi").isNotNull(), _key("doi", "doi")),
-        *[F.when(F.col("tkey").isNotNull() & ~alone, _key("title", "tkey", F.element_at("sig", i + 1))) for i in range(AUTHOR_HASHES)],
         F.when(titled & (alone if reading else F.lit(True)), _key("any", "tkey")),
         F.when(titled & (~alone if reading else alone), _key("alone", "tkey")),
     ]
@@ -235,29 +270,46 @@ def _summed(keys: DataFrame) -> DataFrame:
     return keys.groupBy("kind", "h1", "h2").agg(F.min("o").alias("o_any"), F.min(F.when(~F.col("has_doi"), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"))
 
 
+def _list_id():
+    return F.xxhash64("names", "generic").alias("list_id")
+
+
 def _titles(prepared: DataFrame) -> DataFrame:
-    """One row per block and title: when it came, and its authors where it has any."""
-    some = F.struct(F.size("sig") > 0, -F.col("o"), "sig")
-    return (
-        prepared.where("tkey IS NOT NULL AND NOT generic")
-        .groupBy("block", "tkey")
-        .agg(F.min("o").alias("o_any"), F.min(F.when(F.col("doi").isNull(), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"), F.min("title").alias("title"), F.max_by("sig", some).alias("sig"))
-    )
+    """One row per block, title and list of authors: when it came. Front matter without authors has none."""
+    return prepared.where("tkey IS NOT NULL AND (NOT generic OR names <> '')").groupBy("block", "tkey", _list_id()).agg(F.min("o").alias("o_any"), F.min(F.when(F.col("doi").isNull(), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))
+
+
+_AGREED = "block bigint, tkey bigint, list_id bigint, near_any bigint, near_nodoi bigint"
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = [i for i, (a, b) in enumerate(zip(batch.column("names").to_pylist(), batch.column("other").to_pylist(), strict=True)) if same_authors(a, b)]
+        yield batch.take(pa.array(at, pa.int32())).select(["block", "tkey", "list_id", "near_any", "near_nodoi"])
+
+
+def same_titles(titles: DataFrame) -> DataFrame:
+    """block, tkey, list_id and the arrivals of the same title with the same authors; each list of authors meets all others of its title."""
+    named = titles.where("names <> ''").select("block", "tkey", "list_id", "o_any", "o_nodoi", "o_max", "names")
+    again = named.groupBy("block", "tkey").agg(F.min("o_any").alias("lo"), F.max("o_max").alias("hi")).where("lo < hi").select("block", "tkey")
+    several = spool(named.join(again, ["block", "tkey"], "left_semi"), "same-titles")
+    other = several.select("block", "tkey", F.col("o_any").alias("near_any"), F.col("o_nodoi").alias("near_nodoi"), F.col("names").alias("other"))
+    return several.join(other, ["block", "tkey"]).where("near_any < o_max").select("block", "tkey", "list_id", "near_any", "near_nodoi", "names", "other").mapInArrow(_agreeing, _AGREED)
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each title with each of its sort keys."""
     for batch in batches:
         at, kinds, keys = [], [], []
-        for i, (title, sig) in enumerate(zip(batch.column("title").to_pylist(), batch.column("sig").to_pylist(), strict=True)):
+        for i, (title, names) in enumerate(zip(batch.column("title").to_pylist(), batch.column("names").to_pylist(), strict=True)):
             words = _content(title)
             text = "".join(words)
             ways = [text, text[::-1]]
             for s in range(WORD_ORDERS):
                 ways.append(" ".join(sorted(words, key=lambda w, s=s: _hash(w, 100 + s))))
-            if sig:
-                ways.append(f"{sig[0]:x} {text}")
-                ways.append(f"{sig[1]:x} {text[::-1]}")
+            if names:
+                for s, t in enumerate((text, text[::-1])):
+                    ways.append(f"{min(_hash(w, s) for w in names.split(' ')):x} {t}")
             for k, w in enumerate(ways):
                 at.append(i)
                 kinds.append(k)
@@ -266,68 +318,81 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.string()), *[batch.column(c).take(take) for c in _TITLE_COLS]], names=["way", "skey", *_TITLE_COLS])
 
 
-_TITLE_COLS = ("block", "tkey", "o_any", "o_nodoi", "o_max", "title", "sig")
-_TITLE_SCHEMA = "block bigint, tkey bigint, o_any bigint, o_nodoi bigint, o_max bigint, title string, sig array<bigint>"
-_FOUND = "block bigint, tkey bigint, near_any bigint, near_nodoi bigint, part int, place int, edge binary"
+_TITLE_COLS = ("block", "tkey", "list_id", "o_any", "o_nodoi", "o_max", "title", "names")
+_TITLE_SCHEMA = "block bigint, tkey bigint, list_id bigint, o_any bigint, o_nodoi bigint, o_max bigint, title string, names string"
+_FOUND = "block bigint, tkey bigint, list_id bigint, near_any bigint, near_nodoi bigint, part int, place int, edge binary"
 _NEVER = 1 << 62
 
 
 def _compare(rows: list[tuple], out: list[tuple], begin: int) -> None:
-    """Near titles among sorted rows, each from begin on against the WINDOW rows before it."""
+    """Near titles among sorted rows, each from begin on against the WINDOW distinct titles before it, with all their lists of authors."""
     n = len(rows)
     if n < 2:
         return
     way = np.array([r[0] for r in rows])
     block = np.array([r[1] for r in rows], np.int64)
-    first = np.array([r[3] for r in rows], np.int64)
-    last = np.array([r[5] for r in rows], np.int64)
-    sig = np.array([r[7] or [-1 - i] * AUTHOR_HASHES for i, r in enumerate(rows)], np.int64)
-    alone = np.array([not r[7] for r in rows])
+    tkey = np.array([r[2] for r in rows], np.int64)
+    first = np.array([r[4] for r in rows], np.int64)
+    last = np.array([r[6] for r in rows], np.int64)
+    place = np.r_[0, np.cumsum((way[1:] != way[:-1]) | (block[1:] != block[:-1]) | (tkey[1:] != tkey[:-1]))]
     words: list[frozenset[str] | None] = [None] * n
-    for lag in range(1, WINDOW + 1):
-        if lag >= n:
-            break
+    for lag in range(1, n):
         a, b = slice(lag, n), slice(0, n - lag)
-        hit = (way[a] == way[b]) & (block[a] == block[b]) & ((first[b] < last[a]) | (first[a] < last[b]))
-        hit &= (sig[a] == sig[b]).any(1) | alone[a] | alone[b]
+        hit = (place[a] - place[b] <= WINDOW) & (way[a] == way[b]) & (block[a] == block[b])
         hit[: max(0, begin - lag)] = False
+        if not hit.any():
+            break
+        hit &= (tkey[a] != tkey[b]) & ((first[b] < last[a]) | (first[a] < last[b]))
         for i in np.flatnonzero(hit).tolist():
             x, y = rows[i + lag], rows[i]
-            if x[2] == y[2]:
-                continue
             for r, at in ((x, i + lag), (y, i)):
                 if words[at] is None:
-                    words[at] = frozenset(_content(r[6]))
+                    words[at] = frozenset(_content(r[7]))
             a_words, b_words = words[i + lag], words[i]
             # nearly the same titles have most words in common: three may be wrong, or the end cut off
-            if 2 * len(a_words & b_words) + 1 >= min(len(a_words), len(b_words)) and nearly_same(x[6], y[6]):
-                out.append((x[1], x[2], y[3], y[4]))
-                out.append((y[1], y[2], x[3], x[4]))
+            if 2 * len(a_words & b_words) + 1 >= min(len(a_words), len(b_words)) and (not x[8] or not y[8] or same_authors(x[8], y[8])) and nearly_same(x[7], y[7]):
+                out.append((*x[1:4], *y[4:6]))
+                out.append((*y[1:4], *x[4:6]))
+
+
+def _ends(rows: list[tuple]) -> list[tuple]:
+    """The rows of the last WINDOW distinct titles."""
+    left, at = WINDOW, len(rows)
+    while at and (at == len(rows) or rows[at - 1][:3] == rows[at][:3] or left > 1):
+        left -= at < len(rows) and rows[at - 1][:3] != rows[at][:3]
+        at -= 1
+    return rows[at:]
 
 
 def _window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near titles of one sorted range; its first and last rows go out too, to meet those of the neighbouring ranges."""
+    """Near titles of one sorted range; the rows of its first and last titles go out too, to meet those of the neighbouring ranges."""
     part = TaskContext.get().partitionId()
     carried: list[tuple] = []
     head: list[tuple] = []
+    titles = seen = 0
     for batch in batches:
         rows = list(zip(*[batch.column(c).to_pylist() for c in ("way", *_TITLE_COLS)], strict=True))
-        if len(head) < WINDOW:
-            head += rows[: WINDOW - len(head)]
+        for r in rows if titles <= WINDOW else ():
+            titles += not head or head[-1][:3] != r[:3]
+            if titles > WINDOW:
+                break
+            head.append(r)
         out: list[tuple] = []
         _compare(carried + rows, out, len(carried))
-        carried = (carried + rows)[-WINDOW:]
+        carried = _ends(carried + rows)
+        seen += len(rows)
         yield _found(out, [], part)
-    yield _found([], [(0 + i, r) for i, r in enumerate(head)] + [(WINDOW + i, r) for i, r in enumerate(carried)], part)
+    ends = [*enumerate(head), *enumerate(carried, seen - len(carried))]
+    yield _found([], [e for i, e in enumerate(ends) if i < len(head) or e[0] >= len(head)], part)
 
 
 def _found(out: list[tuple], edges: list[tuple[int, tuple]], part: int) -> pa.RecordBatch:
     n, m = len(out), len(edges)
-    cols = list(zip(*out, strict=True)) if out else [()] * 4
+    cols = list(zip(*out, strict=True)) if out else [()] * 5
     none = [None] * m
     return pa.RecordBatch.from_arrays(
-        [pa.array([*cols[0], *none], pa.int64()), pa.array([*cols[1], *none], pa.int64()), pa.array([*cols[2], *none], pa.int64()), pa.array([*cols[3], *none], pa.int64()), pa.array([part] * (n + m), pa.int32()), pa.array([0] * n + [p for p, _ in edges], pa.int32()), pa.array([None] * n + [pickle.dumps(r) for _, r in edges], pa.binary())],
-        names=["block", "tkey", "near_any", "near_nodoi", "part", "place", "edge"],
+        [*[pa.array([*c, *none], pa.int64()) for c in cols], pa.array([part] * (n + m), pa.int32()), pa.array([0] * n + [p for p, _ in edges], pa.int32()), pa.array([None] * n + [pickle.dumps(r) for _, r in edges], pa.binary())],
+        names=["block", "tkey", "list_id", "near_any", "near_nodoi", "part", "place", "edge"],
     )
 
 
@@ -338,18 +403,18 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [pickle.loads(e) for e in batch.column("edge").to_pylist()]
         out: list[tuple] = []
         _compare(carried + rows, out, len(carried))
-        carried = (carried + rows)[-WINDOW:]
+        carried = _ends(carried + rows)
         yield _found(out, [], -1)
 
 
 def near_titles(titles: DataFrame) -> DataFrame:
-    """block, tkey and the first arrival, in all and without a DOI, of nearly the same titles with the same authors."""
+    """block, tkey, list_id and the arrivals of nearly the same titles with the same authors."""
+    titles = titles.where("NOT generic").drop("generic")
     parts = max(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-titles.count() * (WORD_ORDERS + 4) // RANGE_ROWS))
-    ordered = titles.mapInArrow(_orders, f"way int, skey string, {_TITLE_SCHEMA}").repartitionByRange(parts, "way", "block", "skey").sortWithinPartitions("way", "block", "skey")
+    ordered = titles.mapInArrow(_orders, f"way int, skey string, {_TITLE_SCHEMA}").repartitionByRange(parts, "way", "block", "skey").sortWithinPartitions("way", "block", "skey", "tkey")
     found = spool(ordered.mapInArrow(_window, _FOUND), "near-titles")
     borders = found.where("edge IS NOT NULL").repartition(1).sortWithinPartitions("part", "place").mapInArrow(_borders, _FOUND)
-    both = found.where("edge IS NULL").unionAll(borders)
-    return both.groupBy("block", "tkey").agg(F.min("near_any").alias("near_any"), F.min("near_nodoi").alias("near_nodoi"))
+    return found.where("edge IS NULL").unionAll(borders).select("block", "tkey", "list_id", "near_any", "near_nodoi")
 
 
 class History:
@@ -367,7 +432,7 @@ class History:
         """record_id of the records of which a release before theirs, in history or in this batch, holds the paper.
 
         A paper is the same within its venue and year by id, DOI or title with authors, written alike or
-        nearly so; a record with a DOI is never that of another DOI. Records without authors are taken to
+        nearly so; authors are the same if more than half of the words of the shorter list are in the other (same_authors); a record with a DOI is never that of another DOI. Records without authors are taken to
         be any paper of their title, except front matter. Records of no known release give no row and
         are not kept; repeated rows count once; a batch may hold several releases. Null and blank fields make no key.
         With keep the batch becomes a run of the history.
@@ -395,7 +460,8 @@ class History:
         useful = keys.where("o_any < o_max OR kind = 'alone'")
         prior = F.when(F.col("has_doi") & (F.col("kind") != "doi"), F.col("o_nodoi")).otherwise(F.col("o_any"))
         equal = _keys(batch, True).join(useful.drop("o_max"), ["kind", "h1", "h2"]).where(prior < F.col("o")).select("record_id")
-        near = batch.where("tkey IS NOT NULL").select("record_id", "o", "doi", "block", "tkey").join(near_titles(titles), ["block", "tkey"])
+        first = same_titles(titles).unionAll(near_titles(titles)).groupBy("block", "tkey", "list_id").agg(F.min("near_any").alias("near_any"), F.min("near_nodoi").alias("near_nodoi"))
+        near = batch.where("tkey IS NOT NULL").select("record_id", "o", "doi", "block", "tkey", _list_id()).join(first, ["block", "tkey", "list_id"])
         near = near.where(F.when(F.col("doi").isNull(), F.col("near_any")).otherwise(F.col("near_nodoi")) < F.col("o")).select("record_id")
         return equal.unionAll(near).distinct()
 
@@ -412,5 +478,4 @@ def _merged_keys(keys: DataFrame) -> DataFrame:
 
 
 def _merged_titles(titles: DataFrame) -> DataFrame:
-    some = F.struct(F.size("sig") > 0, -F.col("o_any"), "sig")
-    return titles.groupBy("block", "tkey").agg(F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"), F.min("title").alias("title"), F.max_by("sig", some).alias("sig"))
+    return titles.groupBy("block", "tkey", "list_id").agg(F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))

@@ -265,3 +265,39 @@ def test_queries_registered():
 
     assert {f"p{i}_found" for i in (1, 2, 3, 4, 6, 7, 10)} | {"p8_ids", "p9_mixture"} <= set(queries.queries())
     assert json.dumps(sorted(queries.oracle_sql())) is not None
+
+
+def test_same_authors():
+    base = "elizabeth sukolok yasmin zarvueen"
+    for other in (base, "sukolok zarvueen", "elizabeth sukolko yasmin zarvumen", "sukolko zarvumen", "yasmin sukolok zarvueen other"):
+        assert history.same_authors(base, other) and history.same_authors(other, base), other
+    for other in ("", "stakobun yasmin", "bimabok elizabeth jasmin zervonak"):
+        assert not history.same_authors(base, other) and not history.same_authors(other, base), other
+    assert not history.same_authors("", "")
+
+
+def test_history_meets_every_list_of_authors(spark):
+    words = [f"{a}{b}{c}ovik" for a in "bdfglmnprstv" for b in "aeiou" for c in "klmnr"]
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        # only one of a dozen authors is left, or the list is mistyped throughout: few or no equal words
+        people = [" ".join(r.sample(words, 2)) for _ in range(12)]
+        rows += [(f"a{i}", "V", i, None, None, f"Counting grains of the {i} hills", None, "; ".join(people), "r1", None), (f"b{i}", "V", i, None, None, f"Counting grains of the {i} hills", None, people[r.randrange(12)], "r2", None)]
+        rows += [(f"c{i}", "W", i, None, None, f"Wells and rivers of the {i} plain", None, "Yasmin Sukolok; Elizabeth Zarvueen", "r1", None), (f"d{i}", "W", i, None, None, f"Wells and rivers of the {i} plain", None, "Sukolko, Y.; E. Zarvumen", "r2", None)]
+        # one given name in common makes no paper the same
+        rows += [(f"e{i}", "X", i, None, None, f"Songs of the {i} forests", None, f"Yasmin {r.choice(words)}", "r1", None), (f"f{i}", "X", i, None, None, f"Songs of the {i} forests", None, "Yasmin Hqwertz", "r2", None)]
+    df = spark.createDataFrame(rows, HIST)
+    rel = spark.createDataFrame([("r1", "2024-01-01"), ("r2", "2024-02-01")], "release_id string, created_at string")
+    got = {x[0] for x in history.History(spark).accept(df, rel).collect()}
+    assert got == {f"{k}{i}" for k in "bd" for i in range(60)}, got
+
+
+def test_window_counts_titles_not_lists():
+    # a hundred lists of authors of one title between two near titles leave both within the window
+    row = lambda text, tkey, names, o: (0, 1, tkey, hash(names), o, o, o, text, names)
+    rows = [row("counting the small grains of river sand", 1, "sukolok yasmin", 1), *[row("counting the small grains of river sandbanks in lakes", 2, f"aaa{i} bbb{i}", 1) for i in range(100)], row("counting the small grains of river sands", 3, "sukolok yasmin", 2)]
+    out = []
+    history._compare(rows, out, 0)
+    assert {(o[1]) for o in out} == {1, 3}
+    assert history._ends(rows) == rows and history._ends([(0, 1, i) for i in range(30)]) == [(0, 1, i) for i in range(30 - history.WINDOW, 30)]
