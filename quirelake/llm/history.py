@@ -1,9 +1,10 @@
 """Deduplicating new batches against all history (problem 6).
 
 Method: multi-key sorted-neighbourhood runs. Every record has several keys: its id, its DOI, its title
-with its authors, and its title in several orders. The keys of each batch form a run that is sorted by key
-range and persisted. A batch is merged with the runs of its blocks; equal keys meet whatever their number,
-and around each new title a window of the sorted titles is compared. Runs are compacted when there are many.
+with its authors, and its title in several orders. The keys of each batch form a run that is persisted.
+A batch is merged with the runs of its blocks; equal keys meet whatever their number. The titles of these
+blocks, old ones included, are sorted anew, and windows of them are compared. Runs are compacted when
+there are many. p6_found takes all releases as one batch, so it merges no runs.
 """
 
 from __future__ import annotations
