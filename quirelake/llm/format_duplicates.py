@@ -86,7 +86,7 @@ def format_duplicates(records: DataFrame) -> DataFrame:
     Records of one venue and year are copies when their titles (normalized_title where the title is
     missing) have the same parts apart from case, width, spacing, punctuation, invisible characters,
     markup and character references. Records whose DOIs differ are no copies: a group with several
-    DOIs falls apart by DOI, and its records without a DOI, which could belong to either, stay alone.
+    DOIs falls apart by DOI, and its records without a DOI, which could belong to either, form a group of their own.
     Null titles, venues and years: a null venue or year is a value of its own; a record without any
     title or id gives no row. Repeated rows count once. An empty table gives no rows. Only the named
     columns are read, so further columns may have any name.
@@ -95,7 +95,7 @@ def format_duplicates(records: DataFrame) -> DataFrame:
     joined = keyed.join(groups, ["block", "fp"]).where("record_id <> keep_id OR n_dois > 1")
     same = F.arrays_overlap("orders", "key_orders")
     plain = joined.where((F.col("n_dois") <= 1) & same).select("keep_id", F.col("record_id").alias("copy_id"))
-    split = joined.where((F.col("n_dois") > 1) & F.col("doi").isNotNull() & same).select("block", "fp", "doi", F.col("record_id").alias("copy_id"))
+    split = joined.where((F.col("n_dois") > 1) & same).select("block", "fp", F.coalesce("doi", F.lit("")).alias("doi"), F.col("record_id").alias("copy_id"))
     per_doi = split.groupBy("block", "fp", "doi").agg(F.min("copy_id").alias("keep_id"))
     by_doi = split.join(per_doi, ["block", "fp", "doi"]).where("copy_id <> keep_id").select("keep_id", "copy_id")
     return plain.unionAll(by_doi).distinct()

@@ -301,3 +301,8 @@ def test_window_counts_titles_not_lists():
     history._compare(rows, out, 0)
     assert {(o[1]) for o in out} == {1, 3}
     assert history._ends(rows) == rows and history._ends([(0, 1, i) for i in range(30)]) == [(0, 1, i) for i in range(30 - history.WINDOW, 30)]
+
+
+def test_format_duplicates_without_doi(spark):
+    rows = [rec("a", "Editorial", "10.1/a"), rec("b", "EDITORIAL", "10.1/b"), rec("c", "editorial"), rec("d", "Editorial!"), rec("e", "Edi torial", "N/A"), rec("f", "Editorial.", "10.1/B")]
+    assert pairs(format_duplicates.format_duplicates(spark.createDataFrame(rows, REC))) == {("b", "f"), ("c", "d"), ("c", "e")}
