@@ -3,8 +3,11 @@
 Method: union-find runs within partitions of the edges and keeps only a spanning forest of each; forests
 are merged level by level in partitions whose number is divided at each level, as long as a partition
 stays below a bound. If the forest is larger than one bounded partition, the rest is contracted by
-rounds of the same union-find on a partitioning by the other end of the edges, with every partition bounded,
-until no edge is left between two trees.
+rounds of the same union-find, until no edge is left between two trees.
+
+Edges are made distinct, aggregated before the shuffle, and partitioned by a hash of both ends, so that neither a hub nor
+the one root of a large group fills a partition. What a task holds is bounded whatever it gets: union-find gives
+its forest out and begins anew when it has MAX_NODES nodes, which costs edges in the next level but no link.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ MAX_EDGES = 2_000_000
 FAN_IN = 8
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the partition's edges: each node with the smallest node of its tree."""
+def _forest(batches: Iterator[pa.RecordBatch], most_nodes: int) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the partition's edges: each node with the smallest node of its tree. None has many more than most_nodes nodes."""
     code: dict[str, int] = {}
     parent: list[int] = []
 
@@ -33,7 +36,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     names: list[str] = []
+
+    def drain() -> Iterator[pa.RecordBatch]:
+        roots = [names[find(i)] for i in range(len(names))]
+        keep = [i for i, r in enumerate(roots) if r != names[i]]
+        for at in range(0, len(keep), 100_000):
+            part = keep[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in part], pa.string()), pa.array([roots[i] for i in part], pa.string())], names=["a", "b"])
+        for held in (code, parent, names):
+            held.clear()
+
     for batch in batches:
+        if len(names) > most_nodes:
+            yield from drain()
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             for n in (a, b):
                 if n not in code:
@@ -46,16 +61,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parent[y] = x
                 else:
                     parent[x] = y
-    if names:
-        roots = [names[find(i)] for i in range(len(names))]
-        keep = [i for i, r in enumerate(roots) if r != names[i]]
-        for at in range(0, len(keep), 100_000):
-            part = keep[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in part], pa.string()), pa.array([roots[i] for i in part], pa.string())], names=["a", "b"])
+    yield from drain()
 
 
-def _local(edges: DataFrame, parts: int, *keys: str) -> DataFrame:
-    return (edges.repartition(parts, *keys) if keys else edges.repartition(parts)).mapInArrow(_forest, "a string, b string")
+def _local(edges: DataFrame, parts: int, max_edges: int) -> DataFrame:
+    """Forests of parts partitions of the distinct edges, which a hash of both ends makes of equal size."""
+    return edges.repartition(parts, "a", "b").mapInArrow(lambda batches: _forest(batches, 2 * max_edges), "a string, b string")
 
 
 def components(edges: DataFrame, left: str, right: str, max_edges: int = MAX_EDGES) -> DataFrame:
@@ -67,16 +78,16 @@ def components(edges: DataFrame, left: str, right: str, max_edges: int = MAX_EDG
     """
     low = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), r"^\s+|\s+$", "")))
     e = edges.select(low(left).alias("a"), low(right).alias("b")).where("a <> '' AND b <> '' AND a <> b")
-    e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     parts = max(FAN_IN, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-e.count() // max_edges))
-    forest = spool(_local(e, parts, "a"), "forest")
+    forest = spool(_local(e, parts, max_edges), "forest")
     n = forest.count()
     while parts > 1:
         fewer = max(1, -(-parts // FAN_IN))
         if n > max_edges * fewer:
             return _contract(forest, n, max_edges)
         parts = fewer
-        forest = spool(_local(forest, parts, "b"), "forest")
+        forest = spool(_local(forest.distinct(), parts, max_edges), "forest")
         n = forest.count()
     roots = forest.select(F.col("b").alias("entity_id"), F.col("b").alias("group_id")).distinct()
     return forest.select(F.col("a").alias("entity_id"), F.col("b").alias("group_id")).unionAll(roots)
@@ -90,10 +101,9 @@ def _contract(forest: DataFrame, n: int, max_edges: int) -> DataFrame:
     doubling, and the node's other roots become links between ends. As the larger end of each link moves, a
     later round has fewer nodes, until there is no link.
     """
-    label, links, turn = None, forest, 0
+    label, links = None, forest.distinct()
     while n > 0:
-        turn += 1
-        moved = spool(_local(links, -(-n // max_edges), "a" if turn % 2 else "b"), "forest")
+        moved = spool(_local(links, -(-n // max_edges), max_edges), "forest")
         to = moved.groupBy("a").agg(F.min("b").alias("b"))
         ends = _ends(to)
         pairs = moved.join(to.withColumnRenamed("b", "least"), "a").where("b <> least").select("least", "b").distinct()

@@ -2,11 +2,14 @@
 
 Method: the fields of the records are unpivoted to long rows (group, field, value, weight); the weights,
 source trust times recency decay, are summed per group, field and normalized value; max_by chooses each
-field's winner; and the winners are pivoted back to one row per group.
+field's winner; and the winners are pivoted back to one row per group. Votes are whole numbers, so that their
+sums are the same in any order.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quirelake.functions.missing import bare, is_missing, present
@@ -19,6 +22,8 @@ STATUSES = ("crosschecked", "verified_official")
 TRUST = (0.25, 0.5, 0.75, 1.0)
 HALF_LIFE_DAYS = 180.0
 NOW = 1_767_225_600.0
+#: A full vote; votes are its parts.
+VOTE = 1_000_000_000
 FILLED = ("authors", "abstract", "doi", "arxiv_id", "paper_url", "pdf_url")
 VALUES = ("title", "authors", "abstract", "doi", "arxiv_id", "paper_url", "pdf_url", "track")
 
@@ -64,39 +69,48 @@ RESPECTS = ("filled", "tier", "abstract_tier", "status", "fetched")
 
 
 def vote(tier: Column, fetched: Column) -> Column:
-    """Trust times recency decay. The decay is counted from a fixed instant, as only ratios within a group matter."""
-    return F.element_at(F.array(*map(F.lit, TRUST)), tier + 1) * F.pow(F.lit(2.0), (fetched - F.lit(NOW)) / (86400 * HALF_LIFE_DAYS))
+    """Trust times recency decay, in VOTE-ths. The decay is counted from a fixed instant, as only ratios within a group matter."""
+    return F.floor(F.lit(VOTE) * F.element_at(F.array(*map(F.lit, TRUST)), tier + 1) * F.pow(F.lit(2.0), F.least(fetched - F.lit(NOW), F.lit(0.0)) / (86400 * HALF_LIFE_DAYS))).cast("bigint")
 
 
-def elect(votes: DataFrame, group: str, fields: tuple[str, ...], best_value: bool = False) -> DataFrame:
+def elect(votes: DataFrame, group: str, fields: tuple[str, ...], step: float | None = None) -> DataFrame:
     """One row per group with each field's winner, from long rows (group, field, value, shown, weight).
 
     Votes of one normalized value are summed before the shuffle; the most votes win, ties go to the
-    larger value, and the largest of its spellings is shown. With best_value the best value wins
-    whatever its votes.
+    larger value, and the largest of its spellings is shown. With step the values are grades, and the logarithm of a
+    value's votes gains step for each grade: a grade higher counts as much as so many times the votes.
     """
     summed = votes.groupBy(group, "field", "value").agg(F.sum("weight").alias("votes"), F.max("shown").alias("shown"))
-    order = F.struct("value", "votes") if best_value else F.struct(F.round("votes", 9).alias("votes"), F.col("value"))
+    order = F.struct("votes", "value") if step is None else F.struct((F.log(F.col("votes") + F.lit(1.0)) + F.lit(step) * F.col("value")).alias("score"), F.col("value"))
     return summed.groupBy(group).agg(*[F.max_by(F.when(F.col("field") == f, F.col("shown")), F.when(F.col("field") == f, order)).alias(f) for f in fields])
 
 
+def _grade(c: Column, respect: str) -> Column:
+    """A respect as a number in which a difference is at least 1; times count in microseconds."""
+    return F.round(c * 1_000_000.0) if respect == "fetched" else c.cast("double")
+
+
 def best_records(records: DataFrame, memberships: DataFrame) -> DataFrame:
     """entity_id and record_id of the record that is best of its entity in every respect.
 
-    The five respects are unpivoted to long rows and the best value of each is elected; pivoted back,
-    they make the profile a representative must have, and the one record that has it is returned. That
-    record is no worse than any other in each respect, and better than each in at least one, as no
-    other has the whole profile. Entities of one record, or without such a record, give no row. Repeated
-    rows count once; members without a record, null ids and empty tables give no row; missing tiers,
-    statuses and times are the lowest. Only the named columns are read.
+    The five respects are unpivoted to long rows and one value of each is elected; pivoted back, the winners
+    make the profile a representative must have, and the one record that has it stands, if it is then found no worse
+    than the best of the entity in any respect. A grade higher counts as much as all rows
+    together: a record that is best in each respect has the largest vote of its entity, so its values win whatever
+    the number of worse ones, and no such record is lost. Where no record is best in all, votes decide the profile, which none
+    or a worse record has, and the last check leaves that out. Entities of one record, or without such a record, give
+    no row. Repeated rows count once; members without a record, null ids and empty tables give no row; missing
+    tiers, statuses and times are the lowest. Only the named columns are read.
     """
     m = spool(members(records, memberships), "golden-members")
-    long = F.explode(F.array(*[F.struct(F.lit(r).alias("field"), F.col(r).cast("double").alias("value")) for r in RESPECTS]))
+    step = math.log(m.count() + 2.0)
+    long = F.explode(F.array(*[F.struct(F.lit(r).alias("field"), _grade(F.col(r), r).alias("value")) for r in RESPECTS]))
     votes = m.select("entity_id", vote(F.col("tier"), F.col("fetched")).alias("weight"), long.alias("v")).select("entity_id", "v.field", "v.value", F.col("v.value").alias("shown"), "weight")
-    profile = elect(votes, "entity_id", RESPECTS, best_value=True)
-    best = _all([F.col(f"p.{r}") == F.col(f"m.{r}").cast("double") for r in RESPECTS])
-    held = m.alias("m").join(profile.alias("p"), "entity_id").groupBy("entity_id").agg(F.count("*").alias("n"), F.count_if(best).alias("n_best"), F.max(F.when(best, F.col("m.record_id"))).alias("record_id"))
-    return held.where("n > 1 AND n_best = 1").select("entity_id", "record_id")
+    profile = elect(votes, "entity_id", RESPECTS, step)
+    best = _all([F.col(f"p.{r}") == _grade(F.col(f"m.{r}"), r) for r in RESPECTS])
+    none_better = _all([F.max(_grade(F.col(f"m.{r}"), r)) == F.first(f"p.{r}") for r in RESPECTS])
+    held = m.alias("m").join(profile.alias("p"), "entity_id").groupBy("entity_id").agg(F.count("*").alias("n"), F.count_if(best).alias("n_best"), F.max(F.when(best, F.col("m.record_id"))).alias("record_id"), none_better.alias("none_better"))
+    return held.where("n > 1 AND n_best = 1 AND none_better").select("entity_id", "record_id")
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -111,17 +125,26 @@ def surviving_records(records: DataFrame, memberships: DataFrame) -> DataFrame:
 
     A vote is the trust of the record's source times the decay of its age (half in HALF_LIFE_DAYS).
     Values that differ in case and blanks only vote together. A field without any value is null.
-    most_trusted_record_id is the record whose own vote is largest. Repeated rows count once; null ids
-    and empty tables give no row. Only the named columns are read.
+    most_trusted_record_id is the record whose own vote is largest. Values vote by a hash of 128 bits with the record
+    that shows them, and only the winners' texts are fetched, so that long texts are not shuffled with each vote.
+    Repeated rows count once; null ids and empty tables give no row. Only the named columns are read.
     """
-    values = [F.struct(F.lit(c).alias("field"), present(F.col(c)).alias("shown")) for c in VALUES]
-    each = F.struct(F.lit("record").alias("field"), F.col("record_id").alias("shown"))
-    long = (
+    bare = {c: F.regexp_replace(F.lower(present(F.col(c))), r"\s+", " ") for c in VALUES}
+    # of the spellings of a value one is shown, the same at every run
+    values = [F.when(present(F.col(c)).isNotNull(), F.struct(F.lit(c).alias("field"), F.md5(bare[c]).alias("value"), F.struct(F.md5(present(F.col(c))).alias("spelling"), F.col("record_id")).alias("shown"))) for c in VALUES]
+    each = F.struct(F.lit("record").alias("field"), F.col("record_id").alias("value"), F.struct(F.lit("").alias("spelling"), F.col("record_id")).alias("shown"))
+    votes = (
         records.where("record_id IS NOT NULL")
-        .select("record_id", vote(rank(F.col("source_tier"), TIERS), instant(F.col("fetched_at"))).alias("weight"), F.array(each, *values).alias("f"))
+        .select("record_id", vote(rank(F.col("source_tier"), TIERS), instant(F.col("fetched_at"))).alias("weight"), F.filter(F.array(each, *values), lambda v: v.isNotNull()).alias("f"))
         .join(memberships.where("record_id IS NOT NULL AND entity_id IS NOT NULL").select("record_id", "entity_id"), "record_id")
         .groupBy("record_id", "entity_id")
-        .agg(F.max("weight").alias("weight"), F.first("f").alias("f"))
+        .agg(F.max_by(F.struct("weight", "f"), "weight").alias("r"))
+        .select("entity_id", "r.weight", F.explode("r.f").alias("f"))
+        .select("entity_id", "f.field", "f.value", "f.shown", "weight")
     )
-    votes = long.select("entity_id", "weight", F.explode("f").alias("f")).where("f.shown IS NOT NULL").select("entity_id", "f.field", F.regexp_replace(F.lower("f.shown"), r"\s+", " ").alias("value"), "f.shown", "weight")
-    return elect(votes, "entity_id", ("record", *VALUES)).withColumnRenamed("record", "most_trusted_record_id")
+    won = spool(elect(votes, "entity_id", ("record", *VALUES)), "survivors")
+    source = records.where("record_id IS NOT NULL").groupBy("record_id").agg(*[F.max(present(F.col(c))).alias(c) for c in VALUES])
+    wanted = won.select("entity_id", F.explode(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("field"), F.col(f"{c}.record_id").alias("record_id"))) for c in VALUES]), lambda v: v.isNotNull())).alias("w"))
+    wanted = wanted.select("entity_id", "w.record_id", "w.field").groupBy("entity_id", "record_id").agg(F.collect_set("field").alias("fields"))
+    texts = wanted.join(source, "record_id").groupBy("entity_id").agg(*[F.max(F.when(F.array_contains("fields", c), F.col(c))).alias(c) for c in VALUES])
+    return won.select("entity_id", F.col("record.record_id").alias("most_trusted_record_id")).join(texts, "entity_id", "left")

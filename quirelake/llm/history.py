@@ -1,15 +1,19 @@
 """Deduplicating new batches against all history (problem 6).
 
 Method: multi-key sorted-neighbourhood runs. Every record has several keys: its id, its DOI, its title
-with its authors, and its title in several orders. The keys of each batch form a run that is persisted.
-A batch is merged with the runs of its blocks; equal keys meet whatever their number. The titles of these
-blocks, old ones included, are sorted anew, and windows of them are compared. Runs are compacted when
-there are many. p6_found takes all releases as one batch, so it merges no runs.
+with its authors, and its title in several orders. The orders are cut into key ranges, whose bounds are kept with the history. A
+batch is sorted into these ranges and merged there with what the runs hold of them; the rows of other ranges are
+not read. In each range the releases of the batch come one after the other, oldest first: a title that is new is compared
+with WINDOW titles on each side of it among those there at the time, and old titles are not compared with each other
+again. Equal keys meet whatever their number. Pairs of near titles are kept too, so a later record of an old title finds what was
+near it. The rows of a batch become a run of each range; when there are many runs they are compacted, and the ranges are cut anew.
+
+As every release sees what was there before it, releases given at once and one by one have the same result.
 """
 
 from __future__ import annotations
 
-import pickle
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,23 +21,28 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quirelake.functions.missing import doi_key
 from quirelake.llm.golden import instant
 from quirelake.llm.names import _HEADS, _SMALL, _TITLES, LEGAL_FORMS, NICKNAMES
-from quirelake.llm.titles import fold, letters, missing, orders, plain, title_parts
+from quirelake.llm.titles import fold, missing, plain, title_parts
 from quirelake.operators.packed import parse_packed
 from quirelake.session import spool, spool_path
 
-#: Distinct titles compared on each side of a new one, in each order of the titles.
+#: Titles compared on each side of a new one, in each order of the titles.
 WINDOW = 8
 #: Orders of the words by a hash, besides the title forward, backward and by author.
 WORD_ORDERS = 3
 MAX_RUNS = 8
-#: Sorted rows that one key range holds at most, about.
-RANGE_ROWS = 250_000
+#: Sorted rows of a key range, about: at most, and at least while there are fewer ranges than tasks; and the most ranges, whose bounds every task holds.
+RANGE_ROWS, LEAST_ROWS, MAX_RANGES = 150_000, 5_000, 20_000
+#: Rows per range of the sample that the bounds are taken from.
+SAMPLED = 20
+#: Folders of a run of keys and lists by a hash of venue and year; those a batch does not touch are not read.
+PARTS = 64
+#: Ranges whose borders are compared by one task, and ranges it shares with the next.
+BORDERS, SHARED = 64, 3
 
 # Words that two forms of one title may differ in.
 _FUNCTION = frozenset("a an the on of for in with using by via through under from at to and over into towards".split())
@@ -225,7 +234,7 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tkeys, titles, generic, names = [], [], [], []
         for t, n, a in zip(col["title"], col["normalized_title"], col["authors"], strict=True):
             parts = title_parts(t, n)
-            tkeys.append(_hash(orders(parts)[0]) if parts else None)
+            tkeys.append(_hash("".join(sorted(parts))) if parts else None)
             shown = plain(t) if not missing(t) else plain(n) if parts else ""
             titles.append(shown)
             generic.append(bool(parts) and bool(_GENERIC.fullmatch("".join(parts))))
@@ -263,171 +272,283 @@ def _keys(prepared: DataFrame, reading: bool) -> DataFrame:
         F.when(titled & (alone if reading else F.lit(True)), _key("any", "tkey")),
         F.when(titled & (~alone if reading else alone), _key("alone", "tkey")),
     ]
-    rows = prepared.select("record_id", "o", F.col("doi").isNotNull().alias("has_doi"), F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k"))
-    return rows.select("record_id", "o", "has_doi", "k.kind", "k.h1", "k.h2")
+    rows = prepared.select("record_id", "o", _part(), F.col("doi").isNotNull().alias("has_doi"), F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k"))
+    return rows.select("record_id", "o", "part", "has_doi", "k.kind", "k.h1", "k.h2")
+
+
+def _part():
+    return F.pmod("block", F.lit(PARTS)).cast("int").alias("part")
 
 
 def _summed(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("kind", "h1", "h2").agg(F.min("o").alias("o_any"), F.min(F.when(~F.col("has_doi"), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"))
+    return keys.groupBy("kind", "h1", "h2").agg(F.min("part").alias("part"), F.min("o").alias("o_any"), F.min(F.when(~F.col("has_doi"), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"))
 
 
 def _list_id():
     return F.xxhash64("names", "generic").alias("list_id")
 
 
-def _titles(prepared: DataFrame) -> DataFrame:
+def _lists(prepared: DataFrame) -> DataFrame:
     """One row per block, title and list of authors: when it came. Front matter without authors has none."""
-    return prepared.where("tkey IS NOT NULL AND (NOT generic OR names <> '')").groupBy("block", "tkey", _list_id()).agg(F.min("o").alias("o_any"), F.min(F.when(F.col("doi").isNull(), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))
+    some = prepared.where("tkey IS NOT NULL AND (NOT generic OR names <> '')")
+    return some.groupBy("block", "tkey", _list_id()).agg(F.min(_part()).alias("part"), F.min("o").alias("o_any"), F.min(F.when(F.col("doi").isNull(), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))
 
 
 _AGREED = "block bigint, tkey bigint, list_id bigint, near_any bigint, near_nodoi bigint"
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose lists of authors agree; with near titles (near), a list without authors agrees with any."""
     for batch in batches:
-        at = [i for i, (a, b) in enumerate(zip(batch.column("names").to_pylist(), batch.column("other").to_pylist(), strict=True)) if same_authors(a, b)]
+        near = batch.column("near").to_pylist()
+        at = [i for i, (a, b) in enumerate(zip(batch.column("names").to_pylist(), batch.column("other").to_pylist(), strict=True)) if near[i] and not (a and b) or same_authors(a, b)]
         yield batch.take(pa.array(at, pa.int32())).select(["block", "tkey", "list_id", "near_any", "near_nodoi"])
 
 
-def same_titles(titles: DataFrame) -> DataFrame:
+def same_titles(mine: DataFrame, every: DataFrame) -> DataFrame:
     """block, tkey, list_id and the arrivals of the same title with the same authors; each list of authors meets all others of its title."""
-    named = titles.where("names <> ''").select("block", "tkey", "list_id", "o_any", "o_nodoi", "o_max", "names")
+    named = every.where("names <> ''").select("block", "tkey", "list_id", "o_any", "o_nodoi", "o_max", "names")
     again = named.groupBy("block", "tkey").agg(F.min("o_any").alias("lo"), F.max("o_max").alias("hi")).where("lo < hi").select("block", "tkey")
     several = spool(named.join(again, ["block", "tkey"], "left_semi"), "same-titles")
     other = several.select("block", "tkey", F.col("o_any").alias("near_any"), F.col("o_nodoi").alias("near_nodoi"), F.col("names").alias("other"))
-    return several.join(other, ["block", "tkey"]).where("near_any < o_max").select("block", "tkey", "list_id", "near_any", "near_nodoi", "names", "other").mapInArrow(_agreeing, _AGREED)
+    wanted = several if mine is every else several.join(mine.select("block", "tkey", "list_id"), ["block", "tkey", "list_id"], "left_semi")
+    return wanted.join(other, ["block", "tkey"]).where("near_any < o_max").select("block", "tkey", "list_id", "near_any", "near_nodoi", "names", "other", F.lit(False).alias("near")).mapInArrow(_agreeing, _AGREED)
+
+
+_ROW = ("way", "block", "skey", "tkey", "title", "first", "last")
+_ROW_SCHEMA = "way int, block bigint, skey string, tkey bigint, title string, first bigint, last bigint"
 
 
-def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_title(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each title with each of its sort keys."""
     for batch in batches:
-        at, kinds, keys = [], [], []
-        for i, (title, names) in enumerate(zip(batch.column("title").to_pylist(), batch.column("names").to_pylist(), strict=True)):
+        ways, keys = [], []
+        for title in batch.column("title").to_pylist():
             words = _content(title)
             text = "".join(words)
-            ways = [text, text[::-1]]
-            for s in range(WORD_ORDERS):
-                ways.append(" ".join(sorted(words, key=lambda w, s=s: _hash(w, 100 + s))))
-            if names:
-                for s, t in enumerate((text, text[::-1])):
-                    ways.append(f"{min(_hash(w, s) for w in names.split(' ')):x} {t}")
-            for k, w in enumerate(ways):
-                at.append(i)
-                kinds.append(k)
-                keys.append(w)
-        take = pa.array(at, pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.string()), *[batch.column(c).take(take) for c in _TITLE_COLS]], names=["way", "skey", *_TITLE_COLS])
-
-
-_TITLE_COLS = ("block", "tkey", "list_id", "o_any", "o_nodoi", "o_max", "title", "names")
-_TITLE_SCHEMA = "block bigint, tkey bigint, list_id bigint, o_any bigint, o_nodoi bigint, o_max bigint, title string, names string"
-_FOUND = "block bigint, tkey bigint, list_id bigint, near_any bigint, near_nodoi bigint, part int, place int, edge binary"
-_NEVER = 1 << 62
-
-
-def _compare(rows: list[tuple], out: list[tuple], begin: int) -> None:
-    """Near titles among sorted rows, each from begin on against the WINDOW distinct titles before it, with all their lists of authors."""
-    n = len(rows)
-    if n < 2:
-        return
-    way = np.array([r[0] for r in rows])
-    block = np.array([r[1] for r in rows], np.int64)
-    tkey = np.array([r[2] for r in rows], np.int64)
-    first = np.array([r[4] for r in rows], np.int64)
-    last = np.array([r[6] for r in rows], np.int64)
-    place = np.r_[0, np.cumsum((way[1:] != way[:-1]) | (block[1:] != block[:-1]) | (tkey[1:] != tkey[:-1]))]
-    words: list[frozenset[str] | None] = [None] * n
-    for lag in range(1, n):
-        a, b = slice(lag, n), slice(0, n - lag)
-        hit = (place[a] - place[b] <= WINDOW) & (way[a] == way[b]) & (block[a] == block[b])
-        hit[: max(0, begin - lag)] = False
-        if not hit.any():
-            break
-        hit &= (tkey[a] != tkey[b]) & ((first[b] < last[a]) | (first[a] < last[b]))
-        for i in np.flatnonzero(hit).tolist():
-            x, y = rows[i + lag], rows[i]
-            for r, at in ((x, i + lag), (y, i)):
-                if words[at] is None:
-                    words[at] = frozenset(_content(r[7]))
-            a_words, b_words = words[i + lag], words[i]
-            # nearly the same titles have most words in common: three may be wrong, or the end cut off
-            if 2 * len(a_words & b_words) + 1 >= min(len(a_words), len(b_words)) and (not x[8] or not y[8] or same_authors(x[8], y[8])) and nearly_same(x[7], y[7]):
-                out.append((*x[1:4], *y[4:6]))
-                out.append((*y[1:4], *x[4:6]))
-
-
-def _ends(rows: list[tuple]) -> list[tuple]:
-    """The rows of the last WINDOW distinct titles."""
-    left, at = WINDOW, len(rows)
-    while at and (at == len(rows) or rows[at - 1][:3] == rows[at][:3] or left > 1):
-        left -= at < len(rows) and rows[at - 1][:3] != rows[at][:3]
-        at -= 1
-    return rows[at:]
-
-
-def _window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near titles of one sorted range; the rows of its first and last titles go out too, to meet those of the neighbouring ranges."""
-    part = TaskContext.get().partitionId()
-    carried: list[tuple] = []
-    head: list[tuple] = []
-    titles = seen = 0
+            keys += [text, text[::-1], *[" ".join(sorted(words, key=lambda w, s=s: _hash(w, 100 + s))) for s in range(WORD_ORDERS)]]
+            ways += range(WORD_ORDERS + 2)
+        yield _rows(batch, ways, keys)
+
+
+def _by_author(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each title with the sort keys that begin with an author of the list, chosen by a hash."""
     for batch in batches:
-        rows = list(zip(*[batch.column(c).to_pylist() for c in ("way", *_TITLE_COLS)], strict=True))
-        for r in rows if titles <= WINDOW else ():
-            titles += not head or head[-1][:3] != r[:3]
-            if titles > WINDOW:
-                break
-            head.append(r)
-        out: list[tuple] = []
-        _compare(carried + rows, out, len(carried))
-        carried = _ends(carried + rows)
-        seen += len(rows)
-        yield _found(out, [], part)
-    ends = [*enumerate(head), *enumerate(carried, seen - len(carried))]
-    yield _found([], [e for i, e in enumerate(ends) if i < len(head) or e[0] >= len(head)], part)
-
-
-def _found(out: list[tuple], edges: list[tuple[int, tuple]], part: int) -> pa.RecordBatch:
-    n, m = len(out), len(edges)
-    cols = list(zip(*out, strict=True)) if out else [()] * 5
-    none = [None] * m
-    return pa.RecordBatch.from_arrays(
-        [*[pa.array([*c, *none], pa.int64()) for c in cols], pa.array([part] * (n + m), pa.int32()), pa.array([0] * n + [p for p, _ in edges], pa.int32()), pa.array([None] * n + [pickle.dumps(r) for _, r in edges], pa.binary())],
-        names=["block", "tkey", "list_id", "near_any", "near_nodoi", "part", "place", "edge"],
-    )
+        ways, keys = [], []
+        for title, names in zip(batch.column("title").to_pylist(), batch.column("names").to_pylist(), strict=True):
+            text = "".join(_content(title))
+            people = names.split(" ")
+            for s, t in enumerate((text, text[::-1])):
+                keys.append(f"{min(_hash(w, s) for w in people):x} {t}")
+                ways.append(WORD_ORDERS + 2 + s)
+        yield _rows(batch, ways, keys)
 
 
-def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows at the ends of all ranges, two windows for each range, in order."""
-    carried: list[tuple] = []
+def _rows(batch: pa.RecordBatch, ways: list[int], keys: list[str]) -> pa.RecordBatch:
+    take = pa.array(np.repeat(np.arange(batch.num_rows), len(ways) // max(1, batch.num_rows)))
+    col = {"way": pa.array(ways, pa.int32()), "skey": pa.array(keys, pa.string())}
+    return pa.RecordBatch.from_arrays([col[c] if c in col else batch.column(c).take(take) for c in _ROW], names=list(_ROW))
+
+
+def sorted_rows(lists: DataFrame) -> DataFrame:
+    """The rows of all orders: a title by itself once, and with an author's hash once for each."""
+    some = lists.where("NOT generic")
+    titles = some.groupBy("block", "tkey").agg(F.min("title").alias("title"), F.min("o_any").alias("first"), F.max("o_max").alias("last"))
+    named = some.where("names <> ''").select("block", "tkey", "title", "names", F.col("o_any").alias("first"), F.col("o_max").alias("last"))
+    return titles.mapInArrow(_by_title, _ROW_SCHEMA).unionAll(named.mapInArrow(_by_author, _ROW_SCHEMA))
+
+
+_NEAR = 4
+_BINS = 32
+
+
+def _letter_counts(ways: np.ndarray, keys: list[str]) -> np.ndarray:
+    """How often each letter is in each key, letters being numbered modulo 32; blanks and what shares their number do not count."""
+    texts = [k[k.find(" ") + 1 :] if w >= WORD_ORDERS + 2 else k for w, k in zip(ways.tolist(), keys, strict=True)]
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % _BINS
+    at = np.repeat(np.arange(len(texts), dtype=np.int64), np.fromiter(map(len, texts), np.int64, len(texts)))
+    out = np.bincount(at * _BINS + flat, minlength=len(texts) * _BINS).reshape(-1, _BINS)
+    out[:, 0] = 0
+    return np.minimum(out, 120).astype(np.int8)
+
+
+def _near_rows(way: np.ndarray, block: np.ndarray, tkey: np.ndarray, first: np.ndarray, last: np.ndarray, fresh: np.ndarray, keys: list[str], titles: pa.Array, source: np.ndarray | None = None) -> set[tuple[int, int, int]]:
+    """(block, title, near title) among sorted rows: each fresh row against WINDOW rows on each side of those that had come by then.
+
+    Of two nearly same titles one has at most _NEAR letters that the other has not (four errors, or the end cut
+    off, or one word more), so pairs with more on both sides need no closer look. With source, only
+    pairs of different sources are looked at.
+    """
+    out: set[tuple[int, int, int]] = set()
+    if len(way) < 2 or not fresh.any():
+        return out
+    counts = _letter_counts(way, keys)
+    looked: set[tuple[int, int]] = set()
+    texts: dict[int, str] = {}
+    for t in np.unique(first[fresh]).tolist():
+        active = np.flatnonzero(first <= t)
+        new = fresh[active] & (first[active] == t)
+        at = np.flatnonzero(new)
+        for lag in [*range(1, WINDOW + 1), *range(-WINDOW, 0)]:
+            mine, other = at, at - lag
+            ok = (other >= 0) & (other < len(active))
+            mine, other = mine[ok], other[ok]
+            if lag < 0:  # of two new ones the later looks back
+                old = ~new[other]
+                mine, other = mine[old], other[old]
+            a, b = active[mine], active[other]
+            ok = (way[a] == way[b]) & (block[a] == block[b]) & (tkey[a] != tkey[b]) & ((first[b] < last[a]) | (first[a] < last[b]))
+            if source is not None:
+                ok &= source[a] != source[b]
+            a, b = a[ok], b[ok]
+            for some in range(0, len(a), 20_000):
+                x, y = a[some : some + 20_000], b[some : some + 20_000]
+                d = counts[x] - counts[y]
+                more = np.maximum(d, 0).sum(1, dtype=np.int32)
+                near = np.flatnonzero(np.minimum(more, more - d.sum(1, dtype=np.int32)) <= _NEAR)
+                for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    pair = (int(tkey[i]), int(tkey[j]))
+                    if pair in looked or (int(block[i]), *pair) in out:
+                        continue
+                    for k in (i, j):
+                        if k not in texts:
+                            texts[k] = titles[k].as_py()
+                    if nearly_same(texts[i], texts[j]):
+                        out.add((int(block[i]), *pair))
+                    elif source is None:
+                        looked.add(pair)
+    return out
+
+
+def _border_rows(first: np.ndarray) -> np.ndarray:
+    """The rows that may be within WINDOW rows of the range's ends, at the time of any release."""
+    keep: set[int] = set()
+    for t in np.unique(first).tolist():
+        there = np.flatnonzero(first <= t)
+        keep.update(there[:WINDOW].tolist(), there[-WINDOW:].tolist())
+    return np.array(sorted(keep), np.int64)
+
+
+#: What a range gives: pairs of near titles (0), the rows near its ends (1), and the rows of the batch, which become a run (2).
+PAIR, END, RUN = 0, 1, 2
+_FOUND = f"kind int, range int, place int, fresh boolean, other bigint, {_ROW_SCHEMA}"
+
+
+def _gives(kind: int, at: int, rows: pa.Table | None, n: int, fresh: np.ndarray | None = None, **columns: list[int]) -> pa.RecordBatch:
+    kinds = {"kind": pa.int32(), "range": pa.int32(), "place": pa.int32(), "fresh": pa.bool_(), "other": pa.int64(), "way": pa.int32(), "block": pa.int64(), "skey": pa.string(), "tkey": pa.int64(), "title": pa.string(), "first": pa.int64(), "last": pa.int64()}
+    out = []
+    for c, kind_of in kinds.items():
+        if c == "kind":
+            out.append(pa.array(np.full(n, kind, np.int32)))
+        elif c == "range":
+            out.append(pa.array(np.full(n, at, np.int32)))
+        elif c == "place":
+            out.append(pa.array(np.arange(n, dtype=np.int32)))
+        elif c == "fresh" and fresh is not None:
+            out.append(pa.array(fresh, pa.bool_()))
+        elif c in columns:
+            out.append(pa.array(columns[c], kind_of))
+        elif rows is not None and c in rows.column_names:
+            out.append(rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c))
+        else:
+            out.append(pa.nulls(n, kind_of))
+    return pa.RecordBatch.from_arrays([x if not isinstance(x, pa.ChunkedArray) else x.combine_chunks() for x in out], names=list(kinds))
+
+
+def _window(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    """What each sorted range of the partition gives. A range, with the rows of all runs, is held at once; its size is bounded."""
+    held: list[pa.RecordBatch] = []
+    at = None
     for batch in batches:
-        rows = [pickle.loads(e) for e in batch.column("edge").to_pylist()]
-        out: list[tuple] = []
-        _compare(carried + rows, out, len(carried))
-        carried = _ends(carried + rows)
-        yield _found(out, [], -1)
+        ranges = batch.column("range").to_numpy(zero_copy_only=False)
+        begin = 0
+        for end in [*(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), len(ranges)]:
+            if end == begin:
+                continue
+            if at is not None and ranges[begin] != at:
+                yield from _one_range(held, int(at), keep)
+                held = []
+            at = ranges[begin]
+            held.append(batch.slice(begin, end - begin))
+            begin = end
+    if held:
+        yield from _one_range(held, int(at), keep)
+
+
+def _one_range(held: list[pa.RecordBatch], at: int, keep: bool) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    way, block, tkey, first, last = (rows.column(c).to_numpy() for c in ("way", "block", "tkey", "first", "last"))
+    new = rows.column("new").to_numpy(zero_copy_only=False)
+    keys = rows.column("skey").to_pylist()
+    if keep:
+        mine = rows.filter(pa.array(new))
+        for begin in range(0, mine.num_rows, 50_000):
+            part = mine.slice(begin, 50_000)
+            yield _gives(RUN, at, part, part.num_rows)
+    # rows of one title and key, from several runs, are one; it is new if it was in none
+    n = len(way)
+    begins = np.flatnonzero(np.r_[True, (way[1:] != way[:-1]) | (block[1:] != block[:-1]) | (tkey[1:] != tkey[:-1]) | np.fromiter((keys[i] != keys[i - 1] for i in range(1, n)), bool, n - 1)])
+    first, last, fresh = np.minimum.reduceat(first, begins), np.maximum.reduceat(last, begins), np.logical_and.reduceat(new, begins)
+    rows = rows.take(pa.array(begins))
+    way, block, tkey = way[begins], block[begins], tkey[begins]
+    titles = rows.column("title").combine_chunks()
+    found = sorted(_near_rows(way, block, tkey, first, last, fresh, [keys[i] for i in begins.tolist()], titles))
+    yield _gives(PAIR, at, None, len(found), block=[f[0] for f in found], tkey=[f[1] for f in found], other=[f[2] for f in found])
+    ends = _border_rows(first)
+    edge = rows.take(pa.array(ends)).drop_columns(["first", "last", "range", "new"])
+    yield _gives(END, at, edge, len(ends), fresh[ends], first=first[ends].tolist(), last=last[ends].tolist())
 
 
-def near_titles(titles: DataFrame) -> DataFrame:
-    """block, tkey, list_id and the arrivals of nearly the same titles with the same authors."""
-    titles = titles.where("NOT generic").drop("generic")
-    parts = max(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-titles.count() * (WORD_ORDERS + 4) // RANGE_ROWS))
-    ordered = titles.mapInArrow(_orders, f"way int, skey string, {_TITLE_SCHEMA}").repartitionByRange(parts, "way", "block", "skey").sortWithinPartitions("way", "block", "skey", "tkey")
-    found = spool(ordered.mapInArrow(_window, _FOUND), "near-titles")
-    borders = found.where("edge IS NOT NULL").repartition(1).sortWithinPartitions("part", "place").mapInArrow(_borders, _FOUND)
-    return found.where("edge IS NULL").unionAll(borders).select("block", "tkey", "list_id", "near_any", "near_nodoi")
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs across the ends of neighbouring ranges, of which each group holds some in order."""
+    table = pa.Table.from_batches(list(batches), schema=None) if (batches := [b for b in batches if b.num_rows]) else None
+    if table is None:
+        return
+    for g in sorted(set(table.column("grp").to_pylist())):
+        rows = table.filter(pa.array((table.column("grp").to_numpy() == g).tolist())).combine_chunks()
+        way, block, tkey, first, last, source = (rows.column(c).to_numpy() for c in ("way", "block", "tkey", "first", "last", "range"))
+        found = sorted(_near_rows(way, block, tkey, first, last, rows.column("fresh").to_numpy(zero_copy_only=False), rows.column("skey").to_pylist(), rows.column("title").combine_chunks(), source))
+        yield _gives(PAIR, 0, None, len(found), block=[f[0] for f in found], tkey=[f[1] for f in found], other=[f[2] for f in found])
 
 
 class History:
-    """Runs of the keys of all accepted batches in a folder that all executors share."""
+    """Runs of all accepted batches in a folder that all executors share, and the bounds of their key ranges."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark = spark
         self.path = path or spool_path(spark, "history")
         self.runs: list[str] = []
-
-    def _read(self, what: str) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{r}/{what}" for r in self.runs]) if self.runs else None
+        self.bounds: list[tuple[int, int, str]] | None = None
+        self.made = self.rows = 0
+
+    def _at(self, what: str, run: str) -> str:
+        return f"{self.path}/{what}/run={run}"
+
+    def _read(self, what: str, where: str) -> DataFrame:
+        """What the runs hold in the folders that the condition names."""
+        return self.spark.read.option("basePath", f"{self.path}/{what}").schema(_HELD[what]).parquet(*[self._at(what, r) for r in self.runs]).where(where).drop("run")
+
+    def cut(self, lists: DataFrame) -> None:
+        """Chooses the bounds of the key ranges from a sample of the sorted rows; it comes to the driver, SAMPLED rows per range."""
+        n = lists.count() * (WORD_ORDERS + 4)
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(MAX_RANGES, max(-(-n // RANGE_ROWS), min(tasks, n // LEAST_ROWS)))
+        self.bounds = []
+        if ranges > 1:
+            part = lists.where(F.pmod(F.xxhash64("tkey", "block", F.lit("sample")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLED * ranges / n)))
+            rows = sorted((r["way"], r["block"], r["skey"]) for r in sorted_rows(part).select("way", "block", "skey").toLocalIterator())
+            self.bounds = sorted({rows[len(rows) * i // ranges] for i in range(1, ranges)}) if rows else []
+
+    def ranged(self, rows: DataFrame) -> DataFrame:
+        """The rows with the number of their range."""
+        bounds = self.bounds or []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = [bisect.bisect_right(bounds, k) for k in zip(b.column("way").to_pylist(), b.column("block").to_pylist(), b.column("skey").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*_ROW, "range"])
+
+        return rows.mapInArrow(run, f"{_ROW_SCHEMA}, range int")
 
     def accept(self, records: DataFrame, releases: DataFrame, keep: bool = True) -> DataFrame:
         """record_id of the records of which a release before theirs, in history or in this batch, holds the paper.
@@ -439,44 +560,98 @@ class History:
         With keep the batch becomes a run of the history.
         """
         batch = spool(prepare(records, releases), "batch")
-        keys, titles = _summed(_keys(batch, False)), _titles(batch)
+        keys, lists = _summed(_keys(batch, False)), spool(_lists(batch), "lists")
+        n = lists.count() * (WORD_ORDERS + 4)
+        if self.bounds is None or self.rows + n > 2 * RANGE_ROWS * (len(self.bounds) + 1):
+            self.compact(lists)
+        run = f"{self.made:05d}"
         if keep:
-            run = f"{self.path}/run-{len(self.runs):05d}"
-            keys.write.parquet(f"{run}/keys")
-            titles.repartitionByRange("block", "tkey").sortWithinPartitions("block", "tkey").write.parquet(f"{run}/titles")
-            keys, titles = self.spark.read.parquet(f"{run}/keys"), self.spark.read.parquet(f"{run}/titles")
+            self.made, self.rows = self.made + 1, self.rows + n
+            keys.repartitionByRange("part", "h1").write.partitionBy("part").parquet(self._at("keys", run))
+            lists.repartitionByRange("part", "tkey").write.partitionBy("part").parquet(self._at("lists", run))
+            keys = self.spark.read.schema(_HELD["keys"]).parquet(self._at("keys", run))
+        every, old_pairs = lists, None
         if self.runs:
+            parts = [r[0] for r in lists.select("part").union(keys.select("part")).distinct().collect()]
+            touched = f"part IN ({', '.join(map(str, parts))})" if parts else "false"
             mine = keys.select("kind", "h1", "h2").distinct()
-            keys = keys.unionAll(self._read("keys").join(mine, ["kind", "h1", "h2"], "left_semi"))
-            titles = titles.unionAll(self._read("titles").join(titles.select("block").distinct(), "block", "left_semi"))
-            keys, titles = _merged_keys(keys), _merged_titles(titles)
+            keys = _merged_keys(keys.unionByName(self._read("keys", touched).join(mine, ["kind", "h1", "h2"], "left_semi")))
+            every = _merged_lists(lists.unionByName(self._read("lists", touched)))
+            old_pairs = self._read("pairs", touched).select("block", "tkey", "other")
+        pairs = self._near(lists, run, keep)
         if keep:
             self.runs.append(run)
             if len(self.runs) > MAX_RUNS:
                 self.compact()
-        return self._found(batch, keys, titles)
+        return self._found(batch, keys, lists, every, pairs if old_pairs is None else pairs.unionAll(old_pairs))
 
-    def _found(self, batch: DataFrame, keys: DataFrame, titles: DataFrame) -> DataFrame:
+    def _near(self, lists: DataFrame, run: str, keep: bool) -> DataFrame:
+        """block, tkey and other of the pairs of near titles that the batch brings; with keep its rows are kept in their ranges."""
+        rows = self.ranged(sorted_rows(lists)).withColumn("new", F.lit(True))
+        if self.runs:
+            rows = spool(rows, "batch-rows")
+            touched = [r[0] for r in rows.select("range").distinct().collect()]
+            old = self._read("rows", f"kind = {RUN} AND range IN ({', '.join(map(str, touched))})" if touched else "false")
+            rows = rows.unionAll(old.select(*_ROW, "range", F.lit(False).alias("new")))
+        ordered = rows.repartitionById(len(self.bounds) + 1, F.col("range")).sortWithinPartitions("range", "way", "block", "skey", "tkey")
+        out = self._at("rows", run) if keep else spool_path(self.spark, "near-titles")
+        ordered.mapInArrow(lambda b: _window(b, keep), _FOUND).write.partitionBy("kind", "range").parquet(out)
+        found = self.spark.read.schema(_FOUND).parquet(out)
+        first = F.floor(F.greatest(F.col("range") - SHARED, F.lit(0)) / BORDERS).cast("int")
+        groups = F.explode(F.array_distinct(F.array(first, F.floor(F.col("range") / BORDERS).cast("int"))))
+        ends = found.where(f"kind = {END}").withColumn("grp", groups)
+        across = ends.repartitionById(len(self.bounds) // BORDERS + 1, F.col("grp")).sortWithinPartitions("grp", "range", "place").mapInArrow(_borders, _FOUND)
+        pairs = found.where(f"kind = {PAIR}").unionByName(across).select("block", "tkey", "other").distinct()
+        if not keep:
+            return pairs
+        pairs.select("*", _part()).write.partitionBy("part").parquet(self._at("pairs", run))
+        return self.spark.read.schema(_HELD["pairs"]).parquet(self._at("pairs", run)).select("block", "tkey", "other")
+
+    def _found(self, batch: DataFrame, keys: DataFrame, lists: DataFrame, every: DataFrame, pairs: DataFrame) -> DataFrame:
         # a key that no later record has written can match only those that read without writing
         useful = keys.where("o_any < o_max OR kind = 'alone'")
         prior = F.when(F.col("has_doi") & (F.col("kind") != "doi"), F.col("o_nodoi")).otherwise(F.col("o_any"))
-        equal = _keys(batch, True).join(useful.drop("o_max"), ["kind", "h1", "h2"]).where(prior < F.col("o")).select("record_id")
-        first = same_titles(titles).unionAll(near_titles(titles)).groupBy("block", "tkey", "list_id").agg(F.min("near_any").alias("near_any"), F.min("near_nodoi").alias("near_nodoi"))
-        near = batch.where("tkey IS NOT NULL").select("record_id", "o", "doi", "block", "tkey", _list_id()).join(first, ["block", "tkey", "list_id"])
-        near = near.where(F.when(F.col("doi").isNull(), F.col("near_any")).otherwise(F.col("near_nodoi")) < F.col("o")).select("record_id")
-        return equal.unionAll(near).distinct()
-
-    def compact(self) -> None:
-        """All runs become one."""
-        run = f"{self.path}/run-{len(self.runs):05d}-compact"
-        _merged_keys(self._read("keys")).write.parquet(f"{run}/keys")
-        _merged_titles(self._read("titles")).repartitionByRange("block", "tkey").sortWithinPartitions("block", "tkey").write.parquet(f"{run}/titles")
-        self.runs = [run]
+        equal = _keys(batch, True).drop("part").join(useful.drop("o_max", "part"), ["kind", "h1", "h2"]).where(prior < F.col("o")).select("record_id")
+        both = pairs.unionAll(pairs.select("block", F.col("other").alias("tkey"), F.col("tkey").alias("other"))).distinct()
+        mine = lists.where("NOT generic").select("block", "tkey", "list_id", "o_max", "names")
+        theirs = every.where("NOT generic").select("block", F.col("tkey").alias("other"), F.col("o_any").alias("near_any"), F.col("o_nodoi").alias("near_nodoi"), F.col("names").alias("theirs"))
+        met = both.join(mine, ["block", "tkey"]).join(theirs, ["block", "other"]).where("near_any < o_max")
+        near = met.select("block", "tkey", "list_id", "near_any", "near_nodoi", "names", F.col("theirs").alias("other"), F.lit(True).alias("near")).mapInArrow(_agreeing, _AGREED)
+        first = same_titles(lists, every).unionAll(near).groupBy("block", "tkey", "list_id").agg(F.min("near_any").alias("near_any"), F.min("near_nodoi").alias("near_nodoi"))
+        held = batch.where("tkey IS NOT NULL").select("record_id", "o", "doi", "block", "tkey", _list_id()).join(first, ["block", "tkey", "list_id"])
+        held = held.where(F.when(F.col("doi").isNull(), F.col("near_any")).otherwise(F.col("near_nodoi")) < F.col("o")).select("record_id")
+        return equal.unionAll(held).distinct()
+
+    def compact(self, more: DataFrame | None = None) -> None:
+        """All runs become one, and the key ranges are cut anew, with room for more, so that they stay within their size."""
+        run, held = f"{self.made:05d}", list(self.runs)
+        lists = _merged_lists(self._read("lists", "true")) if held else more
+        if held:
+            self.made += 1
+            _merged_keys(self._read("keys", "true")).repartitionByRange("part", "h1").write.partitionBy("part").parquet(self._at("keys", run))
+            lists.repartitionByRange("part", "tkey").write.partitionBy("part").parquet(self._at("lists", run))
+            self._read("pairs", "true").distinct().repartition("part").write.partitionBy("part").parquet(self._at("pairs", run))
+            lists = self.spark.read.schema(_HELD["lists"]).parquet(self._at("lists", run))
+            if more is not None:
+                lists = lists.unionByName(more)
+        self.cut(lists)
+        if held:
+            rows = self.ranged(self._read("rows", f"kind = {RUN}").select(*_ROW)).repartitionById(len(self.bounds) + 1, F.col("range")).sortWithinPartitions("range", "way", "block", "skey", "tkey")
+            rows.withColumn("kind", F.lit(RUN)).write.partitionBy("kind", "range").parquet(self._at("rows", run))
+            self.runs = [run]
+
+
+_HELD = {
+    "keys": "kind string, h1 bigint, h2 bigint, o_any bigint, o_nodoi bigint, o_max bigint, part int",
+    "lists": "block bigint, tkey bigint, list_id bigint, o_any bigint, o_nodoi bigint, o_max bigint, title string, names string, generic boolean, part int",
+    "pairs": "block bigint, tkey bigint, other bigint, part int",
+    "rows": _FOUND,
+}
 
 
 def _merged_keys(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("kind", "h1", "h2").agg(F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"))
+    return keys.groupBy("kind", "h1", "h2").agg(F.min("part").alias("part"), F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"))
 
 
-def _merged_titles(titles: DataFrame) -> DataFrame:
-    return titles.groupBy("block", "tkey", "list_id").agg(F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))
+def _merged_lists(lists: DataFrame) -> DataFrame:
+    return lists.groupBy("block", "tkey", "list_id").agg(F.min("part").alias("part"), F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))

@@ -26,6 +26,8 @@ SHARD_BLOCKS = 256
 #: Tokens of a source that are packed by one task; each such bucket ends with one block that may be shorter.
 BUCKET_TOKENS = 1_000_000
 MAX_SOURCES = 10_000
+#: Buckets whose begins are summed by one task; a source of 10**15 tokens has 10**5 stretches.
+STRETCH = 10_000
 SEED = 7
 
 
@@ -68,24 +70,40 @@ def split_counts(totals: list[int], shards: int, shard: int, shard_slots: int, s
 
 
 def _hypergeometric(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """A draw of n of the counts, source by source; for numbers too large for the exact draw its normal limit."""
+    """A draw of n of the counts, source by source."""
     out, rest = np.zeros_like(counts), int(counts.sum())
     for i, c in enumerate(counts.tolist()):
         rest -= c
         if n == 0 or c == 0:
             continue
-        if c + rest < 1_000_000_000:
-            x = int(rng.hypergeometric(c, rest, n)) if rest else n
-        else:
-            all_ = c + rest
-            mean, var = n * c / all_, n * (c / all_) * (rest / all_) * (all_ - n) / (all_ - 1)
-            x = round(rng.normal(mean, var**0.5))
-        x = max(n - rest, 0, min(x, c, n))
-        out[i] = x
-        n -= x
+        out[i] = drawn(rng, c, rest, n)
+        n -= int(out[i])
     return out
 
 
+def drawn(rng: np.random.Generator, good: int, bad: int, n: int, widths: float = 40.0) -> int:
+    """How many good ones a draw of n from good and bad ones has, at any size: the distribution function is inverted.
+
+    The chances follow from the most likely number by the ratios of neighbours. They are summed as far as they
+    count in double precision: 40 standard deviations or all numbers there are.
+    """
+    lo, hi = max(0, n - bad), min(n, good)
+    if lo == hi:
+        return lo
+    whole = good + bad
+    mode = min(max((n + 1) * (good + 1) // (whole + 2), lo), hi)
+    spread = (n * (good / whole) * (bad / whole) * ((whole - n) / max(1, whole - 1))) ** 0.5
+    reach = int(widths * (spread + 1))
+    below, above = max(lo, mode - reach), min(hi, mode + reach)
+    # chance(k + 1) / chance(k), the factors being exact in doubles
+    k = np.arange(below, above, dtype=np.float64)
+    ratio = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(ratio)])
+    logs -= logs[mode - below]
+    total = np.cumsum(np.exp(logs))
+    return below + int(np.searchsorted(total, rng.random() * total[-1], side="right").clip(0, above - below))
+
+
 def permuted(position: np.ndarray, size: int, key: int) -> np.ndarray:
     """The place of each position in a pseudorandom permutation of 0 .. size - 1 (a Feistel network, walked until in range)."""
     if size <= 1:
@@ -132,7 +150,12 @@ def pack(encoded: DataFrame, length: int = BLOCK_TOKENS) -> DataFrame:
     of = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("tokens") / BUCKET_TOKENS))
     keyed = encoded.join(F.broadcast(sizes) if sizes.count() <= MAX_SOURCES else sizes, "source").select("source", of.alias("bucket"), "doc_id", "ids")
     per = keyed.groupBy("source", "bucket").agg(F.ceil(F.sum(F.size("ids")) / length).alias("n"))
-    begins = per.select("source", "bucket", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("begin"))
+    # begins are summed in two steps, so that no task holds more than STRETCH buckets, or stretches, of a source
+    per = per.withColumn("stretch", F.floor(F.col("bucket") / STRETCH))
+    stretches = per.groupBy("source", "stretch").agg(F.sum("n").alias("m"))
+    before = stretches.select("source", "stretch", (F.sum("m").over(Window.partitionBy("source").orderBy("stretch")) - F.col("m")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("source", "stretch").orderBy("bucket")) - F.col("n")
+    begins = per.withColumn("within", within).join(before, ["source", "stretch"]).select("source", "bucket", (F.col("before") + F.col("within")).alias("begin"))
     parts = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

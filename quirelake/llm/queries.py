@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates.format_duplicates(table(spark, d, "paper_records"))
 
 
+def p1_copies(spark: SparkSession, d: str) -> DataFrame:
+    return format_duplicates.copies_per_title(table(spark, d, "paper_records"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return golden.best_records(table(spark, d, "paper_records"), table(spark, d, "entity_memberships"))
 
@@ -42,7 +46,7 @@ def p4_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.History(spark).accept(table(spark, d, "paper_records"), table(spark, d, "data_releases"))
+    return history.History(spark).accept(table(spark, d, "paper_records"), table(spark, d, "data_releases"), keep=False)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +69,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_survivors, p3_found, p4_found, p4_composition, p6_found, p7_found, p8_ids, p9_mixture, p9_shares, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_survivors, p3_found, p4_found, p4_composition, p6_found, p7_found, p8_ids, p9_mixture, p9_shares, p10_found)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

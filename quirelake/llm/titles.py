@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import itertools
 import re
 import unicodedata
 from functools import lru_cache
@@ -16,7 +15,6 @@ _COMMAND = re.compile(r"\\[A-Za-z]+\*?(?=\s*\{)")
 _PART = re.compile(r"\s*[:|]\s*|\s+[-\u2010-\u2015]+\s+|\s*[\u2014\u2015]\s*")
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufe00-\ufe0f\ufeff]")
 _NOT_LETTER = re.compile(r"[\W_]+")
-MAX_PERMUTED = 4
 
 
 def missing(text: str | None) -> bool:
@@ -47,13 +45,26 @@ def title_parts(title: str | None, normalized: str | None) -> list[str]:
     return [p for p in map(letters, _PART.split(plain(normalized))) if p]
 
 
-def orders(parts: list[str]) -> list[str]:
-    """The letters of the title with its parts in each order; beyond four parts, in each rotation only."""
-    if len(parts) == 1:
-        return parts
-    if len(parts) <= MAX_PERMUTED:
-        return sorted({"".join(p) for p in itertools.permutations(parts)})
-    return sorted({"".join(parts[i:] + parts[:i]) for i in range(len(parts))})
+def spells(text: str, parts: list[str]) -> bool:
+    """Whether the text is the parts one after the other, in some order; for any number of parts, each used once.
+
+    Of the parts that the rest begins with, each distinct one is tried; a rest and the parts left for it are tried once.
+    """
+    if len(text) != sum(map(len, parts)):
+        return False
+    stack = [(0, tuple(sorted(parts)))]
+    tried = set(stack)
+    while stack:
+        at, left = stack.pop()
+        if not left:
+            return True
+        for i, p in enumerate(left):
+            if (i == 0 or left[i - 1] != p) and text.startswith(p, at):
+                step = (at + len(p), left[:i] + left[i + 1 :])
+                if step not in tried:
+                    tried.add(step)
+                    stack.append(step)
+    return False
 
 
 #: Letters that do not decompose into a base letter and a mark.

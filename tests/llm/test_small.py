@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.llm import bpe, components, format_duplicates, golden, history, mixing, names, spam, topics
-from quirelake.llm.titles import orders, plain, title_parts
+from quirelake.llm.titles import plain, spells, title_parts
 
 REC = "record_id string, venue string, year int, title string, normalized_title string, doi string, extra string, fp bigint"
 
@@ -24,7 +24,7 @@ def pairs(df):
 def test_titles():
     assert title_parts("Ａ&nbsp;<b>Big</b> Net: for​m", None) == ["abignet", "form"]
     assert title_parts("N/A", "a b c") == ["abc"] and title_parts(None, None) == []
-    assert orders(["b", "a"]) == ["ab", "ba"]
+    assert spells("abcab", ["ab", "c", "ab"]) and spells("aab", ["a", "ab"]) and not spells("abcba", ["ab", "c", "ab"])
     assert plain("{\\emph{X}}") == "{{x}}"
 
 
@@ -293,14 +293,69 @@ def test_history_meets_every_list_of_authors(spark):
     assert got == {f"{k}{i}" for k in "bd" for i in range(60)}, got
 
 
-def test_window_counts_titles_not_lists():
-    # a hundred lists of authors of one title between two near titles leave both within the window
-    row = lambda text, tkey, names, o: (0, 1, tkey, hash(names), o, o, o, text, names)
-    rows = [row("counting the small grains of river sand", 1, "sukolok yasmin", 1), *[row("counting the small grains of river sandbanks in lakes", 2, f"aaa{i} bbb{i}", 1) for i in range(100)], row("counting the small grains of river sands", 3, "sukolok yasmin", 2)]
-    out = []
-    history._compare(rows, out, 0)
-    assert {(o[1]) for o in out} == {1, 3}
-    assert history._ends(rows) == rows and history._ends([(0, 1, i) for i in range(30)]) == [(0, 1, i) for i in range(30 - history.WINDOW, 30)]
+def test_releases_one_by_one_give_the_same(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"{a}{b}{c}ing" for a in "bdfgl" for b in "aeiou" for c in "klmnr"]
+    people = [f"{a}{b}ovik" for a in ("sul", "tar", "gom", "pel") for b in ("ek", "on", "ut")]
+
+    def title(base):
+        w = list(base)
+        for _ in range(r.randrange(3)):
+            i = r.randrange(len(w))
+            w[i] = w[i][:2] + w[i][3:] if r.random() < 0.5 else w[i][1] + w[i][0] + w[i][2:]
+        return " ".join(w)
+
+    bases = [r.sample(words, 6) for _ in range(40)]
+    rows = [(f"x{i:03}", "V", r.randrange(3), None, r.choice([None, None, "10.1/a", "10.1/b"]), title(r.choice(bases)), None, "; ".join(f"{r.choice('AB')}nn {r.choice(people)}" for _ in range(2)) if r.random() < 0.9 else None, f"r{r.randrange(1, 6)}", None) for i in range(500)]
+    df = spark.createDataFrame(rows, HIST)
+    rel = spark.createDataFrame([(f"r{i}", f"2024-0{i}-01") for i in range(1, 6)], "release_id string, created_at string")
+    at_once = {x[0] for x in history.History(spark).accept(df, rel, keep=False).collect()}
+    monkeypatch.setattr(history, "MAX_RUNS", 3)
+    monkeypatch.setattr(history, "LEAST_ROWS", 300)
+    monkeypatch.setattr(history, "RANGE_ROWS", 500)
+    h, one_by_one = history.History(spark), set()
+    for i in range(1, 6):
+        one_by_one |= {x[0] for x in h.accept(df.where(f"release_id = 'r{i}'"), rel).collect()}
+    assert len(h.bounds) > 2 and len(h.runs) < 5
+    assert one_by_one == at_once and 50 < len(at_once) < 500
+    # many small ranges have the same pairs as one
+    assert {x[0] for x in history.History(spark).accept(df, rel, keep=False).collect()} == at_once
+
+
+def test_near_titles_beyond_common_words(spark):
+    rows = [("a", "V", 1, None, None, "Sparse Depth Fusion Networks", None, "Ann Lee", "r1", None), ("b", "V", 1, None, None, "Sparce Depht Fusin Networks", None, "Ann Lee", "r2", None),
+            ("c", "V", 2, None, None, "Counting Small Grains of River Sand", None, "Ann Lee", "r1", None), ("d", "V", 2, None, None, "Counting Smal Grains of River Sand", None, "Ann Lee", "r2", None), ("e", "V", 2, None, None, "Counting Smal Grains of River Sand", None, "Zed Zoo", "r2", None),
+            ("f", "V", 3, None, None, "Counting Small Grains of River Sand", None, "Ann Lee", "r1", None), ("g", "V", 3, None, None, "Counting Small Grains of River Sand", None, "Zed Zoo", "r1", None), ("h", "V", 3, None, None, "Counting Smal Grains of River Sand", None, "Zed Zoo", "r2", None)]
+    rel = spark.createDataFrame([("r1", "2024-01-01"), ("r2", "2024-02-01")], "release_id string, created_at string")
+    assert {x[0] for x in history.History(spark).accept(spark.createDataFrame(rows, HIST), rel).collect()} == {"b", "d", "h"}
+
+
+def test_letters_bound_loses_no_near_title():
+    r = random.Random(9)
+    words = [f"{a}{b}{c}ing" for a in "bdfgl" for b in "aeiou" for c in "klmnr"]
+    near = 0
+    for _ in range(4000):
+        a = r.sample(words, 7)
+        b = list(a)
+        for _ in range(r.randrange(4)):
+            i, k = r.randrange(len(b)), r.randrange(5)
+            w = b[i]
+            b[i] = (w[1:], w[:3] + "x" + w[3:], w[:2] + w[3:4] + w[2:3] + w[4:], w[:4] + "é" + w[5:], w)[k]
+        if r.random() < 0.3:
+            b = b[: r.randrange(4, 8)]
+        x, y = " ".join(a), " ".join(b)
+        if history.nearly_same(x, y):
+            near += 1
+            c = history._letter_counts(np.zeros(2, int), ["".join(history._content(x)), "".join(history._content(y))]).astype(int)
+            assert min(np.maximum(c[0] - c[1], 0).sum(), np.maximum(c[1] - c[0], 0).sum()) <= history._NEAR
+    assert near > 500
+
+
+def test_parts_in_any_number(spark):
+    rows = [rec("a", "One: Two: Three: Four: Five"), rec("b", "Two: One: Three: Four: Five"), rec("c", "five four three two one"), rec("d", "One: Two: Three: Four: Four"), rec("e", "A: BC"), rec("f", "AB: C"), rec("g", None, norm="abc"), rec("h", "x: x: y"), rec("i", "x: y: y"), rec("j", "y | X - x")]
+    got = pairs(format_duplicates.format_duplicates(spark.createDataFrame(rows, REC)))
+    assert {("a", "b"), ("a", "c"), ("h", "j")} <= got and not any("d" in p or "i" in p for p in got) and ("e", "f") not in got
+    assert sum("g" in p for p in got) == 1
 
 
 def test_format_duplicates_without_doi(spark):
