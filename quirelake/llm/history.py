@@ -315,8 +315,8 @@ def same_titles(mine: DataFrame, every: DataFrame) -> DataFrame:
     return wanted.join(other, ["block", "tkey"]).where("near_any < o_max").select("block", "tkey", "list_id", "near_any", "near_nodoi", "names", "other", F.lit(False).alias("near")).mapInArrow(_agreeing, _AGREED)
 
 
-_ROW = ("way", "block", "skey", "tkey", "title", "first", "last")
-_ROW_SCHEMA = "way int, block bigint, skey string, tkey bigint, title string, first bigint, last bigint"
+_ROW = ("way", "block", "skey", "tkey", "title", "first")
+_ROW_SCHEMA = "way int, block bigint, skey string, tkey bigint, title string, first bigint"
 
 
 def _by_title(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,8 +353,8 @@ def _rows(batch: pa.RecordBatch, ways: list[int], keys: list[str]) -> pa.RecordB
 def sorted_rows(lists: DataFrame) -> DataFrame:
     """The rows of all orders: a title by itself once, and with an author's hash once for each."""
     some = lists.where("NOT generic")
-    titles = some.groupBy("block", "tkey").agg(F.min("title").alias("title"), F.min("o_any").alias("first"), F.max("o_max").alias("last"))
-    named = some.where("names <> ''").select("block", "tkey", "title", "names", F.col("o_any").alias("first"), F.col("o_max").alias("last"))
+    titles = some.groupBy("block", "tkey").agg(F.min("title").alias("title"), F.min("o_any").alias("first"))
+    named = some.where("names <> ''").select("block", "tkey", "title", "names", F.col("o_any").alias("first"))
     return titles.mapInArrow(_by_title, _ROW_SCHEMA).unionAll(named.mapInArrow(_by_author, _ROW_SCHEMA))
 
 
@@ -372,7 +372,7 @@ def _letter_counts(ways: np.ndarray, keys: list[str]) -> np.ndarray:
     return np.minimum(out, 120).astype(np.int8)
 
 
-def _near_rows(way: np.ndarray, block: np.ndarray, tkey: np.ndarray, first: np.ndarray, last: np.ndarray, fresh: np.ndarray, keys: list[str], titles: pa.Array, source: np.ndarray | None = None) -> set[tuple[int, int, int]]:
+def _near_rows(way: np.ndarray, block: np.ndarray, tkey: np.ndarray, first: np.ndarray, fresh: np.ndarray, keys: list[str], titles: pa.Array, source: np.ndarray | None = None) -> set[tuple[int, int, int]]:
     """(block, title, near title) among sorted rows: each fresh row against WINDOW rows on each side of those that had come by then.
 
     Of two nearly same titles one has at most _NEAR letters that the other has not (four errors, or the end cut
@@ -397,7 +397,7 @@ def _near_rows(way: np.ndarray, block: np.ndarray, tkey: np.ndarray, first: np.n
                 old = ~new[other]
                 mine, other = mine[old], other[old]
             a, b = active[mine], active[other]
-            ok = (way[a] == way[b]) & (block[a] == block[b]) & (tkey[a] != tkey[b]) & ((first[b] < last[a]) | (first[a] < last[b]))
+            ok = (way[a] == way[b]) & (block[a] == block[b]) & (tkey[a] != tkey[b])
             if source is not None:
                 ok &= source[a] != source[b]
             a, b = a[ok], b[ok]
@@ -435,7 +435,7 @@ _FOUND = f"kind int, range int, place int, fresh boolean, other bigint, {_ROW_SC
 
 
 def _gives(kind: int, at: int, rows: pa.Table | None, n: int, fresh: np.ndarray | None = None, **columns: list[int]) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "range": pa.int32(), "place": pa.int32(), "fresh": pa.bool_(), "other": pa.int64(), "way": pa.int32(), "block": pa.int64(), "skey": pa.string(), "tkey": pa.int64(), "title": pa.string(), "first": pa.int64(), "last": pa.int64()}
+    kinds = {"kind": pa.int32(), "range": pa.int32(), "place": pa.int32(), "fresh": pa.bool_(), "other": pa.int64(), "way": pa.int32(), "block": pa.int64(), "skey": pa.string(), "tkey": pa.int64(), "title": pa.string(), "first": pa.int64()}
     out = []
     for c, kind_of in kinds.items():
         if c == "kind":
@@ -477,7 +477,7 @@ def _window(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.Record
 
 def _one_range(held: list[pa.RecordBatch], at: int, keep: bool) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(held).combine_chunks()
-    way, block, tkey, first, last = (rows.column(c).to_numpy() for c in ("way", "block", "tkey", "first", "last"))
+    way, block, tkey, first = (rows.column(c).to_numpy() for c in ("way", "block", "tkey", "first"))
     new = rows.column("new").to_numpy(zero_copy_only=False)
     keys = rows.column("skey").to_pylist()
     if keep:
@@ -488,15 +488,15 @@ def _one_range(held: list[pa.RecordBatch], at: int, keep: bool) -> Iterator[pa.R
     # rows of one title and key, from several runs, are one; it is new if it was in none
     n = len(way)
     begins = np.flatnonzero(np.r_[True, (way[1:] != way[:-1]) | (block[1:] != block[:-1]) | (tkey[1:] != tkey[:-1]) | np.fromiter((keys[i] != keys[i - 1] for i in range(1, n)), bool, n - 1)])
-    first, last, fresh = np.minimum.reduceat(first, begins), np.maximum.reduceat(last, begins), np.logical_and.reduceat(new, begins)
+    first, fresh = np.minimum.reduceat(first, begins), np.logical_and.reduceat(new, begins)
     rows = rows.take(pa.array(begins))
     way, block, tkey = way[begins], block[begins], tkey[begins]
     titles = rows.column("title").combine_chunks()
-    found = sorted(_near_rows(way, block, tkey, first, last, fresh, [keys[i] for i in begins.tolist()], titles))
+    found = sorted(_near_rows(way, block, tkey, first, fresh, [keys[i] for i in begins.tolist()], titles))
     yield _gives(PAIR, at, None, len(found), block=[f[0] for f in found], tkey=[f[1] for f in found], other=[f[2] for f in found])
     ends = _border_rows(first)
-    edge = rows.take(pa.array(ends)).drop_columns(["first", "last", "range", "new"])
-    yield _gives(END, at, edge, len(ends), fresh[ends], first=first[ends].tolist(), last=last[ends].tolist())
+    edge = rows.take(pa.array(ends)).drop_columns(["first", "range", "new"])
+    yield _gives(END, at, edge, len(ends), fresh[ends], first=first[ends].tolist())
 
 
 def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,8 +506,8 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     for g in sorted(set(table.column("grp").to_pylist())):
         rows = table.filter(pa.array((table.column("grp").to_numpy() == g).tolist())).combine_chunks()
-        way, block, tkey, first, last, source = (rows.column(c).to_numpy() for c in ("way", "block", "tkey", "first", "last", "range"))
-        found = sorted(_near_rows(way, block, tkey, first, last, rows.column("fresh").to_numpy(zero_copy_only=False), rows.column("skey").to_pylist(), rows.column("title").combine_chunks(), source))
+        way, block, tkey, first, source = (rows.column(c).to_numpy() for c in ("way", "block", "tkey", "first", "range"))
+        found = sorted(_near_rows(way, block, tkey, first, rows.column("fresh").to_numpy(zero_copy_only=False), rows.column("skey").to_pylist(), rows.column("title").combine_chunks(), source))
         yield _gives(PAIR, 0, None, len(found), block=[f[0] for f in found], tkey=[f[1] for f in found], other=[f[2] for f in found])
 
 
@@ -590,7 +590,8 @@ class History:
         rows = self.ranged(sorted_rows(lists)).withColumn("new", F.lit(True))
         if self.runs:
             rows = spool(rows, "batch-rows")
-            touched = [r[0] for r in rows.select("range").distinct().collect()]
+            # with the neighbours of a range that is touched, as windows go on beyond its ends
+            touched = sorted({r[0] + i for r in rows.select("range").distinct().collect() for i in (-1, 0, 1)})
             old = self._read("rows", f"kind = {RUN} AND range IN ({', '.join(map(str, touched))})" if touched else "false")
             rows = rows.unionAll(old.select(*_ROW, "range", F.lit(False).alias("new")))
         ordered = rows.repartitionById(len(self.bounds) + 1, F.col("range")).sortWithinPartitions("range", "way", "block", "skey", "tkey")
