@@ -1,20 +1,25 @@
 """Several values packed in one field.
 
 A parsing expression grammar reads the field. Its alternatives are ordered and the first that fits
-wins, so a malformed quote or bracket goes back to the next alternative and is flagged.
+wins, so a malformed quote, bracket or parenthesis goes back to the next alternative, which takes the mark by itself
+and flags it. Each rule is a function of a position that gives the position after what it took, or -1.
 
     field    <- SP ( bracket / list ) SP
-    bracket  <- '[' SP quoted ( (',' / SP) SP quoted )* SP ']'
-    list     <- sep* item ( sep+ item )* sep*
-    item     <- quoted affil? &end / bare
-    quoted   <- '"' ( '\\' . / !'"' . )* '"' / "'" ( '\\' . / !( "'" end ) . )* "'"
-    bare     <- ( paren / !sep . )+
-    paren    <- '(' ( paren / !')' . )* ')'
-    sep      <- [;|\\n\\r\\t] / wide ';' / ideographic ',' / ' / ' / ' · ' / '&' / ' and ' / ','
+    bracket  <- '[' SP quote ( SP ','? SP quote )* SP ','? SP ']' SP !.
+    quote    <- '"' ( '\\' . / !'"' . )* '"' / "'" ( '\\' . / !( "'" SP ( [,'] / ']' / !. ) ) . )* "'"
+    list     <- ( separator / and / affil / item / mark / run / . )*
+    item     <- double &( SP ( affil SP )? ( separator / [,&'"] / ']' / 'and' / !. ) )
+    double   <- '"' ( '\\' . / !'"' . )* '"'
+    affil    <- '(' ( affil / !')' . )* ')', to any depth, and the same of wide parentheses
+    separator <- [;|\\n\\r\\t] / wide ';' / ideographic ',' / S [/·] S
+    and      <- SP '&' SP / S+ 'and' S+, unless the subject of an organisation goes on
+    mark     <- a quote or parenthesis without its other half, flagged
+    run      <- ( !S !special . )+
 
 The comma is a separator of the list, except where it stands inside one name written with the family
 name first: a single word (or the rest of an organisation's name) before it, given names after it.
-'and' and '&' are no separators inside the subject of an organisation ("Center for Search and Planning").
+'and' and '&' are no separators inside the subject of an organisation ("Center for Search and Planning"), nor between
+a word and itself ("Johnson and Johnson").
 """
 
 from __future__ import annotations
@@ -29,28 +34,15 @@ from pyspark.sql import types as T
 from quirelake.functions.missing import PLACEHOLDERS
 
 _WS = " \t\n\r\x0b\x0c\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
-_PAREN = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-_WIDE_PAREN = r"（[^（）]*）"
-#: One step of the grammar; the order of the alternatives is the order of choice.
-_STEP = re.compile(
-    rf"""(?P<paren>{_PAREN}|{_WIDE_PAREN})
-       |(?P<quoted>"(?:\\.|[^"\\])*")(?=\s*(?:{_PAREN}\s*)?(?:[,;|&/，；、·\]\n\r\t]|\band\b|$|"|'))
-       |(?P<sep>[;|\n\r\t；、]|\s[/·]\s)
-       |(?P<amp>\s*&\s*|\s+and\s+)
-       |(?P<comma>[,，])
-       |(?P<text>[^()（"；;、|\n\r\t&,，/·\s]+)
-       |(?P<space>[^\S\n\r\t]+(?![/·]\s)(?!and\s))
-       |(?P<other>.)""",
-    re.X | re.S,
-)
-_BRACKET = re.compile(r"""^\s*\[\s*((?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\]|'(?!\s*(?:[,\]]|')))*')(?:\s*,?\s*(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\]|'(?!\s*(?:[,\]]|')))*'))*)\s*,?\s*\]\s*$""", re.S)
-_QUOTED = re.compile(r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\]|'(?!\s*(?:[,\]]|'|$)))*'""", re.S)
+_RUN = re.compile(r"[^()（）\"；;、|&,，/·\s]+")
+_SPACE = re.compile(r"\s+")
+_DOUBLE = re.compile(r'"(?:\\.|[^"\\])*"', re.S)
+_SINGLE = re.compile(r"'(?:\\.|[^'\\]|'(?!\s*(?:[,\]']|$)))*'", re.S)
 _EASY = re.compile(r"^[^\"'“”‘’\[\]()（）&|,，；、/·\n\r\t\\{}]*$")
 _SUBJECT = re.compile(r"\b(?:of|for|on)\s+[\w-]+$", re.I)
 _HEAD = re.compile(r"^(?:the\s+)?(?:[\w.]+\s+){0,2}(?:of|for|on)\s+\w+", re.I)
 _SUFFIX = re.compile(r"^(?:jr|sr|ii|iii|iv|ph\.?d|md)\.?$", re.I)
 _INITIAL = re.compile(r"^(?:[^\W\d_]\.?-?){1,3}\.?$")
-_AFFIL = re.compile(rf"\s*(?:{_PAREN}|{_WIDE_PAREN})")
 _PAIRS = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "„": "“"}
 
 QUOTE, BRACKET, EMPTY, PARENS = 1, 2, 4, 8
@@ -92,6 +84,145 @@ def _clean(name: str) -> str:
     return name
 
 
+class _Grammar:
+    """The rules over one field."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.flag = text, 0
+        self.closes = _closes(text) if "(" in text or "（" in text else {}
+
+    def spaces(self, at: int) -> int:
+        m = _SPACE.match(self.text, at)
+        return m.end() if m else at
+
+    def affil(self, at: int) -> int:
+        return self.closes.get(at, -1)
+
+    def quote(self, at: int) -> int:
+        for rule in (_DOUBLE, _SINGLE):
+            if m := rule.match(self.text, at):
+                return m.end()
+        return -1
+
+    def bracket(self) -> list[str]:
+        """The quotes of a bracket that is the whole field, or none."""
+        out: list[str] = []
+        at = self.spaces(1)
+        while (end := self.quote(at)) >= 0:
+            out.append(self.text[at:end])
+            at = self.spaces(end)
+            if self.text[at : at + 1] == ",":
+                at = self.spaces(at + 1)
+        return out if self.text[at : at + 1] == "]" and self.spaces(at + 1) == len(self.text) else []
+
+    def item(self, at: int) -> int:
+        m = _DOUBLE.match(self.text, at)
+        if not m:
+            return -1
+        then = self.spaces(m.end())
+        if (end := self.affil(then)) >= 0:
+            then = self.spaces(end)
+        ends = then == len(self.text) or self.text[then] in ",;|&/，；、·]\"'" or any(c in "\n\r\t" for c in self.text[m.end() : then]) or re.compile(r"\band\b").match(self.text, then)
+        return m.end() if ends else -1
+
+    def conjunction(self, at: int) -> int:
+        """and, with the blanks around it."""
+        then = self.spaces(at)
+        if self.text[then : then + 1] == "&":
+            return self.spaces(then + 1)
+        if then > at and self.text.startswith("and", then) and (end := self.spaces(then + 3)) > then + 3:
+            return end
+        return -1
+
+    def separator(self, at: int) -> int:
+        c = self.text[at]
+        if c in ";|\n\r\t；、":
+            return at + 1
+        if c.isspace() and self.text[at + 1 : at + 2] in ("/", "·") and self.text[at + 2 : at + 3].isspace():
+            return at + 3
+        return -1
+
+    def joined(self, now: str, end: int) -> bool:
+        """Whether what the conjunction parts is one name all the same."""
+        word = now.strip(_WS)
+        if word and " " not in word and self.text.startswith(word, end):
+            then = self.spaces(end + len(word))
+            if then == len(self.text) or self.text[then] in ",;|；、，(（\n":
+                return True
+        return bool(_SUBJECT.search(now.rstrip()))
+
+    def values(self) -> list[tuple[str, bool]]:
+        """The chunks of the list, and whether each is a quoted item."""
+        text, n = self.text, len(self.text)
+        out: list[tuple[str, bool]] = []
+        now, after_item, at = "", False, 0
+        while at < n:
+            if (end := self.affil(at)) >= 0:
+                at = end
+                continue
+            c = text[at]
+            if c == '"':
+                held = now.strip(_WS + ",")
+                end = self.item(at)
+                if end >= 0 and held and not now.rstrip().endswith((",", "，")):
+                    now += text[at:end]  # within a bare value
+                elif end >= 0:
+                    out += [(now, False), (text[at:end], True)]
+                    now, after_item = "", True
+                else:
+                    self.flag |= QUOTE
+                    end = at + 1
+            elif (end := self.separator(at)) >= 0:
+                out.append((now, False))
+                now, after_item = "", False
+            elif (c == "&" or c.isspace()) and (end := self.conjunction(at)) >= 0:
+                if self.joined(now, end):
+                    now += text[at:end]
+                else:
+                    out.append((now, False))
+                    now, after_item = "", False
+            elif c in ",，":
+                end = at + 1
+                if not (after_item and not now.strip(_WS)):
+                    now += c
+                after_item = False
+            elif m := _RUN.match(text, at):
+                end = m.end()
+                now += m.group()
+            else:
+                end = at + 1
+                if c in "()（）":
+                    self.flag |= PARENS
+                now += c
+            at = end
+        out.append((now, False))
+        return [(c, q) for c, q in out if c.strip(_WS)]
+
+
+def _closes(text: str) -> dict[int, int]:
+    """The place after the parenthesis that closes each one, for those that are closed."""
+    out: dict[int, int] = {}
+    for left, right in ("()", "（）"):
+        stack: list[int] = []
+        for m in re.finditer(f"[{left}{right}]", text):
+            if m.group() == left:
+                stack.append(m.start())
+            elif stack:
+                out[stack.pop()] = m.end()
+    return out
+
+
+def _without_affiliations(text: str) -> str:
+    """The text without its parenthesised parts and the blanks before them."""
+    closes = _closes(text)
+    kept, at = [], 0
+    for begin in sorted(closes):
+        if begin >= at:
+            kept.append(text[at:begin].rstrip())
+            at = closes[begin]
+    return "".join([*kept, text[at:]])
+
+
 def parse_packed(text: str | None) -> list[tuple[str, int]]:
     """The values of one field with their flags: 1 malformed quote, 2 malformed bracket, 4 empty place, 8 unbalanced parenthesis.
 
@@ -105,55 +236,19 @@ def parse_packed(text: str | None) -> list[tuple[str, int]]:
     flag = 0
     if _EASY.match(bare) and " and " not in bare:
         chunks: list[tuple[str, bool]] = [(c, False) for c in bare.split(";")]
-    elif bare[0] == "[" and (m := _BRACKET.match(bare)):
-        chunks = [(q, True) for q in _QUOTED.findall(m[1])]
+    elif bare[0] == "[" and (quotes := _Grammar(bare).bracket()):
+        chunks = [(q, True) for q in quotes]
     else:
         if bare[0] == "[":
             flag |= BRACKET
             bare = bare[1:-1] if bare.endswith("]") else bare[1:]
-        chunks, now = [], ""
-        for m in _STEP.finditer(bare):
-            kind, part = m.lastgroup, m.group()
-            if kind == "sep":
-                chunks.append((now, False))
-                now = ""
-            elif kind == "amp":
-                if _SUBJECT.search(now.rstrip()):
-                    now += part
-                else:
-                    chunks.append((now, False))
-                    now = ""
-            elif kind == "quoted":
-                if now.strip(_WS + ","):
-                    if now.rstrip().endswith((",", "，")):
-                        chunks.append((now, False))
-                    else:
-                        now += part
-                        continue
-                chunks.append((part, True))
-                now = "\x00"
-            elif kind == "comma":
-                if now == "\x00":
-                    now = ""
-                else:
-                    now += part
-            elif kind == "paren":
-                continue
-            elif kind == "other":
-                if part == '"':
-                    flag |= QUOTE
-                    continue
-                if part in "()（）":
-                    flag |= PARENS
-                now += part
-            else:
-                now += part
-        chunks.append((now, False))
-        chunks = [(c.replace("\x00", ""), q) for c, q in chunks if c.strip(_WS + "\x00")]
+        g = _Grammar(bare)
+        chunks = g.values()
+        flag |= g.flag
     out = []
     for chunk, whole in chunks:
         for name in [chunk] if whole else _names(chunk):
-            name = _clean(_AFFIL.sub("", name) if "(" in name or "（" in name else name).strip(_WS + ",;")
+            name = _clean(_without_affiliations(name) if "(" in name or "（" in name else name).strip(_WS + ",;")
             if name.lower() in PLACEHOLDERS or not any(c.isalnum() for c in name):
                 flag |= EMPTY if name else 0
                 continue

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from quirelake.operators.packed import BRACKET, QUOTE, parse_packed, split_packed
+from quirelake.operators.packed import BRACKET, PARENS, QUOTE, parse_packed, split_packed
 
 CASES = {
     "Tamara V. Rivam; Vlal, A.": ["Tamara V. Rivam", "Vlal, A."],
@@ -14,6 +14,9 @@ CASES = {
     "L N, L D & L J. L": ["L N", "L D", "L J. L"],
     "Drust, A.": ["Drust, A."],
     "X Y (Poly (North Campus), Ardel); X. G": ["X Y", "X. G"],
+    "X Y (Poly (North (Hall (4))), Ardel); X. G": ["X Y", "X. G"],
+    "Johnson and Johnson; A B": ["Johnson and Johnson", "A B"],
+    "Johnson and Johnston": ["Johnson", "Johnston"],
     "K Institute of Language and Reasoning and Tom B": ["K Institute of Language and Reasoning", "Tom B"],
     "; A B;; C D ; ": ["A B", "C D"],
     "A B / C D | E F\nG H": ["A B", "C D", "E F", "G H"],
@@ -37,6 +40,10 @@ def test_flags():
     assert parse_packed('["A B; C D')[0][1] & BRACKET
     assert parse_packed('"A B; C D')[0][1] & QUOTE
     assert parse_packed("A B; C D")[0][1] == 0
+    assert parse_packed("A B (p (q (r (s)))); C D") == [("A B", 0), ("C D", 0)]
+    assert parse_packed("A B (p (q; C D")[0][1] & PARENS and parse_packed("(" * 50_000 + "A")[0][1] & PARENS
+    # a quote without its end goes back to a bare value; the separators in it count again
+    assert parse_packed('"A B; C D') == [("A B", QUOTE), ("C D", QUOTE)]
 
 
 @given(st.lists(st.from_regex(r"[A-Z][a-z]{2,8} [A-Z][a-z]{2,8}", fullmatch=True), min_size=1, max_size=6), st.sampled_from(["; ", ";", " | ", "|", "\n", "; \t", "；", "、", " / ", ", ", " & ", " and "]))
