@@ -4,11 +4,12 @@ Method: each page is cut into lines (long lines into pieces at sentence ends), e
 a small alphabet, and a hidden Markov model labels the lines as prose, link list, tag list, menu or
 other matter (tables, code, references). The model is trained on the symbol sequences of all pages by
 expectation maximization, beginning from the fixed emissions below; equal sequences are counted
-once. Pages are flagged by the size of the lines that are not prose.
+once. Pages are flagged by the share of their words in lines of links, tags and menus.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,23 +45,25 @@ _START = {
 }
 STAY = 0.8
 ROUNDS = 3
-#: A page is flagged when more than this share of it lies in links, tags and menus; a little below one half, as single
-#: lines of a stuffed page may look like prose, while on other pages such lines make up less than a third.
-THRESHOLD = 0.4
+#: A page is flagged when more than this share of its words lies in links, tags and menus: its larger part.
+THRESHOLD = 0.5
 
 _URL = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@.])(?:[a-z0-9-]{2,}\.)+[a-z]{2,12}(?:/\S*)?(?![\w.])|!?\[[^\]]*\]\([^)\s]*\)|<a\s[^>]*>.*?</a>", re.I | re.S)
 _TAGS = re.compile(r"<[^<>]{1,300}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
 _HAN = re.compile(r"[㐀-鿿぀-ヿ가-힯]")
 _SEPARATOR = re.compile(r"\s*[,;|·•★☆>»→,、，；/]+\s*|\s+[-–—]\s+|#|\t+|\s{2,}")
-_END = re.compile(r"(?<=[.!?。！？…])[\"'”’)\]]*\s+|(?<=[。！？])")
+_END = re.compile(r"(?<=[.!?。！？…؟۔।])[\"'”’)\]]*\s+|(?<=[。！？])")
 _PRICE = re.compile(r"(?:[$€£¥]\s?\d|\d+[.,]\d{2}\b|-\d+\s?%|\b\d+\s?(?:GB|TB|MB|kg|cm|mm)\b)", re.I)
 _HEADING = re.compile(r"^\s{0,3}#{1,6}\s")
 _CODE = re.compile(r"^\s*(?:```|def \w+\(|for \w+ in \S+:?$|(?:if|while) .*:\s*$|return\b.{0,40}$|import \w+$|class \w+[(:]|\w+\s*[-+*/]?=\s|\|.*\|\s*$|[{}();]+\s*$|\$\$|\\begin|\\end)")
 _INDEX = re.compile(r"^\s*(?:index terms|key\s?words|keywords and phrases|schlagw\w+|mots[- ]cl\w+|palabras clave|关键词|classification|classes|categories|ccs concepts|acm|msc|tags|related|labels?|stichw\w+)\s*[:：—-]", re.I)
 _REFERENCE = re.compile(r"^\s*(?:\d+\.\s*)?\[\d+\]\s|^\s*\d+\.\s+[A-Z]\w+\s[A-Z]\.|\b(?:et al\.|doi:|arXiv:)", re.I)
 _NOISE = re.compile(r"(.)\1{9,}|(?<!\S)1234567890(?!\S)|(?<![\w/.:-])[A-Za-z0-9+/=]{60,}(?![\w/.:-])", re.S)
-_STOP = re.compile(r"[.!?](?:[\"'”’)\]\s]|$)|[。！？]")
+_STOP = re.compile(r"[.!?؟۔।](?:[\"'”’)\]\s]|$)|[。！？]")
+_INNER = re.compile(r"\.\S")
+_DIGIT = re.compile(r"\d")
+_SEPARATING = re.compile(r"[,;|·•★☆>»→,、，；/#\t]|\s[-–—]|\s{2}")
 _NOT_HAN = re.compile(r"[^㐀-鿿぀-ヿ가-힯]+")
 
 # Frequent function words of the languages of the corpus, by which running text is told from lists.
@@ -110,64 +113,67 @@ def _pieces(text: str) -> Iterator[tuple[str, bool]]:
                 yield " ".join(run), False
 
 
-_MARKS = re.compile(r"[<\[|#;•·★☆>→\t@$€£¥]|http|www\.")
+def _size(text: str) -> int:
+    """Words of a text; two characters of Chinese, Japanese and Korean make one."""
+    han = 0 if text.isascii() else len(_HAN.findall(text))
+    return len(_WORD.findall(_HAN.sub(" ", text) if han else text)) + -(-han // 2)
 
 
-def _plain_prose(line: str) -> int:
-    """The number of words of a line that is plainly running text, else 0; it spares most lines the closer look."""
-    if line[-1] not in ".!?":
-        return 0
-    words = line.lower().split()
-    n = len(words)
-    if n < 6 or line.count(",") * 5 > n or _MARKS.search(line):
-        return 0
-    if 10 * len(set(words)) < 6 * n or max(map(len, words)) > 59:
-        return 0
-    return n if sum(map(FUNCTION_WORDS.__contains__, words)) * 7 >= n else 0
+def _noisy(text: str) -> bool:
+    """Whether the page may hold noise: a run of ten equal characters, or of 60 without a blank, or of all digits."""
+    if "1234567890" in text or max(map(len, text.split()), default=0) >= 60:
+        return True
+    flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    changes = np.flatnonzero(flat[1:] != flat[:-1])
+    return len(flat) >= 10 and int(np.diff(np.concatenate([[-1], changes, [len(flat) - 1]])).max()) >= 10
 
 
-def _size(text: str) -> int:
-    han = len(_HAN.findall(text))
-    return len(_WORD.findall(_HAN.sub(" ", text) if han else text)) + -(-han // 2)
+def _symbol(line: str, whole: bool) -> tuple[str, int, list[str]]:
+    """The symbol of a line, its words in number (those of addresses too), and its content words."""
+    plain = line.isascii()
+    # each kind of address has one of these marks, so most lines need no search for them
+    links = _URL.findall(line) if "://" in line or "](" in line or "<" in line or "." in line[:-1] and _INNER.search(line) else []
+    bare = _TAGS.sub(" ", _URL.sub(" ", line)) if links or "<" in line else line
+    han = [] if plain else _HAN.findall(bare)
+    low = _WORD.findall((_HAN.sub(" ", bare) if han else bare).lower())
+    size = len(low) + -(-len(han) // 2)
+    whole_size = _size(line) if links else size
+    tokens = low + ["".join(p) for p in zip(han[::2], han[1::2], strict=False)] if han else low
+    content = [w for w in tokens if w not in FUNCTION_WORDS]
+    if links:
+        linked = sum(max(1, _size(x[: x.find("](")] if x.startswith(("[", "!")) else "")) for x in links)
+        if linked >= 0.6 * (size + linked) or (len(links) > 2 and size < 3 * len(links)) or size <= 8 and len(han) <= 6 and len(content) == len(tokens) and not _is_reference(line, True):
+            return "L", whole_size, content
+    return _kind(line, bare, whole, low, han, tokens, content, size), whole_size, content
 
 
-def symbol(line: str, whole: bool = True) -> tuple[str, int]:
-    """The symbol of a line and its size: its characters without blanks and noise, those of Chinese, Japanese and Korean three times."""
-    line = line.strip()
-    if not line:
-        return "N", 0
-    if n := _plain_prose(line):
-        return "S", len(line) - n
-    line = _NOISE.sub(" ", line)
-    return _symbol(line, whole), sum(map(len, line.split())) + 2 * len(_HAN.findall(line))
+def _is_reference(line: str, begins: bool) -> bool:
+    """Whether the line begins as a reference, or (begins false) has the marks of one."""
+    low = line.lower()
+    if not (line[:1] == "[" or line[:1].isdigit() or "et al." in low or "doi:" in low or "arxiv:" in low):
+        return False
+    return bool(_REFERENCE.match(line) if begins else _REFERENCE.search(line))
 
 
-def _symbol(line: str, whole: bool) -> str:
-    links = _URL.findall(line)
-    bare = _TAGS.sub(" ", _URL.sub(" ", line)) if links or "<" in line else line
-    han = _HAN.findall(bare)
-    words = _WORD.findall(_HAN.sub(" ", bare) if han else bare)
-    size = len(words) + -(-len(han) // 2)
-    linked = sum(max(1, _size(x[: x.find("](")] if x.startswith(("[", "!")) else "")) for x in links)
-    if links and (linked >= 0.6 * (size + linked) or (len(links) > 2 and size < 3 * len(links)) or size <= 8 and len(han) <= 6 and FUNCTION_WORDS.isdisjoint(map(str.lower, words)) and not _REFERENCE.match(line)):
-        return "L"
+def _kind(line: str, bare: str, whole: bool, low: list[str], han: list[str], tokens: list[str], content: list[str], size: int) -> str:
     if size == 0:
         return "N"
-    if whole and _CODE.match(line) and not _PRICE.search(line):
+    digits = _DIGIT.search(line) is not None
+    if whole and _CODE.match(line) and not (digits and _PRICE.search(line)):
         return "C"
-    low = [w.lower() for w in words]
-    running = sum(w in FUNCTION_WORDS for w in low)
-    tokens = low + (["".join(p) for p in zip(han[::2], han[1::2], strict=False)] if han else [])
-    counts = Counter(tokens)
-    repeated = sum(n for n in counts.values() if n > 2) / max(1, len(tokens))
+    running = len(tokens) - len(content)
+    distinct = set(tokens)
     ends = len(_STOP.findall(bare))
-    content = [w for w in tokens if w not in FUNCTION_WORDS]
-    often = sorted((n for w, n in counts.items() if w not in FUNCTION_WORDS), reverse=True)
-    # a few words make up half of it, or a list or short calls repeat most of their words
-    stuffed = len(content) >= 6 and often[0] > 2 and sum(often[:3]) >= 0.5 * len(content)
-    if not ends or size <= 7 * ends:
-        stuffed |= len(content) >= 6 and sum(n for n in often if n > 2) >= 0.6 * len(content) or len(content) >= 10 and 5 * len(often) <= 2 * len(content)
-    if han and len(han) > 2 * len(words):
+    repeated, stuffed = 0.0, False
+    if len(tokens) - len(distinct) > 1:  # else no word comes three times
+        counts = Counter(tokens)
+        repeated = sum(n for n in counts.values() if n > 2) / len(tokens)
+        often = sorted((n for w, n in counts.items() if w not in FUNCTION_WORDS), reverse=True)
+        # a few words make up half of it, or a list or short calls repeat most of their words
+        stuffed = len(content) >= 6 and often[0] > 2 and sum(often[:3]) >= 0.5 * len(content)
+        if not ends or size <= 7 * ends:
+            stuffed |= len(content) >= 6 and sum(n for n in often if n > 2) >= 0.6 * len(content) or len(content) >= 10 and 5 * len(often) <= 2 * len(content)
+    if len(han) > 2 and len(han) > 2 * len(low):
         # Chinese: sentences have stops and long runs, lists have blanks or marks between short runs
         runs = [len(r) for r in _NOT_HAN.split(bare) if r]
         if stuffed and len(content) >= 10:
@@ -181,22 +187,23 @@ def _symbol(line: str, whole: bool) -> str:
         if len(runs) <= 2:
             return "M"
         return "R" if repeated >= 0.5 else "T"
-    if line.count("#") >= 3 and line.count("#") * 6 >= size:
+    if (tags := line.count("#")) >= 3 and tags * 6 >= size:
         return "T"
-    if _HEADING.match(line) and size <= 14:
+    if size <= 14 and _HEADING.match(line):
         return "H"
     share = running / size
-    separators = len(_SEPARATOR.findall(bare.strip()))
-    if _REFERENCE.search(line) and size <= 40 and not stuffed:
+    if size <= 40 and not stuffed and _is_reference(line, False):
         return "Q"
     if stuffed or ends >= 4 and size <= 5.5 * ends:
         return "R"
-    if _PRICE.search(line) and share < 0.1 and size <= 30 and not ends > 1:
+    if digits and share < 0.1 and size <= 30 and not ends > 1 and _PRICE.search(line):
         return "P"
-    if _INDEX.match(line) and repeated < 0.35 and size <= 80:
+    if repeated < 0.35 and size <= 80 and _INDEX.match(line):
         return "K"
-    if separators >= 3 and size / (separators + 1) <= 5 and share < (0.12 if ends else 0.45 if separators >= 5 else 0.3):
-        return "R" if repeated >= 0.5 else "T"
+    if share < (0.12 if ends else 0.45) and len(_SEPARATING.findall(bare)) >= 3:
+        separators = len(_SEPARATOR.findall(bare.strip()))
+        if separators >= 3 and size / (separators + 1) <= 5 and share < (0.12 if ends else 0.45 if separators >= 5 else 0.3):
+            return "R" if repeated >= 0.5 else "T"
     if not ends and size <= 6:
         return "M"
     if share >= 0.12 and size >= 4 or ends and size >= 3 and share > 0:
@@ -205,19 +212,49 @@ def _symbol(line: str, whole: bool) -> str:
         return "s"
     if size <= 6:
         return "M"
+    if not bare.isascii() and share == 0 and _foreign(bare):
+        # no function words are known of the script: words that run on without separators and repetition are a sentence's
+        return "R" if repeated >= 0.3 else "s"
     return "R" if repeated >= 0.3 else "T" if share < 0.06 else "s"
 
 
+def _foreign(text: str) -> bool:
+    """Whether most letters are of a script other than Latin, Chinese, Japanese and Korean."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" and not _HAN.match(c) for c in letters) > len(letters)
+
+
+#: A page is stuffed if so many of its content words are this share of all of them; then a line is stuffed if half of its own are words that make up so much of the page.
+PAGE_WORDS, PAGE_SHARE, WORD_SHARE, PAGE_LEAST = 5, 0.4, 0.05, 40
+
+
 def observe(text: str | None) -> tuple[str, list[int]]:
-    """The symbols of a page's lines and their sizes."""
-    seen, sizes = [], []
+    """The symbols of a page's lines and their words in number."""
     pieces = list(_pieces(text or ""))
-    often = {k for k, n in Counter(p for p, _ in pieces if len(p) <= 80).items() if n > 2} if len(pieces) > 5 else ()
+    seen, sizes, contents = [], [], []
+    noisy = bool(pieces) and _noisy(text)
     for piece, whole in pieces:
-        s, n = symbol(piece, whole)
-        # a short line that comes again and again, unless it is a sentence or has a part in a table
-        seen.append("R" if s in "MsT" and piece in often and piece[-1] not in ".!?。" else s)
+        s, n, content = _symbol((_NOISE.sub(" ", piece) if noisy else piece).strip(), whole)
+        seen.append(s)
         sizes.append(n)
+        contents.append(content)
+    if len(pieces) > 5:
+        # a line that comes again and again
+        often = {k for k, n in Counter(p for p, _ in pieces).items() if n > 2}
+        if often:
+            for i, (piece, _) in enumerate(pieces):
+                if seen[i] in "MsTS" and piece in often:
+                    seen[i] = "R"
+    total = sum(map(len, contents))
+    if total >= PAGE_LEAST and ("S" in seen or "s" in seen):
+        # if few words make up their share, the others leave no room for more distinct ones than this
+        if len(set().union(*contents)) <= PAGE_WORDS + (1 - PAGE_SHARE) * total:
+            counts = Counter(w for c in contents for w in c)
+            if sum(heapq.nlargest(PAGE_WORDS, counts.values())) >= PAGE_SHARE * total:
+                least = max(6, WORD_SHARE * total)
+                for i, c in enumerate(contents):
+                    if seen[i] in "Ss" and c and 2 * sum(counts[w] >= least for w in c) >= len(c):
+                        seen[i] = "R"
     return "".join(seen), sizes
 
 
