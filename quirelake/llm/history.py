@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quirelake.functions.missing import doi_key
 from quirelake.llm.golden import instant
-from quirelake.llm.names import _HEADS, _SMALL, _TITLES, LEGAL_FORMS, NICKNAMES
+from quirelake.llm.names import _HEADS, _SMALL, _TITLES, GIVEN, LEGAL_FORMS
 from quirelake.llm.titles import fold, missing, plain, title_parts
 from quirelake.operators.packed import parse_packed
 from quirelake.session import spool, spool_path
@@ -77,7 +77,7 @@ def author_words(authors: str | None) -> set[str]:
             core = [w for w in words if w not in _SMALL]
             out.update(core[:1])
         else:
-            out.update(NICKNAMES.get(w, w) for w in words if len(w) > 1 and w not in _TITLES)
+            out.update(GIVEN.get(w, w) for w in words if len(w) > 1 and w not in _TITLES)
     return out
 
 

@@ -19,18 +19,22 @@ from quirelake.llm.components import components
 from quirelake.llm.titles import fold
 from quirelake.session import spool
 
-# Nicknames with the given names they stand for.
+# Nicknames with the given names they may stand for, the most usual first.
 NICKNAMES = {
-    "alex": "alexander", "andy": "andrew", "annie": "anne", "beppe": "giuseppe", "ben": "benjamin", "beth": "elizabeth", "betty": "elizabeth", "bill": "william",
-    "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "katherine", "charlie": "charles", "chris": "christopher", "chuck": "charles", "dan": "daniel",
-    "danny": "daniel", "dave": "david", "dick": "richard", "dima": "dmitri", "ed": "edgar", "eddie": "edgar", "fred": "frederick", "greg": "gregor", "hannes": "johannes",
-    "jack": "john", "jen": "jennifer", "jenny": "jennifer", "jim": "james", "jimmy": "james", "joe": "joseph", "kate": "katherine", "kathy": "katherine", "katya": "ekaterina",
-    "larry": "lawrence", "liz": "elizabeth", "maggie": "margaret", "matt": "matthew", "meg": "margaret", "mike": "michael", "mitch": "mitchell", "nick": "nicholas",
-    "paco": "francisco", "pancho": "francisco", "pat": "patricia", "peggy": "margaret", "pepe": "jose", "pete": "peter", "phil": "philip", "rafa": "rafael", "ray": "raymond",
-    "rich": "richard", "rick": "richard", "rob": "robert", "ron": "ronald", "sacha": "alexander", "sam": "samuel", "sandy": "alexandra", "sasha": "alexander", "steve": "stephen",
-    "sue": "susan", "ted": "theodore", "theo": "theodore", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "tony": "anthony", "vicky": "victoria", "vicki": "victoria",
-    "will": "william", "zach": "zachary",
+    k: tuple(v.split())
+    for k, v in {
+        "abby": "abigail", "al": "albert alan alfred alexander", "alex": "alexander alexandra alexis", "andy": "andrew andreas", "annie": "anne anna", "becky": "rebecca", "beppe": "giuseppe", "ben": "benjamin benedict", "bert": "albert robert herbert",
+        "beth": "elizabeth bethany", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "katherine", "charlie": "charles charlotte", "chris": "christopher christine christian christina", "chuck": "charles",
+        "cindy": "cynthia", "dan": "daniel", "danny": "daniel", "dave": "david", "debbie": "deborah", "dick": "richard", "dima": "dmitri", "ed": "edgar edward edwin edmund", "eddie": "edgar edward edwin edmund", "fran": "frances francis", "frank": "franklin francis",
+        "fred": "frederick alfred", "gabe": "gabriel", "gene": "eugene", "greg": "gregor gregory", "hannes": "johannes", "jack": "john", "jen": "jennifer", "jenny": "jennifer", "jeff": "jeffrey", "jerry": "gerald jerome", "jim": "james", "jimmy": "james", "joe": "joseph",
+        "kate": "katherine", "kathy": "katherine", "katya": "ekaterina", "ken": "kenneth", "larry": "lawrence", "liz": "elizabeth", "maggie": "margaret", "mandy": "amanda", "matt": "matthew matthias", "meg": "margaret", "mike": "michael", "misha": "mikhail", "mitch": "mitchell",
+        "nick": "nicholas nikolai", "paco": "francisco", "pancho": "francisco", "pat": "patricia patrick", "patty": "patricia", "peggy": "margaret", "pepe": "jose", "pete": "peter", "phil": "philip", "rafa": "rafael", "ray": "raymond", "rich": "richard", "rick": "richard eric",
+        "rob": "robert", "ron": "ronald", "sacha": "alexander", "sam": "samuel samantha", "sandy": "alexandra alexander sandra", "sasha": "alexander alexandra", "steve": "stephen steven", "sue": "susan suzanne", "ted": "theodore edward", "theo": "theodore", "tim": "timothy", "tom": "thomas",
+        "tommy": "thomas", "tony": "anthony antonio", "vicky": "victoria", "vicki": "victoria", "vlad": "vladimir", "walt": "walter", "will": "william", "zach": "zachary",
+    }.items()
 }
+#: The most usual given name of each.
+GIVEN = {k: v[0] for k, v in NICKNAMES.items()}
 # Words of organisations' names with their short forms.
 LEGAL_FORMS = {
     "ctr": "center", "centre": "center", "cntr": "center", "lab": "laboratory", "labs": "laboratory", "dept": "department", "dep": "department", "inst": "institute", "cons": "consortium",
@@ -44,18 +48,23 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _ACRONYM = re.compile(r"^([^\W\d_]+)\s+([A-Z]{2,6})$")
 
 
-def rewrite(name: str) -> tuple[str, str, str, str, list[str], list[str]]:
-    """(kind, key, middle, exact, short, near) of a name.
+Rewritten = tuple[str, str, str, str, list[str], list[str], str, list[str]]
+
+
+def rewrite(name: str, choice: str = "") -> Rewritten:
+    """(kind, key, middle, exact, short, near, literal, options) of a name.
 
     kind: P a person in full, I a person with an initial for the given name, O an organisation, A an
     organisation's acronym. key: its canonical form. middle: initials besides the first. exact: its words with
     diacritics. short: its forms with an initial or as an acronym. near: its forms with one letter left
-    out of one word, and itself, by which names with one typing error meet.
+    out of one word, and itself, by which names with one typing error meet; after a tab stands the word. options: the
+    keys of a nickname that may stand for several given names, and literal its key as it is written; choice
+    tells which of these keys it takes, by default the most usual.
     """
     text = name.replace("&", " and ")
     if (m := _ACRONYM.match(text.strip())) and not m[1].isupper():
         lead = fold(m[1])
-        return "A", f"{lead}|{m[2].lower()}", "", lead, [f"{lead}|{m[2].lower()}"], []
+        return "A", f"{lead}|{m[2].lower()}", "", lead, [f"{lead}|{m[2].lower()}"], [], "", []
     before, comma, after = text.partition(",")
     words = [fold(w) for w in _TOKEN.findall(text)]
     spread = " ".join(LEGAL_FORMS.get(w, w) for w in words).split()
@@ -67,7 +76,7 @@ def rewrite(name: str) -> tuple[str, str, str, str, list[str], list[str]]:
         if core:
             lead, rest = core[0], core[1:]
             acronym = f"{lead}|{''.join(w[0] for w in rest)}"
-            return "O", f"{lead}|{' '.join(rest)}", "", lead, [acronym], _near([lead, " ".join(rest)], (0,))
+            return "O", f"{lead}|{' '.join(rest)}", "", lead, [acronym], _near_words(core), "", []
     if comma:
         text = after + " " + before
     tokens: list[str] = []
@@ -87,39 +96,61 @@ def rewrite(name: str) -> tuple[str, str, str, str, list[str], list[str]]:
         full = ["".join(full[:-1]), full[-1]]
     if len(full) == 2:
         a, b = (fold(t) for t in full)
-        known = [NICKNAMES.get(a, a), b] if comma or b not in NICKNAMES else [a, NICKNAMES[b]]
+        at = 0 if comma or b not in NICKNAMES else 1  # which of the words is the given name
+        pair = [a, b]
+        meanings = NICKNAMES.get(pair[at], ())
+        keys = {}
+        for given in meanings or (pair[at],):
+            known = list(pair)
+            known[at] = given
+            keys["|".join(sorted(known))] = known
+        literal = "|".join(sorted(pair))
+        known = pair if choice == literal else keys.get(choice) or next(iter(keys.values()))
         key = sorted(known)
         short = [f"{known[0][0]}|{known[1]}"] + ([] if comma else [f"{known[1][0]}|{known[0]}"])
-        return "P", "|".join(key), "".join(initials), " ".join(full), short, _near(key, (0, 1))
+        return "P", "|".join(key), "".join(initials), " ".join(full), short, _near_names(key), *((literal, list(keys)) if len(keys) > 1 else ("", []))
     if len(full) == 1 and initials:
         s = fold(full[0])
-        return "I", f"{initials[0]}|{s}", "".join(initials[1:]), full[0], [f"{initials[0]}|{s}"], []
-    return "P", "|".join([fold(t) for t in full or tokens or [name.lower()]]), "".join(initials), " ".join(full), [], []
+        return "I", f"{initials[0]}|{s}", "".join(initials[1:]), full[0], [f"{initials[0]}|{s}"], [], "", []
+    return "P", "|".join([fold(t) for t in full or tokens or [name.lower()]]), "".join(initials), " ".join(full), [], [], "", []
 
 
-def _near(words: list[str], places: tuple[int, ...]) -> list[str]:
-    """The words with one letter left out at one of the places, marked by the place, and unchanged."""
-    out = set()
-    for p in places:
-        w = words[p]
-        if len(w) < 3:
-            continue
-        rest = "|".join(words[:p] + words[p + 1 :])
-        out.update(f"{rest}>{w[:i]}{w[i + 1:]}" for i in range(len(w)))
-        out.add(f"{rest}>{w}")
-    return sorted(out)
+def _left_out(rest: str, word: str) -> list[str]:
+    """The word with one letter left out at each place, and unchanged, after the rest of the name; words of one or two letters have none."""
+    return [] if len(word) < 3 else sorted({f"{rest}>{v}\t{word}" for v in [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]})
+
+
+def _near_names(words: list[str]) -> list[str]:
+    return [*_left_out(words[1], words[0]), *_left_out(words[0], words[1])]
+
 
+def _near_words(words: list[str]) -> list[str]:
+    return [f for i, w in enumerate(words) for f in _left_out(" ".join([*words[:i], str(i), *words[i + 1 :]]), w)]
 
-_SCHEMA = "author string, n bigint, kind string, key string, middle string, exact string, short array<string>, near array<string>"
+
+_COLUMNS = ("kind", "key", "middle", "exact", "short", "near", "literal", "options")
+_SCHEMA = "author string, n bigint, kind string, key string, middle string, exact string, short array<string>, near array<string>, literal string, options array<string>"
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     strings = pa.list_(pa.string())
     for batch in batches:
-        got = [rewrite(a) for a in batch.column("author").to_pylist()]
-        cols = list(zip(*got, strict=True)) if got else [()] * 6
-        kinds = [pa.string()] * 4 + [strings] * 2
-        yield pa.RecordBatch.from_arrays([batch.column("author"), batch.column("n"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["author", "n", "kind", "key", "middle", "exact", "short", "near"])
+        choices = batch.column("choice").to_pylist()
+        got = [rewrite(a, c or "") for a, c in zip(batch.column("author").to_pylist(), choices, strict=True)]
+        cols = list(zip(*got, strict=True)) if got else [()] * len(_COLUMNS)
+        kinds = [strings if c in ("short", "near", "options") else pa.string() for c in _COLUMNS]
+        yield pa.RecordBatch.from_arrays([batch.column("author"), batch.column("n"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["author", "n", *_COLUMNS])
+
+
+def _parsed(names: DataFrame) -> DataFrame:
+    """Each distinct name once with its rewritings. A nickname of several given names takes the one that a name in full has with the rest of it; of several none, and if there is none the most usual."""
+    distinct = names.where("author IS NOT NULL AND trim(author) <> ''").groupBy("author").agg(F.count("*").alias("n"))
+    first = spool(distinct.withColumn("choice", F.lit("")).mapInArrow(_rewrite, _SCHEMA), "names")
+    several = first.where("literal <> ''")
+    full = first.where("literal = '' AND kind = 'P'").select("key").distinct()
+    fits = several.select("literal", F.explode("options").alias("key")).distinct().join(full, "key").groupBy("literal").agg(F.count("*").alias("fitting"), F.max("key").alias("key"))
+    chosen = several.select("author", "n", "literal").join(fits, "literal", "left").select("author", "n", F.when(F.col("fitting") == 1, F.col("key")).when(F.col("fitting") > 1, F.col("literal")).otherwise("").alias("choice"))
+    return spool(first.where("literal = ''").unionAll(chosen.mapInArrow(_rewrite, _SCHEMA)).drop("literal", "options"), "names")
 
 
 def _one_error(a: Column, b: Column) -> Column:
@@ -137,8 +168,7 @@ def linked_names(names: DataFrame) -> DataFrame:
     right, if the wrong word is rarer: it stands with fewer other words. A name with an initial links if
     one person fits. Persons with different middle initials do not link. Nulls and blanks give no row.
     """
-    distinct = names.where("author IS NOT NULL AND trim(author) <> ''").groupBy("author").agg(F.count("*").alias("n"))
-    parsed = spool(distinct.mapInArrow(_rewrite, _SCHEMA), "names")
+    parsed = _parsed(names)
     whole = parsed.where("kind IN ('P', 'O')")
     mids = whole.where("middle <> ''").groupBy("kind", "key").agg(F.min("middle").alias("lo"), F.max("middle").alias("hi"))
     # persons of one key with several middle initials are several persons, told apart by it
@@ -147,16 +177,14 @@ def linked_names(names: DataFrame) -> DataFrame:
     classed = whole.join(several, ["kind", "key"], "left").withColumn("class", ident)
     classes = spool(classed.groupBy("class", "kind", "key").agg(F.sum("n").alias("n"), F.max("middle").alias("middle"), F.collect_set("exact").alias("exact"), F.max("short").alias("short"), F.max("near").alias("near")), "name-classes")
 
+    near = classes.select("class", "kind", "n", F.explode("near").alias("f")).select("class", "kind", "n", F.substring_index("f", "\t", 1).alias("form"), F.substring_index("f", "\t", -1).alias("word"))
     # how many other words a word stands with
-    parts = classes.select(F.split("key", r"\|").alias("w")).where("size(w) = 2")
-    seen = parts.select(F.element_at("w", 1).alias("word"), F.element_at("w", 2).alias("other")).unionAll(parts.select(F.element_at("w", 2).alias("word"), F.element_at("w", 1).alias("other")))
-    support = seen.distinct().groupBy("word").agg(F.count("*").alias("support"))
-
-    near = classes.select("class", "kind", "key", "n", F.explode("near").alias("form"))
-    pairs = near.alias("a").join(near.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.class") != F.col("b.class")))
-    rest = F.substring_index("a.form", ">", 1)
-    odd = lambda side: F.when(F.substring_index(f"{side}.key", "|", 1) == rest, F.substring_index(f"{side}.key", "|", -1)).otherwise(F.substring_index(f"{side}.key", "|", 1))
-    pairs = pairs.select(F.col("a.class").alias("wrong"), F.col("b.class").alias("right"), F.col("a.n").alias("n_wrong"), F.col("b.n").alias("n_right"), odd("a").alias("x"), odd("b").alias("y")).where("x <> y").distinct().where(_one_error(F.col("x"), F.col("y")))
+    rest = F.substring_index("form", ">", 1)
+    support = near.where(F.col("form") == F.concat(rest, F.lit(">"), F.col("word"))).select("word", rest.alias("other")).distinct().groupBy("word").agg(F.count("*").alias("support"))
+
+    # names of one form differ in one word by a letter; their number is bounded by the letters there are
+    pairs = near.alias("a").join(near.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.word") != F.col("b.word")))
+    pairs = pairs.select(F.col("a.class").alias("wrong"), F.col("b.class").alias("right"), F.col("a.n").alias("n_wrong"), F.col("b.n").alias("n_right"), F.col("a.word").alias("x"), F.col("b.word").alias("y")).distinct().where(_one_error(F.col("x"), F.col("y")))
     pairs = pairs.join(support.withColumnsRenamed({"word": "x", "support": "sx"}), "x").join(support.withColumnsRenamed({"word": "y", "support": "sy"}), "y")
     rarer = (F.col("sx") <= 2) & (F.col("sx") < F.col("sy")) | (F.col("sx") * 8 <= F.col("sy")) | (F.col("sx") <= 2) & (F.col("sx") == F.col("sy")) & ((F.col("n_wrong") < F.col("n_right")) | (F.col("n_wrong") == F.col("n_right")) & (F.col("wrong") > F.col("right")))
     typos = spool(pairs.where(rarer).groupBy("wrong").agg(F.max_by("right", F.struct("sy", "n_right", "right")).alias("right")), "name-typos")

@@ -46,7 +46,12 @@ def p4_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.History(spark).accept(table(spark, d, "paper_records"), table(spark, d, "data_releases"), keep=False)
+    """The releases before the newest make the history, one after the other within its key ranges; the newest is deduplicated against its runs."""
+    records, releases = table(spark, d, "paper_records"), table(spark, d, "data_releases")
+    newest = releases.where("release_id IS NOT NULL AND created_at IS NOT NULL").agg(F.max_by("release_id", golden.instant(F.col("created_at")))).first()[0]
+    h = history.History(spark)
+    before = h.accept(records.where(F.col("release_id") != newest), releases)
+    return before.unionAll(h.accept(records.where(F.col("release_id") == newest), releases, keep=False)).distinct()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -164,6 +164,14 @@ def test_names(spark):
     assert names.same_names(spark.createDataFrame([], "author string")).count() == 0
 
 
+def test_nicknames_of_several_names(spark):
+    rows = ["Ed Brown", "Edward Brown", "E. Brown", "Pat Kim", "Patrick Kim", "Ed Stone", "Eddie Stone", "Ed Hill", "Edgar Hill", "Edward Hill", "Vexa Laboratory for Open Data", "Vexa Laboratory for Opne Data", "Vexa Laboratory for Open Tools"]
+    rows += [f"Zima Laboratory for Open Data {x}" for x in ("North", "South")] + ["Zima Laboratory for Open Data"]
+    got = pairs(names.same_names(spark.createDataFrame([(n,) for n in rows], "author string")))
+    want = {("E. Brown", "Ed Brown"), ("E. Brown", "Edward Brown"), ("Ed Brown", "Edward Brown"), ("Pat Kim", "Patrick Kim"), ("Ed Stone", "Eddie Stone"), ("Vexa Laboratory for Open Data", "Vexa Laboratory for Opne Data")}
+    assert got == want, got ^ want
+
+
 SENTENCE = "The committee depends on the way pixels interact with image crops, although frames matter as well. "
 
 
@@ -179,6 +187,8 @@ def test_pages(spark):
         "mostly": SENTENCE + "\n\n" + "cheap gpu rental | paper tips | " * 60,
         "hidden": '<div style="display:none">' + "paper tips " * 100 + "</div>",
         "zh": "#目标检测 #语音合成 " * 40,
+        "sentences": "The best cheap shoes and the best cheap bags for the best price online.\n" * 60,
+        "template": "\n".join(f"Buy the cheap {w} of the year for you." for w in ("shoes", "bags", "hats", "maps", "pens", "cups") * 10),
         "calls": "Get textures now! Buy textures. New textures! Cheap textures online. " * 10,
     }
     good = {
@@ -188,6 +198,8 @@ def test_pages(spark):
         "list": "Reading list on pixels.\n\n1. [1] Kred E. Pixels Again. NODEX, 2019. https://x.example/1\n   " + prose,
         "zh": "与以往工作不同，本方法不需要目标检测。实验表明，深度估计明显优于隐私保护。" * 6,
         "noise": prose + " " + "a" * 900,
+        "arabic": "تعتمد اللجنة على الطريقة التي تتفاعل بها الأجزاء مع الصور المقطوعة في هذا العمل الجديد\nتظهر التجارب أن النموذج المقترح يتفوق على الطرق السابقة بفارق واضح في جميع المهام المدروسة\nنناقش في القسم الأخير حدود هذه الدراسة وما يمكن أن يضيفه الباحثون إليها مستقبلا",
+        "russian": "Комитет зависит от того, как пиксели взаимодействуют с фрагментами изображений. Эксперименты показывают, что предложенный подход заметно лучше прежних методов. " * 2,
     }
     rows = [(i, t) for i, t in enumerate([*bad.values(), *good.values(), None, "", "   \n "])] + [(0, bad["tags"])]
     got = {r[0] for r in spam.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("size", F.lit(1))).collect()}
