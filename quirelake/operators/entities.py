@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quirelake.functions.columns import arxiv_key, forum_key
 from quirelake.functions.missing import doi_key, is_missing
@@ -47,6 +47,21 @@ def _star(k: DataFrame, key: str) -> DataFrame:
     return some.join(anchor.where("n > 1"), key).where("record_id <> anchor").select(F.col("anchor").alias("a"), F.col("record_id").alias("b"), F.col(key).alias("value"), ((F.col("titles") == 1) & (F.col("author_sets") <= 1)).alias("compatible"))
 
 
+def _conflicts(k: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """left_id and right_id of records that share a key but not title and authors.
+
+    Every pair of different titles and authors of a key, between the first record of each, and each other record with the first of
+    its own title and authors: no link between different papers is lost, and copies are not expanded.
+    """
+    keys = links.where("NOT compatible").select(F.col("value").alias(key)).distinct()
+    some = k.join(keys, key, "left_semi")
+    kinds = some.groupBy(key, "title", "people").agg(F.min("record_id").alias("first"))
+    x, y = kinds.alias("x"), kinds.alias("y")
+    between = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.first") < F.col("y.first"))).select(F.col("x.first").alias("left_id"), F.col("y.first").alias("right_id"))
+    within = some.join(kinds, [key, "title", "people"]).where("record_id <> first").select(F.col("first").alias("left_id"), F.col("record_id").alias("right_id"))
+    return between.unionAll(within)
+
+
 def candidate_id(left: Column, right: Column, method: Column) -> Column:
     return F.concat(F.lit("review_"), F.substring(F.sha2(F.concat(left, F.chr(F.lit(0)), right, F.chr(F.lit(0)), method), 256), 1, 24))
 
@@ -88,8 +103,9 @@ def resolve(records: DataFrame, previous: DataFrame | None = None, reviewed: Dat
     previous (record_id, entity_id) keeps identities: components that hold several of them are merged again
     edge by edge, refusing those between two; reviewed (a, b) are pairs known to be one paper. Records that share
     an id but not title or authors, and records of equal title and authors in small groups, become
-    candidates for review. Entities keep the id most of their records had, the largest entity first; new
-    ones take a hash of their smallest DOI or record. Repeated rows must be removed before.
+    candidates for review. Entities keep the id most of their records had, the largest entity first, the others the
+    next of their earlier ids that is left; new ones take a hash of their smallest DOI or, where that is taken, of their
+    first record. No two entities have one id. Repeated rows must be removed before.
     """
     k = spool(keyed(records), "entity-keys")
     groups = {m: spool(_star(k, c), f"star-{c}") for m, c in (("doi", "doi"), ("arxiv", "arxiv"), ("openreview", "openreview"))}
@@ -115,26 +131,26 @@ def resolve(records: DataFrame, previous: DataFrame | None = None, reviewed: Dat
     fresh = F.concat(F.lit("ape_"), F.substring(F.sha2(seed, 256), 1, 24))
     named = sizes.withColumn("entity_id", fresh)
     aliases = records.sparkSession.createDataFrame([], "alias_entity_id string, entity_id string")
+    votes = None
     if previous is not None:
-        votes = placed.join(previous.select("record_id", F.col("entity_id").alias("prior")), "record_id").groupBy("component", "prior").agg(F.count("*").alias("votes"))
-        best = votes.groupBy("component").agg(F.max_by("prior", F.struct("votes", "prior")).alias("prior"))
-        # an earlier id goes to the largest component that wants it
-        owner = best.join(sizes, "component").groupBy("prior").agg(F.max_by("component", F.struct("n", "component")).alias("component"))
-        named = named.join(owner, "component", "left").withColumn("entity_id", F.coalesce("prior", "entity_id")).drop("prior")
+        votes = spool(placed.join(previous.select("record_id", F.col("entity_id").alias("prior")).where("prior IS NOT NULL").distinct(), "record_id").groupBy("component", "prior").agg(F.count("*").alias("votes")), "entity-votes")
+        named = sizes.join(kept_ids(votes, sizes), "component", "left").withColumn("entity_id", F.coalesce("prior", fresh))
+    named = spool(_unique(named, votes), "entity-ids")
+    if votes is not None:
         aliases = votes.join(named.select("component", "entity_id"), "component").where("prior <> entity_id").select(F.col("prior").alias("alias_entity_id"), "entity_id").distinct()
     method = edges.select(F.col("a").alias("record_id"), "phase").unionAll(edges.select(F.col("b"), "phase")).join(placed.select("record_id", "component"), "record_id").groupBy("component").agg(F.min("phase").alias("phase"))
     how = F.element_at(F.array(*map(F.lit, METHODS)), F.col("phase") + 1)
     of = placed.join(named.select("component", "entity_id", "n"), "component").join(method, "component", "left")
     memberships = spool(of.select("record_id", "entity_id", F.when(F.col("n") == 1, "singleton").otherwise(how).alias("match_method"), F.when(F.col("n") == 1, "single").when(F.col("phase") <= 1, "exact").otherwise("high").alias("confidence")), "entity-memberships")
 
-    pairs = [groups[m].where("NOT compatible").select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.lit(f"{m}_conflict").alias("reason"), F.lit("conflict").alias("confidence")) for m in ("arxiv", "openreview")]
+    pairs = [_conflicts(k, m, groups[m]).select("left_id", "right_id", F.lit(f"{m}_conflict").alias("reason"), F.lit("conflict").alias("confidence")) for m in ("arxiv", "openreview")]
     if refused is not None:
         pairs.append(refused)
     alike = k.where((F.length("title") >= MIN_TITLE) & (F.length("people") >= MIN_AUTHORS)).select("record_id", F.xxhash64("title", "people").alias("h1"), F.md5(F.concat("title", "people")).alias("h2"))
     few = alike.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(f"n BETWEEN 2 AND {MAX_CANDIDATES}")
     small = alike.join(few, ["h1", "h2"])
     x, y = small.alias("x"), small.alias("y")
-    pairs.append(x.join(y, (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & (F.col("x.record_id") < F.col("y.record_id"))).select(F.col("x.record_id").alias("left_id"), F.col("y.record_id").alias("right_id"), F.lit("title_authors").alias("reason"), F.lit("high").alias("confidence")))
+    pairs.append(x.join(y, (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & (F.col("x.record_id") < F.col("y.record_id"))).select(F.col("x.record_id").alias("left_id"), F.col("y.record_id").alias("right_id"), F.lit("exact_title_authors").alias("reason"), F.lit("high").alias("confidence")))
     every = pairs[0]
     for p in pairs[1:]:
         every = every.unionAll(p)
@@ -144,6 +160,38 @@ def resolve(records: DataFrame, previous: DataFrame | None = None, reviewed: Dat
     return Resolution(memberships, candidates, aliases)
 
 
+def kept_ids(votes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """component and prior: the earlier id each component keeps. votes: component, prior, votes; sizes: component, n.
+
+    Components ask for their earlier ids, most votes first; an id goes to the largest that asks, and the others ask for their
+    next, until none is turned away. As all ids prefer components in one order, that is what giving out the ids to
+    the largest component first comes to.
+    """
+    asks = votes.join(sizes.select("component", "n"), "component").withColumn("turn", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("votes"), "prior")))
+    asks = spool(asks, "entity-asks")
+    at = spool(asks.groupBy("component").agg(F.lit(1).alias("turn")), "entity-turns")
+    while True:
+        now = asks.join(at, ["component", "turn"])
+        owner = now.groupBy("prior").agg(F.max_by("component", F.struct("n", "component")).alias("component"))
+        turned_away = now.select("component", "turn").join(owner.select("component"), "component", "left_anti")
+        if turned_away.isEmpty():
+            return owner
+        at = spool(at.join(turned_away.select("component", F.lit(1).alias("away")), "component", "left").select("component", (F.col("turn") + F.coalesce("away", F.lit(0))).alias("turn")), "entity-turns")
+
+
+def _unique(named: DataFrame, votes: DataFrame | None) -> DataFrame:
+    """component, entity_id and n, with the new ids that another component has, or had before, made from the first record instead."""
+    n = named.withColumn("kept", F.col("prior").isNotNull() if votes is not None else F.lit(False))
+    old = votes.select(F.col("prior").alias("entity_id"), F.lit(True).alias("taken")).distinct() if votes is not None else None
+    twice = n.where("NOT kept").groupBy("entity_id").agg(F.max_by("component", F.struct("n", "component")).alias("owner"))
+    j = n.join(twice, "entity_id", "left")
+    j = j.join(old, "entity_id", "left") if old is not None else j.withColumn("taken", F.lit(None).cast("boolean"))
+    second = F.concat(F.lit("ape_"), F.substring(F.sha2(F.concat(F.lit("record:"), F.col("first")), 256), 1, 24))
+    again = ~F.col("kept") & (F.coalesce("taken", F.lit(False)) | (F.col("owner") != F.col("component")))
+    out = j.select("component", F.when(again, second).otherwise(F.col("entity_id")).alias("entity_id"), "n")
+    return out
+
+
 def entity_rows(memberships: DataFrame, records: DataFrame) -> DataFrame:
     """entity_id, first and last year, numbers of records and venues, status."""
     j = memberships.join(records.select("record_id", "venue", "year"), "record_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quirelake.functions.columns import wilson
@@ -80,20 +82,25 @@ def round_robin(rows: DataFrame, strata: list[str], turn: str, key: str, quota:
 
 
 def allocate(counts: dict[str, int], n: int, minimum: int = 1) -> dict[str, int]:
-    """n places divided over groups by size, largest remainders last, each group with its minimum as far as it has rows."""
-    out = {g: min(minimum, c) for g, c in counts.items()}
-    left = n - sum(out.values())
-    room = {g: c - out[g] for g, c in counts.items()}
-    whole = sum(room.values())
-    if left <= 0 or not whole:
-        return out
-    exact = {g: left * r / whole for g, r in room.items()}
-    for g in out:
-        out[g] += min(room[g], int(exact[g]))
-    order = sorted(counts, key=lambda g: (-(exact[g] - int(exact[g])), g))
-    rest = n - sum(out.values())
-    for g in order:
-        if rest > 0 and out[g] < counts[g]:
-            out[g] += 1
-            rest -= 1
+    """n places divided over groups in proportion to their size, each with at least minimum.
+
+    A group gets the whole part of its share. Places that are left go one by one, again and again, to the groups in the
+    order of the fractions cut off, largest first, as far as they have rows; places too many are taken in the opposite
+    order from groups above the minimum. If neither can be done further, fewer or more than n are given.
+    """
+    whole = sum(counts.values())
+    if not whole:
+        return dict.fromkeys(counts, minimum)
+    share = {g: n * c / whole for g, c in counts.items()}
+    cut = {g: x - math.floor(x) for g, x in share.items()}
+    out = {g: max(minimum, math.floor(x)) for g, x in share.items()}
+    while (short := n - sum(out.values())) != 0:
+        if short > 0:
+            may = [g for g in sorted(counts, key=lambda g: (-cut[g], g)) if out[g] < counts[g]]
+        else:
+            may = [g for g in sorted(counts, key=lambda g: (cut[g], g)) if out[g] > minimum]
+        if not may:
+            break
+        for g in may[: abs(short)]:
+            out[g] += 1 if short > 0 else -1
     return out

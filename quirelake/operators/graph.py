@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node) of every node of edges (a, b); nulls and loops are left out.
 
     Large-star and small-star alternate until nothing moves, about log(n) rounds; the neighbourhoods are
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     e = spool(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         e = spool(_small_star(_large_star(e)), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -44,15 +44,16 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
 
 
-def followed_aliases(aliases: DataFrame, old: str, new: str, most_steps: int = 64) -> DataFrame:
+def followed_aliases(aliases: DataFrame, old: str, new: str) -> DataFrame:
     """old and current of each alias, chains followed to their end by doubling; in_cycle where a chain has no end.
 
     Of several targets of one id the smallest holds. Null ids and ids that are their own alias are left out.
     """
     a = aliases.select(F.col(old).alias("old"), F.col(new).alias("current")).where("old IS NOT NULL AND current IS NOT NULL AND old <> current")
     a = spool(a.groupBy("old").agg(F.min("current").alias("current")), "aliases")
-    steps = 1
-    while steps <= most_steps:
+    # a chain has no more links than there are aliases; what still moves after so many steps is a cycle
+    steps, most = 1, a.count()
+    while steps <= most:
         step = a.alias("x").join(a.alias("y"), F.col("x.current") == F.col("y.old"), "left")
         nxt = step.select(F.col("x.old").alias("old"), F.coalesce("y.current", "x.current").alias("current"), F.col("y.current").isNotNull().alias("moved"))
         nxt = spool(nxt, "aliases")

@@ -81,7 +81,8 @@ class Index:
     def write(self, path: str) -> Index:
         """Postings sorted by token, so that a query reads the row groups of its tokens only."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+        # a frequent token is cut by records, so that it fills no task
+        self.postings.repartitionByRange("token", "record_id").sortWithinPartitions("token", "record_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quirelake.functions.columns import all_of
+from quirelake.functions.columns import all_of, any_of
 from quirelake.functions.missing import PLACEHOLDERS
-from quirelake.session import table
+from quirelake.session import released, table
 
 _LIST = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
 
@@ -33,15 +33,15 @@ BASE = f"""{RECORDS}, {ENTITIES}, {LABELS}, b AS (
 
 def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Records with the given columns; exact repeats of a row count once."""
-    return table(spark, d, "paper_records").select("record_id", *[c for c in columns if c != "record_id"]).distinct()
+    return released(spark, d, "paper_records").select("record_id", *[c for c in columns if c != "record_id"])
 
 
 def entities(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "paper_entities").select("entity_id", *[c for c in columns if c != "entity_id"]).distinct()
+    return released(spark, d, "paper_entities").select("entity_id", *[c for c in columns if c != "entity_id"])
 
 
 def members(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "entity_memberships").select("record_id", "entity_id", *[c for c in columns if c not in ("record_id", "entity_id")]).distinct()
+    return released(spark, d, "entity_memberships").select("record_id", "entity_id", *[c for c in columns if c not in ("record_id", "entity_id")])
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def base(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 KEYS = ("year", "venue", "area", "direction")
 COLUMN_OF = {"year": "year", "venue": "venue", "area": "area_id", "direction": "direction_id"}
-_LISTS = ("area_ids", "area_names", "direction_ids", "venues", "years", "entity_ids")
+_LISTS = ("area_ids", "area_names", "direction_names", "direction_ids", "venues", "years", "entity_ids")
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,7 @@ class Filters:
 
     area_ids: tuple[str, ...] = ()
     area_names: tuple[str, ...] = ()
+    direction_names: tuple[str, ...] = ()
     direction_ids: tuple[str, ...] = ()
     venues: tuple[str, ...] = ()
     years: tuple[int, ...] = ()
@@ -109,10 +110,8 @@ class Filters:
             text = [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(self.query.lower())) for c in ("title", "abstract", "authors")]
             conditions.append(text[0] | text[1] | text[2])
         out = b.where(all_of(conditions)) if conditions else b
-        if self.area_names and definitions is not None:
-            named = [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(n.lower())) for n in self.area_names for c in ("name_zh", "name_en")]
-            hit = named[0]
-            for n in named[1:]:
-                hit = hit | n
-            out = out.join(definitions.where(hit).select("area_id").distinct(), "area_id", "left_semi")
+        for names, column in ((self.area_names, "area_id"), (self.direction_names, "direction_id")):
+            if names and definitions is not None:
+                hit = any_of([F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(n.lower())) for n in names for c in ("name_zh", "name_en")])
+                out = out.join(definitions.where(hit).select(F.col("area_id").alias(column)).distinct(), column, "left_semi")
         return out

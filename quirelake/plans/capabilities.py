@@ -150,10 +150,10 @@ def call(spark: SparkSession, d: str, name: str, arguments: dict | None = None)
     if name not in CAPABILITIES:
         return {"ok": False, "error": f"unknown capability: {name}"}
     try:
-        rows = CAPABILITIES[name].run(spark, d, **(arguments or {})).limit(1000).collect()  # a page of an answer
+        data = [r.asDict(recursive=True) for r in CAPABILITIES[name].run(spark, d, **(arguments or {})).toLocalIterator()]  # whole; what is long has pages of its own
     except Exception as e:
         return {"ok": False, "error": str(e)}
-    return {"ok": True, "data": [r.asDict(recursive=True) for r in rows], "meta": {"capability": name, "rows": len(rows)}}
+    return {"ok": True, "data": data, "meta": {"capability": name, "rows": len(data)}}
 
 
 _B = f"WITH {BASE}"

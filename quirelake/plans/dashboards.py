@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quirelake.functions.columns import ARXIV_FORMAT, DOI_FORMAT, NON_PAPER_RULES, even_rate, rate, record_kind, shown_authors, snippet, url_access, valid_url
+from quirelake.functions.columns import ARXIV_FORMAT, DOI_FORMAT, even_rate, rate, record_kind, shown_authors, snippet, url_access, valid_url
 from quirelake.functions.missing import is_missing
 from quirelake.plans.base import BASE, ENTITIES, LABELS, MEMBERS, RECORDS, base, entities, labels, members, records, sql_count, sql_missing
 from quirelake.plans.registering import Registry
@@ -98,11 +98,11 @@ def dash_area_overview(spark, d):
     return g.withColumn("coverage", rate(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
 
 
-@register(f"WITH {BASE} SELECT a.area_id, count(b.entity_id) AS n, count(DISTINCT b.venue) AS n_venues FROM (SELECT DISTINCT area_id FROM area_definitions) a LEFT JOIN b ON a.area_id = b.area_id AND b.year = 2026 GROUP BY 1")
+@register(f"WITH {BASE} SELECT a.area_id, y.year, count(b.entity_id) AS n, count(DISTINCT b.venue) AS n_venues FROM (SELECT DISTINCT area_id FROM area_definitions) a CROSS JOIN (SELECT DISTINCT year FROM b) y LEFT JOIN b ON a.area_id = b.area_id AND b.year = y.year GROUP BY 1, 2")
 def dash_area_detail_zero_rows(spark, d):
-    b = base(spark, d).where("year = 2026")
-    a = table(spark, d, "area_definitions").select("area_id").distinct()
-    return a.join(b, "area_id", "left").groupBy("area_id").agg(F.count("entity_id").alias("n"), F.countDistinct("venue").alias("n_venues"))
+    b = base(spark, d)
+    a = table(spark, d, "area_definitions").select("area_id").distinct().join(b.select("year").distinct())  # areas times years
+    return a.join(b, ["area_id", "year"], "left").groupBy("area_id", "year").agg(F.count("entity_id").alias("n"), F.countDistinct("venue").alias("n_venues"))
 
 
 @register(f"WITH {RECORDS}, {ENTITIES}, {LABELS} SELECT r.year, count(*) AS total, count(l.area_id) AS classified, round_even(100.0 * count(l.area_id) / count(*), 2) AS rate, CASE WHEN r.year <= 2025 THEN 'complete_window' ELSE 'incomplete_year' END AS status FROM e JOIN r ON e.canonical_record_id = r.record_id LEFT JOIN l ON l.entity_id = e.entity_id WHERE coalesce(l.is_non_paper, 0) = 0 GROUP BY r.year")
@@ -251,11 +251,17 @@ def quality_repeated_ids(spark, d):
     return g.groupBy("venue").agg(F.count("*").alias("repeated_ids"), F.sum("n").alias("n_records"))
 
 
-_RE2 = [(k, p.replace("['’]", "['’]")) for k, p in NON_PAPER_RULES]
-_KIND = "CASE " + " ".join("WHEN regexp_full_match(t, '" + p.replace("^", "", 1).replace("'", "''").rstrip("$") + ("" if p.endswith("$") else ".*") + f"') THEN '{k}'" for k, p in _RE2) + " ELSE '' END"
+# The kinds by themselves, as far as single words and years tell them; the titles are in lower case.
+_KIND = """CASE WHEN t IN ('editorial board', 'front cover', 'back cover', 'table of content', 'table of contents', 'front matter', 'blank page', 'preface', 'title tbd', 'ieee computer society has you covered!') THEN 'front_matter'
+  WHEN starts_with(t, 'get published in the new ieee open journal') OR regexp_full_match(t, 'publications seek 20[0-9]{2} editors in chief|vis 20[0-9]{2} contents|ieee transactions on [a-z ]+(: 20[0-9]{2} ieee .*)?') THEN 'front_matter'
+  WHEN regexp_full_match(t, '(ieee )?(vr|ismar|vis) 20[0-9]{2} (.*(committees?|supercommittee)( members)?( for journal papers)?|(- )?(paper )?reviewers( for journal papers)?)|20[0-9]{2} reviewers list( *<sup>[*]</sup>|[*])?') OR t IN ('vgtc executive committee', 'ieee visualization and graphics technical committee (vgtc)', 'reviewer summary for transactions on image processing') THEN 'committee_or_reviewers'
+  WHEN regexp_full_match(t, '(20[0-9]{2} )?(ieee )?vgtc visualization .*award|ieee (vr|ismar) 20[0-9]{2} visualization and graphics technical (committee|community) [(]vgtc[)] statement') THEN 'award_or_statement'
+  WHEN regexp_matches(t, '^(guest )?editorial([^a-z0-9_]|$)|^editor[''’]s note([^a-z0-9_]|$)|^preface to the special issue([^a-z0-9_]|$)|(^|[^a-z0-9_])introduction to the special (issue|section)([^a-z0-9_]|$)|^((ieee )?(vr|ismar) 20[0-9]{2} |welcome: )?message from .|^in memoriam: ') OR t = 'farewell and new eic introduction' THEN 'editorial'
+  WHEN regexp_matches(t, '^(erratum|errata|corrigendum|correction to)([^a-z0-9_]|$)') THEN 'correction_notice'
+  WHEN regexp_matches(t, '^(notice of retraction|retraction notice|retracted)([^a-z0-9_]|$)') THEN 'retraction' ELSE '' END"""
 
 
-@register(f"WITH {RECORDS}, n AS (SELECT record_id, regexp_replace(trim(regexp_replace(replace(coalesce(title, ''), '&amp;', '&'), '\\s+', ' ', 'g')), '\\.+$', '') AS t FROM r) SELECT {_KIND} AS kind, count(*) AS n FROM n GROUP BY 1")
+@register(f"WITH {RECORDS}, n AS (SELECT record_id, rtrim(trim(regexp_replace(lower(replace(coalesce(title, ''), '&amp;', '&')), '\\s+', ' ', 'g')), '.') AS t FROM r) SELECT {_KIND} AS kind, count(*) AS n FROM n GROUP BY 1")
 def filter_non_papers(spark, d):
     return records(spark, d, "title").groupBy(record_kind(F.col("title")).alias("kind")).agg(F.count("*").alias("n"))
 
@@ -263,9 +269,13 @@ def filter_non_papers(spark, d):
 @register(f"WITH {RECORDS}, g AS (SELECT record_id, {sql_missing('abstract')} AS bare, count(*) OVER (PARTITION BY venue, year, lower(trim(title))) AS k FROM r) SELECT CASE WHEN k > 1 THEN 'review_first' WHEN bare THEN 'title_only' ELSE 'with_abstract' END AS queue, count(*) AS n FROM g GROUP BY 1")
 def filter_classification_queue(spark, d):
     r = records(spark, d, "venue", "year", "title", "abstract")
-    k = F.count("*").over(Window.partitionBy("venue", "year", F.lower(F.trim("title"))))
-    queue = F.when(F.col("k") > 1, "review_first").when(is_missing(F.col("abstract")), "title_only").otherwise("with_abstract")
-    return r.withColumn("k", k).groupBy(queue.alias("queue")).agg(F.count("*").alias("n"))
+    r = r.select("venue", "year", F.lower(F.trim("title")).alias("t"), is_missing(F.col("abstract")).alias("bare"))
+    # rows are counted by title and kind before they are shuffled
+    kinds = r.groupBy("venue", "year", "t").agg(F.count("*").alias("k"), F.count_if("bare").alias("n_bare"))
+    repeated = F.when(F.col("k") > 1, F.col("k")).otherwise(0)
+    one_bare = F.when((F.col("k") == 1) & (F.col("n_bare") == 1), 1).otherwise(0)
+    sums = kinds.agg(F.sum(repeated).alias("review_first"), F.sum(one_bare).alias("title_only"), F.sum(F.col("k") - repeated - one_bare).alias("with_abstract"))
+    return sums.unpivot([], ["review_first", "title_only", "with_abstract"], "queue", "n").where("n > 0")
 
 
 @register(f"WITH {RECORDS}, h AS (SELECT record_id, lower(regexp_extract(trim(coalesce(pdf_url, '')), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h FROM r) SELECT CASE WHEN h = '' THEN 'none' WHEN h = 'arxiv.org' THEN 'open' ELSE 'unspecified' END AS access, count(*) AS n FROM h GROUP BY 1")
@@ -273,15 +283,15 @@ def filter_url_access(spark, d):
     return records(spark, d, "pdf_url").groupBy(url_access(F.col("pdf_url")).alias("access")).agg(F.count("*").alias("n"))
 
 
-@register(f"WITH {RECORDS} SELECT record_id, CASE WHEN length(abstract) > 280 THEN substr(abstract, 1, 280) || '…' ELSE abstract END AS snippet FROM r WHERE venue = 'CAVIR' AND year = 2025 AND NOT {sql_missing('abstract')}")
+@register(f"WITH {RECORDS} SELECT record_id, CASE WHEN length(abstract) > 280 THEN substr(abstract, 1, 280) || '…' ELSE abstract END AS snippet FROM r WHERE NOT {sql_missing('abstract')}")
 def text_snippets(spark, d):
-    r = records(spark, d, "venue", "year", "abstract").where((F.col("venue") == "CAVIR") & (F.col("year") == 2025) & has("abstract"))
+    r = records(spark, d, "abstract").where(has("abstract"))
     return r.select("record_id", snippet(F.col("abstract")).alias("snippet"))
 
 
-@register(f"WITH {RECORDS}, n AS (SELECT record_id, list_filter(list_transform(string_split(replace(coalesce(authors, ''), ' and ', ';'), ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS a FROM r WHERE venue = 'ILMOS') SELECT record_id, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], '; ') || ' et al. (' || CAST(len(a) AS VARCHAR) || ')' ELSE array_to_string(a, '; ') END AS shown FROM n")
+@register(f"WITH {RECORDS}, n AS (SELECT record_id, list_filter(list_transform(string_split(replace(coalesce(authors, ''), ' and ', ';'), ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS a FROM r) SELECT record_id, array_to_string(a[1:3], '; ') || CASE WHEN len(a) > 3 THEN ' 等' ELSE '' END AS shown FROM n")
 def text_shown_authors(spark, d):
-    return records(spark, d, "venue", "authors").where("venue = 'ILMOS'").select("record_id", shown_authors(F.col("authors")).alias("shown"))
+    return records(spark, d, "authors").select("record_id", shown_authors(F.col("authors")).alias("shown"))
 
 
 @register(f"WITH {RECORDS} SELECT year, venue_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY venue_type ORDER BY year) AS running FROM r GROUP BY year, venue_type")

@@ -63,8 +63,8 @@ def text_date_cutoff(spark, d):
 
 @register()
 def label_vocabulary(spark, d):
-    """The longer words of titles with their counts by area."""
-    b = base(spark, d, "title").select("area_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}-]+"))).alias("term")).where("length(term) > 7")
+    """The words of titles with their counts by area."""
+    b = base(spark, d, "title").select("area_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}-]+"))).alias("term")).where("term <> ''")
     return labelling.vocabulary(b, "term", "area_id").withColumn("by_group", F.to_json("by_group"))
 
 

@@ -53,7 +53,7 @@ def er_entity_rows(spark, d):
 _AL = "a AS (SELECT lower(trim(alias_entity_id)) AS x, lower(trim(entity_id)) AS y FROM entity_aliases), al AS (SELECT x AS old, min(y) AS cur FROM a WHERE x <> y AND x <> '' AND y <> '' GROUP BY x)"
 
 
-@register(f"WITH RECURSIVE {_AL}, f AS (SELECT old, cur, 1 AS s FROM al UNION ALL SELECT f.old, al.cur, s + 1 FROM f JOIN al ON al.old = f.cur WHERE s < 40), ends AS (SELECT f.old, f.cur FROM f LEFT JOIN al ON al.old = f.cur WHERE al.old IS NULL) SELECT count(*) AS n_chains, count(DISTINCT cur) AS n_ends FROM ends")
+@register(f"WITH RECURSIVE {_AL}, f AS (SELECT old, cur FROM al UNION SELECT f.old, al.cur FROM f JOIN al ON al.old = f.cur), ends AS (SELECT f.old, f.cur FROM f LEFT JOIN al ON al.old = f.cur WHERE al.old IS NULL) SELECT count(*) AS n_chains, count(DISTINCT cur) AS n_ends FROM ends")
 def er_alias_chains(spark, d):
     """Alias chains followed to their ends; those in a cycle have none."""
     low = table(spark, d, "entity_aliases").select(F.lower(F.trim("alias_entity_id")).alias("x"), F.lower(F.trim("entity_id")).alias("y")).where("x <> '' AND y <> ''")

@@ -8,20 +8,20 @@ from quirelake.functions.columns import snippet
 from quirelake.operators import search as S
 from quirelake.plans.base import RECORDS, base, members, records
 from quirelake.plans.registering import Registry
-from quirelake.session import spool_path
+from quirelake.session import once
 
 register = Registry()
 
 
 def index_of(spark, d: str) -> S.Index:
-    """The index of all records, written once per query into the shared folder."""
-    return S.build(records(spark, d, *S.COLUMNS)).write(spool_path(spark, "fts"))
+    """The index of all records, built once for a table and read by all queries."""
+    return S.Index.read(spark, once(spark, d, "fts", "paper_records", lambda at: S.build(records(spark, d, *S.COLUMNS)).write(at)))
 
 
 @register()
 def fts_index_terms(spark, d):
     """The vocabulary: each token with its records and occurrences."""
-    p = S.build(records(spark, d, *S.COLUMNS)).postings
+    p = index_of(spark, d).postings
     return p.groupBy("token").agg(F.countDistinct("record_id").alias("n_records"), F.sum(F.size("places")).alias("n_occurrences"))
 
 

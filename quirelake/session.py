@@ -35,6 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quirelake-")
         spark.conf.set("spark.checkpoint.dir", at)
         _made[at] = spark
@@ -72,3 +74,28 @@ def spool(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_once: dict[tuple, str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, of: str, make) -> str:
+    """The path of what make writes from a table of a data folder, made once in a session and anew when the table changes.
+
+    make gets a new path in the shared folder. The table is told by its path and the time it was written.
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{of}.parquet")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(p)
+    key = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir, name, of, status.getModificationTime(), status.getLen())
+    if key not in _once:
+        path = spool_path(spark, name)
+        make(path)
+        _once[key] = path
+    return _once[key]
+
+
+def released(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder without repeated rows: written once, so that no query has to shuffle whole rows to find repeats."""
+    path = once(spark, sf_dir, f"released-{name}", name, lambda at: table(spark, sf_dir, name).distinct().write.parquet(at))
+    return spark.read.parquet(path)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quirelake.sources.readers import LIST_COLUMNS
 
-# BibTeX entry types, and characters that need an escape.
+# BibTeX entry types by type of venue (others are misc), and characters that need an escape.
 BIBTEX_TYPES = {"conference": "inproceedings", "journal": "article"}
-_ESCAPES = (("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}"))
+BIBTEX_ESCAPES = {"&": r"\&", "_": r"\_"}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -23,8 +24,8 @@ def publish(root: str, release_id: str, tables: dict[str, DataFrame], gates: dic
     """Writes all tables of a release into a folder of its own, checks the gates, then makes the release current.
 
     A gate gives the rows of its table that break it; any row stops the release, which then never becomes
-    current. The current release is named in one small file that is replaced by a rename, so readers see the old or
-    the new release whole.
+    current. The current release is named in a small file, a pointer; each release has a pointer with a number of its
+    own, which appears by a rename, and the largest number holds.
     """
     spark = next(iter(tables.values())).sparkSession
     at = f"{root}/release={release_id}"
@@ -34,22 +35,34 @@ def publish(root: str, release_id: str, tables: dict[str, DataFrame], gates: dic
         broken = gate(spark.read.parquet(f"{at}/{name}")).limit(1).count()  # one broken row is enough
         if broken:
             raise ValueError(f"release {release_id}: {name} breaks its gate")
-    new, fs = _fs(spark, f"{root}/CURRENT.new")
-    out = fs.create(new, True)
+    pointers, fs = _fs(spark, f"{root}/current")
+    n = max(_pointers(fs, pointers), default=-1) + 1
+    hidden, _ = _fs(spark, f"{root}/current/_{n:09d}.{uuid.uuid4().hex}")
+    out = fs.create(hidden, True)
     out.write(json.dumps({"release_id": release_id, "tables": sorted(tables)}).encode())
     out.close()
-    old, _ = _fs(spark, f"{root}/CURRENT.json")
-    if fs.exists(old):
-        fs.delete(old, False)
-    fs.rename(new, old)
+    shown, _ = _fs(spark, f"{root}/current/{n:09d}.json")
+    if not fs.rename(hidden, shown):
+        fs.delete(hidden, False)
+        raise RuntimeError(f"release {release_id}: another release became current at the same time")
     return at
 
 
+def _pointers(fs, folder) -> list[int]:
+    """The numbers of the pointers there are."""
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+
+
 def current_release(spark: SparkSession, root: str) -> dict | None:
-    p, fs = _fs(spark, f"{root}/CURRENT.json")
-    if not fs.exists(p):
+    """What the pointer with the largest number says; readers see the old or the new release whole, as no pointer is ever replaced."""
+    folder, fs = _fs(spark, f"{root}/current")
+    numbers = _pointers(fs, folder)
+    if not numbers:
         return None
-    return json.loads("".join(r["value"] for r in spark.read.text(f"{root}/CURRENT.json").collect()))
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{root}/current/{max(numbers):09d}.json").collect()))
 
 
 def write_lists(records: DataFrame, path: str) -> None:
@@ -81,24 +94,28 @@ def write_shards(df: DataFrame, path: str, order: str, size: int) -> None:
 
 def bibtex_escape(c: Column) -> Column:
     out = F.coalesce(c, F.lit(""))
-    out = F.replace(out, F.lit("\\"), F.lit("\u0000"))
-    for plain, escaped in _ESCAPES[1:]:
+    for plain, escaped in BIBTEX_ESCAPES.items():
         out = F.replace(out, F.lit(plain), F.lit(escaped))
-    return F.replace(out, F.lit("\u0000"), F.lit(_ESCAPES[0][1]))
+    return out
+
+
+def bibtex_key(entity_id: Column, title: Column) -> Column:
+    """Twenty letters and digits of the title, or paper, and the end of the entity's id, which keeps keys apart."""
+    word = F.substring(F.regexp_replace(F.coalesce(title, F.lit("")), "[^A-Za-z0-9]+", ""), 1, 20)
+    return F.concat(F.when(word == "", "paper").otherwise(word), F.right(entity_id, F.lit(6)))
 
 
 def bibtex(papers: DataFrame) -> DataFrame:
     """entity_id and entry: a BibTeX entry of each paper. papers: entity_id, title, authors, venue, venue_type, year, doi, paper_url."""
-    kind = F.when(F.col("venue_type") == "journal", BIBTEX_TYPES["journal"]).otherwise(BIBTEX_TYPES["conference"])
+    kind = F.lit("misc")
+    for of, name in BIBTEX_TYPES.items():
+        kind = F.when(F.col("venue_type") == of, name).otherwise(kind)
     place = F.when(F.col("venue_type") == "journal", "journal").otherwise("booktitle")
-    family = F.regexp_extract(F.split(F.coalesce("authors", F.lit("")), ";")[0], r"([\p{L}]+)\s*$", 1)
-    word = F.regexp_extract(F.lower(F.coalesce("title", F.lit(""))), r"([a-z]{4,})", 1)
-    key = F.concat(F.lower(family), F.col("year").cast("string"), word)
     people = F.array_join(F.filter(F.transform(F.split(F.coalesce("authors", F.lit("")), ";"), lambda a: F.trim(a)), lambda a: a != ""), " and ")
-    fields = [("title", F.concat(F.lit("{"), bibtex_escape(F.col("title")), F.lit("}"))), ("author", bibtex_escape(people)), ("year", F.col("year").cast("string")), ("doi", F.coalesce("doi", F.lit(""))), ("url", F.coalesce("paper_url", F.lit("")))]
+    fields = [("title", bibtex_escape(F.col("title"))), ("author", bibtex_escape(people)), ("year", F.col("year").cast("string")), ("doi", F.coalesce("doi", F.lit(""))), ("url", F.coalesce("paper_url", F.lit("")))]
     lines = [F.when(v != "", F.concat(F.lit(f"  {n} = {{"), v, F.lit("}"))) for n, v in fields]
     venue = F.concat(F.lit("  "), place, F.lit(" = {"), bibtex_escape(F.col("venue")), F.lit("}"))
-    entry = F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.concat_ws(",\n", *lines, venue), F.lit("\n}"))
+    entry = F.concat(F.lit("@"), kind, F.lit("{"), bibtex_key(F.col("entity_id"), F.col("title")), F.lit(",\n"), F.concat_ws(",\n", *lines, venue), F.lit("\n}"))
     return papers.select("entity_id", entry.alias("entry"))
 
 
@@ -111,7 +128,9 @@ def markdown(papers: DataFrame) -> DataFrame:
 def export(papers: DataFrame, path: str, form: str) -> None:
     """The papers of a collection as csv, json, bibtex or markdown."""
     if form == "csv":
-        papers.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        # a byte-order mark before the first column's name, for spreadsheets
+        first, *rest = papers.columns
+        papers.select(F.col(first).alias("\ufeff" + first), *rest).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     elif form == "json":
         papers.write.mode("overwrite").json(path)
     elif form in ("bibtex", "markdown"):

@@ -1,3 +1,5 @@
+import hashlib
+
 from quirelake.operators import entities as E
 from quirelake.operators import graph, matching
 
@@ -32,6 +34,32 @@ def test_identity_guard(spark):
     assert res.candidates.where("reason LIKE '%identity_review'").count() >= 1
 
 
+def test_ids_are_unique(spark):
+    # a keeps the earlier id that is the hash of b's DOI; b, new, must not take it too
+    h = "ape_" + hashlib.sha256(b"doi:10.2/b").hexdigest()[:24]
+    rows = [rec("a", "10.1/a"), rec("b", "10.2/b"), rec("c", "10.3/c"), rec("d", "10.3/c", title="Another title of a longer kind"), rec("e", "10.4/e", title="Some other title of a longer kind")]
+    prior = spark.createDataFrame([("a", h), ("c", "ape_x"), ("d", "ape_x"), ("e", "ape_x")], "record_id string, entity_id string")
+    of = {r["record_id"]: r["entity_id"] for r in E.resolve(spark.createDataFrame(rows, COLS), prior).memberships.collect()}
+    assert of["a"] == h and of["b"] != h and of["c"] == of["d"] == "ape_x" and len({of[x] for x in "abce"}) == 4
+    # of two that want one id the smaller takes its next
+    votes = spark.createDataFrame([("p", "i1", 3), ("p", "i2", 1), ("q", "i1", 2), ("q", "i2", 1), ("r", "i1", 1)], "component string, prior string, votes bigint")
+    sizes = spark.createDataFrame([("p", 5), ("q", 4), ("r", 1)], "component string, n bigint")
+    assert {(r["component"], r["prior"]) for r in E.kept_ids(votes, sizes).collect()} == {("p", "i1"), ("q", "i2")}
+
+
+def test_conflicts_between_all_titles(spark):
+    rows = [rec(i, arxiv="2402.00001", title=f"{t} title of these longer papers") for i, t in (("e", "First"), ("f", "Other"), ("g", "Third"), ("h", "Third"))]
+    c = E.resolve(spark.createDataFrame(rows, COLS)).candidates
+    assert {(r["left_id"], r["right_id"]) for r in c.where("reason = 'arxiv_conflict'").collect()} == {("e", "f"), ("e", "g"), ("f", "g"), ("g", "h")}
+    assert {r["reason"] for r in c.collect()} == {"arxiv_conflict", "exact_title_authors"}
+
+
+def test_long_chains(spark):
+    rows = [(f"n{i:04}", f"n{i + 1:04}") for i in range(1000)] + [("x", "y"), ("y", "x")]
+    got = {r["old"]: (r["current"], r["in_cycle"]) for r in graph.followed_aliases(spark.createDataFrame(rows, "old string, new string"), "old", "new").collect()}
+    assert all(got[f"n{i:04}"] == ("n1000", False) for i in range(1000)) and got["x"][1] and got["y"][1]
+
+
 def test_components(spark):
     edges = [("b", "a"), ("c", "b"), ("d", "d"), ("x", "y"), ("y", "z"), (None, "q"), ("c", "b")] + [("hub", f"n{i:03}") for i in range(200)] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}

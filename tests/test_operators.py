@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import columns as C
 from quirelake.functions import text as X
+from quirelake.functions import values as V
 from quirelake.operators import evaluation, state, topics, vectors
 from quirelake.sources import readers, writers
 from quirelake.streaming import ingest
@@ -16,12 +18,38 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
+NON_PAPERS = {
+    "Editorial Board": "front_matter", "Table of Contents": "front_matter", "Transactions on Things publication information": "", "IEEE Transactions on Image Processing publication information": "front_matter", "Preface.": "front_matter",
+    "VIS 2024 Program Committee": "committee_or_reviewers", "IEEE ISMAR 2023 Science &amp; Technology Program Committee Members for Journal Papers": "committee_or_reviewers", "2025 Reviewers List <sup>*</sup>": "committee_or_reviewers",
+    "2024 VGTC Visualization Service Award": "award_or_statement", "Models for Search: Introduction to the Special Issue—Part 2": "editorial", "Message from the Editor-in-Chief": "editorial", "Erratum: Wavelet Fluids": "correction_notice", "Notice of Retraction: CHN": "retraction",
+    "Preface: A Volumetric Prior": "", "Reconfiguring Proportional Committees": "", "Approval-based committee voting": "", "Optimization without Retraction": "", "Welcome to the Dark Side": "", "Low-rank correction to the Laplace method": "", "Metaphors in News Editorials": "", "A Dataset for the Reviewer Assignment Problem": "",
+}
+
+
+def test_record_kinds(spark):
+    got = spark.createDataFrame([(t,) for t in NON_PAPERS], "t string").select("t", C.record_kind(F.col("t")).alias("k")).collect()
+    assert {r["t"]: r["k"] for r in got} == NON_PAPERS
+
+
+def test_values(spark):
+    assert V.service_query('training-free "super resolution" of the image') == 'all:"training free" AND all:"super resolution" AND all:image'
+    assert V.service_query("the") == 'all:"the"' and V.service_query('a "b') == "all:b"
+    assert V.short_title("What is the best way to rank papers by relevance?") == "What is the best way to rank…" and V.short_title("short") == "short"
+    long = {"items": [{"text": "x" * 900} for _ in range(40)]}
+    assert V.trimmed({"a": 1}) == {"a": 1}
+    assert V.trimmed(long, 10_000)["items"][0]["text"] == "x" * 200 + "…" and len(V.trimmed(long, 10_000)["items"]) == 40
+    assert V.trimmed(long, 5_000)["items_omitted"] == 20 and V.trimmed(long, 100)["truncated"]
+    assert one(spark, V.point_id(F.lit("d:1"))) == str(uuid.uuid5(uuid.NAMESPACE_DNS, "d:1"))
+    j = one(spark, V.rewritten_json(F.lit('{"entity_id": "a", "x": [{"entity_ids": ["a", "b"]}]}'), F.lit('{"a": "b"}')))
+    assert json.loads(j) == {"entity_id": "b", "x": [{"entity_ids": ["b"]}]}
+
+
 def test_columns(spark):
     assert one(spark, C.arxiv_key(F.lit(" arXiv:2401.00001v3 "))) == "2401.00001"
     assert one(spark, C.forum_key(F.lit("https://a.org"), F.lit("https://openreview.net/forum?id=Ab_1&x=2"))) == "Ab_1"
     assert one(spark, C.url_access(F.lit("https://arxiv.org/abs/1"))) == "open"
     assert one(spark, C.url_access(F.lit(""))) == "none"
-    assert one(spark, C.shown_authors(F.lit("A; B and C; D"))) == "A; B; C et al. (4)"
+    assert one(spark, C.shown_authors(F.lit("A; B and C; D"))) == "A; B; C 等"
     assert one(spark, C.inverted_text(F.create_map(F.lit("b"), F.array(F.lit(1), F.lit(2)), F.lit("a"), F.array(F.lit(0))))) == "a b b"
     assert one(spark, C.record_kind(F.lit("Guest Editorial on X"))) == "editorial"
     assert one(spark, C.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
@@ -57,8 +85,11 @@ def test_ancestors(spark):
 def test_split_markdown():
     text = "before\n\n# One\n\n" + "\n\n".join(["p" * 50] * 4) + "\n\n## Empty\n# Last\nend"
     got = vectors.split_markdown(text, 120)
-    assert got[0] == ("", "before") and got[-1] == ("Last", "Last\n\nend") and ("Empty", "Empty") in got
-    assert all(p.startswith("One") for s, p in got if s == "One")
+    assert got[0] == ("", "before") and got[-1] == ("# Last", "# Last\n\nend") and ("## Empty", "## Empty") in got
+    assert all(p.startswith("# One\n\n") for s, p in got if s == "# One") and all(len(p) <= 120 for _, p in got)
+    assert sum(p.count("p" * 50) for _, p in got) == 4
+    assert vectors.split_markdown("# 标题\n\n正文内容\n\n## 第二节\n\n更多内容") == [("# 标题", "# 标题\n\n正文内容"), ("## 第二节", "## 第二节\n\n更多内容")]
+    assert vectors.split_markdown("# A\n" + "x" * 300, 100) == [("# A", "# A"), ("# A", "# A\n\n" + "x" * 300)]
     assert vectors.split_markdown(None) == [] and vectors.split_markdown("  ") == [] and vectors.split_markdown("plain") == [("", "plain")]
     assert vectors.split_markdown("x" * 5000) == [("", "x" * 5000)]
 
@@ -87,7 +118,11 @@ def test_evaluation(spark):
     assert evaluation.overall_metrics(df, "g", "p").first()["correct"] == 3
     assert evaluation.rand_index(df.where("p IS NOT NULL"), "g", "g").first()["ari"] == 1.0
     assert evaluation.kappa(df, "g", "p").first()["n"] == 4
-    assert evaluation.allocate({"a": 10, "b": 5, "c": 1}, 8) == {"a": 5, "b": 2, "c": 1} or sum(evaluation.allocate({"a": 10, "b": 5, "c": 1}, 8).values()) == 8
+    assert evaluation.allocate({"a": 10, "b": 5, "c": 1}, 8) == {"a": 5, "b": 2, "c": 1}
+    # 3.5, 1.75, 1.75: whole parts 3, 1, 1 and minimum 2 make seven
+    assert evaluation.allocate({"a": 10, "b": 5, "c": 5}, 7, 2) == {"a": 3, "b": 2, "c": 2}
+    assert evaluation.allocate({"a": 90, "b": 5, "c": 5}, 10, 2) == {"a": 6, "b": 2, "c": 2}
+    assert evaluation.allocate({"a": 2, "b": 1}, 5) == {"a": 3, "b": 1}
     assert evaluation.overall_metrics(df.where("g = 'x'"), "g", "p").first()["n"] == 0
 
 
@@ -148,7 +183,8 @@ def test_release(spark, tmp_path):
     assert {(r["shard"], r["n"]) for r in back.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {(0, 10), (1, 10), (2, 5)}
     p = spark.createDataFrame([("e", "A & B", "Ann Lee; Bob May", "V", "journal", 2024, "10.1/x", "http://u")], "entity_id string, title string, authors string, venue string, venue_type string, year int, doi string, paper_url string")
     entry = writers.bibtex(p).first()["entry"]
-    assert entry.startswith("@article{lee2024") and r"A \& B" in entry
+    assert entry.startswith("@article{ABe,\n  title = {A \\& B}") and "  journal = {V}" in entry
+    assert writers.bibtex(p.withColumn("venue_type", F.lit("preprint")).withColumn("title", F.lit("∀")).withColumn("entity_id", F.lit("ape_0123456789"))).first()["entry"].startswith("@misc{paper456789,")
     for form in ("csv", "json", "bibtex", "markdown"):
         writers.export(p, str(tmp_path / form), form)
 
