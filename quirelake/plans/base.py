@@ -115,3 +115,37 @@ class Filters:
                 hit = any_of([F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(n.lower())) for n in names for c in ("name_zh", "name_en")])
                 out = out.join(definitions.where(hit).select(F.col("area_id").alias(column)).distinct(), column, "left_semi")
         return out
+
+
+# Text keys in SQL, as far as the characters of the tables go: wide forms, ligatures, blanks and two character references.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))).replace("'", "''")
+_PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
+def sql_nfkc(c: str) -> str:
+    return f"replace(replace(replace(translate(coalesce({c}, ''), '{_WIDE}', '{_PLAIN}'), 'ﬁ', 'fi'), 'ﬃ', 'ffi'), '…', '...')"
+
+
+def sql_untagged(c: str) -> str:
+    return f"regexp_replace(replace(replace(replace(coalesce({c}, ''), '&nbsp;', chr(160)), '&#45;', '-'), '&amp;', '&'), '<[^>]+>', ' ', 'g')"
+
+
+def sql_title_key(c: str) -> str:
+    return f"regexp_replace(lower({sql_nfkc(c)}), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
+
+
+def sql_plain_key(c: str) -> str:
+    return sql_title_key(sql_untagged(c))
+
+
+def sql_phrase(c: str) -> str:
+    return f"trim(regexp_replace(lower({sql_nfkc(sql_untagged(c))}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+
+
+def sql_tokens(c: str) -> str:
+    """The tokens of the full-text index."""
+    joints = f"regexp_replace(regexp_replace(regexp_replace({sql_nfkc(c)}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([0-9])', '\\1 \\2', 'g')"
+    return f"regexp_extract_all(strip_accents(lower({joints})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+SQL_DOI = f"CASE WHEN NOT {sql_missing('doi')} THEN nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(doi)), '^(?:https?://)?(?:www\\.|dx\\.)?doi\\.[a-z]+/', ''), '^doi\\s*:\\s*', ''), '[.\\s]+$', ''), '') END"
