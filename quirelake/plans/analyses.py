@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from quirelake.functions.columns import cosine, unit
 from quirelake.functions.missing import is_missing
 from quirelake.functions.text import phrase_text_col
+from quirelake.functions.values import point_id
 from quirelake.operators import evaluation, state, topics, vectors
-from quirelake.plans.base import BASE, ENTITIES, LABELS, MEMBERS, RECORDS, base, labels, members, records, sql_missing
+from quirelake.plans.base import BASE, ENTITIES, LABELS, MEMBERS, RECORDS, base, labels, members, records, sql_missing, sql_phrase, sql_title_key
 from quirelake.plans.registering import Registry
 from quirelake.session import spool, table
 from quirelake.sources import writers
@@ -33,18 +34,44 @@ def _texts(spark, d):
     return b.select("entity_id", "year", phrase_text_col(F.col("title")).alias("title"), phrase_text_col(F.col("abstract")).alias("abstract"))
 
 
-@register()
+def _hit(field: str, term: str) -> str:
+    return f"contains(' ' || {field} || ' ', ' {term} ')"
+
+
+def _points(terms: list[str], weight: float) -> str:
+    """An array of the points of each term that a text has, doubled in the title."""
+    return ", ".join(f"CASE WHEN {_hit('t', w)} THEN {2 * weight} WHEN {_hit('a', w)} THEN {weight} END" for w in terms)
+
+
+# The four topics of the tree, by their order: their terms written out once more.
+_TOPIC = f"""WITH {BASE}, x AS (SELECT entity_id, year, venue, {sql_phrase('title')} AS t, {sql_phrase('abstract')} AS a FROM b),
+s AS (SELECT entity_id, 0 AS place, 't_diffusion' AS topic_id, 'f_generation' AS family, true AS concrete, 3 AS threshold, 0 AS bench, [{_points(['latent diffusion', 'text to image generation'], 3.0)}, {_points(['denoising steps', 'prompts'], 1.0)}] AS p FROM x UNION ALL
+SELECT entity_id, 1, 't_video', 'f_generation', false, 3, 0, [{_points(['video generation'], 3.0)}, {_points(['storyboard'], 1.0)}] FROM x UNION ALL
+SELECT entity_id, 2, 't_graph', 'f_graph', false, 4, 0, CASE WHEN {_hit('t', 'graph')} OR {_hit('a', 'graph')} OR {_hit('t', 'graphs')} OR {_hit('a', 'graphs')} THEN [{_points(['graph transformers', 'node classification'], 3.0)}, {_points(['edges', 'nodes'], 1.0)}] ELSE [] END FROM x UNION ALL
+SELECT entity_id, 3, 't_retrieval', 'f_search', false, 3, CASE WHEN {_hit('t', 'recall at twenty')} OR {_hit('a', 'recall at twenty')} THEN 1 ELSE 0 END, [{_points(['dense passage retrieval'], 3.0)}, {_points(['queries'], 1.0)}, CASE WHEN {_hit('t', 'click')} AND {_hit('t', 'logs')} THEN 4.0 WHEN {_hit('a', 'click')} AND {_hit('a', 'logs')} THEN 2.0 END, {_points(['recall at twenty'], 3.0)}] FROM x),
+sc AS (SELECT *, coalesce(list_sum(p), 0) AS score, len(list_filter(p, lambda v: v IS NOT NULL)) AS n_ev FROM s), kp AS (SELECT * FROM sc WHERE score >= threshold AND n_ev > 0),
+fm AS (SELECT *, coalesce(max(CASE WHEN concrete THEN score END) OVER w, -1) AS bc, coalesce(max(CASE WHEN NOT concrete THEN score END) OVER w, -1) AS bo FROM kp WINDOW w AS (PARTITION BY entity_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, place) AS k, first_value(family) OVER (PARTITION BY entity_id ORDER BY score DESC, place) AS pf FROM fm WHERE concrete OR NOT (bc >= bo AND bc >= 0)),
+ex AS (SELECT *, k > 1 AND family <> pf AND n_ev > bench AS extra FROM o), nt AS (SELECT *, count(*) FILTER (WHERE extra) OVER (PARTITION BY entity_id ORDER BY score DESC, place ROWS UNBOUNDED PRECEDING) AS nth FROM ex),
+asg AS (SELECT entity_id, topic_id, family, CAST(score AS DOUBLE) AS score, CASE WHEN k = 1 THEN 'primary' ELSE 'extra' END AS role, n_ev FROM nt WHERE k = 1 OR (extra AND nth <= 2))"""
+
+
+@register(f"{_TOPIC} SELECT entity_id, topic_id, score, role, n_ev AS n_evidence FROM asg")
 def topic_assignments(spark, d):
     """Primary and extra topics of the labelled entities."""
     return topics.classify(_texts(spark, d), TOPICS).select("entity_id", "topic_id", "score", "role", F.size("evidence").alias("n_evidence"))
 
 
-@register()
+def _first_term(*terms: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_hit(f, w)} THEN '{w}:{name}'" for w in terms for f, name in (("t", "title"), ("a", "abstract"))) + " END"
+
+
+@register(f"WITH {BASE}, x AS (SELECT entity_id, {sql_phrase('title')} AS t, {sql_phrase('abstract')} AS a FROM b), g AS (SELECT entity_id, 'diffusion' AS tag, {_first_term('latent diffusion', 'flow matching')} AS h FROM x UNION ALL SELECT entity_id, 'graph', {_first_term('graph transformers', 'message passing')} FROM x UNION ALL SELECT entity_id, 'retrieval', {_first_term('dual encoders', 'late interaction scoring')} FROM x) SELECT entity_id, tag, split_part(h, ':', 1) AS term, split_part(h, ':', 2) AS field FROM g WHERE h IS NOT NULL")
 def topic_tags(spark, d):
     return topics.scan_tags(_texts(spark, d), TAGS)
 
 
-@register()
+@register(f"{_TOPIC}, up AS (SELECT *, topic_id AS ancestor_id FROM asg UNION ALL SELECT *, family FROM asg) SELECT ancestor_id, count(DISTINCT entity_id) AS n_entities, count(*) FILTER (WHERE role = 'primary') AS n_primary, round(avg(score), 1) AS mean_score FROM up GROUP BY 1")
 def topic_overview(spark, d):
     """Of each topic its entities and mean score, rolled up to its family by the closure of the tree."""
     parents = spark.createDataFrame([(t.topic_id, t.family) for t in TOPICS] + [(f, None) for f in sorted({t.family for t in TOPICS})], "topic_id string, parent_topic_id string")
@@ -53,7 +80,7 @@ def topic_overview(spark, d):
     return a.join(F.broadcast(closure), "topic_id").groupBy("ancestor_id").agg(F.countDistinct("entity_id").alias("n_entities"), F.count_if(F.col("role") == "primary").alias("n_primary"), F.round(F.avg("score"), 1).alias("mean_score"))
 
 
-@register()
+@register(f"{_TOPIC}, y AS (SELECT year, count(*) AS total FROM x GROUP BY 1) SELECT x.year, topic_id, count(*) AS n, any_value(total) AS total, round_even(100.0 * count(*) / any_value(total), 1) AS share FROM asg JOIN x USING (entity_id) JOIN y ON y.year = x.year WHERE role = 'primary' GROUP BY 1, 2")
 def topic_trends(spark, d):
     """Primary topics by year with the year's whole as denominator."""
     t = spool(_texts(spark, d), "topic-input")
@@ -62,7 +89,7 @@ def topic_trends(spark, d):
     return a.groupBy("year", "topic_id").agg(F.count("*").alias("n")).join(whole, "year").withColumn("share", F.bround(100.0 * F.col("n") / F.col("total"), 1))
 
 
-@register()
+@register(f"{_TOPIC} SELECT x.venue, coalesce(topic_id, 'unclassified') AS bucket, count(DISTINCT x.entity_id) AS n FROM x LEFT JOIN asg ON asg.entity_id = x.entity_id AND role = 'primary' GROUP BY 1, 2")
 def topic_venue_mix(spark, d):
     """Entities of each venue by topic, with a bucket for those of none: the buckets of a venue add up to its entities."""
     b = spool(base(spark, d, "title", "abstract"), "mix-input")
@@ -76,7 +103,7 @@ def topic_venue_mix(spark, d):
 def chunk_documents(spark, d):
     """Sections and paragraphs of all documents, whole."""
     c = vectors.split_documents(table(spark, d, "documents"), 1200)
-    return c.select("chunk_id", "doc_id", "section", F.length("text").alias("n_chars"))
+    return c.select("chunk_id", point_id(F.col("chunk_id")).alias("point_id"), "doc_id", "section", F.length("text").alias("n_chars"))
 
 
 @register()
@@ -110,7 +137,7 @@ def vector_cohesion(spark, d):
     return vectors.cohesion(_vectors(spark, d), "label").select("label", "n", F.round("cohesion", 5).alias("cohesion"))
 
 
-@register()
+@register("WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x, label FROM embeddings), u AS (SELECT id, label, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS x FROM v), q AS (SELECT label, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM u), m AS (SELECT label, i, avg(x) AS x FROM q GROUP BY 1, 2), c AS (SELECT label AS center, list(x ORDER BY i) AS c FROM m GROUP BY label), p AS (SELECT id, center, list_cosine_similarity(u.x, c.c) AS s, row_number() OVER (PARTITION BY id ORDER BY list_cosine_similarity(u.x, c.c) DESC, center) AS k FROM u, c), t AS (SELECT id, max(CASE WHEN k = 1 THEN center END) AS center, max(CASE WHEN k = 1 THEN s END) AS s1, max(CASE WHEN k = 2 THEN s END) AS s2 FROM p GROUP BY 1) SELECT id, center, round(s1, 5) AS cosine, round(s1 - s2, 5) AS margin, s1 < 0.55 OR s1 - s2 < 0.02 AS needs_review FROM t")
 def vector_assignment(spark, d):
     """Vectors assigned to the nearest label centroid, with the ones that need review."""
     v = _vectors(spark, d)
@@ -236,7 +263,7 @@ def stream_windowed_counts(spark, d):
     return ingest.windowed_counts(table(spark, d, "events"))
 
 
-@register()
+@register(f"WITH {RECORDS}, {MEMBERS}, k AS (SELECT record_id, {sql_missing('title')} AS gone, {sql_title_key('title')} AS t FROM r), j AS (SELECT m.record_id, m.entity_id, m.is_canonical, k.t FROM m JOIN k USING (record_id)) SELECT CASE WHEN record_id IN (SELECT record_id FROM j) THEN 'exists' WHEN NOT gone AND t IN (SELECT t FROM j WHERE is_canonical = 1 AND t <> '') THEN 'merged' ELSE 'new' END AS outcome, count(*) AS n FROM k GROUP BY 1")
 def stream_ingest_outcomes(spark, d):
     """Records of the releases as entries against the memberships: how many exist, merge or are new."""
     r = records(spark, d, "title")
@@ -244,7 +271,11 @@ def stream_ingest_outcomes(spark, d):
     return ingest.outcomes(r, m).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@register()
+_TEX = "replace(replace(coalesce({0}, ''), '&', '\\&'), '_', '\\_')"
+_PEOPLE = "array_to_string(list_filter(list_transform(string_split(coalesce(r.authors, ''), ';'), lambda v: trim(v, ' ')), lambda v: v <> ''), ' and ')"
+
+
+@register(f"WITH {BASE} SELECT b.entity_id, '@' || CASE r.venue_type WHEN 'journal' THEN 'article' WHEN 'conference' THEN 'inproceedings' ELSE 'misc' END || '{{' || coalesce(nullif(substr(regexp_replace(coalesce(r.title, ''), '[^A-Za-z0-9]+', '', 'g'), 1, 20), ''), 'paper') || right(b.entity_id, 6) || ',' || chr(10) || CASE WHEN coalesce(r.title, '') <> '' THEN '  title = {{' || {_TEX.format('r.title')} || '}},' || chr(10) ELSE '' END || CASE WHEN {_PEOPLE} <> '' THEN '  author = {{' || {_TEX.format(_PEOPLE)} || '}},' || chr(10) ELSE '' END || '  year = {{' || r.year || '}},' || chr(10) || CASE WHEN coalesce(r.doi, '') <> '' THEN '  doi = {{' || r.doi || '}},' || chr(10) ELSE '' END || CASE WHEN coalesce(r.paper_url, '') <> '' THEN '  url = {{' || r.paper_url || '}},' || chr(10) ELSE '' END || '  ' || CASE r.venue_type WHEN 'journal' THEN 'journal' ELSE 'booktitle' END || ' = {{' || {_TEX.format('r.venue')} || '}}' || chr(10) || '}}' AS entry FROM b JOIN r ON r.record_id = b.record_id")
 def export_bibtex(spark, d):
     """BibTeX entries of all labelled papers."""
     p = base(spark, d, "title", "authors", "venue_type", "doi", "paper_url")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quirelake.functions.columns import even_rate, snippet
 from quirelake.functions.missing import is_missing
-from quirelake.plans.base import BASE, COLUMN_OF, KEYS, Filters, base, entities, labels, members, records, sql_missing
+from quirelake.plans.base import BASE, COLUMN_OF, ENTITIES, KEYS, LABELS, MEMBERS, RECORDS, Filters, base, entities, labels, members, records, sql_missing
 from quirelake.plans.registering import Registry
 from quirelake.session import table
 
@@ -224,7 +224,7 @@ def cap_taxonomy(spark, d):
     return list_taxonomy(spark, d)
 
 
-@register()
+@register(f"WITH {RECORDS}, {ENTITIES}, {MEMBERS}, {LABELS}, s AS (SELECT m.entity_id, to_json(list({{'year': r.year, 'venue': r.venue, 'record_id': m.record_id}} ORDER BY r.year, r.venue, m.record_id)) AS appearances FROM m JOIN r USING (record_id) GROUP BY 1) SELECT e.entity_id, e.entity_status, r.title, CASE WHEN length(r.abstract) > 600 THEN substr(r.abstract, 1, 600) || '…' ELSE r.abstract END AS abstract, r.authors, r.doi, l.area_id, l.direction_id, s.appearances FROM e LEFT JOIN r ON r.record_id = e.canonical_record_id LEFT JOIN l ON l.entity_id = e.entity_id LEFT JOIN s ON s.entity_id = e.entity_id")
 def cap_get_paper(spark, d):
     """Every entity in full, as one plan instead of one request each."""
     return papers_in_full(spark, d).withColumn("appearances", F.to_json("appearances"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions.values import list_status, not_after, point_id, precise_date
 from quirelake.operators import labelling
-from quirelake.plans.base import RECORDS, base, entities, records
+from quirelake.plans.base import BASE, RECORDS, base, entities, records
 from quirelake.plans.registering import Registry
 from quirelake.session import table
 
@@ -61,15 +61,18 @@ def text_date_cutoff(spark, d):
     return r.groupBy(not_after(F.col("at"), F.array(F.lit(2025), F.lit(6))).alias("before_july")).agg(F.count("*").alias("n"))
 
 
-@register()
+@register(f"WITH {BASE}, t AS (SELECT DISTINCT entity_id, coalesce(area_id, '') AS g, unnest(regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{{L}}-]+')) AS term FROM b), n AS (SELECT term, g, count(*) AS n FROM t WHERE term <> '' GROUP BY 1, 2) SELECT term, sum(n) AS n, '{{' || string_agg('\"' || g || '\":' || n, ',' ORDER BY g) || '}}' AS by_group, sum(n) = 1 AS once FROM n GROUP BY term")
 def label_vocabulary(spark, d):
     """The words of titles with their counts by area."""
     b = base(spark, d, "title").select("area_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}-]+"))).alias("term")).where("term <> ''")
     return labelling.vocabulary(b, "term", "area_id").withColumn("by_group", F.to_json("by_group"))
 
 
-@register()
-def chunk_point_ids(spark, d):
+_SHA = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(CAST(doc_id AS VARCHAR)))"
+
+
+@register(f"SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT doc_id, {_SHA} AS h FROM documents)")
+def document_point_ids(spark, d):
     """Stable point ids of the documents."""
     return table(spark, d, "documents").select("doc_id", point_id(F.col("doc_id").cast("string")).alias("point_id"))
 

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from quirelake.functions.missing import doi_key, is_missing
 from quirelake.operators import entities as E
 from quirelake.operators import graph, matching
-from quirelake.plans.base import MEMBERS, RECORDS, entities, members, records, sql_missing
+from quirelake.plans.base import MEMBERS, RECORDS, SQL_DOI as _SQL_DOI, entities, members, records, sql_missing, sql_plain_key, sql_title_key
 from quirelake.plans.registering import Registry
 from quirelake.session import table
 
 register = Registry()
 _COLS = ("doi", "arxiv_id", "paper_url", "pdf_url", "title", "authors", "venue", "year")
-_SQL_DOI = f"CASE WHEN NOT {sql_missing('doi')} THEN nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(doi)), '^(?:https?://)?(?:www\\.|dx\\.)?doi\\.[a-z]+/', ''), '^doi\\s*:\\s*', ''), '[.\\s]+$', ''), '') END"
 
 
 @register(f"WITH {RECORDS}, k AS (SELECT record_id, {_SQL_DOI} AS doi FROM r), g AS (SELECT doi, count(*) AS n, min(record_id) AS first_id FROM k WHERE doi IS NOT NULL GROUP BY doi) SELECT doi, n, first_id FROM g WHERE n > 1")
@@ -23,16 +22,38 @@ def er_doi_groups(spark, d):
     return k.groupBy("doi").agg(F.count("*").alias("n"), F.min("record_id").alias("first_id")).where("n > 1")
 
 
-@register()
+_URL_ID = "nullif(trim(regexp_extract({0}, '[?&]id=([^&#]*)', 1)), '')"
+# Keys, groups by each key, and the closure of the links of those that merge: plain, and only for small tables.
+_ER = f"""WITH RECURSIVE {RECORDS}, k AS (SELECT record_id, coalesce({_SQL_DOI}, '') AS doi, CASE WHEN {sql_missing('arxiv_id')} THEN '' ELSE regexp_replace(regexp_replace(lower(trim(arxiv_id)), '^arxiv:\\s*', ''), 'v[0-9]+$', '') END AS arxiv,
+  coalesce(CASE WHEN contains(paper_url, 'openreview.net') THEN {_URL_ID.format('paper_url')} END, CASE WHEN contains(pdf_url, 'openreview.net') THEN {_URL_ID.format('pdf_url')} END, '') AS forum,
+  {sql_plain_key('title')} AS title, CASE WHEN {sql_missing('authors')} THEN '' ELSE {sql_title_key('authors')} END AS people FROM r),
+g AS (SELECT 'doi' AS kind, doi AS key, min(record_id) AS first, true AS fits, 1 AS phase FROM k WHERE doi <> '' GROUP BY 2 HAVING count(*) > 1 UNION ALL
+  SELECT 'arxiv', arxiv, min(record_id), count(DISTINCT title) = 1 AND count(DISTINCT nullif(people, '')) <= 1, 2 FROM k WHERE arxiv <> '' GROUP BY 2 HAVING count(*) > 1 UNION ALL
+  SELECT 'openreview', forum, min(record_id), count(DISTINCT title) = 1 AND count(DISTINCT nullif(people, '')) <= 1, 3 FROM k WHERE forum <> '' GROUP BY 2 HAVING count(*) > 1),
+kk AS (SELECT record_id, 'doi' AS kind, doi AS key FROM k UNION ALL SELECT record_id, 'arxiv', arxiv FROM k UNION ALL SELECT record_id, 'openreview', forum FROM k),
+l AS (SELECT g.first AS a, kk.record_id AS b, g.phase FROM g JOIN kk ON kk.kind = g.kind AND kk.key = g.key WHERE g.fits AND kk.record_id <> g.first),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), c AS (SELECT record_id AS node, record_id AS seen FROM k UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen),
+p AS (SELECT node AS record_id, min(seen) AS component FROM c GROUP BY 1),
+s AS (SELECT component, count(*) AS n, min(nullif(doi, '')) AS doi, min(record_id) AS first FROM p JOIN k USING (record_id) GROUP BY 1),
+ph AS (SELECT component, min(phase) AS phase FROM l JOIN p ON p.record_id = l.a GROUP BY 1),
+ms AS (SELECT record_id, 'ape_' || substr(sha256(coalesce('doi:' || s.doi, 'record:' || s.first)), 1, 24) AS entity_id, CASE WHEN s.n = 1 THEN 'singleton' ELSE ['doi', 'arxiv', 'openreview'][ph.phase] END AS match_method, CASE WHEN s.n = 1 THEN 'single' WHEN ph.phase = 1 THEN 'exact' ELSE 'high' END AS confidence FROM p JOIN s USING (component) LEFT JOIN ph USING (component))"""
+
+
+@register(f"{_ER} SELECT record_id, entity_id, match_method, confidence FROM ms")
 def er_memberships(spark, d):
     """Entities of all records, made anew."""
     return E.resolve(records(spark, d, *_COLS)).memberships
 
 
-@register()
+_CLASH = """(SELECT x.first AS left_id, y.first AS right_id, g.kind || '_conflict' AS reason, 'conflict' AS confidence FROM kinds x JOIN kinds y ON x.kind = y.kind AND x.key = y.key AND x.first < y.first JOIN g ON g.kind = x.kind AND g.key = x.key WHERE NOT g.fits
+  UNION ALL SELECT z.first, kk.record_id, g.kind || '_conflict', 'conflict' FROM kinds z JOIN g ON g.kind = z.kind AND g.key = z.key JOIN kk ON kk.kind = z.kind AND kk.key = z.key JOIN k ON k.record_id = kk.record_id AND k.title = z.title AND k.people = z.people WHERE NOT g.fits AND kk.record_id <> z.first
+  UNION ALL SELECT x.record_id, y.record_id, 'exact_title_authors', 'high' FROM k x JOIN k y ON x.title = y.title AND x.people = y.people AND x.record_id < y.record_id JOIN (SELECT title, people FROM k WHERE length(title) >= 24 AND length(people) >= 6 GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 10) t ON t.title = x.title AND t.people = x.people)"""
+
+
+@register(f"{_ER}, kinds AS (SELECT kk.kind, kk.key, k.title, k.people, min(k.record_id) AS first FROM kk JOIN k USING (record_id) WHERE kk.key <> '' GROUP BY 1, 2, 3, 4), q AS {_CLASH} SELECT DISTINCT left_id, right_id, reason, q.confidence, 'review_' || substr(sha256(left_id || chr(0) || right_id || chr(0) || reason), 1, 24) AS candidate_id FROM q JOIN ms a ON a.record_id = q.left_id JOIN ms b ON b.record_id = q.right_id WHERE a.entity_id <> b.entity_id")
 def er_candidates(spark, d):
-    """Pairs for review, by reason."""
-    return E.resolve(records(spark, d, *_COLS)).candidates.groupBy("reason", "confidence").agg(F.count("*").alias("n"))
+    """Pairs for review."""
+    return E.resolve(records(spark, d, *_COLS)).candidates
 
 
 @register()
@@ -69,7 +90,7 @@ def er_alias_status(spark, d):
     return E.alias_status(low.select(F.col("x").alias("id")), entities(spark, d), al).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@register()
+@register("WITH RECURSIVE p AS (SELECT lower(trim(alias_entity_id)) AS a, lower(trim(entity_id)) AS b FROM entity_aliases), e AS (SELECT a, b FROM p WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM p WHERE a <> '' AND b <> '' AND a <> b), c AS (SELECT a AS node, a AS seen FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen), g AS (SELECT node, min(seen) AS component FROM c GROUP BY 1) SELECT size, count(*) AS n FROM (SELECT component, count(*) AS size FROM g GROUP BY 1) GROUP BY 1")
 def er_components(spark, d):
     """Components of the alias graph by star contraction: how many there are of each size."""
     low = table(spark, d, "entity_aliases").select(F.lower(F.trim("alias_entity_id")).alias("a"), F.lower(F.trim("entity_id")).alias("b")).where("a <> '' AND b <> ''")
@@ -84,7 +105,11 @@ def _sides(spark, d):
     return r.where("release_id <> first"), r.where("release_id = first")
 
 
-@register()
+_SQL_URL = lambda c: f"CASE WHEN NOT {sql_missing(c)} THEN regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '^https?://(?:www\\.)?', ''), '[?#].*$', ''), '/+$', '') END"
+_FIRST = f"WITH {RECORDS}, f AS (SELECT arg_min(release_id, created_at) AS first FROM data_releases WHERE status = 'ready'), rr AS (SELECT record_id AS id, venue, year, release_id = (SELECT first FROM f) AS old, {_SQL_DOI} AS doi, {_SQL_URL('paper_url')} AS u1, {_SQL_URL('pdf_url')} AS u2, {sql_plain_key('title')} AS t FROM r WHERE release_id IS NOT NULL), k AS (SELECT DISTINCT id, venue, year, old, unnest(['doi:' || doi, 'url:' || u1, 'url:' || u2]) AS key FROM rr)"
+
+
+@register(f"{_FIRST}, h AS (SELECT DISTINCT x.id AS ref_id, y.id AS local_id FROM k x JOIN k y ON x.key = y.key AND x.venue = y.venue AND x.year = y.year WHERE NOT x.old AND y.old), hn AS (SELECT ref_id, count(*) AS n, min(local_id) AS local_id FROM h GROUP BY 1), tn AS (SELECT venue, year, t, count(DISTINCT id) AS n, min(id) AS local_id FROM rr WHERE old AND t <> '' GROUP BY 1, 2, 3), j AS (SELECT rr.id, coalesce(hn.n, tn.n, 0) AS n, coalesce(hn.local_id, tn.local_id) AS local_id FROM rr LEFT JOIN hn ON hn.ref_id = rr.id LEFT JOIN tn ON tn.venue = rr.venue AND tn.year = rr.year AND tn.t = rr.t WHERE NOT rr.old), taken AS (SELECT local_id FROM h UNION SELECT local_id FROM j WHERE n = 1) SELECT CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status, count(*) AS n FROM j GROUP BY 1 UNION ALL SELECT 'local_only', count(*) FROM rr WHERE old AND id NOT IN (SELECT local_id FROM taken) HAVING count(*) > 0")
 def match_reconcile(spark, d):
     """Later records against the first release of their venue and year, by status."""
     later, first = _sides(spark, d)
