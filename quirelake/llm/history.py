@@ -574,7 +574,7 @@ class History:
         if self.runs:
             parts = [r[0] for r in lists.select("part").union(keys.select("part")).distinct().collect()]
             touched = f"part IN ({', '.join(map(str, parts))})" if parts else "false"
-            mine = keys.select("kind", "h1", "h2").distinct()
+            mine = _keys(batch, True).select("kind", "h1", "h2").distinct()
             keys = _merged_keys(keys.unionByName(self._read("keys", touched).join(mine, ["kind", "h1", "h2"], "left_semi")))
             every = _merged_lists(lists.unionByName(self._read("lists", touched)))
             old_pairs = self._read("pairs", touched).select("block", "tkey", "other")

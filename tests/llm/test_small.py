@@ -147,6 +147,10 @@ def test_history(spark, at_once, monkeypatch):
         for r in ("r1", "r2", "r3"):
             got |= {x[0] for x in h.accept(df.where(f"release_id = '{r}'"), rel).collect()}
         assert len(h.runs) <= 2
+    # o has the title of d's paper and no authors; q, later, has authors
+    late = spark.createDataFrame([("o", "V", 2024, None, None, "A title without authors for once", None, None, "r1", "x")], HIST), spark.createDataFrame([("q", "V", 2024, None, None, "A Title without Authors for once", None, "Ann Lee", "r3", "x")], HIST)
+    two = history.History(spark)
+    assert two.accept(late[0], rel).count() == 0 and [x[0] for x in two.accept(late[1], rel).collect()] == ["q"]
     # f has another DOI than a, but d, of a release before it, has its title and authors and no DOI
     assert got == {"b", "c", "d", "e", "f"}, got
     assert h.accept(df.where("false"), rel, keep=False).count() == 0
