@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from quirelake.functions.columns import any_of
 from quirelake.functions.missing import doi_key, is_missing, present
 from quirelake.functions.text import plain_title_key_col
+from quirelake.operators.graph import connected_components
+from quirelake.session import spool
 
 
 def url_key(c: Column) -> Column:
@@ -64,11 +67,15 @@ def first_of_keys(df: DataFrame, source: DataFrame, keys: list[tuple[str, Column
     return out.withColumns({f"found_{value}": F.coalesce(*got), "found_by": F.coalesce(*how)}).drop(*temps)
 
 
-def filled(left: DataFrame, right: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """left with its missing columns filled from right, which has each key once; values that are there stay."""
+def filled(left: DataFrame, right: DataFrame, on: list[str], columns: list[str], source: str | None = None) -> DataFrame:
+    """left with its missing columns filled from right, which has each key once; values that are there stay.
+
+    With source, a column <name>_from says where a filled value came from, and is null for those that were there.
+    """
     r = right.select(*on, *[F.col(c).alias(f"__{c}") for c in columns])
     j = left.join(r, on, "left")
-    return j.withColumns({c: F.coalesce(present(F.col(c)), present(F.col(f"__{c}"))) for c in columns}).drop(*[f"__{c}" for c in columns])
+    from_ = {f"{c}_from": F.when(is_missing(F.col(c)) & ~is_missing(F.col(f"__{c}")), F.lit(source)) for c in columns} if source else {}
+    return j.withColumns({c: F.coalesce(present(F.col(c)), present(F.col(f"__{c}"))) for c in columns} | from_).drop(*[f"__{c}" for c in columns])
 
 
 def layered(left: DataFrame, layers: list[tuple[str, DataFrame]], on: list[str], column: str) -> DataFrame:
@@ -82,33 +89,134 @@ def layered(left: DataFrame, layers: list[tuple[str, DataFrame]], on: list[str],
     return out.withColumns({column: F.coalesce(*got), "layer": F.coalesce(*how)}).drop(*[f"__{i}" for i in range(len(layers))])
 
 
-def merge_incoming(old: DataFrame, new: DataFrame) -> DataFrame:
-    """id and outcome of each incoming row: added, filled, ambiguous_match, identifier_title_conflict or title_doi_conflict.
+FILLED = ("authors", "doi", "arxiv_id", "pdf_url", "paper_url")
+ABSTRACT = ("abstract", "abstract_source_name", "abstract_source_url", "abstract_source_tier", "abstract_fetched_at")
+
+
+@dataclass
+class Merge:
+    """outcomes: id, outcome and old_id of each incoming row; rows: the list after the merge; not_in_source: ids of old rows that no incoming row met."""
+
+    outcomes: DataFrame
+    rows: DataFrame
+    not_in_source: DataFrame
 
-    Both sides have id, block, paper_id, doi, paper_url, title. A row matches by paper id, DOI or address, else by
-    title unless both have DOIs that differ. Everything is decided by equi-joins and counts, block by block.
+
+def merge_outcomes(old: DataFrame, new: DataFrame, approved: DataFrame | None = None) -> DataFrame:
+    """id, outcome and old_id of each incoming row: added, joined, filled, ambiguous_match, identifier_title_conflict or title_doi_conflict.
+
+    Both sides have id, block, paper_id, doi, paper_url and title. A row matches the old rows of its block by paper id,
+    DOI, or an address that one old row has alone; else by title, unless both have DOIs that differ. A title that differs
+    needs an approval (old_id, title: the new one). Rows that match no old row are added, except those that share a paper id, a DOI or (with no
+    other DOI) a title with an added row before them, by id, which join it. All is decided by equi-joins and counts.
     """
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.select("id", "block", doi_key(F.col("doi")).alias("doi"), present(F.lower("paper_id")).alias("pid"), url_key(F.col("paper_url")).alias("url"), plain_title_key_col(F.col("title")).alias("tkey")).distinct()
+        return df.select("id", "block", doi_key(F.col("doi")).alias("doi"), present(F.lower("paper_id")).alias("pid"), url_key(F.col("paper_url")).alias("url"), plain_title_key_col(F.col("title")).alias("tkey"), F.col("title").alias("shown")).distinct()
 
-    o, n = keyed(old), keyed(new)
-    ids = lambda df: df.select("id", "block", F.explode(F.filter(F.array(F.concat(F.lit("p:"), "pid"), F.concat(F.lit("d:"), "doi"), F.concat(F.lit("u:"), "url")), lambda x: x.isNotNull())).alias("key")).distinct()
-    by_id = ids(n).withColumnRenamed("id", "new_id").join(ids(o).withColumnRenamed("id", "old_id"), ["block", "key"]).select("new_id", "old_id").distinct().withColumn("by", F.lit(0))
+    o, n = spool(keyed(old), "merge-old"), spool(keyed(new), "merge-new")
+    ids = lambda df, cols: df.select("id", "block", F.explode(F.filter(F.array(*[F.concat(F.lit(c + ":"), c) for c in cols]), lambda x: x.isNotNull())).alias("key")).distinct()
+    alone = o.where("url IS NOT NULL").groupBy("block", "url").agg(F.min("id").alias("id"), F.count("*").alias("k")).where("k = 1").select("id", "block", F.concat(F.lit("url:"), F.col("url")).alias("key"))
+    targets = ids(o, ("pid", "doi")).unionAll(alone).withColumnRenamed("id", "old_id")
+    by_id = ids(n, ("pid", "doi", "url")).withColumnRenamed("id", "new_id").join(targets, ["block", "key"]).select("new_id", "old_id").distinct().withColumn("by", F.lit(0))
     t = n.select(F.col("id").alias("new_id"), "block", "tkey", F.col("doi").alias("nd")).where("tkey <> ''").join(o.select(F.col("id").alias("old_id"), "block", "tkey", F.col("doi").alias("od")), ["block", "tkey"])
     by_title = t.where("nd IS NULL OR od IS NULL OR nd = od").select("new_id", "old_id").distinct().withColumn("by", F.lit(1))
     hits = by_id.unionAll(by_title)
     best = hits.groupBy("new_id").agg(F.min("by").alias("by"))
-    hits = hits.join(best, ["new_id", "by"]).groupBy("new_id", "by").agg(F.count("*").alias("n"), F.min("old_id").alias("old_id"))
-    j = n.alias("n").join(hits, F.col("n.id") == F.col("new_id"), "left").join(o.alias("o"), F.col("old_id") == F.col("o.id"), "left")
+    hits = spool(hits.join(best, ["new_id", "by"]).groupBy("new_id", "by").agg(F.count("*").alias("hits_n"), F.min("old_id").alias("old_id")), "merge-hits")
+    # rows that match none, joined with each other
+    fresh = n.join(hits.select(F.col("new_id").alias("id")), "id", "left_anti")
+    doiless = fresh.where("tkey <> ''").groupBy("block", "tkey").agg(F.min("doi").alias("lo"), F.max("doi").alias("hi")).where("lo IS NULL OR lo = hi").select("block", "tkey")
+    titled = fresh.join(doiless, ["block", "tkey"], "left_semi").select("id", "block", F.concat(F.lit("t:"), F.col("tkey")).alias("key"))
+    shared = ids(fresh, ("pid", "doi")).unionAll(titled)
+    anchor = shared.groupBy("block", "key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
+    edges = shared.join(anchor, ["block", "key"]).where("id <> a").select("a", F.col("id").alias("b"))
+    first = connected_components(edges).where("node <> component").select(F.col("node").alias("id"), F.col("component").alias("joins"))
+    ok = F.lit(False)
+    j = n.alias("n").join(hits, F.col("n.id") == F.col("new_id"), "left").join(o.alias("o"), F.col("old_id") == F.col("o.id"), "left").join(first.alias("f"), F.col("n.id") == F.col("f.id"), "left")
+    if approved is not None:
+        j = j.join(approved.select(F.col("old_id").alias("a_id"), F.col("title").alias("a_title")).distinct(), (F.col("old_id") == F.col("a_id")) & (F.col("n.shown") == F.col("a_title")), "left")
+        ok = F.col("a_id").isNotNull()
     outcome = (
-        F.when(F.col("old_id").isNull(), "added")
+        F.when(F.col("old_id").isNull(), F.when(F.col("joins").isNull(), "added").otherwise("joined"))
         .when(F.col("hits_n") > 1, "ambiguous_match")
-        .when((F.col("by") == 0) & (F.col("n.tkey") != F.col("o.tkey")), "identifier_title_conflict")
+        .when((F.col("by") == 0) & (F.col("n.tkey") != F.col("o.tkey")) & ~ok, "identifier_title_conflict")
         .when(F.col("n.doi").isNotNull() & F.col("o.doi").isNotNull() & (F.col("n.doi") != F.col("o.doi")), "title_doi_conflict")
         .otherwise("filled")
     )
-    return j.withColumnRenamed("n", "hits_n").select(F.col("n.id").alias("id"), outcome.alias("outcome"), F.when(F.col("hits_n") == 1, F.col("old_id")).alias("old_id"))
+    return j.select(F.col("n.id").alias("id"), outcome.alias("outcome"), F.when(F.col("hits_n") == 1, F.col("old_id")).otherwise(F.col("joins")).alias("old_id"))
+
+
+def merge_incoming(old: DataFrame, new: DataFrame, approved: DataFrame | None = None) -> Merge:
+    """Incoming rows merged into the lists they belong to, block by block. See merge_outcomes for how rows match.
+
+    Both sides have id, block, paper_id, title, list_status and the columns of FILLED and ABSTRACT. Blank fields are filled
+    from the first incoming row, by id, that has them, an abstract with what is known of its source; fields that are there stay,
+    but for an approved title. Rows with a conflict change nothing. A new row whose paper id is taken gets another; a list
+    keeps its status. Repeated rows count once; null blocks, ids and empty tables give nothing.
+    """
+    out = spool(merge_outcomes(old, new, approved), "merge-outcomes")
+    kept = ["id", "block", "paper_id", "title", "list_status", *FILLED, *ABSTRACT]
+    source = new.select(*kept).dropDuplicates(["id"]).join(out.where("outcome IN ('filled', 'joined')").select("id", F.col("old_id").alias("into")), "id")
+    first = lambda c, has: F.min_by(c, F.when(has, F.col("id")))
+    given = source.groupBy("into").agg(
+        *[first(present(F.col(c)), ~is_missing(F.col(c))).alias(f"__{c}") for c in FILLED],
+        first(F.struct(*ABSTRACT), ~is_missing(F.col("abstract"))).alias("__abstract"),
+    )
+    added = new.select(*kept).dropDuplicates(["id"]).join(out.where("outcome = 'added'").select("id"), "id", "left_semi")
+    taken = old.select("block", F.lower("paper_id").alias("__p")).distinct().withColumn("__taken", F.lit(True))
+    status = old.groupBy("block").agg(F.min("list_status").alias("__status")).unionAll(added.join(old.select("block").distinct(), "block", "left_anti").groupBy("block").agg(F.min_by("list_status", "id").alias("__status")))
+    added = added.withColumn("__p", F.lower("paper_id")).join(taken, ["block", "__p"], "left").withColumn("paper_id", F.when(F.col("__taken"), F.concat(F.lit("published-"), F.col("paper_id"))).otherwise(F.col("paper_id"))).select(*kept)
+    rows = old.select(*kept).dropDuplicates(["id"]).unionByName(added)
+    if approved is not None:
+        renamed = approved.join(new.join(out.where("outcome = 'filled'").withColumnRenamed("old_id", "into"), "id").select(F.col("into").alias("old_id"), "title"), ["old_id", "title"], "left_semi").groupBy("old_id").agg(F.min("title").alias("__title"))
+        rows = rows.join(renamed.withColumnRenamed("old_id", "id"), "id", "left").withColumn("title", F.coalesce("__title", "title")).drop("__title")
+    j = rows.join(given.withColumnRenamed("into", "id"), "id", "left").join(status, "block", "left")
+    bare = is_missing(F.col("abstract")) & F.col("__abstract").isNotNull()
+    rows = j.select("id", "block", "paper_id", "title", F.coalesce("__status", "list_status", F.lit("rolling")).alias("list_status"), *[F.when(is_missing(F.col(c)), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in FILLED], *[F.when(bare, F.col(f"__abstract.{c}")).otherwise(F.col(c)).alias(c) for c in ABSTRACT])
+    unmet = old.select("id").distinct().join(out.where("outcome = 'filled'").select(F.col("old_id").alias("id")), "id", "left_anti")
+    return Merge(out, rows, unmet)
+
+
+def dispositions(reference: DataFrame, local: DataFrame, within: list[str]) -> DataFrame:
+    """ref_id, disposition (matched, ambiguous, existing_elsewhere or missing_candidate) and local_id, null unless matched.
+
+    Rows match by DOI or address anywhere, else by title anywhere; what counts is how many of these partners are of the
+    reference's own group. Both sides have id, title, doi, paper_url, pdf_url and the columns of within.
+    """
+
+    def keys(df: DataFrame) -> DataFrame:
+        k = F.array(F.concat(F.lit("doi:"), doi_key(F.col("doi"))), F.concat(F.lit("url:"), url_key(F.col("paper_url"))), F.concat(F.lit("url:"), url_key(F.col("pdf_url"))))
+        return df.select("id", F.struct(*within).alias("g"), F.explode(F.filter(k, lambda x: x.isNotNull())).alias("key")).distinct()
+
+    t = lambda df: df.select("id", F.struct(*within).alias("g"), plain_title_key_col(F.col("title")).alias("key")).where("key <> ''").distinct()
+    meet = lambda a, b: a.select(F.col("id").alias("ref_id"), F.col("g").alias("rg"), "key").join(b.select(F.col("id").alias("local_id"), F.col("g").alias("lg"), "key"), "key").select("ref_id", "local_id", (F.col("rg") == F.col("lg")).alias("inside")).distinct()
+    by_id = meet(keys(reference), keys(local))
+    no_id = t(reference).join(by_id.select(F.col("ref_id").alias("id")).distinct(), "id", "left_anti")
+    g = by_id.unionAll(meet(no_id, t(local))).groupBy("ref_id").agg(F.count_if("inside").alias("n_inside"), F.min(F.when(F.col("inside"), F.col("local_id"))).alias("one"))
+    j = reference.select(F.col("id").alias("ref_id")).distinct().join(g, "ref_id", "left")
+    d = F.when(F.col("n_inside") == 1, "matched").when(F.col("n_inside") > 1, "ambiguous").when(F.col("n_inside").isNotNull(), "existing_elsewhere").otherwise("missing_candidate")
+    return j.select("ref_id", d.alias("disposition"), F.when(F.col("n_inside") == 1, F.col("one")).alias("local_id"))
+
+
+def doi_difference(local: DataFrame, foreign: DataFrame, within: list[str]) -> DataFrame:
+    """The groups' columns, doi, side (foreign_only or local_only) and elsewhere: whether the other side has the DOI in another group.
+
+    Both sides have doi and the columns of within. DOIs count once per group; missing ones do not count.
+    """
+    k = lambda df: df.select(*within, doi_key(F.col("doi")).alias("doi")).where("doi IS NOT NULL").distinct()
+    a, b = k(local), k(foreign)
+    on = [*within, "doi"]
+    known = lambda df: df.select("doi").distinct().withColumn("__there", F.lit(True))
+    side = lambda x, y, name: x.join(y, on, "left_anti").join(known(y), "doi", "left").select(*within, "doi", F.lit(name).alias("side"), F.coalesce("__there", F.lit(False)).alias("elsewhere"))
+    return side(b, a, "foreign_only").unionAll(side(a, b, "local_only"))
+
+
+def collapsed(rows: DataFrame, key: list[str], same: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, conflicts): each identity once; identities whose rows differ in a column of same are conflicts, with the number of values of each."""
+    g = rows.groupBy(*key).agg(*[F.min(c).alias(c) for c in rows.columns if c not in key], *[F.countDistinct(F.coalesce(c, F.lit(""))).alias(f"n_{c}") for c in same])
+    bad = any_of([F.col(f"n_{c}") > 1 for c in same])
+    return g.where(~bad).select(*rows.columns), g.where(bad).select(*key, *[f"n_{c}" for c in same])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -148,3 +256,55 @@ def is_author(presenter: Column, authors: Column) -> Column:
 def accepted(title_agrees: Column, author_agrees: Column, year_agrees: Column, doi_agrees: Column) -> Column:
     """The gate for foreign metadata: the DOI agrees, or the title with an author or the year."""
     return F.coalesce(doi_agrees, F.lit(False)) | (F.coalesce(title_agrees, F.lit(False)) & any_of([F.coalesce(author_agrees, F.lit(False)), F.coalesce(year_agrees, F.lit(False))]))
+
+
+def byline_begins(authors: Column, other: Column) -> Column:
+    """Whether the first author of one list begins the other."""
+    first = lambda c: F.array_join(name_tokens(F.split(c, ";")[0]), " ")
+    return (first(authors) != "") & (first(authors) == first(other))
+
+
+def gates(pairs: DataFrame) -> DataFrame:
+    """pairs with the gate that lets a foreign row through: the first of these that holds, or null.
+
+    pairs: two sides as columns l_ and r_ of id, title, authors, year, kind, doi, venue, published (ISO date) and forum
+    (a review forum's id), and cutoff. id_title: id and title agree; doi: DOIs agree, the venue too, and it is not after the cutoff;
+    title_author: title, first author, kind and year agree; forum: one forum id and one title; title_year: title and year, if one
+    candidate only has the title.
+    """
+    key = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+    both = lambda a, b: (a != "") & (a == b)
+    title = both(key(F.col("l_title")), key(F.col("r_title")))
+    year = F.coalesce(F.col("l_year") == F.col("r_year"), F.lit(False))
+    doi = F.coalesce(doi_key(F.col("l_doi")) == doi_key(F.col("r_doi")), F.lit(False))
+    in_time = F.coalesce(F.col("r_published") <= F.col("cutoff"), F.lit(True))
+    one = F.count(F.when(title, 1)).over(Window.partitionBy("l_id")) == 1
+    gate = (
+        F.when(F.coalesce(F.col("l_id") == F.col("r_id"), F.lit(False)) & title, "id_title")
+        .when(doi & both(key(F.col("l_venue")), key(F.col("r_venue"))) & in_time, "doi")
+        .when(title & byline_begins(F.col("l_authors"), F.col("r_authors")) & F.coalesce(F.col("l_kind") == F.col("r_kind"), F.lit(False)) & year, "title_author")
+        .when(F.coalesce(F.col("l_forum") == F.col("r_forum"), F.lit(False)) & title, "forum")
+        .when(title & year & one, "title_year")
+    )
+    return pairs.withColumn("gate", gate)
+
+
+def candidate_matches(items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """item_id, other_id and how (doi, arxiv or title): each candidate under the first key that agrees; a title counts with an author's words or the year.
+
+    Both sides have id, doi, arxiv_id, title, authors and year. Three equi-joins, no comparison of all with all.
+    """
+
+    def k(df: DataFrame) -> DataFrame:
+        return df.select("id", doi_key(F.col("doi")).alias("doi"), F.when(~is_missing(F.col("arxiv_id")), F.regexp_replace(F.regexp_replace(F.lower(F.trim("arxiv_id")), r"^arxiv:\s*", ""), r"v\d+$", "")).alias("arxiv"), F.nullif(plain_title_key_col(F.col("title")), F.lit("")).alias("title"), F.coalesce("authors", F.lit("")).alias("authors"), "year")
+
+    a, b = k(items), k(candidates)
+    parts = []
+    for i, how in enumerate(("doi", "arxiv", "title")):
+        j = a.alias("a").join(b.alias("b"), F.col(f"a.{how}") == F.col(f"b.{how}"))
+        if how == "title":
+            known = lambda s: F.transform(F.split(F.col(f"{s}.authors"), ";"), lambda n: F.array_join(name_tokens(n), " "))
+            named = F.arrays_overlap(F.filter(known("a"), lambda n: n != ""), F.filter(known("b"), lambda n: n != ""))
+            j = j.where(F.coalesce(named, F.lit(False)) | (F.col("a.year") == F.col("b.year")))
+        parts.append(j.select(F.col("a.id").alias("item_id"), F.col("b.id").alias("other_id"), F.lit(i).alias("o"), F.lit(how).alias("how")))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("item_id", "other_id").agg(F.min_by("how", "o").alias("how"))

@@ -97,9 +97,9 @@ def er_components(spark, d):
     return graph.connected_components(low).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
 
 
-def _sides(spark, d):
+def _sides(spark, d, *columns):
     """Records of the first release and of the later ones, as two lists to reconcile."""
-    r = records(spark, d, "release_id", *_COLS, "paper_id").withColumnRenamed("record_id", "id")
+    r = records(spark, d, "release_id", *_COLS, "paper_id", *columns).withColumnRenamed("record_id", "id")
     first = table(spark, d, "data_releases").where("status = 'ready'").agg(F.min_by("release_id", "created_at").alias("first"))
     r = r.join(F.broadcast(first))  # one row
     return r.where("release_id <> first"), r.where("release_id = first")
@@ -116,12 +116,63 @@ def match_reconcile(spark, d):
     return matching.reconcile(later, first, ["venue", "year"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@register()
+_MERGE = f"""{_FIRST.replace("WITH r AS", "WITH RECURSIVE r AS")}, q AS (SELECT record_id AS id, venue || '|' || year AS block, release_id = (SELECT first FROM f) AS old, CASE WHEN NOT {sql_missing('paper_id')} THEN lower(trim(paper_id)) END AS pid, {_SQL_DOI} AS doi, {_SQL_URL('paper_url')} AS url, {sql_plain_key('title')} AS t FROM r WHERE release_id IS NOT NULL),
+tg AS (SELECT id, block, 'pid:' || pid AS key FROM q WHERE old AND pid IS NOT NULL UNION SELECT id, block, 'doi:' || doi FROM q WHERE old AND doi IS NOT NULL UNION SELECT min(id), block, 'url:' || url FROM q WHERE old AND url IS NOT NULL GROUP BY block, url HAVING count(*) = 1),
+nk AS (SELECT id, block, unnest(['pid:' || pid, 'doi:' || doi, 'url:' || url]) AS key FROM q WHERE NOT old), h0 AS (SELECT DISTINCT nk.id AS n, tg.id AS o FROM nk JOIN tg ON tg.block = nk.block AND tg.key = nk.key),
+h1 AS (SELECT DISTINCT x.id AS n, y.id AS o FROM q x JOIN q y ON x.block = y.block AND x.t = y.t WHERE NOT x.old AND y.old AND x.t <> '' AND (x.doi IS NULL OR y.doi IS NULL OR x.doi = y.doi) AND x.id NOT IN (SELECT n FROM h0)),
+h AS (SELECT n, 0 AS how, count(*) AS k, min(o) AS o FROM h0 GROUP BY 1 UNION ALL SELECT n, 1, count(*), min(o) FROM h1 GROUP BY 1), fr AS (SELECT * FROM q WHERE NOT old AND id NOT IN (SELECT n FROM h)),
+one AS (SELECT block, t FROM fr WHERE t <> '' GROUP BY 1, 2 HAVING count(DISTINCT doi) <= 1), sh AS (SELECT id, block, unnest(['pid:' || pid, 'doi:' || doi]) AS key FROM fr UNION SELECT fr.id, fr.block, 't:' || fr.t FROM fr JOIN one ON one.block = fr.block AND one.t = fr.t),
+an AS (SELECT block, key, min(id) AS a FROM sh WHERE key IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1), ed AS (SELECT an.a, sh.id AS b FROM sh JOIN an ON an.block = sh.block AND an.key = sh.key WHERE sh.id <> an.a), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+cl AS (SELECT a AS node, a AS seen FROM bo UNION SELECT cl.node, bo.b FROM cl JOIN bo ON bo.a = cl.seen), jo AS (SELECT node, min(seen) AS first FROM cl GROUP BY 1 HAVING min(seen) <> node)"""
+
+
+@register(f"{_MERGE} SELECT n.id, CASE WHEN h.o IS NULL THEN CASE WHEN jo.first IS NULL THEN 'added' ELSE 'joined' END WHEN h.k > 1 THEN 'ambiguous_match' WHEN h.how = 0 AND n.t <> o.t THEN 'identifier_title_conflict' WHEN n.doi <> o.doi THEN 'title_doi_conflict' ELSE 'filled' END AS outcome, CASE WHEN h.k = 1 THEN h.o ELSE jo.first END AS old_id FROM q n LEFT JOIN h ON h.n = n.id LEFT JOIN q o ON o.id = h.o LEFT JOIN jo ON jo.node = n.id WHERE NOT n.old")
 def match_merge_outcomes(spark, d):
+    """What becomes of each record of the later releases when it is merged into the first one's lists."""
     later, first = _sides(spark, d)
     block = F.concat_ws("|", "venue", "year").alias("block")
     keep = ["id", "paper_id", "doi", "paper_url", "title", block]
-    return matching.merge_incoming(first.select(*keep), later.select(*keep)).groupBy("outcome").agg(F.count("*").alias("n"))
+    return matching.merge_outcomes(first.select(*keep), later.select(*keep))
+
+
+@register()
+def match_merged_lists(spark, d):
+    """The first release's lists after the merge: rows, and how many have each field, by list."""
+    later, first = _sides(spark, d, "list_status", *matching.ABSTRACT)
+    block = F.concat_ws("|", "venue", "year").alias("block")
+    keep = ["id", block, "paper_id", "title", "list_status", *matching.FILLED, *matching.ABSTRACT]
+    m = matching.merge_incoming(first.select(*keep), later.select(*keep))
+    return m.rows.groupBy("block").agg(F.count("*").alias("n"), *[F.count_if(~is_missing(F.col(c))).alias(c) for c in (*matching.FILLED, "abstract")])
+
+
+@register(f"{_FIRST}, g AS (SELECT id, old, venue, year, t, unnest(['doi:' || doi, 'url:' || u1, 'url:' || u2]) AS key FROM rr), h AS (SELECT DISTINCT x.id AS ref_id, y.id AS local_id, x.venue = y.venue AND x.year = y.year AS inside FROM g x JOIN g y ON x.key = y.key WHERE NOT x.old AND y.old), h2 AS (SELECT * FROM h UNION ALL SELECT DISTINCT x.id, y.id, x.venue = y.venue AND x.year = y.year FROM rr x JOIN rr y ON x.t = y.t WHERE x.t <> '' AND NOT x.old AND y.old AND x.id NOT IN (SELECT ref_id FROM h)), n AS (SELECT ref_id, count(*) FILTER (WHERE inside) AS k, min(local_id) FILTER (WHERE inside) AS one FROM h2 GROUP BY 1) SELECT rr.id AS ref_id, CASE WHEN k = 1 THEN 'matched' WHEN k > 1 THEN 'ambiguous' WHEN k IS NOT NULL THEN 'existing_elsewhere' ELSE 'missing_candidate' END AS disposition, CASE WHEN k = 1 THEN one END AS local_id FROM rr LEFT JOIN n ON n.ref_id = rr.id WHERE NOT rr.old")
+def match_dispositions(spark, d):
+    """Later records against the first release: in their own list, only in another, or nowhere."""
+    later, first = _sides(spark, d)
+    return matching.dispositions(later, first, ["venue", "year"])
+
+
+@register(f"{_FIRST}, x AS (SELECT DISTINCT venue, year, doi, old FROM rr WHERE doi IS NOT NULL) SELECT venue, year, doi, CASE WHEN old THEN 'local_only' ELSE 'foreign_only' END AS side, doi IN (SELECT doi FROM x y WHERE y.old <> x.old) AS elsewhere FROM x WHERE (venue, year, doi, NOT old) NOT IN (SELECT (venue, year, doi, old) FROM x)")
+def match_doi_difference(spark, d):
+    """DOIs that only the first release, or only the later ones, have in a venue and year, and whether the other has them elsewhere."""
+    later, first = _sides(spark, d)
+    return matching.doi_difference(first, later, ["venue", "year"])
+
+
+@register(f"WITH {RECORDS}, f AS (SELECT arg_min(release_id, created_at) AS first FROM data_releases WHERE status = 'ready'), k AS (SELECT record_id, release_id = (SELECT first FROM f) AS old, {_SQL_DOI} AS doi, CASE WHEN NOT {sql_missing('arxiv_id')} THEN regexp_replace(regexp_replace(lower(trim(arxiv_id)), '^arxiv:\\s*', ''), 'v[0-9]+$', '') END AS arxiv, nullif({sql_plain_key('title')}, '') AS t, list_filter(list_transform(string_split(coalesce(authors, ''), ';'), lambda n: array_to_string(list_sort(regexp_extract_all(lower(n), '[\\p{{L}}]+')), ' ')), lambda n: n <> '') AS people, year FROM r WHERE release_id IS NOT NULL), c AS (SELECT x.record_id AS item_id, y.record_id AS other_id, 0 AS o, 'doi' AS how FROM k x JOIN k y ON x.doi = y.doi WHERE NOT x.old AND y.old UNION ALL SELECT x.record_id, y.record_id, 1, 'arxiv' FROM k x JOIN k y ON x.arxiv = y.arxiv WHERE NOT x.old AND y.old UNION ALL SELECT x.record_id, y.record_id, 2, 'title' FROM k x JOIN k y ON x.t = y.t WHERE NOT x.old AND y.old AND (list_has_any(x.people, y.people) OR x.year = y.year)) SELECT item_id, other_id, arg_min(how, o) AS how FROM c GROUP BY 1, 2")
+def match_candidates(spark, d):
+    """Records of the first release that a later one may be, under the first key that agrees."""
+    later, first = _sides(spark, d)
+    return matching.candidate_matches(later, first)
+
+
+@register(f"{_ER}, kinds AS (SELECT kk.kind, kk.key, k.title, k.people, min(k.record_id) AS first FROM kk JOIN k USING (record_id) WHERE kk.key <> '' GROUP BY 1, 2, 3, 4), q AS {_CLASH}, z AS (SELECT DISTINCT left_id, right_id, reason, q.confidence FROM q JOIN ms a ON a.record_id = q.left_id JOIN ms b ON b.record_id = q.right_id WHERE a.entity_id <> b.entity_id) SELECT left_id, right_id, reason, z.confidence, x.title AS left_title, y.title AS right_title, x.venue AS left_venue, y.venue AS right_venue FROM z JOIN r x ON x.record_id = left_id JOIN r y ON y.record_id = right_id ORDER BY CASE z.confidence WHEN 'conflict' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, left_id, right_id, reason LIMIT 25")
+def er_candidate_page(spark, d):
+    """The first page of pairs for review with both records, conflicts first."""
+    c = E.resolve(records(spark, d, *_COLS)).candidates
+    r = lambda side: records(spark, d, "title", "venue").select(F.col("record_id").alias(f"{side}_id"), F.col("title").alias(f"{side}_title"), F.col("venue").alias(f"{side}_venue"))
+    first = F.when(F.col("confidence") == "conflict", 0).when(F.col("confidence") == "high", 1).otherwise(2)
+    return c.join(r("left"), "left_id").join(r("right"), "right_id").select("left_id", "right_id", "reason", "confidence", "left_title", "right_title", "left_venue", "right_venue").orderBy(first, "left_id", "right_id", "reason").limit(25)
 
 
 @register()
