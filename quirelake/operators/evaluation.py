@@ -55,9 +55,9 @@ def majority(votes: DataFrame, item: str, group: str) -> DataFrame:
 
 
 def precision_table(samples: DataFrame) -> DataFrame:
-    """Per topic, per band and overall: verdict counts, and the precision among the decided with its interval."""
+    """Per topic and band, per topic, per band and overall: verdict counts, and the precision among the decided with its interval."""
     decided = F.col("relevant") + F.col("mention_only") + F.col("wrong_signal")
-    g = samples.groupingSets([["topic_id"], ["band"], []], "topic_id", "band").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("relevant", "mention_only", "wrong_signal", "uncertain")])
+    g = samples.groupingSets([["topic_id", "band"], ["topic_id"], ["band"], []], "topic_id", "band").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("relevant", "mention_only", "wrong_signal", "uncertain")])
     lo, hi = wilson(F.col("relevant"), decided)
     return g.select("topic_id", "band", "relevant", "mention_only", "wrong_signal", "uncertain", F.when(decided > 0, F.bround(100.0 * F.col("relevant") / decided, 1)).alias("precision"), lo.alias("low"), hi.alias("high"))
 
@@ -104,3 +104,79 @@ def allocate(counts: dict[str, int], n: int, minimum: int = 1) -> dict[str, int]
         for g in may[: abs(short)]:
             out[g] += 1 if short > 0 else -1
     return out
+
+
+def averages(metrics: DataFrame) -> DataFrame:
+    """Macro averages over the counted classes of class_metrics, micro averages over all."""
+    at = lambda c: F.when(F.col("counted"), F.coalesce(c, F.lit(0.0)))
+    r = lambda c, name: F.round(c, 4).alias(name)
+    hits = F.round(F.coalesce("recall", F.lit(0.0)) * F.col("n_gold"))
+    return metrics.agg(
+        r(F.avg(at("precision")), "macro_precision"),
+        r(F.avg(at("recall")), "macro_recall"),
+        r(F.avg(at("f1")), "macro_f1"),
+        r(F.sum(hits) / F.sum("n_pred"), "micro_precision"),
+        r(F.sum(hits) / F.sum("n_gold"), "micro_recall"),
+        F.count_if("counted").alias("n_classes"),
+    )
+
+
+def confusions(pairs: DataFrame, gold: str, pred: str, key: str, most: int = 10, examples: int = 3) -> DataFrame:
+    """gold, pred, n and the first examples of the most frequent confusions; examples are the smallest keys, kept by number, not collected."""
+    c = pairs.where(F.col(gold) != F.col(pred)).select(F.col(gold).alias("gold"), F.col(pred).alias("pred"), F.col(key).alias("key"))
+    first = c.withColumn("k", F.row_number().over(Window.partitionBy("gold", "pred").orderBy("key"))).where(F.col("k") <= examples)
+    shown = first.groupBy("gold", "pred").agg(F.array_sort(F.collect_list("key")).alias("examples"))
+    n = c.groupBy("gold", "pred").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gold", "pred").limit(most)
+    return n.join(shown, ["gold", "pred"])
+
+
+def soft_agreement(pairs: DataFrame, a: str, b: str, also) -> DataFrame:
+    """How often two labellings agree, strictly and where also holds."""
+    same = F.col(a) == F.col(b)
+    return pairs.agg(F.count("*").alias("n"), F.count_if(same).alias("strict_agree"), F.count_if(same | also).alias("soft_agree")).withColumn("soft_rate", F.round(F.col("soft_agree") / F.col("n"), 4))
+
+
+def reviewed_samples(samples: DataFrame, reviews: DataFrame, topics: DataFrame) -> DataFrame:
+    """samples (sample_id, topic_id, score) with the verdict and error type of their reviews; pending without one. Samples of unknown topics are left out; repeated samples count once."""
+    known = samples.dropDuplicates(["sample_id"]).join(topics.select("topic_id"), "topic_id", "left_semi")
+    r = reviews.groupBy("sample_id").agg(F.max("verdict").alias("verdict"), F.max("error_type").alias("error_type"))
+    return known.join(r, "sample_id", "left").select("sample_id", "topic_id", "score", F.coalesce("verdict", F.lit("pending")).alias("verdict"), F.coalesce("error_type", F.lit("")).alias("error_type"))
+
+
+def error_groups(samples: DataFrame) -> DataFrame:
+    return samples.where("error_type <> ''").groupBy("error_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error_type")
+
+
+def sample_page(samples: DataFrame, page: int, size: int) -> DataFrame:
+    """A page of samples, wrong ones first."""
+    order = F.when(F.col("verdict") == "wrong_signal", 0).when(F.col("verdict") == "mention_only", 1).when(F.col("verdict") == "uncertain", 2).when(F.col("verdict") == "relevant", 3).otherwise(4)
+    size = max(1, min(100, size))
+    return samples.select("sample_id", "topic_id", "band", "verdict", "score").orderBy(order, "topic_id", "band", F.desc("score"), "sample_id").offset((max(1, page) - 1) * size).limit(size)
+
+
+def gold_merged(sample: DataFrame, guesses: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The gold label of each sampled paper, with the system's and the prelabelled one and whose it agrees with.
+
+    sample: entity_id, sample_order, area_id, direction_id; guesses: entity_id, pred_area, pred_direction; reviews:
+    entity_id, area, direction. Refused if a sampled paper has no review or a review no sample.
+    """
+    lost = sample.join(reviews, "entity_id", "left_anti").select("entity_id").unionAll(reviews.join(sample, "entity_id", "left_anti").select("entity_id"))
+    if not lost.isEmpty():
+        raise ValueError("reviews and sample do not have the same papers")
+    j = sample.join(reviews, "entity_id").join(guesses, "entity_id", "left")
+    same = lambda a, d: F.coalesce((F.col("area") == F.col(a)) & (F.col("direction") == F.col(d)), F.lit(False))
+    verdict = F.when(same("area_id", "direction_id"), "agree_system").when(same("pred_area", "pred_direction"), "agree_prelabel").otherwise("changed")
+    return j.select("entity_id", "sample_order", F.col("area_id").alias("system_area"), F.col("direction_id").alias("system_direction"), "pred_area", "pred_direction", F.col("area").alias("gold_area"), F.col("direction").alias("gold_direction"), verdict.alias("verdict")).orderBy("sample_order", "entity_id")
+
+
+def to_label(papers: DataFrame, areas_done: DataFrame, directions_done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(without_area, without_direction): what the two stages of prelabelling have still to do; the second works inside the first's area. areas_done: entity_id, area_id."""
+    first = papers.join(areas_done.select("entity_id"), "entity_id", "left_anti")
+    second = papers.join(areas_done.select("entity_id", "area_id"), "entity_id").join(directions_done.select("entity_id"), "entity_id", "left_anti")
+    return first, second
+
+
+def translation_cost(rows: DataFrame, chars_per_token: float, price_per_million: float) -> DataFrame:
+    """Characters of titles and abstracts and the price of their tokens."""
+    n = lambda c: F.length(F.coalesce(c, F.lit("")))
+    return rows.agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("title_chars"), F.sum(F.length("abstract")).alias("abstract_chars"), F.round(F.sum(n("title") + n("abstract")) / chars_per_token / 1_000_000 * price_per_million, 6).alias("cost"))

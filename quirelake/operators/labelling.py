@@ -65,3 +65,42 @@ def mixed_files(records: DataFrame) -> DataFrame:
     """source_file, and its numbers of venues and years, of files that hold more than one of either."""
     g = records.groupBy("source_file").agg(F.countDistinct("venue").alias("n_venues"), F.countDistinct("year").alias("n_years"), F.count("*").alias("n"))
     return g.where("n_venues > 1 OR n_years > 1")
+
+
+def import_checks(labels: DataFrame, entities: DataFrame, directions: DataFrame, areas: tuple[str, ...], non_papers: DataFrame) -> DataFrame:
+    """rule and n: how many rows of a label file break each rule it must meet before it is imported; all must be 0.
+
+    labels: entity_id, area, direction_id, confidence; directions: direction_id, area_id; non_papers: entity_id.
+    """
+    l = labels.select("entity_id", F.coalesce("area", F.lit("")).alias("area"), F.coalesce("direction_id", F.lit("")).alias("direction_id"), "confidence")
+    d = directions.select("direction_id", F.col("area_id").alias("of")).distinct()
+    n = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    papers = l.join(non_papers.select("entity_id").distinct(), "entity_id", "left_anti")
+    others = l.join(non_papers.select("entity_id").distinct(), "entity_id", "left_semi")
+    parts = [
+        n(l.join(entities.select("entity_id"), "entity_id", "left_anti"), "unknown_entity"),
+        n(l.groupBy("entity_id").count().where("count > 1"), "repeated_entity"),
+        n(entities.select("entity_id").distinct().join(l, "entity_id", "left_anti"), "unlabelled_entity"),
+        n(l.where(~F.col("area").isin(*areas)), "unknown_area"),
+        n(l.where("direction_id <> ''").join(d, "direction_id", "left_anti"), "unknown_direction"),
+        n(l.join(d, "direction_id").where("area <> of"), "direction_of_another_area"),
+        n(others.where("direction_id <> ''"), "non_paper_with_direction"),
+        n(others.where("area <> 'other'"), "non_paper_not_other"),
+        n(l.where(is_missing(F.col("confidence"))), "blank_confidence"),
+        n(papers.where("direction_id = '' AND area <> 'other'"), "missing_direction"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def phrase_errors(rows: DataFrame, lengths: dict[str, tuple[int, int]], confidence: str, key: str, reviewed: Column | None = None) -> DataFrame:
+    """key, field and error of phrases with too few or many words, and of low confidence without a review."""
+    rules = []
+    for c, (least, most) in lengths.items():
+        n = F.size(F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+        rules.append(F.when(~n.between(least, most), F.struct(F.lit(c).alias("field"), F.lit("phrase length").alias("error"))))
+    low = F.coalesce(F.lower(F.trim(confidence)) == "low", F.lit(False)) & ~(reviewed if reviewed is not None else F.lit(False))
+    rules.append(F.when(low, F.struct(F.lit(confidence).alias("field"), F.lit("low without review").alias("error"))))
+    return rows.select(key, F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("e")).select(key, "e.field", "e.error")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -135,3 +136,25 @@ def entity_texts(members: DataFrame, records: DataFrame) -> DataFrame:
     j = members.join(records, "record_id").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct((1 - F.coalesce("is_canonical", F.lit(0))).alias("o"), "record_id", "title", "abstract"))).alias("r"))
     text = lambda c: F.array_join(F.array_distinct(F.filter(F.transform("r", lambda x: x[c]), lambda t: t.isNotNull() & (t != ""))), "\n")
     return j.select("entity_id", text("title").alias("title"), text("abstract").alias("abstract"))
+
+
+def without_terms(topics: list[Topic], removed: dict[str, list[str]]) -> list[Topic]:
+    """The topics without the removed terms, by topic."""
+    gone = {t: {phrase_text(w) for w in ws} for t, ws in removed.items()}
+    keep = lambda t, ws: tuple(w for w in ws if w not in gone.get(t, ()))
+    return [replace(t, strong=keep(t.topic_id, t.strong), weak=keep(t.topic_id, t.weak), benchmarks=keep(t.topic_id, t.benchmarks)) for t in topics]
+
+
+def simulated(texts: DataFrame, topics: list[Topic], removed: dict[str, list[str]]) -> DataFrame:
+    """Of each topic its primary entities before and after the terms are removed, and how many it keeps."""
+    run = lambda ts, name: classify(texts, ts).where("role = 'primary'").select("entity_id", F.col("topic_id").alias(name))
+    j = run(topics, "before").join(run(without_terms(topics, removed), "after"), "entity_id", "full")
+    long = j.select(F.explode(F.array_distinct(F.array_compact(F.array("before", "after")))).alias("topic_id"), "before", "after")
+    is_ = lambda c: F.coalesce(F.col(c) == F.col("topic_id"), F.lit(False))
+    return long.groupBy("topic_id").agg(F.count_if(is_("before")).alias("n_before"), F.count_if(is_("after")).alias("n_after"), F.count_if(is_("before") & is_("after")).alias("kept"))
+
+
+def run_record(version: str, release_id: str, topics: list[Topic]) -> dict[str, str]:
+    """What a run is known by: the same version, release and topics have the same id."""
+    digest = hashlib.sha256("\n".join(map(repr, topics)).encode()).hexdigest()
+    return {"run_id": "run_" + hashlib.sha256("\0".join((version, release_id, digest)).encode()).hexdigest()[:16], "version": version, "release_id": release_id, "config_digest": digest}

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.plans import analyses, capabilities, dashboards, details, labelled, packed_fields, resolution, searches
+from quirelake.plans import analyses, capabilities, dashboards, details, labelled, packed_fields, resolution, searches, states
 
 FLAGSHIP = "cap_count_by_area"
-_PARTS = (capabilities, dashboards, details, searches, resolution, analyses, labelled)
+_PARTS = (capabilities, dashboards, details, searches, resolution, analyses, labelled, states)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quirelake.functions import columns as C
 from quirelake.functions import text as X
 from quirelake.functions import values as V
-from quirelake.operators import evaluation, state, topics, vectors
+from quirelake import protocols, service, tasks
+from quirelake.operators import evaluation, labelling, state, topics, vectors
 from quirelake.sources import readers, writers
 from quirelake.streaming import ingest
 
@@ -143,12 +144,12 @@ def test_lists(spark, tmp_path):
     head = ",".join(readers.LIST_COLUMNS)
     row = ["p1", "V", "conference", "2024", "", 'A "quoted", title', "A; B"] + [""] * 15
     (root / "v.csv").write_text("﻿" + head + "\n" + ",".join('"' + c.replace('"', '""') + '"' for c in row) + "\n", encoding="utf-8")
-    files = readers.list_files(str(tmp_path))
+    files = readers.list_files(spark, str(tmp_path))
     got = readers.read_lists(spark, files, "rel_1").first()
     assert got["title"] == 'A "quoted", title' and got["year"] == 2024 and len(got["record_id"]) == 64
     (root / "w.csv").write_text("x,y\n1,2\n")
     with pytest.raises(ValueError, match="header"):
-        readers.read_lists(spark, readers.list_files(str(tmp_path)), "rel_1")
+        readers.read_lists(spark, readers.list_files(spark, str(tmp_path)), "rel_1")
     h = readers.file_hashes(spark, str(tmp_path))
     assert h.count() == 2 and len(readers.digest(h, str(tmp_path))) == 64
     assert readers.changed_files(h.limit(1), h).count() == 1
@@ -159,7 +160,21 @@ def test_jsonl_feed_and_pages(spark, tmp_path):
     rows, errors = readers.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int")
     assert sorted(r["a"] for r in rows.collect()) == [1, 2] and [r["value"] for r in errors.collect()] == ["not json"]
     (tmp_path / "feed.xml").write_text("<feed><entry><id>1</id><title>A\n  B</title><summary>s</summary><published>2024</published><author><name>X</name></author><author><name>Y</name></author></entry></feed>")
-    assert readers.read_feed(spark, str(tmp_path / "feed.xml")).first()["authors"] == "X; Y"
+    feed = readers.read_feed(spark, str(tmp_path / "feed.xml")).first()
+    assert feed["authors"] == "X; Y" and feed["total"] is None
+    html = '<html><body><div class="paper big"><h4 class="t">A <i>B</i>\n C</h4><p class="who">X, Y<br>Z</p><a href="/1.pdf">pdf</a></div><div class="paper"><h4 class="t">Un&amp;closed<p class="who">Q'
+    (tmp_path / "stored").mkdir()
+    (tmp_path / "stored" / "p.html").write_text(html)
+    got_pages = {r["place"]: r for r in readers.read_pages(spark, str(tmp_path / "stored"), "paper", {"title": "t", "authors": "who"}).collect()}
+    assert got_pages[0]["title"] == "A B C" and got_pages[0]["authors"] == "X, YZ" and got_pages[0]["links"] == ["/1.pdf"]
+    assert got_pages[1]["title"] == "Un&closed" and got_pages[1]["authors"] == "Q" and got_pages[1]["links"] == []
+    assert readers.parse_page(None, "paper", {}) == [] and readers.page_key("s", {"b": "1", "a": "2"}) == readers.page_key("s", {"a": "2", "b": "1"})
+    answers = tmp_path / "answers"
+    answers.mkdir()
+    (answers / "p1.json").write_text(json.dumps({"items": [{"id": "1"}, {"id": "2"}], "next": "p2"}))
+    (answers / "p2.json").write_text(json.dumps({"items": [{"id": "3"}], "next": "p3"}))
+    saved = readers.read_answers(spark, str(answers), "id string")
+    assert sorted(r["id"] for r in saved.collect()) == ["1", "2", "3"] and [r["next"] for r in readers.missing_pages(saved).collect()] == ["p3"]
     pages = tmp_path / "pages"
     pages.mkdir()
     for i in range(3):
@@ -170,6 +185,67 @@ def test_jsonl_feed_and_pages(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("a", "A")}
 
 
+def test_service(spark, small):
+    call = lambda method, **p: service.handle(spark, small, {"jsonrpc": "2.0", "id": 1, "method": method, "params": p})
+    assert call("initialize")["result"]["serverInfo"]["name"] == "quirelake" and call("ping")["result"] == {}
+    names = {t["name"] for t in call("tools/list")["result"]["tools"]}
+    assert {"count_papers", "recall_topic", "trend"} <= names and len(names) == 11
+    got = json.loads(call("tools/call", name="count_papers", arguments={"group_by": "area"})["result"]["content"][0]["text"])
+    assert got["ok"] and len(got["data"]) > 3
+    assert call("tools/call", name="nope")["result"]["isError"] and call("nope")["error"]["code"] == -32601
+    assert service.handle(spark, small, {"jsonrpc": "2.0", "method": "notifications/initialized"}) is None
+    recall = service.answer(spark, small, "recall_topic", {"query": "text-to-image generation", "limit": 3})
+    assert recall["ok"] and len(recall["data"]["items"]) <= 3 and recall["data"]["method"] in ("phrase", "all_terms")
+    assert service.main(["count_papers", "--data", small, "--args", '{"group_by": "year"}'], spark) == 0 and service.main(["nope", "--data", small], spark) == 1
+
+
+def test_retrieval(spark):
+    docs = [protocols.Document("d1", "# One\n\nalpha beta"), protocols.Document("d2", "gamma delta")]
+    p = protocols.Pipeline(protocols.MarkdownSplitter(), protocols.HashEmbedder(32))
+    rows = p.ingest(spark.createDataFrame([(d.id, d.text) for d in docs], "document_id string, text string"))
+    assert rows.count() == 2 and p.ingest(spark.createDataFrame([("d1", "changed")], "document_id string, text string"), rows).where("document_id = 'd1'").count() == 1
+    best = p.retrieve(rows, "alpha beta", 1).first()
+    assert best["document_id"] == "d1" and p.retrieve(rows, "alpha", 5, {"document_id": ["d2"]}).count() == 1
+    back = vectors.reranked(rows.select("id", "embedding"), p.embedder.embed(["alpha beta"])[0], 1, lambda df: df.select("id", F.when(F.col("id") == "d2:0", 1.0).otherwise(0.0).alias("score")))
+    assert back.first()["id"] == "d2:0"
+    assert p.fingerprint() == p.fingerprint() != protocols.Pipeline(protocols.MarkdownSplitter(10), protocols.HashEmbedder(32)).fingerprint()
+    assert vectors.of_document(rows, "document_id", "d1").count() == 1
+    children, clashes = vectors.split_children(spark.createDataFrame([(1, "p", "a"), (2, "p", "a"), (3, "p", "b")], "id int, parent string, grp string"), "parent", "grp", spark.createDataFrame([("p", "a", "X"), ("p", "b", "x ")], "parent string, grp string, alias string"))
+    assert {r["child"]: r["n"] for r in children.collect()} == {"p_1": 2, "p_2": 1} and [r["alias"] for r in clashes.collect()] == ["x"]
+    m = one(spark, vectors.mixed_features(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0))))
+    assert abs(m[0] - 0.75 / (0.75**2 + 0.25**2) ** 0.5) < 1e-9
+
+
+def test_runs_and_variants(spark):
+    conf = topics.load_topics([{"topic_id": "a", "family": "f", "strong": ["graph networks"], "weak": ["edges"], "threshold": 3}, {"topic_id": "b", "family": "g", "strong": ["image"], "threshold": 3}])
+    t = spark.createDataFrame([("1", "graph networks", ""), ("2", "image", ""), ("3", "image of graph networks", "")], "entity_id string, title string, abstract string")
+    got = {r["topic_id"]: (r["n_before"], r["n_after"], r["kept"]) for r in topics.simulated(t, conf, {"a": ["graph networks"]}).collect()}
+    assert got == {"a": (2, 0, 0), "b": (1, 2, 1)}
+    run = topics.run_record("v1", "rel_1", conf)
+    assert run == topics.run_record("v1", "rel_1", conf) and run["run_id"] != topics.run_record("v2", "rel_1", conf)["run_id"]
+    r = tasks.Runner(spark, 1)
+    assert r.run("j", lambda: spark.range(10).count()).result(60) == 10 and r.state("j") == "done"
+    bad = r.run("k", lambda: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        bad.result(60)
+    assert r.state("k") == "failed" and not r.cancel("k")
+
+
+def test_label_files(spark):
+    rows = spark.createDataFrame([("e1", "nlp", "d1", "high", "a|b", "too many words in this one phrase here"), ("e2", "bad", "d9", "low", "a|b|c|d", "ok"), ("e2", "nlp", "d1", "low", "", "ok"), ("e9", "nlp", "d2", "mid", "a", "ok"), ("e3", "other", "", "high", "", "ok")], "entity_id string, area string, direction_id string, confidence string, tags string, task string")
+    dirs = spark.createDataFrame([("d1", "nlp"), ("d2", "cv")], "direction_id string, area_id string")
+    ents = spark.createDataFrame([("e1",), ("e2",), ("e3",), ("e4",)], "entity_id string")
+    got = {(r["rule"]): r["n"] for r in labelling.import_checks(rows, ents, dirs, ("nlp", "cv", "other"), spark.createDataFrame([("e3",)], "entity_id string")).collect()}
+    assert got == {"unknown_entity": 1, "repeated_entity": 1, "unlabelled_entity": 1, "unknown_area": 1, "unknown_direction": 1, "direction_of_another_area": 1, "non_paper_with_direction": 0, "non_paper_not_other": 0, "blank_confidence": 0, "missing_direction": 0}
+    e = {(r["entity_id"], r["field"], r["error"]) for r in labelling.phrase_errors(rows, {"task": (1, 6)}, "confidence", "entity_id").collect()}
+    assert ("e1", "task", "phrase length") in e and ("e2", "confidence", "low without review") in e
+
+
+def test_documents_are_whole(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# One\n\ntwo\n")
+    assert readers.read_documents(spark, str(tmp_path)).first()["text"] == "# One\n\ntwo\n"
+
+
 def test_release(spark, tmp_path):
     root = str(tmp_path / "cat")
     df = spark.range(5)
