@@ -1,9 +1,10 @@
 """Subject area of each document (problem 4).
 
-Method: latent Dirichlet topic models are fitted on all records by distributed variational expectation
-maximization. Each topic begins at the word counts of the records labelled with one area (besides topics for
-what belongs to none), is mapped to the area whose labelled records use its top terms most, and records
-are assigned to areas by their topic proportions. Sentences that mention other work are found by their
+Method: a latent Dirichlet topic model is fitted on all records by distributed variational expectation
+maximization. It has more topics than there are areas and starts without labels: words are placed by which words they
+stand with in a record (a random projection of their counts), and each topic begins at a cluster of words. Topics are
+mapped to areas by their top terms, inspected against the labelled records that use them, and records are
+assigned to areas by their topic proportions. Sentences that mention other work are found by their
 frame, the words they share with sentences on any area: a frame whose subject rarely agrees with the
 rest of its record says nothing on the record and is left out of the proportions.
 """
@@ -22,20 +23,25 @@ from quirelake.llm.history import _GENERIC
 from quirelake.llm.titles import missing, plain, title_parts
 from quirelake.session import spool
 
-#: Topics that begin at no area; they take up words that belong to none.
-BACKGROUND = 1
+#: Topics of the model; areas of several kinds of work have several.
+TOPICS = 32
 ROUNDS = 2
-STEPS = 8
+STEPS = 6
 ALPHA, BETA = 0.05, 0.01
-#: A word is in the vocabulary if it is in at least this share of the records, and at least in so many.
-MIN_SHARE, MIN_RECORDS = 2e-4, 3
+#: A word is in the vocabulary if at least so many records have it; of more than MAX_WORDS the most frequent are. This bounds the model: MAX_WORDS times TOPICS numbers.
+MIN_RECORDS, MAX_WORDS = 3, 20_000
+#: Places of a word in the projection, and how much of a word begins at the topics next to its own.
+PROJECTED, SHARPNESS = 128, 8
+SEED = 7
+#: Terms by which a topic is inspected.
+TOP_TERMS = 30
 #: Frames seen in at least this share of the sentences are judged; there can be no more than its inverse.
 FRAME_SHARE = 2e-4
 #: A frame is left out if its subject agrees with its record's in less than this part of its sentences.
 AGREEMENT = 0.4
 TITLE_WEIGHT = 3.0
-#: The share of the proportions that a second area needs; shares of single-area records end below it, those of others begin above.
-SECOND = 0.24
+#: The share of the proportions that a second area needs.
+SECOND = 0.23
 #: A word is general if no area has more than its even share of it by this many times what the others' even shares leave.
 LIFT = 1.5
 
@@ -45,7 +51,8 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 
 def sentences(title: str | None, normalized: str | None, abstract: str | None) -> list[str]:
     """The title, then the sentences of the abstract, as words in lower case between blanks; missing ones are left out."""
-    out = [" ".join(_WORD.findall(plain(title)))] if not missing(title) else [""]
+    shown = title if not missing(title) else normalized if not missing(normalized) else ""
+    out = [" ".join(_WORD.findall(plain(shown)))]
     if not missing(abstract):
         out += [" ".join(_WORD.findall(s)) for s in _SENTENCE.split(plain(abstract))]
     return out
@@ -57,7 +64,7 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     y = x.copy()
     for _ in range(6):
         small = y < 6
-        out -= np.where(small, 1 / y, 0)
+        out -= np.where(small, 1 / np.maximum(y, 1e-300), 0)
         y = np.where(small, y + 1, y)
     z = 1 / (y * y)
     return out + np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252))
@@ -72,11 +79,12 @@ class Model:
         self.set_weights(weights)
         self.frames: dict[str, float] = {}
         self.areas: list[str] = []
+        self.subjects: list[int | None] = []
 
     def set_weights(self, weights: np.ndarray) -> None:
         """weights: topics x words, the variational parameters of the topics."""
         self.weights = weights
-        self.phi = np.exp(_digamma(weights) - _digamma(weights.sum(1, keepdims=True))).T
+        self.phi = np.ascontiguousarray(np.exp(_digamma(weights) - _digamma(weights.sum(1, keepdims=True))).T.astype(np.float32))
 
     def frame(self, sentence: str) -> str:
         return " ".join(w for w in sentence.split() if w in self.general)
@@ -108,15 +116,24 @@ class Model:
         b = self.phi[word]
         begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         gamma[doc[begins]] += 1.0
-        r = b
+        r, w = b, weight.astype(np.float32)[:, None]
         for _ in range(STEPS):
-            theta = np.exp(_digamma(gamma))
-            r = theta[doc] * b
-            r /= r.sum(1, keepdims=True) + 1e-300
+            theta = np.exp(_digamma(gamma)).astype(np.float32)
+            r = theta[doc]
+            r *= b
+            r /= r.sum(1, keepdims=True) + np.float32(1e-30)
             gamma = np.full((n, k), ALPHA)
-            gamma[doc[begins]] += np.add.reduceat(r * weight[:, None], begins)
+            gamma[doc[begins]] += np.add.reduceat(r * w, begins)
         return gamma, r
 
+    def by_area(self) -> np.ndarray:
+        """topics x areas: 1 where a topic is mapped to an area."""
+        out = np.zeros((len(self.weights), len(self.areas)))
+        for t, a in enumerate(self.subjects):
+            if a is not None:
+                out[t, a] = 1.0
+        return out
+
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each record; front matter has none."""
@@ -167,71 +184,180 @@ def labels(memberships: DataFrame, assignments: DataFrame) -> DataFrame:
     return memberships.where("record_id IS NOT NULL").select("record_id", "entity_id").join(a, "entity_id").groupBy("record_id").agg(F.min("area").alias("area"))
 
 
-def start(texts: DataFrame, labelled: DataFrame, areas: list[str]) -> Model:
-    """The model before its first round, from the word counts of all records and of the labelled ones.
+_SUMS = "at bigint, v array<float>"
+
+
+def _arrays(at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    n, k = rows.shape
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(rows.astype(np.float32).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), flat], names=["at", "v"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the arrays of each place."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for at, v in zip(b.column("at").to_pylist(), b.column("v"), strict=True):
+            x = v.values.to_numpy()
+            sums[at] = sums[at] + x if at in sums else x.astype(np.float64)
+    if sums:
+        yield _arrays(np.array(list(sums)), np.vstack(list(sums.values())))
+
 
-    The counts come to the driver for words above MIN_SHARE only, whose number that share bounds.
+def _summed(parts: DataFrame, n: int, k: int) -> np.ndarray:
+    """Arrays of tasks, an array per word, summed in the cluster; one array per word comes to the driver, MAX_WORDS at most."""
+    p = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = np.zeros((n, k))
+    for r in parts.repartition(p, "at").mapInArrow(_added, _SUMS).collect():
+        out[r["at"]] = r["v"]
+    return out
+
+
+def vocabulary(texts: DataFrame, labelled: DataFrame, areas: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, set[str]]:
+    """(words, every, preference, general): the topical words, their records, how areas divide their labelled records, and the general words.
+
+    Counts of the vocabulary's words come to the driver, by area: MAX_WORDS times the number of areas at most.
     """
     counts = texts.where("text <> ''").join(labelled, "record_id", "left").select("text", "area").mapInArrow(_count, "word string, area string, n bigint")
     counts = spool(counts.groupBy("word", "area").agg(F.sum("n").alias("n")), "word-counts")
-    total = counts.where("word = '' AND area = ''").agg(F.sum("n")).first()[0] or 0
-    least = max(MIN_RECORDS, MIN_SHARE * total)
-    kept = counts.where(f"area = '' AND n >= {least}").select("word")
-    rows = counts.join(kept, "word").collect()
-    words = sorted({r["word"] for r in rows if r["word"]})
+    kept = counts.where(f"area = '' AND word <> '' AND n >= {MIN_RECORDS}").orderBy(F.desc("n"), "word").limit(MAX_WORDS).select("word")
+    rows = counts.join(kept, "word").unionAll(counts.where("word = ''")).collect()
+    got = [(r["word"], r["area"], r["n"]) for r in rows]
+    words = sorted({w for w, _, _ in got if w})
     at, col = {w: i for i, w in enumerate(words)}, {a: i for i, a in enumerate(areas)}
     by, size = np.zeros((len(areas), len(words))), np.ones(len(areas))
     every = np.zeros(len(words))
-    for r in rows:
-        if r["area"] == "" and r["word"]:
-            every[at[r["word"]]] = r["n"]
-        elif r["area"] in col:
-            if r["word"]:
-                by[col[r["area"]], at[r["word"]]] = r["n"]
+    for w, a, n in got:
+        if a == "" and w:
+            every[at[w]] = n
+        elif a in col:
+            if w:
+                by[col[a], at[w]] = n
             else:
-                size[col[r["area"]]] = r["n"]
-    rate = (by + 0.1) / (size[:, None] + 1)
-    lift = rate.max(0) / np.maximum(rate.mean(0), 1e-12)
+                size[col[a]] += n
+    rate = (by + 0.1) / size[:, None]
+    lift = rate.max(0) / np.maximum(rate.mean(0), 1e-12) if len(areas) else np.zeros(len(words))
     seen = by.sum(0)
     general = {w for i, w in enumerate(words) if lift[i] < 1 + LIFT * (1 - 1 / max(1, len(areas))) and seen[i] >= 3}
     topical = [i for i, w in enumerate(words) if w not in general]
-    # an area's topic holds its words beyond what all areas have of them
-    own = np.maximum(rate - np.median(rate, 0), 0)[:, topical]
-    share = own / np.maximum(own.sum(0), 1e-12)
-    weights = share * every[topical] + BETA
-    rest = np.where(seen[topical] < 2, every[topical], 0.02 * every[topical]) + BETA
-    model = Model([words[i] for i in topical], np.vstack([weights, *[rest] * BACKGROUND]), general)
+    share = (by / size[:, None])[:, topical]
+    return [words[i] for i in topical], every[topical], share / np.maximum(share.sum(0), 1e-12), general
+
+
+def placed(texts: DataFrame, words: list[str], every: np.ndarray) -> np.ndarray:
+    """A unit vector for each word: the random signs of the words it stands with in records, summed, less the mean."""
+    at = {w: i for i, w in enumerate(words)}
+    signs = np.random.default_rng(SEED).choice(np.array([-1.0, 1.0], np.float32), (len(words), PROJECTED))
+    shared = texts.sparkSession.sparkContext.broadcast((at, signs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, signs = shared.value
+        total = np.zeros(signs.shape, np.float32)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                ws = np.array(sorted({at[w] for w in text.split() if w in at}), np.int64)
+                if len(ws) > 1:
+                    mine = signs[ws]
+                    total[ws] += (mine.sum(0) - mine) / (len(ws) - 1)
+        held = np.flatnonzero(np.abs(total).sum(1))
+        for i in range(0, len(held), 5000):
+            yield _arrays(held[i : i + 5000], total[held[i : i + 5000]])
+
+    x = _summed(texts.where("text <> ''").mapInArrow(run, _SUMS), len(words), PROJECTED) / np.maximum(every, 1)[:, None]
+    x -= (x * every[:, None]).sum(0) / max(every.sum(), 1)
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+
+
+def clusters(x: np.ndarray, w: np.ndarray, k: int, starts: int = 8, turns: int = 40) -> np.ndarray:
+    """Centres of the best of several weighted spherical clusterings."""
+    best, found = -np.inf, np.zeros((k, x.shape[1]))
+    for s in range(starts):
+        draw = np.random.default_rng(SEED + s)
+        near, chosen = np.full(len(x), -1.0), []
+        for _ in range(min(k, len(x))):
+            p = w * np.clip(1 - near, 0, None) + 1e-12
+            chosen.append(int(draw.choice(len(x), p=p / p.sum())))
+            near = np.maximum(near, x @ x[chosen[-1]])
+        c = x[chosen].copy()
+        for _ in range(turns):
+            of = (x @ c.T).argmax(1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, of, x * w[:, None])
+            n = np.linalg.norm(sums, axis=1, keepdims=True)
+            c = np.where(n > 0, sums / np.maximum(n, 1e-12), c)
+        fit = float(((x @ c.T).max(1) * w).sum())
+        if fit > best:
+            best, found = fit, c
+    return found
+
+
+def start(texts: DataFrame, labelled: DataFrame, areas: list[str], topics: int = TOPICS) -> tuple[Model, np.ndarray]:
+    """(model, preference): the model before its first round, in which labels have no part, and how areas divide each word's labelled records."""
+    words, every, preference, general = vocabulary(texts, labelled, areas)
+    if not words:
+        return Model([], np.zeros((0, 0)), general), preference
+    x = placed(texts, words, every)
+    near = np.maximum(x @ clusters(x, np.sqrt(every), topics).T, 1e-3) ** SHARPNESS
+    weights = (near / near.sum(1, keepdims=True) * every[:, None]).T + BETA
+    model = Model(words, weights, general)
     model.areas = areas
-    return model
+    return model, preference
 
 
 def em_round(texts: DataFrame, model: Model) -> np.ndarray:
-    """Expected topic-word counts over all records; a row per topic and word comes to the driver, whatever the size."""
+    """Expected topic-word counts over all records, summed in the cluster."""
     k, v = model.weights.shape
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         total = np.zeros((v, k))
         for batch in batches:
             all_docs = [_split(t) for t in batch.column("text").to_pylist()]
             for i in range(0, len(all_docs), 1000):
                 docs = all_docs[i : i + 1000]
                 doc, _, word, weight = model.tokens(docs)
-                _, r = model.infer(len(docs), doc, word, weight)
-                for t in range(k):
-                    total[:, t] += np.bincount(word, r[:, t] * weight if len(word) else None, v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(v * k)), pa.array(total.ravel())], names=["at", "n"])
+                if len(word):
+                    _, r = model.infer(len(docs), doc, word, weight)
+                    order = np.argsort(word, kind="stable")
+                    begins = np.flatnonzero(np.r_[True, word[order][1:] != word[order][:-1]])
+                    total[word[order][begins]] += np.add.reduceat((r * weight.astype(np.float32)[:, None])[order], begins)
+        held = np.flatnonzero(total.sum(1))
+        for i in range(0, len(held), 5000):
+            yield _arrays(held[i : i + 5000], total[held[i : i + 5000]])
+
+    return _summed(texts.where("text <> ''").mapInArrow(run, _SUMS), v, k).T
+
 
-    rows = texts.where("text <> ''").mapInArrow(run, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(v * k)
-    for r in rows:
-        out[r["at"]] = r["n"]
-    return out.reshape(v, k).T
+def perplexity(texts: DataFrame, model: Model) -> float:
+    """exp of minus the mean log likelihood of the known words under the records' proportions."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        phi = (model.weights / model.weights.sum(1, keepdims=True)).T
+        n, logs = 0, 0.0
+        for batch in batches:
+            docs = [_split(t) for t in batch.column("text").to_pylist()]
+            doc, _, word, weight = model.tokens(docs)
+            if len(word):
+                gamma, _ = model.infer(len(docs), doc, word, weight)
+                theta = gamma / gamma.sum(1, keepdims=True)
+                logs += float(np.log((theta[doc] * phi[word]).sum(1) + 1e-300).sum())
+                n += len(word)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([logs])], names=["n", "logs"])
+
+    r = texts.where("text <> ''").mapInArrow(run, "n bigint, logs double").agg(F.sum("n").alias("n"), F.sum("logs").alias("logs")).first()
+    return float(np.exp(-r["logs"] / r["n"])) if r["n"] else float("nan")
 
 
 def judge_frames(texts: DataFrame, model: Model) -> dict[str, float]:
     """Weight 0 for the frames whose subject seldom agrees with the rest of the record."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        area = model.by_area()
         counts: dict[str, list[int]] = {}
         for batch in batches:
             all_docs = [_split(t) for t in batch.column("text").to_pylist()]
@@ -243,10 +369,10 @@ def judge_frames(texts: DataFrame, model: Model) -> dict[str, float]:
                 gamma, r = model.infer(len(docs), doc, word, weight)
                 begins = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]])
                 own = np.add.reduceat(r * weight[:, None], begins)
-                # the record's topic without the sentence
-                rest = gamma[doc[begins]] - own
-                agree = own[:, : len(model.areas)].argmax(1) == rest[:, : len(model.areas)].argmax(1)
-                known = rest[:, : len(model.areas)].max(1) > 1
+                # the record's area without the sentence
+                rest, own = (gamma[doc[begins]] - own) @ area, own @ area
+                agree = own.argmax(1) == rest.argmax(1)
+                known = rest.max(1) > 1
                 flat = [s for d in docs for s in d]
                 heads = np.cumsum([0] + [len(d) for d in docs])[:-1]
                 is_title = set(heads.tolist())
@@ -270,38 +396,39 @@ def _frames(counts: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["frame", "n", "agreed"])
 
 
-def map_topics(model: Model, first: np.ndarray, top: int = 30) -> list[str | None]:
-    """The area of each topic: the one whose labelled records use its top terms most, by their weight; None for background topics."""
-    out: list[str | None] = []
-    use = first[: len(model.areas)] / np.maximum(first[: len(model.areas)].sum(1, keepdims=True), 1e-12)
-    for t in range(len(model.weights)):
-        terms = np.argsort(-model.weights[t])[:top]
-        scores = use[:, terms] @ model.weights[t, terms]
-        out.append(model.areas[int(scores.argmax())] if t < len(model.areas) and scores.max() > 0 else None)
+def map_topics(model: Model, preference: np.ndarray, top: int = TOP_TERMS) -> list[int | None]:
+    """The area of each topic: the one that uses its top terms most among labelled records, by their weight; None if no labelled record has any of them."""
+    out: list[int | None] = []
+    for weights in model.weights:
+        terms = np.argsort(-weights, kind="stable")[:top]
+        scores = preference[:, terms] @ weights[terms]
+        out.append(int(scores.argmax()) if len(scores) and scores.max() > 0 else None)
     return out
 
 
-def fit(texts: DataFrame, labelled: DataFrame, areas: list[str]) -> Model:
+def topic_terms(model: Model, top: int = TOP_TERMS) -> list[tuple[int, str | None, list[str]]]:
+    """Each topic with its area and top terms, for inspection."""
+    return [(t, None if a is None else model.areas[a], [model.words[i] for i in np.argsort(-model.weights[t], kind="stable")[:top]]) for t, a in enumerate(model.subjects)]
+
+
+def fit(texts: DataFrame, labelled: DataFrame, areas: list[str], rounds: int = ROUNDS) -> Model:
     """The model after its rounds, with its frames judged and its topics mapped."""
-    model = start(texts, labelled, areas)
+    model, preference = start(texts, labelled, areas)
     if not model.words:
         return model
-    first = model.weights.copy()
+    model.subjects = map_topics(model, preference)
     model.frames = judge_frames(texts, model)
-    for _ in range(ROUNDS):
-        model.set_weights(em_round(texts, model) + BETA + 0.1 * first)
-    model.subjects = map_topics(model, first)
+    for _ in range(rounds):
+        model.set_weights(em_round(texts, model) + BETA)
+    model.subjects = map_topics(model, preference)
     return model
 
 
 def proportions(model: Model, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(shares, evidence): the proportions of the areas in each document, without background, and their total weight."""
+    """(shares, evidence): the proportions of the areas in each document, without unmapped topics, and their total weight."""
     doc, _, word, weight = model.tokens(docs)
     gamma, _ = model.infer(len(docs), doc, word, weight)
-    on = np.zeros((len(docs), len(model.areas)))
-    for t, s in enumerate(model.subjects):
-        if s is not None:
-            on[:, model.areas.index(s)] += gamma[:, t] - ALPHA
+    on = (gamma - ALPHA) @ model.by_area()
     total = on.sum(1)
     return on / np.maximum(total, 1e-12)[:, None], total
 
@@ -309,14 +436,17 @@ def proportions(model: Model, docs: list[list[str]]) -> tuple[np.ndarray, np.nda
 def assign(records: DataFrame, memberships: DataFrame, assignments: DataFrame, definitions: DataFrame, second: float = SECOND) -> DataFrame:
     """record_id, area_id, place (1 or 2) and share of the one or two areas of each record.
 
-    Front matter, records without known words and null ids give no row; repeated rows count once;
+    The title stands for itself or, where it is missing, the normalized title, if that has blanks between its words. Front matter, records
+    without a word that MIN_RECORDS records have, and null ids give no row; repeated rows count once;
     without labels or records there is no result. The area 'other' is for what no other fits and has no topic.
     """
     areas = sorted(r["area_id"] for r in definitions.where("area_id IS NOT NULL AND area_id <> 'other'").select("area_id").distinct().collect())
     texts = prepare(records)
     model = fit(texts, labels(memberships, assignments), areas)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             all_docs = [_split(t) for t in batch.column("text").to_pylist()]
             ids, area, place, share = [], [], [], []

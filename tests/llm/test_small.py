@@ -246,6 +246,16 @@ def test_topics(spark):
     assert right >= 228, right
     assert got["two"] == {"vision", "graphs"} and "front" not in got and "none" not in got
     assert topics.assign(df.where("false"), m, lab, defs).count() == 0
+    # rounds make the records more likely; labels have no part in where topics begin, only in what they are called
+    texts = topics.prepare(df)
+    labelled = topics.labels(m, lab)
+    before, _ = topics.start(texts, labelled, list(words))
+    model = topics.fit(texts, labelled, list(words))
+    assert topics.perplexity(texts, model) <= topics.perplexity(texts, before) + 1e-6
+    turned = topics.labels(m, lab.withColumn("area_id", F.when(F.col("area_id") == "vision", "graphs").when(F.col("area_id") == "graphs", "vision").otherwise(F.col("area_id"))))
+    again, _ = topics.start(texts, turned, list(words))
+    assert again.words == before.words and np.allclose(again.weights, before.weights)
+    assert {a for _, a, _ in topics.topic_terms(model)} >= set(words)
 
 
 def test_mixture(spark):
