@@ -101,9 +101,26 @@ m AS (SELECT DISTINCT m.entity_id, r.* FROM entity_memberships m JOIN r ON r.rec
 SELECT x.entity_id, x.record_id FROM m x JOIN m y ON x.entity_id = y.entity_id AND x.record_id <> y.record_id GROUP BY x.entity_id, x.record_id
 HAVING bool_and(x.a >= y.a AND x.b >= y.b AND x.c >= y.c AND x.d >= y.d AND x.e >= y.e AND (x.a > y.a OR x.b > y.b OR x.c > y.c OR x.d > y.d OR x.e > y.e))"""
 
+_B = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+_BARE = f"regexp_replace({{0}}, '^{_B.replace('{', '{{').replace('}', '}}')}+|{_B.replace('{', '{{').replace('}', '}}')}+$', '', 'g')"
+_NAMES = "(" + ", ".join(f"'{p}'" for p in PLACEHOLDERS) + ")"
+_TRUST = "[" + ", ".join(map(str, golden.TRUST)) + "]"
+
+
+def _field(c: str) -> str:
+    bare = _BARE.format(c)
+    return f"{{'f': '{c}', 't': CASE WHEN lower({bare}) NOT IN {_NAMES} THEN {bare} END}}"
+
+
+_P2S = f"""WITH r AS (SELECT DISTINCT * FROM paper_records WHERE record_id IS NOT NULL), m AS (SELECT DISTINCT record_id, entity_id FROM entity_memberships WHERE record_id IS NOT NULL AND entity_id IS NOT NULL),
+w AS (SELECT record_id, CAST(floor({golden.VOTE} * {_TRUST}[1 + {_rank('source_tier', golden.TIERS)}] * pow(2.0, least({_INSTANT} - {golden.NOW}, 0.0) / (86400 * {golden.HALF_LIFE_DAYS}))) AS BIGINT) AS weight, unnest([{', '.join(map(_field, golden.VALUES))}, {{'f': 'record', 't': record_id}}]) AS x FROM r),
+v AS (SELECT m.entity_id, w.record_id, weight, x.f AS f, x.t AS t, CASE WHEN x.f = 'record' THEN x.t ELSE md5(regexp_replace(lower(x.t), '\\s+', ' ', 'g')) END AS value FROM m JOIN w ON w.record_id = m.record_id WHERE x.t IS NOT NULL),
+s AS (SELECT entity_id, f, value, sum(weight) AS votes, arg_max(t, (CASE WHEN f = 'record' THEN '' ELSE md5(t) END, record_id)) AS shown FROM v GROUP BY 1, 2, 3), e AS (SELECT entity_id, f, arg_max(shown, (votes, value)) AS shown FROM s GROUP BY 1, 2)
+SELECT entity_id, max(shown) FILTER (WHERE f = 'record') AS most_trusted_record_id, {', '.join(f"max(shown) FILTER (WHERE f = '{c}') AS {c}" for c in golden.VALUES)} FROM e GROUP BY entity_id"""
+
 _P3 = f"""WITH RECURSIVE p AS (SELECT {_LOW.format('alias_entity_id')} AS a, {_LOW.format('entity_id')} AS b FROM entity_aliases), e AS (SELECT a, b FROM p WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM p WHERE a <> '' AND b <> '' AND a <> b),
 c AS (SELECT a AS node, a AS seen FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen) SELECT node AS entity_id, min(seen) AS group_id FROM c GROUP BY node"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3}
+    return {"p2_found": _P2, "p2_survivors": _P2S, "p3_found": _P3}
