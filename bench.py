@@ -13,7 +13,7 @@ from quirelake.session import local_session
 
 try:
     from quirelake.llm import queries as llm
-except ModuleNotFoundError as e:  # the library works without that subpackage
+except ImportError as e:  # the library works without that subpackage
     if not (e.name or "").startswith("quirelake.llm"):
         raise
     llm = None

@@ -79,16 +79,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _once: dict[tuple, str] = {}
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, of: str, make) -> str:
     """The path of what make writes from a table of a data folder, made once in a session and anew when the table changes.
 
-    make gets a new path in the shared folder. The table is told by its path and the time it was written.
+    make gets a new path in the shared folder. The table is told by its path and the time it was written. What was made is
+    made again if someone has cleared the folder.
     """
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{of}.parquet")
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     status = fs.getFileStatus(p)
     key = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir, name, of, status.getModificationTime(), status.getLen())
-    if key not in _once:
+    made = _once.get(key)
+    if made is None or not _there(spark, made):
         path = spool_path(spark, name)
         make(path)
         _once[key] = path

@@ -38,3 +38,15 @@ def test_every_paper_in_full(spark, small):
     assert {k: len(json.loads(r["appearances"])) for k, r in got.items() if r["appearances"]} == {r[0]: r[1] for r in n.collect() if r[0] in wanted}
     last = max(wanted)
     assert [r["entity_id"] for r in get_paper(spark, small, last).collect()] == [last] and get_paper(spark, small, "none").count() == 0
+
+
+def test_tables_without_repeats(spark, small):
+    import shutil
+
+    from quirelake import session
+
+    first = session.released(spark, small, "paper_entities")
+    assert first.count() == table(spark, small, "paper_entities").distinct().count()
+    path = next(v for k, v in session._once.items() if k[3] == "released-paper_entities" and k[2] == small)
+    shutil.rmtree(path.removeprefix("file:").replace("//", "/"))
+    assert session.released(spark, small, "paper_entities").count() == first.sparkSession.read.parquet(f"{small}/paper_entities.parquet").distinct().count()
