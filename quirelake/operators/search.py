@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -228,6 +229,23 @@ def relaxed(index: Index, query: str) -> tuple[Match, list[str], list[str]]:
     return match_of(kept), kept, dropped
 
 
+def match_metadata(index: Index, query: str) -> dict[str, object]:
+    """What is made of a query: mode (browse for a blank one, unsupported_tokens, all_terms or relaxed_any), its terms, and the pieces of other scripts that no token stands for."""
+    ignored = re.findall(r"[^\x00-\x7f]+", query or "")
+    if not (query or "").strip():
+        return {"mode": "browse", "terms": [], "ignored": []}
+    _, mode = resolve(index, query)
+    return {"mode": mode, "terms": terms_of(query), "ignored": [x.strip() for x in ignored if x.strip()]}
+
+
+def looked_up_or_found(records: DataFrame, index: Index, text: str) -> DataFrame:
+    """record_id of the records with the text as an identifier; if there is none, of those the index finds."""
+    known = lookup(records, text).select("record_id")
+    if not known.isEmpty():
+        return known
+    return search(index, resolve(index, text)[0]).select("record_id")
+
+
 def entity_ranks(hits: DataFrame, memberships: DataFrame) -> DataFrame:
     """entity_id and the best rank of its records."""
     return memberships.join(hits, "record_id").groupBy("entity_id").agg(F.min("rank").alias("rank"))

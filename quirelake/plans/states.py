@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quirelake.operators import evaluation, library, state, vectors
-from quirelake.plans.base import BASE, MEMBERS, RECORDS, base, labels, members, records
+from quirelake.operators import evaluation, library, matching, search, state, topics, vectors
+from quirelake.plans.base import BASE, ENTITIES, MEMBERS, RECORDS, base, entities, labels, members, records, sql_missing
 from quirelake.plans.registering import Registry
 from quirelake.session import spool, table
 
@@ -298,3 +298,60 @@ def vector_representatives(spark, d):
 def vector_counts(spark, d):
     """Vectors by document; labels stand for documents."""
     return vectors.document_counts(table(spark, d, "embeddings"), "label")
+
+
+_TEXT = "(SELECT entity_id, string_agg({0}, chr(10) ORDER BY o) AS {0} FROM (SELECT m.entity_id, r.{0}, min((1 - coalesce(m.is_canonical, 0), r.record_id)) AS o FROM m JOIN r ON r.record_id = m.record_id WHERE r.{0} <> '' GROUP BY 1, 2) GROUP BY 1)"
+
+
+@register(f"WITH {RECORDS}, m AS (SELECT DISTINCT record_id, entity_id, is_canonical FROM entity_memberships) SELECT e.entity_id, coalesce(t.title, '') AS title, coalesce(a.abstract, '') AS abstract FROM (SELECT DISTINCT m.entity_id FROM m JOIN r ON r.record_id = m.record_id) e LEFT JOIN {_TEXT.format('title')} t ON t.entity_id = e.entity_id LEFT JOIN {_TEXT.format('abstract')} a ON a.entity_id = e.entity_id")
+def topic_entity_texts(spark, d):
+    """The distinct titles and abstracts of each entity, those of its canonical record first."""
+    return topics.entity_texts(members(spark, d, "is_canonical"), records(spark, d, "title", "abstract"))
+
+
+@register(f"{_LIB}, c(collection_id) AS (VALUES ('c0'), ('c1'), ('c2'), ('c9')), mb AS (SELECT DISTINCT coalesce(al.current, w.entity_id) AS entity_id, 'c' || (k % 3) AS collection_id FROM w LEFT JOIN al ON al.old = w.entity_id WHERE k % 4 = 1) SELECT c.collection_id, count(mb.entity_id) AS n FROM c LEFT JOIN mb USING (collection_id) GROUP BY 1")
+def state_collection_counts(spark, d):
+    """Members of each collection under their current ids, empty collections included."""
+    saved = _papers(spark, d).where("k % 4 = 1").select("entity_id", F.concat(F.lit("c"), F.col("k") % 3).alias("collection_id"))
+    c = spark.createDataFrame([("c0",), ("c1",), ("c2",), ("c9",)], "collection_id string")
+    return state.collection_counts(c, state.current_members(saved, _sides(spark, d)[3]))
+
+
+@register("WITH w AS (SELECT entity_id, min(doc_id) AS k FROM documents WHERE entity_id IS NOT NULL GROUP BY 1) SELECT entity_id FROM w WHERE NOT (k % 7 = 0 AND k % 14 <> 0)")
+def state_visible(spark, d):
+    """Papers that were not deleted, or restored after it."""
+    w = _papers(spark, d)
+    gone = w.where("k % 7 = 0").select("entity_id", F.when(F.col("k") % 14 == 0, "2024-01-02").alias("restored_at"))
+    return state.visible(w.select("entity_id"), gone, "entity_id")
+
+
+@register("WITH w AS (SELECT entity_id, min(doc_id) AS k FROM documents WHERE entity_id IS NOT NULL GROUP BY 1), a AS (SELECT * FROM w WHERE k % 2 = 0) SELECT entity_id, CASE WHEN k % 3 > 0 THEN 'method' END AS field, CASE WHEN k % 3 > 0 THEN CAST(k AS VARCHAR) END AS value, k % 3 > 0 AS shown FROM a")
+def state_comparison(spark, d):
+    """Cells of a comparison that have evidence; papers without stay."""
+    w = _papers(spark, d)
+    cells = w.select("entity_id", F.lit("method").alias("field"), F.col("k").cast("string").alias("value"), F.slice(F.array(F.lit("p1"), F.lit("p2")), 1, (F.col("k") % 3).cast("int")).alias("evidence"))
+    return state.comparison(w.where("k % 2 = 0").select("entity_id"), cells)
+
+
+@register("SELECT user_id, event_id FROM events WHERE user_id % 3 <> 0 UNION ALL SELECT user_id, event_id FROM events WHERE user_id % 3 = 0 AND event_id % 2 = 0 UNION ALL SELECT user_id, event_id FROM events WHERE user_id % 3 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0)")
+def state_replaced(spark, d):
+    """Events in which those of some users are replaced as a whole."""
+    e = table(spark, d, "events").select("user_id", "event_id")
+    return state.replaced(e, e.where("user_id % 3 = 0 AND event_id % 2 = 0"), "user_id")
+
+
+@register(f"WITH {RECORDS}, {ENTITIES}, w AS (SELECT entity_id, min(doc_id) AS k FROM documents WHERE entity_id IS NOT NULL GROUP BY 1), p AS (SELECT e.entity_id, CASE WHEN NOT {sql_missing('pdf_url')} THEN 'catalog' WHEN NOT {sql_missing('arxiv_id')} THEN 'arxiv' ELSE 'none' END AS source FROM e JOIN r ON r.record_id = e.canonical_record_id), st AS (SELECT entity_id, CASE k % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'failed' ELSE 'queued' END AS was FROM w) SELECT p.entity_id, CASE WHEN was IN ('success', 'duplicate') THEN 'present' WHEN source = 'none' THEN 'unavailable' WHEN was = 'failed' THEN 'retry' ELSE 'planned' END AS plan_status FROM p LEFT JOIN st USING (entity_id)")
+def state_plan_status(spark, d):
+    """The download plan with what became of earlier downloads."""
+    p = entities(spark, d, "canonical_record_id").join(records(spark, d, "pdf_url", "arxiv_id"), F.col("canonical_record_id") == F.col("record_id"))
+    k = F.col("k") % 4
+    was = _papers(spark, d).select("entity_id", F.when(k == 0, "success").when(k == 1, "duplicate").when(k == 2, "failed").otherwise("queued").alias("status"))
+    return state.download_plan(p, was).select("entity_id", "plan_status")
+
+
+@register(f"WITH {RECORDS}, f AS (SELECT arg_min(release_id, created_at) AS first FROM data_releases WHERE status = 'ready'), x AS (SELECT venue, year, title, min(abstract) FILTER (WHERE release_id = (SELECT first FROM f)) AS a, min(abstract) AS b FROM r WHERE NOT {sql_missing('abstract')} GROUP BY 1, 2, 3) SELECT r.record_id, CASE WHEN NOT {sql_missing('r.abstract')} THEN 'own' WHEN x.a IS NOT NULL THEN 'first_release' WHEN x.b IS NOT NULL THEN 'any_release' END AS layer FROM r LEFT JOIN x ON x.venue = r.venue AND x.year = r.year AND x.title = r.title")
+def match_layers(spark, d):
+    """Where each record's abstract is taken from: itself, the first release, or any, by venue, year and title."""
+    r = records(spark, d, "venue", "year", "title", "abstract", "release_id")
+    first = table(spark, d, "data_releases").where("status = 'ready'").agg(F.min_by("release_id", "created_at").alias("release_id"))
+    return matching.layered(r, [("first_release", r.join(first, "release_id", "left_semi")), ("any_release", r)], ["venue", "year", "title"], "abstract").select("record_id", "layer")
