@@ -387,3 +387,17 @@ def test_parts_in_any_number(spark):
 def test_format_duplicates_without_doi(spark):
     rows = [rec("a", "Editorial", "10.1/a"), rec("b", "EDITORIAL", "10.1/b"), rec("c", "editorial"), rec("d", "Editorial!"), rec("e", "Edi torial", "N/A"), rec("f", "Editorial.", "10.1/B")]
     assert pairs(format_duplicates.format_duplicates(spark.createDataFrame(rows, REC))) == {("b", "f"), ("c", "d"), ("c", "e")}
+
+
+def test_queries_over_empty_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from quirelake.llm import queries
+
+    source = Path("/root/testdata/sf0.001")
+    if not source.exists():
+        pytest.skip("no test data")
+    for p in source.glob("*.parquet"):
+        spark.read.parquet(str(p)).where("false").write.parquet(str(tmp_path / p.name))
+    for name, query in queries.queries().items():
+        assert query(spark, str(tmp_path)).count() == 0, name
