@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
@@ -219,28 +222,96 @@ def collapsed(rows: DataFrame, key: list[str], same: list[str]) -> tuple[DataFra
     return g.where(~bad).select(*rows.columns), g.where(bad).select(*key, *[f"n_{c}" for c in same])
 
 
-@F.pandas_udf(T.DoubleType())
-def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The matching-blocks ratio of two titles in lower case."""
-    return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b, strict=True)])
+#: Numbers that letters are told apart by, modulo this, and how many of one letter are counted one by one.
+_LETTERS, _LEVELS = 32, 10
+_PROFILE = T.StructField("letters", T.StructType([T.StructField("size", T.IntegerType()), T.StructField("more", T.IntegerType()), T.StructField("bits", T.ArrayType(T.LongType()))]))
+
+
+def _profiles(titles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """size, more and bits of each title in lower case: its length, the letters not in the bits, and a bit for the first, second, ... time of each letter.
+
+    Two titles have at most as many letters in common as they have common bits, and the smaller of their more.
+    """
+    low = [t.lower() for t in titles]
+    size = np.fromiter(map(len, low), np.int64, len(low))
+    flat = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32) % _LETTERS
+    counts = np.bincount(np.repeat(np.arange(len(low)), size) * _LETTERS + flat, minlength=len(low) * _LETTERS).reshape(-1, _LETTERS)
+    bits = np.packbits(counts[:, :, None] > np.arange(_LEVELS), axis=None).view(np.int64).reshape(len(low), -1)
+    return size, np.maximum(counts - _LEVELS, 0).sum(1), bits
+
+
+def _with_profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block and title with the title's letters, of batches of block and title."""
+    for batch in batches:
+        if batch.num_rows:
+            size, more, bits = _profiles(batch.column("title").to_pylist())
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
+            letters = pa.StructArray.from_arrays([pa.array(size.astype(np.int32)), pa.array(more.astype(np.int32)), each], ["size", "more", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("title"), letters], names=["block", "title", "letters"])
+
+
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence; the matching blocks of a and b have no more letters."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    v = every
+    for c in b:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & every
+    return len(a) - v.bit_count()
+
+
+def title_ratio(least: float):
+    """A function of two columns: the matching-blocks ratio of two titles in lower case, null below least."""
+
+    def ratio(a: str, b: str) -> float | None:
+        if a and b and 2.0 * _common(a, b) / (len(a) + len(b)) < least:
+            return None
+        r = SequenceMatcher(None, a, b).ratio()
+        return r if r >= least else None
+
+    @F.pandas_udf(T.DoubleType())
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio((x or "").lower(), (y or "").lower()) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratios
 
 
 def fuzzy_titles(left: DataFrame, right: DataFrame, block: str, least: float = 0.45, best: int = 5) -> DataFrame:
     """id, other, ratio and place of the best partners by title within a block that shares a rare word with it.
 
     Both sides have id, title and the block. Words of at least six letters serve as join keys, each title
-    under its three longest, so no pairs are made that share none.
+    under its three longest, so no pairs are made that share none. Each title counts once in a block, whatever the number of
+    its rows, and the join keeps only pairs with so many letters in common that they may reach the ratio. Pairs are still met in the square of
+    the titles of a word in a block.
     """
+    rows = lambda df, name: df.select(F.col("id").alias(name), F.col(block).alias("block"), F.col("title").alias(f"{name}_title")).distinct()
 
     def words(df: DataFrame, name: str) -> DataFrame:
         w = F.array_distinct(F.filter(F.split(F.lower("title"), r"[^\p{L}]+"), lambda x: F.length(x) >= 6))
-        longest = F.slice(F.array_sort(w, lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).otherwise(1)), 1, 3)
-        return df.select(F.col("id").alias(name), block, F.col("title").alias(f"{name}_title"), F.explode(longest).alias("word"))
-
-    pairs = words(left, "id").join(words(right, "other"), [block, "word"]).select("id", "other", "id_title", "other_title").distinct()
-    scored = pairs.withColumn("ratio", title_ratio("id_title", "other_title")).where(F.col("ratio") >= least)
+        longest = F.slice(F.sort_array(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("word")))), 1, 3)
+        titles = df.select(F.col(block).alias("block"), "title").where("block IS NOT NULL AND title IS NOT NULL").distinct()
+        titles = titles.mapInArrow(_with_profile, T.StructType([*titles.schema.fields, _PROFILE]))
+        bits = [F.col("letters.bits")[i].alias(f"{name}_{i}") for i in range(_LETTERS * _LEVELS // 64)]
+        return titles.select("block", F.col("title").alias(f"{name}_title"), F.col("letters.size").alias(f"{name}_size"), F.col("letters.more").alias(f"{name}_more"), *bits, F.explode(longest.getField("word")).alias("word"))
+
+    common = F.least("id_more", "other_more")
+    for i in range(_LETTERS * _LEVELS // 64):
+        common = common + F.bit_count(F.col(f"id_{i}").bitwiseAND(F.col(f"other_{i}")))
+    near = 2.0 * common / (F.col("id_size") + F.col("other_size")) >= least
+    met = words(left, "id").join(words(right, "other"), ["block", "word"]).where(near).select("block", "id_title", "other_title")
+    # few bytes and much work, so by number
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = met.repartition(tasks, "block", "id_title", "other_title").distinct()
+    scored = pairs.withColumn("ratio", title_ratio(least)("id_title", "other_title")).where("ratio IS NOT NULL")
+    # of the rows of one title the first can be among the best only, and of a title's partners likewise
+    others = rows(right, "other").withColumn("n", F.row_number().over(Window.partitionBy("block", "other_title").orderBy("other"))).where(F.col("n") <= best).drop("n")
+    by_title = scored.join(others, ["block", "other_title"]).withColumn("n", F.row_number().over(Window.partitionBy("block", "id_title").orderBy(F.desc("ratio"), "other"))).where(F.col("n") <= best).drop("n")
+    ranked = by_title.join(rows(left, "id"), ["block", "id_title"]).select("id", "other", "id_title", "other_title", "ratio").distinct()
     w = Window.partitionBy("id").orderBy(F.desc("ratio"), "other")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= best).select("id", "other", F.round("ratio", 6).alias("ratio"), "place")
+    return ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= best).select("id", "other", F.round("ratio", 6).alias("ratio"), "place")
 
 
 def name_tokens(c: Column) -> Column:

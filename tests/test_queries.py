@@ -98,3 +98,36 @@ def test_fuzzy_titles_against_all_pairs(spark, small):
     got = {(r["id"], r["other"]) for r in fuzzy_titles(frame(a), frame(b), "block", 0.9, 1000).collect()}
     want = {(x["record_id"], y["record_id"]) for x in a for y in b if (x["venue"], x["year"]) == (y["venue"], y["year"]) and SequenceMatcher(None, x["title"].lower(), y["title"].lower()).ratio() >= 0.9}
     assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_fuzzy_titles_of_large_blocks(spark):
+    """Two thousand by two thousand titles with a word in common end soon, with the partners that were put among them."""
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    from quirelake.operators.matching import fuzzy_titles
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvwz") for _ in range(rnd.randint(3, 8)))
+    long = " ".join(word() for _ in range(60))
+    odd = ["transformers " + "e" * 30 + " of thirty", "transformers " + "e" * 33 + " of thirty", "Transformers İstanbul Ünïcode 学习", "transformers i̇stanbul ünïcode 学", f"transformers {long}", f"transformers {long} x", "transformers", "Transformers.", "\U0001d54f transformers of \U0001f600", "", "short"]
+    a = [f"{word()} transformers {word()} {word()} {word()}" for _ in range(2000)] + odd
+    b = [f"{word()} transformers {word()} {word()} {word()}" for _ in range(1950)] + [t[:-1] + "q" for t in a[:25]] + a[25:50] + odd[::-1]
+    left = [(f"l{i}", t, "v") for i, t in enumerate(a)] + [("l0", a[0], "v"), ("l1", a[1], "empty"), (None, a[2], "v"), ("l3", None, "v"), ("l4", a[4], None)]
+    right = [(f"r{i:04d}", t, "v") for i, t in enumerate(b)] + [("r0000", b[0], "v"), ("r9", b[1953], "v"), ("r8", "", "empty"), ("r7", None, "v")]
+    frame = lambda rs: spark.createDataFrame(rs, "id string, title string, block string")
+    began = time.time()
+    got = sorted((r["id"] or "", r["other"], r["ratio"], r["place"]) for r in fuzzy_titles(frame(left), frame(right), "block", 0.9, 2).collect())
+    assert time.time() - began < 60
+    want = []
+    for x, t, block in set(left):
+        scored = []
+        for y, u, other in set(right[1950:]):
+            if not t or not u or block != "v" or other != "v" or "transformers" not in t.lower() or "transformers" not in u.lower():
+                continue
+            m = SequenceMatcher(None, t.lower(), u.lower())
+            if m.real_quick_ratio() >= 0.9 and m.quick_ratio() >= 0.9 and m.ratio() >= 0.9:
+                scored.append((-m.ratio(), y))
+        want += [(x or "", y, round(-r, 6), place) for place, (r, y) in enumerate(sorted(scored)[:2], 1)]
+    assert got == sorted(want) and len(got) > 50
