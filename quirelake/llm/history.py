@@ -41,6 +41,8 @@ RANGE_ROWS, LEAST_ROWS, MAX_RANGES = 150_000, 5_000, 20_000
 SAMPLED = 20
 #: Folders of a run of keys and lists by a hash of venue and year; those a batch does not touch are not read.
 PARTS = 64
+#: How the runs, and what waits on disk for them, are written: titles are there once for each order, which this packs best for its time.
+_PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: Ranges whose borders are compared by one task, and ranges it shares with the next.
 BORDERS, SHARED = 64, 3
 
@@ -309,7 +311,7 @@ def same_titles(mine: DataFrame, every: DataFrame) -> DataFrame:
     """block, tkey, list_id and the arrivals of the same title with the same authors; each list of authors meets all others of its title."""
     named = every.where("names <> ''").select("block", "tkey", "list_id", "o_any", "o_nodoi", "o_max", "names")
     again = named.groupBy("block", "tkey").agg(F.min("o_any").alias("lo"), F.max("o_max").alias("hi")).where("lo < hi").select("block", "tkey")
-    several = spool(named.join(again, ["block", "tkey"], "left_semi"), "same-titles")
+    several = spool(named.join(again, ["block", "tkey"], "left_semi"), "same-titles", **_PACKED)
     other = several.select("block", "tkey", F.col("o_any").alias("near_any"), F.col("o_nodoi").alias("near_nodoi"), F.col("names").alias("other"))
     wanted = several if mine is every else several.join(mine.select("block", "tkey", "list_id"), ["block", "tkey", "list_id"], "left_semi")
     return wanted.join(other, ["block", "tkey"]).where("near_any < o_max").select("block", "tkey", "list_id", "near_any", "near_nodoi", "names", "other", F.lit(False).alias("near")).mapInArrow(_agreeing, _AGREED)
@@ -559,16 +561,16 @@ class History:
         are not kept; repeated rows count once; a batch may hold several releases. Null and blank fields make no key.
         With keep the batch becomes a run of the history.
         """
-        batch = spool(prepare(records, releases), "batch")
-        keys, lists = _summed(_keys(batch, False)), spool(_lists(batch), "lists")
+        batch = spool(prepare(records, releases), "batch", **_PACKED)
+        keys, lists = _summed(_keys(batch, False)), spool(_lists(batch), "lists", **_PACKED)
         n = lists.count() * (WORD_ORDERS + 4)
         if self.bounds is None or self.rows + n > 2 * RANGE_ROWS * (len(self.bounds) + 1):
             self.compact(lists)
         run = f"{self.made:05d}"
         if keep:
             self.made, self.rows = self.made + 1, self.rows + n
-            keys.repartitionByRange("part", "h1").write.partitionBy("part").parquet(self._at("keys", run))
-            lists.repartitionByRange("part", "tkey").write.partitionBy("part").parquet(self._at("lists", run))
+            keys.repartitionByRange("part", "h1").write.options(**_PACKED).partitionBy("part").parquet(self._at("keys", run))
+            lists.repartitionByRange("part", "tkey").write.options(**_PACKED).partitionBy("part").parquet(self._at("lists", run))
             keys = self.spark.read.schema(_HELD["keys"]).parquet(self._at("keys", run))
         every, old_pairs = lists, None
         if self.runs:
@@ -589,14 +591,14 @@ class History:
         """block, tkey and other of the pairs of near titles that the batch brings; with keep its rows are kept in their ranges."""
         rows = self.ranged(sorted_rows(lists)).withColumn("new", F.lit(True))
         if self.runs:
-            rows = spool(rows, "batch-rows")
+            rows = spool(rows, "batch-rows", **_PACKED)
             # with the neighbours of a range that is touched, as windows go on beyond its ends
             touched = sorted({r[0] + i for r in rows.select("range").distinct().collect() for i in (-1, 0, 1)})
             old = self._read("rows", f"kind = {RUN} AND range IN ({', '.join(map(str, touched))})" if touched else "false")
             rows = rows.unionAll(old.select(*_ROW, "range", F.lit(False).alias("new")))
         ordered = rows.repartitionById(len(self.bounds) + 1, F.col("range")).sortWithinPartitions("range", "way", "block", "skey", "tkey")
         out = self._at("rows", run) if keep else spool_path(self.spark, "near-titles")
-        ordered.mapInArrow(lambda b: _window(b, keep), _FOUND).write.partitionBy("kind", "range").parquet(out)
+        ordered.mapInArrow(lambda b: _window(b, keep), _FOUND).write.options(**_PACKED).partitionBy("kind", "range").parquet(out)
         found = self.spark.read.schema(_FOUND).parquet(out)
         first = F.floor(F.greatest(F.col("range") - SHARED, F.lit(0)) / BORDERS).cast("int")
         groups = F.explode(F.array_distinct(F.array(first, F.floor(F.col("range") / BORDERS).cast("int"))))
@@ -605,7 +607,7 @@ class History:
         pairs = found.where(f"kind = {PAIR}").unionByName(across).select("block", "tkey", "other").distinct()
         if not keep:
             return pairs
-        pairs.select("*", _part()).write.partitionBy("part").parquet(self._at("pairs", run))
+        pairs.select("*", _part()).write.options(**_PACKED).partitionBy("part").parquet(self._at("pairs", run))
         return self.spark.read.schema(_HELD["pairs"]).parquet(self._at("pairs", run)).select("block", "tkey", "other")
 
     def _found(self, batch: DataFrame, keys: DataFrame, lists: DataFrame, every: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -629,16 +631,16 @@ class History:
         lists = _merged_lists(self._read("lists", "true")) if held else more
         if held:
             self.made += 1
-            _merged_keys(self._read("keys", "true")).repartitionByRange("part", "h1").write.partitionBy("part").parquet(self._at("keys", run))
-            lists.repartitionByRange("part", "tkey").write.partitionBy("part").parquet(self._at("lists", run))
-            self._read("pairs", "true").distinct().repartition("part").write.partitionBy("part").parquet(self._at("pairs", run))
+            _merged_keys(self._read("keys", "true")).repartitionByRange("part", "h1").write.options(**_PACKED).partitionBy("part").parquet(self._at("keys", run))
+            lists.repartitionByRange("part", "tkey").write.options(**_PACKED).partitionBy("part").parquet(self._at("lists", run))
+            self._read("pairs", "true").distinct().repartition("part").write.options(**_PACKED).partitionBy("part").parquet(self._at("pairs", run))
             lists = self.spark.read.schema(_HELD["lists"]).parquet(self._at("lists", run))
             if more is not None:
                 lists = lists.unionByName(more)
         self.cut(lists)
         if held:
             rows = self.ranged(self._read("rows", f"kind = {RUN}").select(*_ROW)).repartitionById(len(self.bounds) + 1, F.col("range")).sortWithinPartitions("range", "way", "block", "skey", "tkey")
-            rows.withColumn("kind", F.lit(RUN)).write.partitionBy("kind", "range").parquet(self._at("rows", run))
+            rows.withColumn("kind", F.lit(RUN)).write.options(**_PACKED).partitionBy("kind", "range").parquet(self._at("rows", run))
             self.runs = [run]
 
 

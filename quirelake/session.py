@@ -59,14 +59,14 @@ def spool_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def spool(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def spool(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
+    """Write df as Parquet, with the writer's options, into the shared folder and read it back.
 
     It cuts the lineage with a table that outlives any executor, and keeps a costly stage from
     running once for each of its uses. Unlike a checkpoint the copy is columnar and compressed.
     """
     path = spool_path(df.sparkSession, name)
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").options(**options)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelake.llm import bpe, components, format_duplicates, golden, history, mixing, names, spam, topics
 from quirelake.llm.titles import plain, spells, title_parts
+from quirelake.session import spool
 
 REC = "record_id string, venue string, year int, title string, normalized_title string, doi string, extra string, fp bigint"
 
@@ -156,6 +157,25 @@ def test_history(spark, at_once, monkeypatch):
     assert h.accept(df.where("false"), rel, keep=False).count() == 0
 
 
+def test_history_is_packed(spark, tmp_path, monkeypatch):
+    """Runs of a batch and compacted runs are written in the codec of _PACKED, and what waits for them too."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(history, "MAX_RUNS", 1)
+    waits = []
+    monkeypatch.setattr(history, "spool", lambda df, name, *a, **options: waits.append((name, options.get("compression"))) or spool(df, name, *a, **options))
+    rel = spark.createDataFrame([("r1", "2024-01-01"), ("r2", "2024-02-01"), ("r3", "2024-03-01")], "release_id string, created_at string")
+    df = spark.createDataFrame(hist_rows(), HIST)
+    h = history.History(spark, str(tmp_path / "history"))
+    for r in ("r1", "r2", "r3"):
+        h.accept(df.where(f"release_id = '{r}'"), rel).count()
+    codecs = {(f.relative_to(tmp_path).parts[1], pq.ParquetFile(f).metadata.row_group(0).column(0).compression) for f in Path(tmp_path).rglob("*.parquet") if pq.ParquetFile(f).metadata.num_row_groups}
+    assert {what for what, _ in codecs} == {"keys", "lists", "pairs", "rows"} and {c for _, c in codecs} == {"ZSTD"}
+    assert {n for n, _ in waits} == {"batch", "lists", "batch-rows", "same-titles"} and {c for _, c in waits} == {"zstd"}
+
+
 def test_names(spark):
     same = [["Theodore Falmoner", "Ted Falmoner", "T. Falmoner", "Falmoner, Theodore", "Falmoner Theodore", "THEODORE FALMONER", "Prof. Theodore V. Falmoner", "Theodroe Falmoner"], ["Vikan Working Group on Open Data", "The Vikan WG on Open Data", "Vikan WGOD", "Working Group on Open Data, Vikan"], ["Karl-Heinz Bømen", "Karl Heinz Bomen", "K.-H. Bømen"]]
     other = ["Teodor Galemon", "Anna Falmoner", "Vikan Center for Open Data", "Karl-Heinz A. Rovik", "Karl-Heinz B. Rovik", "J. Dorn", "Jane Dorn", "John Dorn"]
