@@ -173,8 +173,12 @@ def _content(title: str) -> list[str]:
     return [w for w in words if w not in _FUNCTION]
 
 
+def _is_mark(word: str) -> bool:
+    return word in _SEQUEL or not word.isalpha() and any(c.isdigit() for c in word)
+
+
 def _marks(words: list[str]) -> list[str]:
-    return sorted(w for w in words if w in _SEQUEL or any(c.isdigit() for c in w))
+    return sorted(w for w in words if _is_mark(w))
 
 
 def nearly_same(a: str, b: str) -> bool:
@@ -222,7 +226,7 @@ def nearly_same(a: str, b: str) -> bool:
         if size >= len(short) - 2:
             rest.append(w)
         size += len(w)
-    if rest and all(w in _SEQUEL or any(c.isdigit() for c in w) for w in rest):
+    if rest and all(_is_mark(w) for w in rest):
         return False
     return ws[-1] not in wl or len(wl) - len(ws) == 1
 
