@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -53,6 +54,8 @@ _SEQUEL = frozenset("ii iii iv vi vii part revisited replication independent lat
 # Titles of front matter, which name no paper.
 _GENERIC = re.compile(r"(?:front|back)matter|(?:guest)?editorials?|messagefromthe\w{1,30}|tableofcontents|contents|(?:author|subject|keyword)?index|preface|foreword|(?:pc|program|programme|organizing|technical)committee\w*|acknowledge?ments?|titlepage|copyright\w*|welcome\w*|erratum|corrigendum|reviewers|cover|announcements?|inmemoriam")
 _WORD = re.compile(r"[^\W_]+")
+_JOINING = re.compile(r"[-‐‑'’]")
+_BLANK = re.compile(r"\s+")
 _ID_PREFIX = re.compile(r"^(?:published-|id:)+")
 _ID_VERSION = re.compile(r"(?<=[0-9a-z])v\d+$")
 _NOT_ID = re.compile(r"[^0-9a-z]+")
@@ -62,7 +65,7 @@ def id_key(paper_id: str | None) -> str:
     """A paper id without case, blanks, separators, the prefixes of sources and a version number."""
     if missing(paper_id):
         return ""
-    low = _ID_PREFIX.sub("", re.sub(r"\s+", "", plain(paper_id)))
+    low = _ID_PREFIX.sub("", _BLANK.sub("", plain(paper_id)))
     return _NOT_ID.sub("", _ID_VERSION.sub("", low))
 
 
@@ -70,23 +73,42 @@ def author_words(authors: str | None) -> set[str]:
     """Words of the authors' names in full form, folded, of organisations the first."""
     out: set[str] = set()
     for name, _ in parse_packed(authors):
-        before, comma, after = name.partition(",")
-        if comma:
-            name = after + " " + before
-        words = [fold(w) for w in _WORD.findall(re.sub(r"[-‐‑'’]", "", name))]
-        spread = {LEGAL_FORMS.get(w, w) for w in words}
-        if spread & _HEADS or {"of", "for", "on"} & spread:
-            core = [w for w in words if w not in _SMALL]
-            out.update(core[:1])
-        else:
-            out.update(GIVEN.get(w, w) for w in words if len(w) > 1 and w not in _TITLES)
+        out.update(_name_words(name))
     return out
 
 
+@lru_cache(1 << 13)
+def _name_words(name: str) -> tuple[str, ...]:
+    """Words of one name; most names come again in other lists."""
+    before, comma, after = name.partition(",")
+    if comma:
+        name = after + " " + before
+    words = [fold(w) for w in _WORD.findall(_JOINING.sub("", name))]
+    spread = {LEGAL_FORMS.get(w, w) for w in words}
+    if spread & _HEADS or {"of", "for", "on"} & spread:
+        core = [w for w in words if w not in _SMALL]
+        return tuple(core[:1])
+    return tuple(GIVEN.get(w, w) for w in words if len(w) > 1 and w not in _TITLES)
+
+
 def _hash(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text, seed) >> 1
 
 
+class _Hashes(dict[str, int]):
+    """Hashes of words with one seed, kept while there are not too many."""
+
+    def __init__(self, seed: int) -> None:
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 13:
+            self.clear()
+        out = self[word] = _hash(word, self.seed)
+        return out
+
+
 @lru_cache(1 << 16)
 def _letters_of(word: str) -> int:
     """A bit for each letter."""
@@ -187,22 +209,49 @@ def nearly_same(a: str, b: str) -> bool:
     They may differ by up to three typing errors, exchanged or function words, one word left out, a note that
     it is an extended abstract, and an end cut off; not by a number or a word of a sequel.
     """
-    wa, wb = _content(a), _content(b)
+    return _near_contents(_content(a), _content(b), _is_cut(a), _is_cut(b))
+
+
+def _is_cut(title: str) -> bool:
+    return title.rstrip().endswith("...")
+
+
+def _in_reach(a: str, b: str, most: int) -> bool:
+    """False only if the edit distance of a and b is more than most.
+
+    An edit touches two neighbouring letters of a at most, so of 2 * most + 1 pieces of a one is left as it is, and it is moved by
+    as many places as there are edits at most.
+    """
+    n, pieces = len(a), 2 * most + 1
+    for i in range(pieces):
+        begin, end = n * i // pieces, n * (i + 1) // pieces
+        if b.find(a[begin:end], max(0, begin - most), end + most) >= 0:
+            return True
+    return False
+
+
+def _near_contents(wa: list[str], wb: list[str], cut_a: bool, cut_b: bool) -> bool:
+    """nearly_same by the content words of the titles, and whether they have a mark that they are cut off."""
     la, lb = "".join(wa), "".join(wb)
     if la == lb and la:
         return True
     if min(len(la), len(lb)) < 8:
         return False
-    rest_a, rest_b = list(wa), list(wb)
-    for w in wa:
-        if w in rest_b:
-            rest_a.remove(w)
-            rest_b.remove(w)
-    if _marks(rest_a) == _marks(rest_b) and min(len(rest_a), len(rest_b)) <= 3 and abs(len(rest_a) - len(rest_b)) <= 1:
+    # as many words are taken from both, so their numbers differ by as many before
+    rest_a: list[str] = []
+    rest_b = list(wb)
+    if abs(len(wa) - len(wb)) <= 1:
+        for w in wa:
+            if w in rest_b:
+                rest_b.remove(w)
+            else:
+                rest_a.append(w)
+    if abs(len(wa) - len(wb)) <= 1 and min(len(rest_a), len(rest_b)) <= 3 and _marks(rest_a) == _marks(rest_b):
         left_a, left_b, errors = list(rest_a), list(rest_b), 0
         for w in rest_a:
             most = 2 if len(w) > 5 else 1
-            near = min(((_distance(w, v, most), v) for v in left_b), default=(3, "")) if len(w) > 2 else (3, "")
+            bits = _letters_of(w)
+            near = min(((_distance(w, v, most), v) for v in left_b if (bits ^ _letters_of(v)).bit_count() <= 2 * most), default=(3, "")) if len(w) > 2 else (3, "")
             if near[0] <= most:
                 errors += near[0]
                 left_a.remove(w)
@@ -213,10 +262,9 @@ def nearly_same(a: str, b: str) -> bool:
         if len(la) > 20 and abs(len(la) - len(lb)) <= 3 and _distance(la, lb, 3) <= 3:
             return True
     # the end cut off
-    short, long, ws, wl, cut = (la, lb, wa, wb, a) if len(la) <= len(lb) else (lb, la, wb, wa, b)
-    cut_off = cut.rstrip().endswith("...")
+    short, long, ws, wl, cut_off = (la, lb, wa, wb, cut_a) if len(la) <= len(lb) else (lb, la, wb, wa, cut_b)
     left = len(long) - len(short)
-    if len(short) < 20 or left < (1 if cut_off else 4) or _distance(short, long[: len(short)], 4) > 4:
+    if len(short) < 20 or left < (1 if cut_off else 4) or not _in_reach(short, long, 4) or _distance(short, long[: len(short)], 4) > 4:
         return False
     if cut_off:
         return True
@@ -327,25 +375,27 @@ _ROW_SCHEMA = "way int, block bigint, skey string, tkey bigint, title string, fi
 
 def _by_title(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each title with each of its sort keys."""
+    orders = [_Hashes(100 + s) for s in range(WORD_ORDERS)]
     for batch in batches:
         ways, keys = [], []
         for title in batch.column("title").to_pylist():
             words = _content(title)
             text = "".join(words)
-            keys += [text, text[::-1], *[" ".join(sorted(words, key=lambda w, s=s: _hash(w, 100 + s))) for s in range(WORD_ORDERS)]]
+            keys += [text, text[::-1], *[" ".join(sorted(words, key=h.__getitem__)) for h in orders]]
             ways += range(WORD_ORDERS + 2)
         yield _rows(batch, ways, keys)
 
 
 def _by_author(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each title with the sort keys that begin with an author of the list, chosen by a hash."""
+    chosen = [_Hashes(s) for s in range(2)]
     for batch in batches:
         ways, keys = [], []
         for title, names in zip(batch.column("title").to_pylist(), batch.column("names").to_pylist(), strict=True):
             text = "".join(_content(title))
             people = names.split(" ")
             for s, t in enumerate((text, text[::-1])):
-                keys.append(f"{min(_hash(w, s) for w in people):x} {t}")
+                keys.append(f"{min(map(chosen[s].__getitem__, people)):x} {t}")
                 ways.append(WORD_ORDERS + 2 + s)
         yield _rows(batch, ways, keys)
 
@@ -389,8 +439,11 @@ def _near_rows(way: np.ndarray, block: np.ndarray, tkey: np.ndarray, first: np.n
     if len(way) < 2 or not fresh.any():
         return out
     counts = _letter_counts(way, keys)
+    each = np.ones(_BINS, np.float32)  # small whole numbers are exact in it
+    sizes = counts.sum(1, dtype=np.int32)
     looked: set[tuple[int, int]] = set()
-    texts: dict[int, str] = {}
+    texts: dict[int, tuple[list[str], bool]] = {}
+    words: dict[str, str] = {}  # each word once in memory
     for t in np.unique(first[fresh]).tolist():
         active = np.flatnonzero(first <= t)
         new = fresh[active] & (first[active] == t)
@@ -403,23 +456,24 @@ def _near_rows(way: np.ndarray, block: np.ndarray, tkey: np.ndarray, first: np.n
                 old = ~new[other]
                 mine, other = mine[old], other[old]
             a, b = active[mine], active[other]
-            ok = (way[a] == way[b]) & (block[a] == block[b]) & (tkey[a] != tkey[b])
+            ok = (way.take(a) == way.take(b)) & (block.take(a) == block.take(b)) & (tkey.take(a) != tkey.take(b))
             if source is not None:
                 ok &= source[a] != source[b]
             a, b = a[ok], b[ok]
             for some in range(0, len(a), 20_000):
                 x, y = a[some : some + 20_000], b[some : some + 20_000]
-                d = counts[x] - counts[y]
-                more = np.maximum(d, 0).sum(1, dtype=np.int32)
-                near = np.flatnonzero(np.minimum(more, more - d.sum(1, dtype=np.int32)) <= _NEAR)
+                more = np.maximum(counts.take(x, 0) - counts.take(y, 0), 0).astype(np.float32) @ each
+                near = np.flatnonzero(np.minimum(more, more - sizes.take(x) + sizes.take(y)) <= _NEAR)
                 for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
                     pair = (int(tkey[i]), int(tkey[j]))
                     if pair in looked or (int(block[i]), *pair) in out:
                         continue
                     for k in (i, j):
                         if k not in texts:
-                            texts[k] = titles[k].as_py()
-                    if nearly_same(texts[i], texts[j]):
+                            t = titles[k].as_py()
+                            texts[k] = [words.setdefault(w, w) for w in _content(t)], _is_cut(t)
+                    (wa, cut_a), (wb, cut_b) = texts[i], texts[j]
+                    if _near_contents(wa, wb, cut_a, cut_b):
                         out.add((int(block[i]), *pair))
                     elif source is None:
                         looked.add(pair)
@@ -485,20 +539,19 @@ def _one_range(held: list[pa.RecordBatch], at: int, keep: bool) -> Iterator[pa.R
     rows = pa.Table.from_batches(held).combine_chunks()
     way, block, tkey, first = (rows.column(c).to_numpy() for c in ("way", "block", "tkey", "first"))
     new = rows.column("new").to_numpy(zero_copy_only=False)
-    keys = rows.column("skey").to_pylist()
+    skey = rows.column("skey").combine_chunks()
     if keep:
         mine = rows.filter(pa.array(new))
         for begin in range(0, mine.num_rows, 50_000):
             part = mine.slice(begin, 50_000)
             yield _gives(RUN, at, part, part.num_rows)
     # rows of one title and key, from several runs, are one; it is new if it was in none
-    n = len(way)
-    begins = np.flatnonzero(np.r_[True, (way[1:] != way[:-1]) | (block[1:] != block[:-1]) | (tkey[1:] != tkey[:-1]) | np.fromiter((keys[i] != keys[i - 1] for i in range(1, n)), bool, n - 1)])
+    begins = np.flatnonzero(np.r_[True, (way[1:] != way[:-1]) | (block[1:] != block[:-1]) | (tkey[1:] != tkey[:-1]) | pc.not_equal(skey[1:], skey[:-1]).to_numpy(zero_copy_only=False)])
     first, fresh = np.minimum.reduceat(first, begins), np.logical_and.reduceat(new, begins)
     rows = rows.take(pa.array(begins))
     way, block, tkey = way[begins], block[begins], tkey[begins]
     titles = rows.column("title").combine_chunks()
-    found = sorted(_near_rows(way, block, tkey, first, fresh, [keys[i] for i in begins.tolist()], titles))
+    found = sorted(_near_rows(way, block, tkey, first, fresh, rows.column("skey").to_pylist(), titles))
     yield _gives(PAIR, at, None, len(found), block=[f[0] for f in found], tkey=[f[1] for f in found], other=[f[2] for f in found])
     ends = _border_rows(first)
     edge = rows.take(pa.array(ends)).drop_columns(["first", "range", "new"])
@@ -548,10 +601,18 @@ class History:
     def ranged(self, rows: DataFrame) -> DataFrame:
         """The rows with the number of their range."""
         bounds = self.bounds or []
+        heads = [k[:2] for k in bounds]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = [bisect.bisect_right(bounds, k) for k in zip(b.column("way").to_pylist(), b.column("block").to_pylist(), b.column("skey").to_pylist(), strict=True)]
+                # rows whose way and block no bound has are all in one range
+                blocks, block = np.unique(b.column("block").to_numpy(), return_inverse=True)
+                pairs, pair = np.unique(b.column("way").to_numpy().astype(np.int64) * len(blocks) + block, return_inverse=True)
+                known = [(p // len(blocks), int(blocks[p % len(blocks)])) for p in pairs.tolist()]
+                lo, hi = (np.array([f(heads, p) for p in known], np.int32) for f in (bisect.bisect_left, bisect.bisect_right))
+                at, within = lo[pair], np.flatnonzero((lo < hi)[pair])
+                for i, p, k in zip(within.tolist(), pair[within].tolist(), b.column("skey").take(pa.array(within)).to_pylist(), strict=True):
+                    at[i] = bisect.bisect_right(bounds, (*known[p], k), lo[p], hi[p])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*_ROW, "range"])
 
         return rows.mapInArrow(run, f"{_ROW_SCHEMA}, range int")

@@ -421,3 +421,51 @@ def test_queries_over_empty_tables(spark, tmp_path):
         spark.read.parquet(str(p)).where("false").write.parquet(str(tmp_path / p.name))
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_history_does_not_repeat_work(spark, monkeypatch):
+    """Words are hashed once, listed names need no grammar, and titles out of reach no edit distance."""
+    import pyarrow as pa
+
+    from quirelake.operators import packed
+
+    calls = {"hash": 0, "distance": 0, "affil": 0}
+
+    def counting(name, f):
+        def run(*args):
+            calls[name] += 1
+            return f(*args)
+
+        return run
+
+    # as many hashes as words and seeds, in the same order as before
+    words = ["quiet", "nets", "under", "noise", "drift", "maps"]
+    r = random.Random(4)
+    titles = [" ".join(r.sample(words, 4)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 300), pa.array(range(300)), pa.array(titles), pa.array(["ann lee"] * 300), pa.array([1] * 300)], names=["block", "tkey", "title", "names", "first"])
+    hashed = history._hash
+    monkeypatch.setattr(history, "_hash", counting("hash", hashed))
+    keys = pa.Table.from_batches(list(history._by_title(iter([batch])))).column("skey").to_pylist()
+    people = pa.Table.from_batches(list(history._by_author(iter([batch])))).column("skey").to_pylist()
+    assert calls["hash"] <= len(words) * history.WORD_ORDERS + 2 * 2
+    n = history.WORD_ORDERS + 2
+    for i, t in enumerate(titles):
+        content = history._content(t)
+        assert keys[n * i : n * i + n] == ["".join(content), "".join(content)[::-1], *[" ".join(sorted(content, key=lambda w, s=s: hashed(w, 100 + s))) for s in range(history.WORD_ORDERS)]]
+        assert [p.split(" ")[0] for p in people[2 * i : 2 * i + 2]] == [f"{min(hashed(w, s) for w in ('ann', 'lee')):x}" for s in (0, 1)]
+    # a list with commas and separators only
+    monkeypatch.setattr(packed._Grammar, "affil", counting("affil", packed._Grammar.affil))
+    assert packed.parse_packed("Lee, Ann; Bo Alexander | Cy Fernandez / Di Wu、Ed O'Hara") == [(x, 0) for x in ("Lee, Ann", "Bo Alexander", "Cy Fernandez", "Di Wu", "Ed O'Hara")]
+    assert calls["affil"] == 0
+    assert packed.parse_packed("Ann Lee and Bo Li") == [("Ann Lee", 0), ("Bo Li", 0)] and calls["affil"] > 0
+    # a short title with few letters that the longer one has not, but nowhere near its beginning
+    monkeypatch.setattr(history, "_distance", counting("distance", history._distance))
+    long = "robust pixels for crowd counting under noise with sparse maps of quiet streets"
+    assert not history.nearly_same("quiet streets of noise pixels counting crowds robustly", long) and calls["distance"] == 0
+    assert history.nearly_same("robust pixles for crowd counting under noise with spa", long) and calls["distance"] > 0
+    # ranges, also of rows whose way and block no bound has
+    h = history.History.__new__(history.History)
+    rows = [(w, b, k) for w in (0, 1, 2) for b in (-5, 3) for k in ("", "a", "m", "z")]
+    for h.bounds in ([], [(1, -5, "m")], [(0, 3, "b"), (1, -5, "a"), (1, -5, "m"), (2, -9, "x")], rows[1:]):
+        df = spark.createDataFrame([(w, b, k, 1, "t", 1) for w, b, k in rows], history._ROW_SCHEMA)
+        assert {(x["way"], x["block"], x["skey"]): x["range"] for x in h.ranged(df).collect()} == {x: sum(b <= x for b in h.bounds) for x in rows}
