@@ -469,3 +469,28 @@ def test_history_does_not_repeat_work(spark, monkeypatch):
     for h.bounds in ([], [(1, -5, "m")], [(0, 3, "b"), (1, -5, "a"), (1, -5, "m"), (2, -9, "x")], rows[1:]):
         df = spark.createDataFrame([(w, b, k, 1, "t", 1) for w, b, k in rows], history._ROW_SCHEMA)
         assert {(x["way"], x["block"], x["skey"]): x["range"] for x in h.ranged(df).collect()} == {x: sum(b <= x for b in h.bounds) for x in rows}
+
+
+def test_inference_in_blocks():
+    """Documents are inferred in small blocks, with the proportions that the plain steps give."""
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    model = topics.Model([f"w{i}" for i in range(500)], r.gamma(0.3, size=(topics.TOPICS, 500)) + topics.BETA, set())
+    docs = [[" ".join(f"w{i}" for i in r.integers(0, 500, n))] for n in [*r.integers(1, 160, 998), 0, 9_000]]
+    doc, _, word, weight = model.tokens(docs)
+    tracemalloc.start()
+    gamma, theta, c = model.infer(len(docs), doc, word, weight)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.8 * len(word) * topics.TOPICS * 4, peak  # less than one number for each token and topic
+    given = theta[doc] * model.phi[word] * c[:, None]
+    assert np.allclose(given.sum(1), weight, rtol=1e-4)
+    assert np.allclose(gamma[998], topics.ALPHA)
+    for d in (0, 500, 999):
+        b, w, g = model.phi[word[doc == d]], weight[doc == d], np.full((1, topics.TOPICS), topics.ALPHA + 1)
+        for _ in range(topics.STEPS):
+            x = np.exp(topics._digamma(g)) * b
+            x /= x.sum(1, keepdims=True)
+            g = topics.ALPHA + (x * w[:, None]).sum(0, keepdims=True)
+        assert np.allclose(gamma[d], g[0], rtol=1e-3, atol=1e-3) and np.allclose(given[doc == d], x * w[:, None], atol=1e-3)
