@@ -53,7 +53,9 @@ _TAGS = re.compile(r"<[^<>]{1,300}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
 _HAN = re.compile(r"[㐀-鿿぀-ヿ가-힯]")
 _SEPARATOR = re.compile(r"\s*[,;|·•★☆>»→,、，；/]+\s*|\s+[-–—]\s+|#|\t+|\s{2,}")
-_END = re.compile(r"(?<=[.!?。！？…؟۔।])[\"'”’)\]]*\s+|(?<=[。！？])")
+# a stop with the blanks after it, if any; the stop comes first, as the search for a mark is quick
+_END = re.compile(r"[.!?。！？…؟۔।]([\"'”’)\]]*\s+)|[。！？]")
+_PLAIN_END = re.compile(r"[.!?]([\"')\]]*\s+)")
 _PRICE = re.compile(r"(?:[$€£¥]\s?\d|\d+[.,]\d{2}\b|-\d+\s?%|\b\d+\s?(?:GB|TB|MB|kg|cm|mm)\b)", re.I)
 _HEADING = re.compile(r"^\s{0,3}#{1,6}\s")
 _CODE = re.compile(r"^\s*(?:```|def \w+\(|for \w+ in \S+:?$|(?:if|while) .*:\s*$|return\b.{0,40}$|import \w+$|class \w+[(:]|\w+\s*[-+*/]?=\s|\|.*\|\s*$|[{}();]+\s*$|\$\$|\\begin|\\end)")
@@ -61,6 +63,9 @@ _INDEX = re.compile(r"^\s*(?:index terms|key\s?words|keywords and phrases|schlag
 _REFERENCE = re.compile(r"^\s*(?:\d+\.\s*)?\[\d+\]\s|^\s*\d+\.\s+[A-Z]\w+\s[A-Z]\.|\b(?:et al\.|doi:|arXiv:)", re.I)
 _NOISE = re.compile(r"(.)\1{9,}|(?<!\S)1234567890(?!\S)|(?<![\w/.:-])[A-Za-z0-9+/=]{60,}(?![\w/.:-])", re.S)
 _STOP = re.compile(r"[.!?؟۔।](?:[\"'”’)\]\s]|$)|[。！？]")
+# the same for lines of ASCII
+_PLAIN_STOP = re.compile(r"[.!?](?:[\"')\]\s]|$)")
+_PLAIN_WORD = re.compile(r"[a-z]+(?:['\-][a-z]+)*|\d+(?:[.,]\d+)*", re.A)
 _INNER = re.compile(r"\.\S")
 _DIGIT = re.compile(r"\d")
 _SEPARATING = re.compile(r"[,;|·•★☆>»→,、，；/#\t]|\s[-–—]|\s{2}")
@@ -75,6 +80,22 @@ FUNCTION_WORDS = frozenset(
 )
 
 
+def _sentences(line: str) -> Iterator[str]:
+    """The line cut after its stops, without the closing marks and blanks that follow them."""
+    at = 0
+    for m in (_PLAIN_END if line.isascii() else _END).finditer(line):
+        yield line[at : m.start() + 1]
+        at = m.end()
+    yield line[at:]
+
+
+def _stops(text: str) -> int:
+    """How many sentences end in the text."""
+    if text.isascii():
+        return len(_PLAIN_STOP.findall(text)) if "." in text or "!" in text or "?" in text else 0
+    return len(_STOP.findall(text))
+
+
 def _pieces(text: str) -> Iterator[tuple[str, bool]]:
     """Lines, and of long lines the sentences, and of what is still long runs of words; and whether it is a whole line."""
     for line in text.splitlines():
@@ -89,9 +110,9 @@ def _pieces(text: str) -> Iterator[tuple[str, bool]]:
         # a long line of few different words, or of short calls, is not cut into sentences, lest they pass for prose
         stuffed = False
         if n >= 20 and (few or 11 * (line.count(".") + line.count("!") + line.count("?")) >= 2 * n):
-            ends = len(_STOP.findall(line))
+            ends = _stops(line)
             stuffed = n <= 5.5 * ends or few and (n <= 7 * ends or 4 * len(set(words)) <= n)
-        for part in [line] if stuffed else _END.split(line):
+        for part in [line] if stuffed else _sentences(line):
             if not part or part.isspace():
                 continue
             if len(part) <= 400 and not stuffed:
@@ -123,9 +144,22 @@ def _noisy(text: str) -> bool:
     """Whether the page may hold noise: a run of ten equal characters, or of 60 without a blank, or of all digits."""
     if "1234567890" in text or max(map(len, text.split()), default=0) >= 60:
         return True
-    flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    changes = np.flatnonzero(flat[1:] != flat[:-1])
-    return len(flat) >= 10 and int(np.diff(np.concatenate([[-1], changes, [len(flat) - 1]])).max()) >= 10
+    flat = np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # a run of ten holds two neighbours of every fifth character, and all between them
+    some = flat[::5]
+    at = np.flatnonzero(some[1:] == some[:-1]) * 5
+    for i in range(1, 5):
+        at = at[flat[at] == flat[at + i]]
+    # so few are left that each is looked at: those on the left and right that go on
+    for i in at.tolist():
+        begin = end = i
+        while begin > 0 and end - begin < 9 and flat[begin - 1] == flat[i]:
+            begin -= 1
+        while end + 1 < len(flat) and end - begin < 9 and flat[end + 1] == flat[i]:
+            end += 1
+        if end - begin >= 9:
+            return True
+    return False
 
 
 def _symbol(line: str, whole: bool) -> tuple[str, int, list[str]]:
@@ -135,7 +169,7 @@ def _symbol(line: str, whole: bool) -> tuple[str, int, list[str]]:
     links = _URL.findall(line) if "://" in line or "](" in line or "<" in line or "." in line[:-1] and _INNER.search(line) else []
     bare = _TAGS.sub(" ", _URL.sub(" ", line)) if links or "<" in line else line
     han = [] if plain else _HAN.findall(bare)
-    low = _WORD.findall((_HAN.sub(" ", bare) if han else bare).lower())
+    low = _PLAIN_WORD.findall(bare.lower()) if plain else _WORD.findall((_HAN.sub(" ", bare) if han else bare).lower())
     size = len(low) + -(-len(han) // 2)
     whole_size = _size(line) if links else size
     tokens = low + ["".join(p) for p in zip(han[::2], han[1::2], strict=False)] if han else low
@@ -163,7 +197,7 @@ def _kind(line: str, bare: str, whole: bool, low: list[str], han: list[str], tok
         return "C"
     running = len(tokens) - len(content)
     distinct = set(tokens)
-    ends = len(_STOP.findall(bare))
+    ends = _stops(bare)
     repeated, stuffed = 0.0, False
     if len(tokens) - len(distinct) > 1:  # else no word comes three times
         counts = Counter(tokens)

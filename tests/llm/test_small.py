@@ -494,3 +494,27 @@ def test_inference_in_blocks():
             x /= x.sum(1, keepdims=True)
             g = topics.ALPHA + (x * w[:, None]).sum(0, keepdims=True)
         assert np.allclose(gamma[d], g[0], rtol=1e-3, atol=1e-3) and np.allclose(given[doc == d], x * w[:, None], atol=1e-3)
+
+
+def test_plain_pages_take_plain_patterns(monkeypatch):
+    """Lines of ASCII are read by the patterns for them, with the same result; sentences and noise are found as before."""
+    import re
+
+    page = "The nets don't drift (much). We test 1,200 low-cost maps! " * 8 + "\n# Notes\nshort tags; more tags; odd tags; new tags\n"
+    before = spam.observe(page + "é")
+
+    class Refused:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    with monkeypatch.context() as m:
+        m.setattr(spam, "_WORD", Refused())
+        m.setattr(spam, "_STOP", Refused())
+        seen, sizes = spam.observe(page)
+    assert seen == before[0][: len(seen)] and sizes == before[1][: len(seen)]
+    old = re.compile(r"(?<=[.!?。！？…؟۔।])[\"'”’)\]]*\s+|(?<=[。！？])")
+    for line in (page, 'A "b." c?! d.', "。。甲。” 乙！ 丙… d. ", "", ". ", "a.b"):
+        assert list(spam._sentences(line)) == old.split(line)
+    for n in range(6, 14):
+        for lead in range(7):
+            assert spam._noisy("x" * lead + "y" * n + " z") == (n >= 10) == spam._noisy("é" * lead + "中" * n + " z")
