@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirelake.functions.missing import doi_key
+from quirelake.functions.missing import PLACEHOLDERS, doi_key
 from quirelake.llm.golden import instant
 from quirelake.llm.names import _HEADS, _SMALL, _TITLES, GIVEN, LEGAL_FORMS
-from quirelake.llm.titles import fold, missing, plain, title_parts
+from quirelake.llm.titles import fold, missing, plain, plain_parts, title_parts
 from quirelake.operators.packed import parse_packed
 from quirelake.session import spool, spool_path
 
@@ -55,6 +55,10 @@ _SEQUEL = frozenset("ii iii iv vi vii part revisited replication independent lat
 _GENERIC = re.compile(r"(?:front|back)matter|(?:guest)?editorials?|messagefromthe\w{1,30}|tableofcontents|contents|(?:author|subject|keyword)?index|preface|foreword|(?:pc|program|programme|organizing|technical)committee\w*|acknowledge?ments?|titlepage|copyright\w*|welcome\w*|erratum|corrigendum|reviewers|cover|announcements?|inmemoriam")
 _WORD = re.compile(r"[^\W_]+")
 _JOINING = re.compile(r"[-‐‑'’]")
+#: For ASCII texts: what parts words becomes a blank.
+_BLANKS = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+#: A quote with letters, or what joins them, on both sides.
+_INNER_QUOTE = re.compile("[\\w‐‑'’-]\"+[\\w‐‑'’-]")
 _BLANK = re.compile(r"\s+")
 _ID_PREFIX = re.compile(r"^(?:published-|id:)+")
 _ID_VERSION = re.compile(r"(?<=[0-9a-z])v\d+$")
@@ -70,13 +74,43 @@ def id_key(paper_id: str | None) -> str:
 
 
 def author_words(authors: str | None) -> set[str]:
-    """Words of the authors' names in full form, folded, of organisations the first."""
+    """Words of the authors' names in full form, folded, of organisations the first.
+
+    Where the field is cut does not change its words, so the grammar reads only fields that may hold an organisation, a placeholder,
+    an 'and', or marks that take words out or run them together.
+    """
+    if authors is None:
+        return set()
+    if "(" not in authors and "（" not in authors and "\\" not in authors and not ("''" in authors and "[" in authors) and not ('"' in authors and _INNER_QUOTE.search(authors)):
+        written = authors.encode().translate(_BLANKS, b"-'").decode().split() if authors.isascii() else _WORD.findall(_JOINING.sub("", authors))
+        words = set(map(_known_words.__getitem__, written))
+        if None not in words:
+            words.discard("")
+            return words
     out: set[str] = set()
     for name, _ in parse_packed(authors):
         out.update(_name_words(name))
     return out
 
 
+#: Words that only the grammar can judge.
+_JUDGED = _HEADS | {w for w, full in LEGAL_FORMS.items() if full in _HEADS} | {"of", "for", "on", "and"} | {w for p in PLACEHOLDERS for w in _WORD.findall(_JOINING.sub("", p)) if len(w) > 1}
+
+
+class _Words(dict[str, str | None]):
+    """A word as written: its full form, folded; nothing if it does not count; None if the grammar has to judge. Kept while there are not too many."""
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= 1 << 15:
+            self.clear()
+        w = fold(word)
+        out = self[word] = None if w in _JUDGED or word.lower() in _JUDGED else GIVEN.get(w, w) if len(w) > 1 and w not in _TITLES else ""
+        return out
+
+
+_known_words = _Words()
+
+
 @lru_cache(1 << 13)
 def _name_words(name: str) -> tuple[str, ...]:
     """Words of one name; most names come again in other lists."""
@@ -103,7 +137,7 @@ class _Hashes(dict[str, int]):
         self.seed = seed
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 13:
+        if len(self) >= 1 << 15:
             self.clear()
         out = self[word] = _hash(word, self.seed)
         return out
@@ -187,11 +221,12 @@ def _distance(a: str, b: str, most: int) -> int:
 
 
 def _content(title: str) -> list[str]:
-    words = _WORD.findall(title)
-    for i in range(len(words) - 1):
-        if words[i] == "extended" and words[i + 1] == "abstract":
-            words = words[:i] + words[i + 2 :]
-            break
+    words = title.encode().translate(_BLANKS).decode().split() if title.isascii() else _WORD.findall(title)
+    if "extended" in words:
+        for i in range(len(words) - 1):
+            if words[i] == "extended" and words[i + 1] == "abstract":
+                words = words[:i] + words[i + 2 :]
+                break
     return [w for w in words if w not in _FUNCTION]
 
 
@@ -225,7 +260,7 @@ def _in_reach(a: str, b: str, most: int) -> bool:
     n, pieces = len(a), 2 * most + 1
     for i in range(pieces):
         begin, end = n * i // pieces, n * (i + 1) // pieces
-        if b.find(a[begin:end], max(0, begin - most), end + most) >= 0:
+        if b.find(a[begin:end], begin - most if begin > most else 0, end + most) >= 0:
             return True
     return False
 
@@ -287,10 +322,10 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col = {n: batch.column(n).to_pylist() for n in ("paper_id", "title", "normalized_title", "authors")}
         tkeys, titles, generic, names = [], [], [], []
         for t, n, a in zip(col["title"], col["normalized_title"], col["authors"], strict=True):
-            parts = title_parts(t, n)
+            shown = "" if missing(t) else plain(t)
+            parts = plain_parts(shown) or title_parts(None, n)
             tkeys.append(_hash("".join(sorted(parts))) if parts else None)
-            shown = plain(t) if not missing(t) else plain(n) if parts else ""
-            titles.append(shown)
+            titles.append(shown if not missing(t) else plain(n) if parts else "")
             generic.append(bool(parts) and bool(_GENERIC.fullmatch("".join(parts))))
             names.append(" ".join(sorted(author_words(a))))
         yield pa.RecordBatch.from_arrays(
@@ -418,65 +453,98 @@ _NEAR = 4
 _BINS = 32
 
 
-def _letter_counts(ways: np.ndarray, keys: list[str]) -> np.ndarray:
+def _letter_counts(ways: np.ndarray, keys: pa.Array | list[str]) -> np.ndarray:
     """How often each letter is in each key, letters being numbered modulo 32; blanks and what shares their number do not count."""
-    texts = [k[k.find(" ") + 1 :] if w >= WORD_ORDERS + 2 else k for w, k in zip(ways.tolist(), keys, strict=True)]
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % _BINS
-    at = np.repeat(np.arange(len(texts), dtype=np.int64), np.fromiter(map(len, texts), np.int64, len(texts)))
-    out = np.bincount(at * _BINS + flat, minlength=len(texts) * _BINS).reshape(-1, _BINS)
+    keys = pa.array(keys, pa.string()) if isinstance(keys, list) else keys
+    out = np.zeros((len(keys), _BINS), np.int8)
+    for begin in range(0, len(keys), 4_000):  # few enough for the processor's cache
+        some = keys.slice(begin, 4_000)
+        at = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+        if at[0] == at[-1]:
+            continue
+        flat, lengths = np.frombuffer(some.buffers()[2], np.uint8)[at[0] : at[-1]], np.diff(at)
+        letters = flat & (_BINS - 1)
+        if flat.max() >= 0x80:
+            # of the bytes of a letter beyond ASCII the last has its number modulo 32, the others do not count
+            goes_on = (flat & 0xC0) == 0x80
+            letters[(flat >= 0x80) & ~(goes_on & ~np.r_[goes_on[1:], False])] = 0
+        by_author = ways[begin : begin + 4_000] >= WORD_ORDERS + 2
+        if by_author.any():  # the hash before the blank is none of the title
+            hashed = np.where(by_author, pc.find_substring(some, " ").to_numpy(zero_copy_only=False) + 1, 0)
+            letters[np.arange(len(flat)) < np.repeat(at[:-1] - at[0] + hashed, lengths)] = 0
+        n = np.bincount(np.repeat(np.arange(0, len(some) * _BINS, _BINS), lengths) + letters, minlength=len(some) * _BINS)
+        out[begin : begin + 4_000] = np.minimum(n, 120).reshape(-1, _BINS)
     out[:, 0] = 0
-    return np.minimum(out, 120).astype(np.int8)
+    return out
+
 
+def _at_least(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for each letter that is there once, twice; and three, four times. The bits that one has and another has not are no more than its letters that the other has not."""
+    once, twice, thrice, four = (np.packbits(counts >= k, axis=1).view(np.uint32).ravel().astype(np.uint64) for k in range(1, 5))
+    return once << np.uint64(32) | twice, thrice << np.uint64(32) | four
 
-def _near_rows(way: np.ndarray, block: np.ndarray, tkey: np.ndarray, first: np.ndarray, fresh: np.ndarray, keys: list[str], titles: pa.Array, source: np.ndarray | None = None) -> set[tuple[int, int, int]]:
+
+def _near_rows(way: np.ndarray, block: np.ndarray, tkey: np.ndarray, first: np.ndarray, fresh: np.ndarray, keys: pa.Array | list[str], titles: pa.Array, source: np.ndarray | None = None) -> set[tuple[int, int, int]]:
     """(block, title, near title) among sorted rows: each fresh row against WINDOW rows on each side of those that had come by then.
 
     Of two nearly same titles one has at most _NEAR letters that the other has not (four errors, or the end cut
-    off, or one word more), so pairs with more on both sides need no closer look. With source, only
-    pairs of different sources are looked at.
+    off, or one word more), so pairs with more on both sides need no closer look: first by bits of their letters,
+    which are few to compare, then by the letters' numbers. With source, only pairs of different sources are looked at.
     """
     out: set[tuple[int, int, int]] = set()
     if len(way) < 2 or not fresh.any():
         return out
     counts = _letter_counts(way, keys)
-    each = np.ones(_BINS, np.float32)  # small whole numbers are exact in it
-    sizes = counts.sum(1, dtype=np.int32)
-    looked: set[tuple[int, int]] = set()
+    few, many = _at_least(counts)
+    group = block ^ (way.astype(np.int64) << 58)  # equal for rows of one way and block
     texts: dict[int, tuple[list[str], bool]] = {}
-    words: dict[str, str] = {}  # each word once in memory
+
+    def text(k: int) -> tuple[list[str], bool]:
+        if k not in texts:
+            if len(texts) >= 1 << 10:  # pairs come in the order of their rows, which are near each other
+                texts.clear()
+            title = titles[k].as_py()
+            texts[k] = _content(title), _is_cut(title)
+        return texts[k]
+
     for t in np.unique(first[fresh]).tolist():
         active = np.flatnonzero(first <= t)
         new = fresh[active] & (first[active] == t)
         at = np.flatnonzero(new)
+        g, x, y = group[active], few[active], many[active]
+        pairs = [(at[:0], at[:0])]
         for lag in [*range(1, WINDOW + 1), *range(-WINDOW, 0)]:
-            mine, other = at, at - lag
-            ok = (other >= 0) & (other < len(active))
-            mine, other = mine[ok], other[ok]
+            mine = at[np.searchsorted(at, lag) :] if lag > 0 else at[: np.searchsorted(at, len(active) + lag)]
+            other = mine - lag
             if lag < 0:  # of two new ones the later looks back
                 old = ~new[other]
                 mine, other = mine[old], other[old]
-            a, b = active[mine], active[other]
-            ok = (way.take(a) == way.take(b)) & (block.take(a) == block.take(b)) & (tkey.take(a) != tkey.take(b))
+            more = less = np.uint8(0)
+            for bits in (x, y):
+                xa, xb = bits[mine], bits[other]
+                more, less = more + np.bitwise_count(xa & ~xb), less + np.bitwise_count(xb & ~xa)
+                ok = np.flatnonzero(np.minimum(more, less) <= _NEAR)
+                mine, other, more, less = mine[ok], other[ok], more[ok], less[ok]
+            ok = g[mine] == g[other]
+            a, b = active[mine[ok]], active[other[ok]]
+            ok = (way[a] == way[b]) & (block[a] == block[b]) & (tkey[a] != tkey[b])
             if source is not None:
                 ok &= source[a] != source[b]
             a, b = a[ok], b[ok]
             for some in range(0, len(a), 20_000):
-                x, y = a[some : some + 20_000], b[some : some + 20_000]
-                more = np.maximum(counts.take(x, 0) - counts.take(y, 0), 0).astype(np.float32) @ each
-                near = np.flatnonzero(np.minimum(more, more - sizes.take(x) + sizes.take(y)) <= _NEAR)
-                for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                    pair = (int(tkey[i]), int(tkey[j]))
-                    if pair in looked or (int(block[i]), *pair) in out:
-                        continue
-                    for k in (i, j):
-                        if k not in texts:
-                            t = titles[k].as_py()
-                            texts[k] = [words.setdefault(w, w) for w in _content(t)], _is_cut(t)
-                    (wa, cut_a), (wb, cut_b) = texts[i], texts[j]
-                    if _near_contents(wa, wb, cut_a, cut_b):
-                        out.add((int(block[i]), *pair))
-                    elif source is None:
-                        looked.add(pair)
+                i, j = a[some : some + 20_000], b[some : some + 20_000]
+                more = counts[i] - counts[j]
+                near = np.minimum(np.maximum(more, 0).sum(1, dtype=np.int32), np.maximum(-more, 0).sum(1, dtype=np.int32)) <= _NEAR
+                pairs.append((i[near], j[near]))
+        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        for i, j, within, mine, other in zip(*(c.tolist() for c in (a, b, block[a], tkey[a], tkey[b])), strict=True):
+            if (within, mine, other) in out:
+                continue
+            (wa, cut_a), (wb, cut_b) = text(i), text(j)
+            if _near_contents(wa, wb, cut_a, cut_b):
+                out.add((within, mine, other))
     return out
 
 
@@ -541,17 +609,18 @@ def _one_range(held: list[pa.RecordBatch], at: int, keep: bool) -> Iterator[pa.R
     new = rows.column("new").to_numpy(zero_copy_only=False)
     skey = rows.column("skey").combine_chunks()
     if keep:
-        mine = rows.filter(pa.array(new))
+        mine = rows if new.all() else rows.filter(pa.array(new))
         for begin in range(0, mine.num_rows, 50_000):
             part = mine.slice(begin, 50_000)
             yield _gives(RUN, at, part, part.num_rows)
     # rows of one title and key, from several runs, are one; it is new if it was in none
     begins = np.flatnonzero(np.r_[True, (way[1:] != way[:-1]) | (block[1:] != block[:-1]) | (tkey[1:] != tkey[:-1]) | pc.not_equal(skey[1:], skey[:-1]).to_numpy(zero_copy_only=False)])
     first, fresh = np.minimum.reduceat(first, begins), np.logical_and.reduceat(new, begins)
-    rows = rows.take(pa.array(begins))
-    way, block, tkey = way[begins], block[begins], tkey[begins]
+    if len(begins) < rows.num_rows:
+        rows = rows.take(pa.array(begins)).combine_chunks()
+        way, block, tkey = way[begins], block[begins], tkey[begins]
     titles = rows.column("title").combine_chunks()
-    found = sorted(_near_rows(way, block, tkey, first, fresh, rows.column("skey").to_pylist(), titles))
+    found = sorted(_near_rows(way, block, tkey, first, fresh, rows.column("skey").combine_chunks(), titles))
     yield _gives(PAIR, at, None, len(found), block=[f[0] for f in found], tkey=[f[1] for f in found], other=[f[2] for f in found])
     ends = _border_rows(first)
     edge = rows.take(pa.array(ends)).drop_columns(["first", "range", "new"])
@@ -566,7 +635,7 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for g in sorted(set(table.column("grp").to_pylist())):
         rows = table.filter(pa.array((table.column("grp").to_numpy() == g).tolist())).combine_chunks()
         way, block, tkey, first, source = (rows.column(c).to_numpy() for c in ("way", "block", "tkey", "first", "range"))
-        found = sorted(_near_rows(way, block, tkey, first, rows.column("fresh").to_numpy(zero_copy_only=False), rows.column("skey").to_pylist(), rows.column("title").combine_chunks(), source))
+        found = sorted(_near_rows(way, block, tkey, first, rows.column("fresh").to_numpy(zero_copy_only=False), rows.column("skey").combine_chunks(), rows.column("title").combine_chunks(), source))
         yield _gives(PAIR, 0, None, len(found), block=[f[0] for f in found], tkey=[f[1] for f in found], other=[f[2] for f in found])
 
 

@@ -12,9 +12,11 @@ from quirelake.functions.missing import PLACEHOLDERS
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _COMMAND = re.compile(r"\\[A-Za-z]+\*?(?=\s*\{)")
 #: Between the parts of a title: a colon or bar anywhere, a dash with blanks on both sides, a long dash anywhere.
-_PART = re.compile(r"\s*[:|]\s*|\s+[-\u2010-\u2015]+\s+|\s*[\u2014\u2015]\s*")
+_PART = re.compile(r"[:|\u2014\u2015]|(?<=\s)[-\u2010-\u2015]+(?=\s)")
+_MAY_PART = re.compile(r"[-:|\u2010-\u2015]")
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufe00-\ufe0f\ufeff]")
 _NOT_LETTER = re.compile(r"[\W_]+")
+_NOT_ASCII_LETTER = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def missing(text: str | None) -> bool:
@@ -31,18 +33,23 @@ def plain(text: str) -> str:
 
 
 def letters(text: str) -> str:
-    return _NOT_LETTER.sub("", text)
+    return text.encode().translate(None, _NOT_ASCII_LETTER).decode() if text.isascii() else _NOT_LETTER.sub("", text)
+
+
+def plain_parts(text: str) -> list[str]:
+    """Letters and digits of each part of a plain text, in the order written."""
+    return [p for p in map(letters, _PART.split(text) if _MAY_PART.search(text) else [text]) if p]
 
 
 def title_parts(title: str | None, normalized: str | None) -> list[str]:
     """Letters and digits of each part of the title, in the order written; the normalized title if there is no title."""
     if not missing(title):
-        parts = [p for p in map(letters, _PART.split(plain(title))) if p]
+        parts = plain_parts(plain(title))
         if parts:
             return parts
     if missing(normalized):
         return []
-    return [p for p in map(letters, _PART.split(plain(normalized))) if p]
+    return plain_parts(plain(normalized))
 
 
 def spells(text: str, parts: list[str]) -> bool:

@@ -471,6 +471,34 @@ def test_history_does_not_repeat_work(spark, monkeypatch):
         assert {(x["way"], x["block"], x["skey"]): x["range"] for x in h.ranged(df).collect()} == {x: sum(b <= x for b in h.bounds) for x in rows}
 
 
+def test_history_takes_short_ways(monkeypatch):
+    """Plain lists of authors need no grammar, and a pair is looked at whatever others of its titles gave."""
+    import pyarrow as pa
+
+    calls, read = [], history.parse_packed
+    monkeypatch.setattr(history, "parse_packed", lambda text: calls.append(text) or read(text))
+
+    def by_grammar(text):
+        return {w for name, _ in read(text) for w in history._name_words(name)}
+
+    plain_lists = ["Ann Lee; Bo O'Hara", "Lee, Ann, Jean-Luc Ølsen | Dr. X. Wu", "['Ann Lee', 'Bo Li']", '"Lee, Ann"; Beth Li Jr.', "李 小龙、王 Wei", "Ann Lee & Bo Li / Cy Wu\nDi Fu", "n/a; Ann Lee", "N/A", ""]
+    for text in plain_lists:
+        assert history.author_words(text) == by_grammar(text), text
+    assert calls == []
+    others = ["Ann Lee and Bo Li", "Ann Lee (Tor Lab); Bo Li", "Lee Working Group on Maps; Ann Lee", "Tor Ctr for Maps", "unknown; Ann Lee", "None", 'Ann"Lee', "['Ann''Bo']", "Univ of Tor"]
+    for text in others:
+        assert history.author_words(text) == by_grammar(text), text
+    assert calls == others
+    # two titles of one key, of which the second is nearly the third; the first has its letters only
+    titles = ["sparse depht fusion networks", "krowten noisuf htped esraps", "sparse depth fusion networks"]
+    keys = ["".join(history._content(t)) for t in titles]
+    one, new = np.ones(3, np.int64), np.ones(3, bool)
+    assert history._near_rows(np.zeros(3, np.int32), one, np.array([1, 1, 2]), one, new, keys, pa.array(titles)) == {(1, 2, 1)}
+    # letters of more than one byte have one number, and hashes of authors none
+    counts = history._letter_counts(np.array([0, history.WORD_ORDERS + 2]), ["aé李a", "1f a李"])
+    assert counts.sum(1).tolist() == [4, 2] and counts[0, ord("a") % 32] == 2 and counts[0, ord("é") % 32] == 1 and counts[1, ord("李") % 32] == 1
+
+
 def test_inference_in_blocks():
     """Documents are inferred in small blocks, with the proportions that the plain steps give."""
     import tracemalloc
