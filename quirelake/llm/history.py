@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -370,7 +370,7 @@ def _part():
 
 
 def _summed(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("kind", "h1", "h2").agg(F.min("part").alias("part"), F.min("o").alias("o_any"), F.min(F.when(~F.col("has_doi"), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"))
+    return keys.groupBy("h1", "h2", "kind").agg(F.min("part").alias("part"), F.min("o").alias("o_any"), F.min(F.when(~F.col("has_doi"), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"))
 
 
 def _list_id():
@@ -380,7 +380,7 @@ def _list_id():
 def _lists(prepared: DataFrame) -> DataFrame:
     """One row per block, title and list of authors: when it came. Front matter without authors has none."""
     some = prepared.where("tkey IS NOT NULL AND (NOT generic OR names <> '')")
-    return some.groupBy("block", "tkey", _list_id()).agg(F.min(_part()).alias("part"), F.min("o").alias("o_any"), F.min(F.when(F.col("doi").isNull(), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))
+    return some.groupBy("tkey", "block", _list_id()).agg(F.min(_part()).alias("part"), F.min("o").alias("o_any"), F.min(F.when(F.col("doi").isNull(), F.col("o"))).alias("o_nodoi"), F.max("o").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))
 
 
 _AGREED = "block bigint, tkey bigint, list_id bigint, near_any bigint, near_nodoi bigint"
@@ -397,11 +397,11 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def same_titles(mine: DataFrame, every: DataFrame) -> DataFrame:
     """block, tkey, list_id and the arrivals of the same title with the same authors; each list of authors meets all others of its title."""
     named = every.where("names <> ''").select("block", "tkey", "list_id", "o_any", "o_nodoi", "o_max", "names")
-    again = named.groupBy("block", "tkey").agg(F.min("o_any").alias("lo"), F.max("o_max").alias("hi")).where("lo < hi").select("block", "tkey")
-    several = spool(named.join(again, ["block", "tkey"], "left_semi"), "same-titles", **_PACKED)
+    again = named.groupBy("tkey", "block").agg(F.min("o_any").alias("lo"), F.max("o_max").alias("hi")).where("lo < hi").select("block", "tkey")
+    several = spool(named.join(again, ["tkey", "block"], "left_semi"), "same-titles", **_PACKED)
     other = several.select("block", "tkey", F.col("o_any").alias("near_any"), F.col("o_nodoi").alias("near_nodoi"), F.col("names").alias("other"))
-    wanted = several if mine is every else several.join(mine.select("block", "tkey", "list_id"), ["block", "tkey", "list_id"], "left_semi")
-    return wanted.join(other, ["block", "tkey"]).where("near_any < o_max").select("block", "tkey", "list_id", "near_any", "near_nodoi", "names", "other", F.lit(False).alias("near")).mapInArrow(_agreeing, _AGREED)
+    wanted = several if mine is every else several.join(mine.select("block", "tkey", "list_id"), ["tkey", "block", "list_id"], "left_semi")
+    return wanted.join(other, ["tkey", "block"]).where("near_any < o_max").select("block", "tkey", "list_id", "near_any", "near_nodoi", "names", "other", F.lit(False).alias("near")).mapInArrow(_agreeing, _AGREED)
 
 
 _ROW = ("way", "block", "skey", "tkey", "title", "first")
@@ -441,12 +441,21 @@ def _rows(batch: pa.RecordBatch, ways: list[int], keys: list[str]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([col[c] if c in col else batch.column(c).take(take) for c in _ROW], names=list(_ROW))
 
 
-def sorted_rows(lists: DataFrame) -> DataFrame:
-    """The rows of all orders: a title by itself once, and with an author's hash once for each."""
+def sorted_rows(lists: DataFrame, place: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """The rows of all orders: a title by itself once, and with an author's hash once for each; with place also the range it gives them.
+
+    The range is given in the same step, so that the rows go through Python once.
+    """
+    schema = f"{_ROW_SCHEMA}, range int" if place else _ROW_SCHEMA
     some = lists.where("NOT generic")
-    titles = some.groupBy("block", "tkey").agg(F.min("title").alias("title"), F.min("o_any").alias("first"))
+    titles = some.groupBy("tkey", "block").agg(F.min("title").alias("title"), F.min("o_any").alias("first"))
     named = some.where("names <> ''").select("block", "tkey", "title", "names", F.col("o_any").alias("first"))
-    return titles.mapInArrow(_by_title, _ROW_SCHEMA).unionAll(named.mapInArrow(_by_author, _ROW_SCHEMA))
+    by_title, by_author = (partial(_placed, rows, place) if place else rows for rows in (_by_title, _by_author))
+    return titles.mapInArrow(by_title, schema).unionAll(named.mapInArrow(by_author, schema))
+
+
+def _placed(rows: Callable, place: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from place(rows(batches))
 
 
 _NEAR = 4
@@ -669,6 +678,10 @@ class History:
 
     def ranged(self, rows: DataFrame) -> DataFrame:
         """The rows with the number of their range."""
+        return rows.mapInArrow(self._place(), f"{_ROW_SCHEMA}, range int")
+
+    def _place(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Gives rows the number of their range."""
         bounds = self.bounds or []
         heads = [k[:2] for k in bounds]
 
@@ -684,7 +697,7 @@ class History:
                     at[i] = bisect.bisect_right(bounds, (*known[p], k), lo[p], hi[p])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*_ROW, "range"])
 
-        return rows.mapInArrow(run, f"{_ROW_SCHEMA}, range int")
+        return run
 
     def accept(self, records: DataFrame, releases: DataFrame, keep: bool = True) -> DataFrame:
         """record_id of the records of which a release before theirs, in history or in this batch, holds the paper.
@@ -711,7 +724,7 @@ class History:
             parts = [r[0] for r in lists.select("part").union(keys.select("part")).distinct().collect()]
             touched = f"part IN ({', '.join(map(str, parts))})" if parts else "false"
             mine = _keys(batch, True).select("kind", "h1", "h2").distinct()
-            keys = _merged_keys(keys.unionByName(self._read("keys", touched).join(mine, ["kind", "h1", "h2"], "left_semi")))
+            keys = _merged_keys(keys.unionByName(self._read("keys", touched).join(mine, ["h1", "h2", "kind"], "left_semi")))
             every = _merged_lists(lists.unionByName(self._read("lists", touched)))
             old_pairs = self._read("pairs", touched).select("block", "tkey", "other")
         pairs = self._near(lists, run, keep)
@@ -723,7 +736,7 @@ class History:
 
     def _near(self, lists: DataFrame, run: str, keep: bool) -> DataFrame:
         """block, tkey and other of the pairs of near titles that the batch brings; with keep its rows are kept in their ranges."""
-        rows = self.ranged(sorted_rows(lists)).withColumn("new", F.lit(True))
+        rows = sorted_rows(lists, self._place()).withColumn("new", F.lit(True))
         if self.runs:
             rows = spool(rows, "batch-rows", **_PACKED)
             # with the neighbours of a range that is touched, as windows go on beyond its ends
@@ -748,14 +761,14 @@ class History:
         # a key that no later record has written can match only those that read without writing
         useful = keys.where("o_any < o_max OR kind = 'alone'")
         prior = F.when(F.col("has_doi") & (F.col("kind") != "doi"), F.col("o_nodoi")).otherwise(F.col("o_any"))
-        equal = _keys(batch, True).drop("part").join(useful.drop("o_max", "part"), ["kind", "h1", "h2"]).where(prior < F.col("o")).select("record_id")
+        equal = _keys(batch, True).drop("part").join(useful.drop("o_max", "part"), ["h1", "h2", "kind"]).where(prior < F.col("o")).select("record_id")
         both = pairs.unionAll(pairs.select("block", F.col("other").alias("tkey"), F.col("tkey").alias("other"))).distinct()
         mine = lists.where("NOT generic").select("block", "tkey", "list_id", "o_max", "names")
         theirs = every.where("NOT generic").select("block", F.col("tkey").alias("other"), F.col("o_any").alias("near_any"), F.col("o_nodoi").alias("near_nodoi"), F.col("names").alias("theirs"))
-        met = both.join(mine, ["block", "tkey"]).join(theirs, ["block", "other"]).where("near_any < o_max")
+        met = both.join(mine, ["tkey", "block"]).join(theirs, ["other", "block"]).where("near_any < o_max")
         near = met.select("block", "tkey", "list_id", "near_any", "near_nodoi", "names", F.col("theirs").alias("other"), F.lit(True).alias("near")).mapInArrow(_agreeing, _AGREED)
-        first = same_titles(lists, every).unionAll(near).groupBy("block", "tkey", "list_id").agg(F.min("near_any").alias("near_any"), F.min("near_nodoi").alias("near_nodoi"))
-        held = batch.where("tkey IS NOT NULL").select("record_id", "o", "doi", "block", "tkey", _list_id()).join(first, ["block", "tkey", "list_id"])
+        first = same_titles(lists, every).unionAll(near).groupBy("tkey", "block", "list_id").agg(F.min("near_any").alias("near_any"), F.min("near_nodoi").alias("near_nodoi"))
+        held = batch.where("tkey IS NOT NULL").select("record_id", "o", "doi", "block", "tkey", _list_id()).join(first, ["tkey", "block", "list_id"])
         held = held.where(F.when(F.col("doi").isNull(), F.col("near_any")).otherwise(F.col("near_nodoi")) < F.col("o")).select("record_id")
         return equal.unionAll(held).distinct()
 
@@ -787,8 +800,8 @@ _HELD = {
 
 
 def _merged_keys(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("kind", "h1", "h2").agg(F.min("part").alias("part"), F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"))
+    return keys.groupBy("h1", "h2", "kind").agg(F.min("part").alias("part"), F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"))
 
 
 def _merged_lists(lists: DataFrame) -> DataFrame:
-    return lists.groupBy("block", "tkey", "list_id").agg(F.min("part").alias("part"), F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))
+    return lists.groupBy("tkey", "block", "list_id").agg(F.min("part").alias("part"), F.min("o_any").alias("o_any"), F.min("o_nodoi").alias("o_nodoi"), F.max("o_max").alias("o_max"), F.min("title").alias("title"), F.min("names").alias("names"), F.min("generic").alias("generic"))

@@ -499,6 +499,16 @@ def test_history_takes_short_ways(monkeypatch):
     assert counts.sum(1).tolist() == [4, 2] and counts[0, ord("a") % 32] == 2 and counts[0, ord("é") % 32] == 1 and counts[1, ord("李") % 32] == 1
 
 
+def test_history_gives_ranges_in_one_step(spark):
+    """Rows get their range in the step that makes them, as they would in one of its own."""
+    h = history.History.__new__(history.History)
+    h.bounds = [(1, 3, "e"), (5, 3, ""), (6, 3, "2")]
+    lists = spark.createDataFrame([(3, i, f"{t} maps", "ann lee", False, i) for i, t in enumerate(["quiet", "noisy", "extended abstract"])], "block long, tkey long, title string, names string, generic boolean, o_any long")
+    placed = history.sorted_rows(lists, h._place())
+    assert sorted(placed.collect()) == sorted(h.ranged(history.sorted_rows(lists)).collect()) and {r["range"] for r in placed.collect()} == {0, 1, 2, 3}
+    assert placed._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2
+
+
 def test_inference_in_blocks():
     """Documents are inferred in small blocks, with the proportions that the plain steps give."""
     import tracemalloc
