@@ -279,13 +279,70 @@ def title_ratio(least: float):
     return ratios
 
 
-def fuzzy_titles(left: DataFrame, right: DataFrame, block: str, least: float = 0.45, best: int = 5) -> DataFrame:
-    """id, other, ratio and place of the best partners by title within a block that shares a rare word with it.
-
-    Both sides have id, title and the block. Words of at least six letters serve as join keys, each title
-    under its three longest, so no pairs are made that share none. Each title counts once in a block, whatever the number of
-    its rows, and the join keeps only pairs with so many letters in common that they may reach the ratio. Pairs are still met in the square of
-    the titles of a word in a block.
+#: Titles of a side that are held against as many of the other in one step, and how many of them at once.
+_PACK, _TILE = 4096, 32
+
+
+def _packs(df: DataFrame, block: str, name: str) -> DataFrame:
+    """block, the titles of a pack with their letters, and their least and greatest size; a block's packs follow each other by size. Missing titles have none."""
+    titles = df.select(F.col(block).alias("block"), "title").where(F.col("block").isNotNull() & ~is_missing(F.col("title"))).distinct()
+    titles = titles.mapInArrow(_with_profile, T.StructType([*titles.schema.fields, _PROFILE]))
+    # ordered by the title too, so that a task that runs again makes the same packs
+    packs = titles.withColumn("pack", F.floor((F.row_number().over(Window.partitionBy("block").orderBy("letters.size", "title")) - 1) / _PACK))
+    return packs.groupBy("block", "pack").agg(F.collect_list(F.struct("title", "letters.*")).alias(name), F.min("letters.size").alias(f"{name}_low"), F.max("letters.size").alias(f"{name}_high")).drop("pack")
+
+
+def _by_size(pack: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Title, size, more and bits of a pack's titles in the order of their size."""
+    size = pack.field("size").to_numpy()
+    at = np.argsort(size, kind="stable")
+    bits = pack.field("bits").flatten().to_numpy().reshape(len(size), -1).view(np.uint64)
+    return pack.field("title").take(pa.array(at)), size[at], pack.field("more").to_numpy()[at], bits[at]
+
+
+def _near(least: float):
+    """A function of batches of block and two packs: block, id_title and other_title of all pairs with so many letters in common that they may reach least."""
+
+    def pairs(id_pack: pa.StructArray, other_pack: pa.StructArray) -> tuple[pa.Array, pa.Array]:
+        titles, size, more, bits = _by_size(id_pack)
+        o_titles, o_size, o_more, o_bits = _by_size(other_pack)
+        words = np.ascontiguousarray(o_bits.T)
+        # rounded down on both sides, so that the sum asks for no more letters than the ratio does
+        need, o_need = (np.floor(least * n / 2 - 1e-6).astype(np.int32) for n in (size, o_size))
+        x, y = [], []
+        for i in range(0, len(size), _TILE):
+            t = slice(i, i + _TILE)
+            nearest = np.clip(o_size, size[t][0], size[t][-1])
+            fit = np.flatnonzero(2.0 * np.minimum(o_size, nearest) / (o_size + nearest) >= least)
+            if not len(fit):
+                continue
+            o = slice(fit[0], fit[-1] + 1)
+            spare = np.minimum(more[t, None], o_more[None, o]) - need[t, None] - o_need[None, o]
+            for w, word in enumerate(words):
+                spare += np.bitwise_count(bits[t, w, None] & word[None, o])
+            at, o_at = np.nonzero(spare >= 0)
+            x.append(at + i)
+            y.append(o_at + o.start)
+        none = [np.empty(0, np.int64)]
+        return titles.take(pa.array(np.concatenate(x or none))), o_titles.take(pa.array(np.concatenate(y or none)))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, a, b in zip(*map(batch.column, ("block", "id", "other")), strict=True):
+                left, right = pairs(a.values, b.values)
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(block, len(left)), left, right], names=["block", "id_title", "other_title"])
+
+    return met
+
+
+def fuzzy_titles(left: DataFrame, right: DataFrame, block: str, least: float = 0.45, best: int = 5, worded: bool = True) -> DataFrame:
+    """id, other, ratio and place of the best partners by title within a block.
+
+    Both sides have id, title and the block. Each title counts once in a block, whatever the number of its rows, and only pairs with so
+    many letters in common that they may reach the ratio go on to it. Without worded these are of all pairs of titles in a block that are not
+    missing, so no partner is left out; pairs are met in the square of the titles of a block. With worded, for low ratios, partners share one of
+    their three longest words of six letters or more: these are join keys, and the others are left out.
     """
     rows = lambda df, name: df.select(F.col("id").alias(name), F.col(block).alias("block"), F.col("title").alias(f"{name}_title")).distinct()
 
@@ -297,13 +354,19 @@ def fuzzy_titles(left: DataFrame, right: DataFrame, block: str, least: float = 0
         bits = [F.col("letters.bits")[i].alias(f"{name}_{i}") for i in range(_LETTERS * _LEVELS // 64)]
         return titles.select("block", F.col("title").alias(f"{name}_title"), F.col("letters.size").alias(f"{name}_size"), F.col("letters.more").alias(f"{name}_more"), *bits, F.explode(longest.getField("word")).alias("word"))
 
-    common = F.least("id_more", "other_more")
-    for i in range(_LETTERS * _LEVELS // 64):
-        common = common + F.bit_count(F.col(f"id_{i}").bitwiseAND(F.col(f"other_{i}")))
-    near = 2.0 * common / (F.col("id_size") + F.col("other_size")) >= least
-    met = words(left, "id").join(words(right, "other"), ["block", "word"]).where(near).select("block", "id_title", "other_title")
     # few bytes and much work, so by number
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if worded:
+        common = F.least("id_more", "other_more")
+        for i in range(_LETTERS * _LEVELS // 64):
+            common = common + F.bit_count(F.col(f"id_{i}").bitwiseAND(F.col(f"other_{i}")))
+        near = 2.0 * common / (F.col("id_size") + F.col("other_size")) >= least
+        met = words(left, "id").join(words(right, "other"), ["block", "word"]).where(near).select("block", "id_title", "other_title")
+    else:
+        a, b = _packs(left, block, "id"), _packs(right, block, "other")
+        low, high = F.least("id_high", "other_high"), F.greatest("id_low", "other_low")  # the sizes that are nearest, unless some are equal
+        met = a.join(b, "block").where((high <= low) | (2.0 * low / (low + high) >= least)).select("block", "id", "other").repartition(tasks)
+        met = met.mapInArrow(_near(least), T.StructType([met.schema["block"], *[T.StructField(c, T.StringType()) for c in ("id_title", "other_title")]]))
     pairs = met.repartition(tasks, "block", "id_title", "other_title").distinct()
     scored = pairs.withColumn("ratio", title_ratio(least)("id_title", "other_title")).where("ratio IS NOT NULL")
     # of the rows of one title the first can be among the best only, and of a title's partners likewise

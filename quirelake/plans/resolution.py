@@ -177,10 +177,10 @@ def er_candidate_page(spark, d):
 
 @register()
 def match_fuzzy_titles(spark, d):
-    """The best partner of later records by the ratio of their titles."""
+    """The best partner of later records by the ratio of their titles, of all of their venue and year."""
     later, first = _sides(spark, d)
     block = F.concat_ws("|", "venue", "year").alias("block")
-    return matching.fuzzy_titles(later.select("id", "title", block), first.select("id", "title", block), "block", 0.9, 1)
+    return matching.fuzzy_titles(later.select("id", "title", block), first.select("id", "title", block), "block", 0.9, 1, worded=False)
 
 
 _ABS = f"WITH {RECORDS}, k AS (SELECT record_id, {_SQL_DOI} AS doi, abstract FROM r), have AS (SELECT doi, min(abstract) AS a, max(abstract) AS z FROM k WHERE doi IS NOT NULL AND NOT {sql_missing('abstract')} GROUP BY doi HAVING min(abstract) = max(abstract))"

@@ -131,3 +131,48 @@ def test_fuzzy_titles_of_large_blocks(spark):
                 scored.append((-m.ratio(), y))
         want += [(x or "", y, round(-r, 6), place) for place, (r, y) in enumerate(sorted(scored)[:2], 1)]
     assert got == sorted(want) and len(got) > 50
+
+
+def test_fuzzy_titles_share_no_long_word(spark, monkeypatch):
+    """Without worded every pair of titles in a block is found, whatever their words; packs and their bounds of size lose none."""
+    import random
+    from difflib import SequenceMatcher
+
+    from quirelake.operators import matching
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("aeinorst") for _ in range(rnd.randint(1, 5)))
+    a = [" ".join(word() for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    a += ["Learnnig Grpahs Efficeintly", "On the Art of Odd Sums", "深度学习 与 图 网络 的 综述", "short", "x", "e" * 90, "İ" * 20, " a b ", "N/A", "", None, "  ", "Unknown"]
+    typing = lambda t: "".join(c for c in t if rnd.random() > 0.06) + rnd.choice(["", "q", "."])
+    b = [typing(t) if t else t for t in a] + a + ["Learning Graphs Efficiently", "on the art of odd sum", "深度学习 与 图 网络 之 综述", "e" * 110, "e" * 74, "e" * 73, "i̇" * 20]
+    frame = lambda rs: spark.createDataFrame(rs, "id string, title string, block string")
+    left = [(f"l{i:03d}", t, "v" if i % 7 else "w") for i, t in enumerate(a)] + [("l900", a[1], None), ("l001", a[1], "v")]
+    right = [(f"r{i:03d}", t, "v" if i % 5 else "w") for i, t in enumerate(b)] + [("r900", a[1], None), ("r901", a[1], "elsewhere")]
+    monkeypatch.setattr(matching, "_PACK", 4)
+    for least, best in ((0.9, 1000), (0.9, 1), (0.6, 2)):
+        want = []
+        for x, t, block in set(left):
+            scored = []
+            for y, u, other in set(right):
+                if block and block == other and t and u and t.strip().lower() not in ("", "n/a", "unknown") and u.strip().lower() not in ("", "n/a", "unknown"):
+                    r = SequenceMatcher(None, t.lower(), u.lower()).ratio()
+                    if r >= least:
+                        scored.append((-r, y))
+            want += [(x, y, round(-r, 6), place) for place, (r, y) in enumerate(sorted(scored)[:best], 1)]
+        got = matching.fuzzy_titles(frame(left), frame(right), "block", least, best, worded=False)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 40
+
+
+def test_match_fuzzy_titles_without_long_words(spark, small, tmp_path):
+    """The query has a row for every later record with a partner at 0.9, also where no title has a word of six letters."""
+    from difflib import SequenceMatcher
+
+    cut = F.regexp_replace("title", r"(\p{L}{5})\p{L}+", "$1")
+    spark.read.parquet(f"{small}/paper_records.parquet").withColumn("title", cut).write.parquet(f"{tmp_path}/paper_records.parquet")
+    spark.read.parquet(f"{small}/data_releases.parquet").write.parquet(f"{tmp_path}/data_releases.parquet")
+    first = spark.read.parquet(f"{tmp_path}/data_releases.parquet").where("status = 'ready'").orderBy("created_at").first()["release_id"]
+    rows = spark.read.parquet(f"{tmp_path}/paper_records.parquet").where("trim(title) <> ''").select("record_id", "title", "venue", "year", "release_id").distinct().collect()
+    near = lambda x, y: SequenceMatcher(None, x["title"].lower(), y["title"].lower()).ratio() >= 0.9
+    want = {x["record_id"] for x in rows for y in rows if x["release_id"] and x["release_id"] != first and y["release_id"] == first and (x["venue"], x["year"]) == (y["venue"], y["year"]) and near(x, y)}
+    assert {r["id"] for r in QUERIES["match_fuzzy_titles"](spark, str(tmp_path)).collect()} == want and want
